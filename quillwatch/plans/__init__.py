@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["filtering"]
+AREAS = ["filtering", "detection"]
 
 
 def load_all() -> None:

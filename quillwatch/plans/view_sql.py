@@ -42,3 +42,43 @@ FROM ev_base""",
     "agent_batches": """SELECT user_id % 40 AS agent_id, event_id AS batch_id, ts, CASE WHEN event_id % 17 = 0 THEN event_id - 100 ELSE event_id END AS sequence,
   1 + event_id % 9 AS n_events FROM events""",
 }
+
+# ---- detection views ---------------------------------------------------------
+from quillwatch.operators.rules import _tags, rule_rank, stable  # noqa: E402
+from quillwatch.plans.rule_set import RULES, SQL_PREDICATES  # noqa: E402
+
+SCORES = "CASE level WHEN 'critical' THEN 90 WHEN 'high' THEN 70 WHEN 'medium' THEN 50 WHEN 'low' THEN 30 ELSE 10 END"
+SEV_OF = "CASE WHEN {0} >= 80 THEN 'critical' WHEN {0} >= 60 THEN 'high' WHEN {0} >= 40 THEN 'medium' WHEN {0} >= 20 THEN 'low' ELSE 'info' END"
+
+
+def _lit(x):
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+
+_rows = []
+for _i, _r in enumerate(sorted(stable(RULES), key=rule_rank)):
+    _tac, _tech = _tags(_r)
+    _rows.append(f"SELECT event_id, {_i} AS pos, {_lit(_r['id'])} AS rule_id, {_lit(_r['title'])} AS title, {_lit(_r['level'])} AS level, "
+                 f"CAST({_lit(_tac[0] if _tac else None)} AS VARCHAR) AS tactic, CAST({_lit(_tech[0] if _tech else None)} AS VARCHAR) AS technique "
+                 f"FROM sec_events WHERE {SQL_PREDICATES[_r['id']]}")
+VIEWS["rule_hits"] = "\n UNION ALL ".join(_rows)
+VIEWS["ioc_cand"] = """SELECT event_id, 0 AS pos, 'ip' AS ioc_type, src_ip AS value_norm FROM sec_events
+ UNION ALL SELECT event_id, 1, 'ip', dst_ip FROM sec_events UNION ALL SELECT event_id, 2, 'sha256', lower(file_hash) FROM sec_events
+ UNION ALL SELECT event_id, 3, 'url', f_url FROM sec_events WHERE f_url IS NOT NULL"""
+VIEWS["ioc_hit_rows"] = "SELECT c.event_id, c.pos, c.ioc_type, c.value_norm, s.source, s.severity FROM ioc_cand c JOIN ioc_set s USING (ioc_type, value_norm)"
+VIEWS["scored"] = f"""SELECT *, {SEV_OF.format('risk_score')} AS risk_severity FROM (
+ SELECT *, CAST(least(100, floor(raw_score * (CASE asset_criticality WHEN 'critical' THEN 20 WHEN 'high' THEN 15 WHEN 'medium' THEN 10 WHEN 'low' THEN 7 ELSE 5 END) / 10)) AS INTEGER) AS risk_score FROM (
+ SELECT e.*, k / 100.0 AS anomaly_score, (event_id % 100) / 100.0 AS ueba_score, coalesce(h.base, 0) AS base, h.r.rule_id AS first_rule, h.r.title AS rule_name, h.r.tactic AS tactic, h.r.technique AS technique, coalesce(h.exfil, false) AS exfil, coalesce(h.n_rules, 0) AS n_rules, h.rule_ids,
+  i.event_id IS NOT NULL AS ioc_hit,
+  least(100, coalesce(h.base, 0) + CASE WHEN i.event_id IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN k > 75 THEN 15 ELSE 0 END + CASE WHEN event_id % 100 > 80 THEN 10 ELSE 0 END) AS raw_score
+ FROM sec_events e LEFT JOIN (SELECT event_id, max({SCORES}) AS base, arg_min(struct_pack(rule_id := rule_id, title := title, tactic := tactic, technique := technique), pos) AS r, bool_or(coalesce(tactic, '') ILIKE '%exfil%') AS exfil, count(*) AS n_rules, string_agg(rule_id, ',' ORDER BY pos) AS rule_ids FROM rule_hits GROUP BY event_id) h USING (event_id)
+ LEFT JOIN (SELECT DISTINCT event_id FROM ioc_hit_rows) i USING (event_id)))"""
+VIEWS["cand"] = """SELECT *, coalesce(first_rule, '00000000-0000-0000-0000-000000000000') AS rule_key, coalesce(hostname, src_ip, 'unknown') AS entity FROM scored WHERE risk_score >= 40"""
+VIEWS["win_open"] = """SELECT tenant_id, rule_key, entity, min(ts) AS opening FROM cand GROUP BY ALL
+ UNION ALL SELECT w.tenant_id, w.rule_key, w.entity, min(c.ts) FROM win_open w JOIN cand c ON c.tenant_id = w.tenant_id AND c.rule_key = w.rule_key AND c.entity = w.entity
+  AND c.ts >= w.opening + INTERVAL 15 MINUTE GROUP BY ALL"""
+VIEWS["ev_win"] = """SELECT c.*, w.opening FROM cand c JOIN win_open w ON c.tenant_id = w.tenant_id AND c.rule_key = w.rule_key AND c.entity = w.entity
+ AND c.ts >= w.opening AND c.ts < w.opening + INTERVAL 15 MINUTE"""
+VIEWS["alert_win"] = """SELECT tenant_id, rule_key AS rule_id, entity, opening AS window_start, count(*) AS event_count, min(ts) AS first_seen, max(ts) AS last_seen, max(risk_score) AS max_risk,
+ arg_min(struct_pack(hostname := hostname, user_name := user_name, src_ip := src_ip, dst_ip := dst_ip, rule_name := rule_name, tactic := tactic, technique := technique,
+  ioc_hit := ioc_hit, n_rules := n_rules, exfil := exfil, risk_severity := risk_severity, anomaly_score := anomaly_score), (ts, event_id)) AS f FROM ev_win GROUP BY ALL"""

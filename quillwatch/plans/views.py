@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwatch.operators import ioc, split
+from quillwatch.operators import alerts, ioc, risk, rules, split
 from quillwatch.plans import view_text as V
+from quillwatch.plans.rule_set import RULES
 from quillwatch.sources.tables import table
 
 NOW = "2024-01-31 00:00:00"
@@ -103,3 +104,30 @@ def agent_batches(spark, d) -> DataFrame:
     return table(spark, d, "events").select(
         (F.col("user_id") % 40).alias("agent_id"), e.alias("batch_id"), "ts",
         F.when(e % 17 == 0, e - 100).otherwise(e).alias("sequence"), (1 + e % 9).alias("n_events"))
+
+
+# ---- detection ---------------------------------------------------------------
+
+def detected(spark, d) -> DataFrame:
+    """Events with rule matches, indicator hits and risk."""
+    e = ioc.flag(model_scores(sec_events(spark, d)), ioc_set(spark, d))
+    return risk.score_events(rules.match_all(e, RULES))
+
+
+def model_scores(events: DataFrame) -> DataFrame:
+    return events.withColumns({"anomaly_score": F.col("k") / F.lit(100.0), "ueba_score": (F.col("event_id") % 100) / F.lit(100.0)})
+
+
+CANDIDATE_COLUMNS = ["event_id", "ts", "tenant_id", "hostname", "user_name", "src_ip", "dst_ip", "rule_matches", "ioc_hit", "anomaly_score", "risk_score", "risk_severity"]
+
+
+def candidates(spark, d) -> DataFrame:
+    return alerts.with_key(risk.candidates(detected(spark, d)).select(CANDIDATE_COLUMNS))
+
+
+def alert_evidence(spark, d) -> DataFrame:
+    return alerts.evidence(candidates(spark, d))
+
+
+def alert_rows(spark, d) -> DataFrame:
+    return alerts.assemble(alerts.windows(alert_evidence(spark, d)))
