@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillwatch.operators import alerts, ioc, risk, rules, split
 from quillwatch.plans import view_text as V
 from quillwatch.plans.rule_set import RULES
+from quillwatch.sources.events import stored
 from quillwatch.sources.tables import table
 
 NOW = "2024-01-31 00:00:00"
@@ -17,7 +18,19 @@ def _derive(df: DataFrame, pairs, keep) -> DataFrame:
     return df.select(*keep, *[F.expr(e).alias(n) for n, e in pairs])
 
 
+_STORES: dict = {}
+
+
 def sec_events(spark: SparkSession, d: str) -> DataFrame:
+    """The event store of a data folder: derived once per session, then scanned like any event table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        _STORES[key] = stored(derive_events(spark, d), "sec-events")
+    return _STORES[key]
+
+
+def derive_events(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "events").select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
