@@ -116,23 +116,23 @@ def status_word(text) -> Column:
 
 
 def apply_changes(alerts: DataFrame, changes: DataFrame) -> DataFrame:
-    """Latest value of each changed column wins. ``changes``: alert_id, change_id, at, actor, status,
+    """Latest value of each changed column wins. ``changes``: alert_id, change_id, at_time, actor, status,
     notes, assignee (NULL = unchanged). Resolving stamps time and user; unknown statuses are refused."""
     ok = changes.withColumn("status_word", status_word("status")).filter(c("status").isNull() | c("status_word").isNotNull())
-    order = F.struct("at", "change_id")
+    order = F.struct("at_time", "change_id")
     last = lambda col, when: F.max_by(col, F.when(when, order))
     set_status, resolved = c("status_word").isNotNull(), c("status_word") == "resolved"
     merged = ok.groupBy("alert_id").agg(
         last("status_word", set_status).alias("new_status"), last("notes", c("notes").isNotNull()).alias("resolution_notes"),
         last("assignee", c("assignee").isNotNull()).alias("assigned_to"),
-        last("at", resolved).alias("resolved_on"), last("actor", resolved).alias("resolved_by"))
+        last("at_time", resolved).alias("resolved_on"), last("actor", resolved).alias("resolved_by"))
     return (alerts.join(merged, "alert_id", "left").withColumn("status", F.coalesce("new_status", "status"))
             .withColumn("resolved_at", F.coalesce("resolved_on", "resolved_at")).drop("new_status", "resolved_on"))
 
 
 def acknowledge(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     """Only open alerts move to acknowledged and get the (first) acknowledging user."""
-    who = acks.groupBy("alert_id").agg(F.min_by("actor", F.struct("at", "actor")).alias("ack_actor"))
+    who = acks.groupBy("alert_id").agg(F.min_by("actor", F.struct("at_time", "actor")).alias("ack_actor"))
     moves = (c("status") == "open") & c("ack_actor").isNotNull()
     return (alerts.join(who, "alert_id", "left").withColumn("assigned_to", F.when(moves, c("ack_actor")))
             .withColumn("status", F.when(moves, "acknowledged").otherwise(c("status"))).drop("ack_actor"))
@@ -204,6 +204,6 @@ def severity_max(col) -> Column:
 
 
 def timeline(alerts: DataFrame, notes: DataFrame) -> DataFrame:
-    """Alerts and notes of each case in one stream. ``notes``: case_id, at, kind, detail."""
-    a = alerts.filter("case_id IS NOT NULL").select("case_id", c("created_at").alias("at"), F.lit("alert").alias("kind"), c("alert_id").cast("string").alias("detail"))
-    return a.unionByName(notes.select("case_id", "at", "kind", "detail"))
+    """Alerts and notes of each case in one stream. ``notes``: case_id, at_time, kind, detail."""
+    a = alerts.filter("case_id IS NOT NULL").select("case_id", c("created_at").alias("at_time"), F.lit("alert").alias("kind"), c("alert_id").cast("string").alias("detail"))
+    return a.unionByName(notes.select("case_id", "at_time", "kind", "detail"))

@@ -26,6 +26,10 @@ def normal_value(kind, value) -> Column:
             .otherwise(v))
 
 
+def strip(col: Column) -> Column:
+    return F.regexp_replace(col, r"^\s+|\s+$", "")
+
+
 def union_feeds(feeds: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), feeds)
 
@@ -92,7 +96,7 @@ def feed_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def text_feed_rows(lines: DataFrame, kind: str, source: str) -> DataFrame:
     """Plain-text feed: one indicator per line, blank and ``#`` lines skipped."""
-    v = F.trim(c("value"))
+    v = strip(c("value"))
     return lines.select(F.lit(kind).alias("ioc_type"), v.alias("value"), F.lit(source).alias("source"),
                         F.lit(None).cast("string").alias("severity")).filter((c("value") != "") & ~c("value").startswith("#"))
 
@@ -100,9 +104,9 @@ def text_feed_rows(lines: DataFrame, kind: str, source: str) -> DataFrame:
 def csv_feed_rows(lines: DataFrame, kind: str, source: str, column: int, header: str | None = None) -> DataFrame:
     """Column ``column`` of a comma list; split limited so later commas stay in the tail; ``header``
     is the header line to drop (files may be split over tasks, so it is recognised by content)."""
-    t = F.trim(c("value"))
+    t = strip(c("value"))
     cell = F.try_element_at(F.split(t, ",", column + 2), F.lit(column + 1))
-    v = F.regexp_replace(F.trim(cell), '^"+|"+$', "")
+    v = F.regexp_replace(strip(cell), '^"+|"+$', "")
     rows = lines.filter((t != "") & ~t.startswith("#"))
     if header is not None:
         rows = rows.filter(t != header)

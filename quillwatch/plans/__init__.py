@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["filtering", "detection"]
+AREAS = ["scans", "normalization", "filtering", "detection"]
 
 
 def load_all() -> None:

@@ -336,7 +336,7 @@ def _(spark, d):
 
 @query("flagship_alert_counts", f"SELECT {SEV_OF.format('max_risk')} AS severity, count(*) AS alerts, CAST(sum(event_count) AS BIGINT) AS events, max(max_risk) AS top_risk FROM alert_win GROUP BY 1")
 def _(spark, d):
-    w = alerts.windows(v.alert_evidence(spark, d))
+    w = alerts.windows(alerts.evidence(v.find_candidates(spark, d)))
     return w.groupBy(severity_from_score("max_risk").alias("severity")).agg(
         F.count("*").alias("alerts"), F.sum("event_count").alias("events"), F.max("max_risk").alias("top_risk"))
 
@@ -358,7 +358,7 @@ def _(spark, d):
     return flt.for_tenant(v.sec_events(spark, d), "tenant-0").join(wanted, "event_id", "left_semi").select("event_id", "tenant_id", "ts")
 
 
-CHANGES_SQL = """(SELECT l_orderkey AS alert_id, l_orderkey * 10 + l_linenumber AS change_id, l_shipdate AS at, 'user' || (l_suppkey % 9) AS actor,
+CHANGES_SQL = """(SELECT l_orderkey AS alert_id, l_orderkey * 10 + l_linenumber AS change_id, l_shipdate AS at_time, 'user' || (l_suppkey % 9) AS actor,
  (['In-Progress', 'RESOLVED', NULL, 'false-positive', 'bogus', 'open'])[l_partkey % 6 + 1] AS status, CASE WHEN l_linenumber % 3 = 0 THEN 'note ' || l_linenumber END AS notes,
  CASE WHEN l_linenumber % 2 = 0 THEN 'user' || (l_suppkey % 5) END AS assignee, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) AS dup FROM lineitem)"""
 
@@ -367,18 +367,18 @@ def _changes(spark, d):
     word = F.element_at(F.array(*[F.lit(x) for x in ("In-Progress", "RESOLVED", None, "false-positive", "bogus", "open")]), (c("l_partkey") % 6 + 1).cast("int"))
     u = lambda n: F.concat(F.lit("user"), (c("l_suppkey") % n).cast("string"))
     return table(spark, d, "lineitem").select(
-        c("l_orderkey").alias("alert_id"), F.struct(c("l_orderkey") * 10 + c("l_linenumber"), c("l_partkey"), c("l_suppkey")).alias("change_id"), c("l_shipdate").alias("at"), u(9).alias("actor"), word.alias("status"),
+        c("l_orderkey").alias("alert_id"), F.struct(c("l_orderkey") * 10 + c("l_linenumber"), c("l_partkey"), c("l_suppkey")).alias("change_id"), c("l_shipdate").alias("at_time"), u(9).alias("actor"), word.alias("status"),
         F.when(c("l_linenumber") % 3 == 0, F.concat(F.lit("note "), c("l_linenumber").cast("string"))).alias("notes"), F.when(c("l_linenumber") % 2 == 0, u(5)).alias("assignee"))
 
 
 _CH = """(SELECT *, CASE lower(status) WHEN 'in-progress' THEN 'in_progress' WHEN 'resolved' THEN 'resolved' WHEN 'false-positive' THEN 'false_positive' WHEN 'open' THEN 'open' END AS word,
- (at, change_id, l_partkey, l_suppkey) AS o FROM (SELECT *, l_partkey, l_suppkey FROM """ + CHANGES_SQL.replace("l_linenumber, row_number", "l_partkey, l_suppkey, row_number").replace("PARTITION BY l_orderkey, l_linenumber", "PARTITION BY l_orderkey") + """) WHERE status IS DISTINCT FROM 'bogus')"""
+ (at_time, change_id, l_partkey, l_suppkey) AS o FROM (SELECT *, l_partkey, l_suppkey FROM """ + CHANGES_SQL.replace("l_linenumber, row_number", "l_partkey, l_suppkey, row_number").replace("PARTITION BY l_orderkey, l_linenumber", "PARTITION BY l_orderkey") + """) WHERE status IS DISTINCT FROM 'bogus')"""
 _CH = _CH.replace("SELECT *, l_partkey, l_suppkey FROM ", "SELECT * FROM ")
 
 
 @query("alert_update", f"""SELECT a.alert_id, coalesce(m.w, a.status) AS status, m.notes AS resolution_notes, m.assignee AS assigned_to, coalesce(m.rat, a.resolved_at) AS resolved_at, m.rby AS resolved_by
  FROM alerts_life a LEFT JOIN (SELECT alert_id, arg_max(word, o) FILTER (word IS NOT NULL) AS w, arg_max(notes, o) FILTER (notes IS NOT NULL) AS notes, arg_max(assignee, o) FILTER (assignee IS NOT NULL) AS assignee,
- arg_max(at, o) FILTER (word = 'resolved') AS rat, arg_max(actor, o) FILTER (word = 'resolved') AS rby FROM {_CH} GROUP BY alert_id) m USING (alert_id)""")
+ arg_max(at_time, o) FILTER (word = 'resolved') AS rat, arg_max(actor, o) FILTER (word = 'resolved') AS rby FROM {_CH} GROUP BY alert_id) m USING (alert_id)""")
 def _(spark, d):
     return alerts.apply_changes(v.alerts_life(spark, d), _changes(spark, d)).select("alert_id", "status", "resolution_notes", "assigned_to", "resolved_at", "resolved_by")
 
@@ -386,7 +386,7 @@ def _(spark, d):
 @query("alert_ack", f"""SELECT a.alert_id, CASE WHEN a.status = 'open' AND m.who IS NOT NULL THEN 'acknowledged' ELSE a.status END AS status, CASE WHEN a.status = 'open' THEN m.who END AS assigned_to
  FROM alerts_life a LEFT JOIN (SELECT l_orderkey AS alert_id, arg_min('user' || (l_suppkey % 9), (l_shipdate, 'user' || (l_suppkey % 9))) AS who FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) m USING (alert_id)""")
 def _(spark, d):
-    acks = table(spark, d, "lineitem").filter("l_linenumber = 2").select(c("l_orderkey").alias("alert_id"), c("l_shipdate").alias("at"), F.concat(F.lit("user"), (c("l_suppkey") % 9).cast("string")).alias("actor"))
+    acks = table(spark, d, "lineitem").filter("l_linenumber = 2").select(c("l_orderkey").alias("alert_id"), c("l_shipdate").alias("at_time"), F.concat(F.lit("user"), (c("l_suppkey") % 9).cast("string")).alias("actor"))
     return alerts.acknowledge(v.alerts_life(spark, d), acks).select("alert_id", "status", "assigned_to")
 
 
@@ -395,10 +395,10 @@ def _(spark, d):
     return alerts.response_times(v.alerts_life(spark, d), "tenant_id")
 
 
-@query("alert_cases", """SELECT case_id, at, kind, detail FROM (SELECT case_id, created_at AS at, 'alert' AS kind, CAST(alert_id AS VARCHAR) AS detail FROM alerts_life WHERE case_id IS NOT NULL
+@query("alert_cases", """SELECT case_id, at_time, kind, detail FROM (SELECT case_id, created_at AS at_time, 'alert' AS kind, CAST(alert_id AS VARCHAR) AS detail FROM alerts_life WHERE case_id IS NOT NULL
  UNION ALL SELECT conv_id, TIMESTAMP '2024-01-01' + to_minutes(turn), role, text FROM conversations)""")
 def _(spark, d):
-    notes = table(spark, d, "conversations").select(c("conv_id").alias("case_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), c("turn").cast("int"))).alias("at"),
+    notes = table(spark, d, "conversations").select(c("conv_id").alias("case_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), c("turn").cast("int"))).alias("at_time"),
                                                     c("role").alias("kind"), c("text").alias("detail"))
     return alerts.timeline(v.alerts_life(spark, d), notes)
 

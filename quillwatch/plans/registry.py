@@ -6,6 +6,7 @@ import re
 
 from quillwatch.plans.view_sql import VIEWS
 
+RECURSIVE = {"win_open"}
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -26,7 +27,7 @@ def with_views(sql: str) -> str:
     order = [n for n in VIEWS if n in need]
     if not order:
         return sql
-    ctes = ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in order)
+    ctes = ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}(\n{VIEWS[n]}\n)" for n in order)
     body = sql.strip()
     m = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
     if m:

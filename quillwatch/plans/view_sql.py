@@ -16,7 +16,7 @@ VIEWS = {
   CASE WHEN event_id % 2 = 0 THEN upper(sha256(CAST(user_id AS VARCHAR))) ELSE sha256(CAST(user_id AS VARCHAR)) END AS file_hash,
   strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso,
   strftime(ts, '%b') || ' ' || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || ' ' || strftime(ts, '%H:%M:%S') AS bsd,
-  epoch_ms(ts) AS epoch_ms, chr(9) AS tab
+  epoch_us(ts) // 1000 AS epoch_ms, chr(9) AS tab
 FROM ev_base""",
     "sec_events": f"SELECT * EXCLUDE (etype), etype AS event_type, {V.RAW} AS raw FROM ev_cols",
     "sec_assets": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY seen_order) AS rn

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwatch.operators import alerts, ioc, risk, rules, split
+from quillwatch.operators import alerts, ioc, normalize, risk, rules, split
 from quillwatch.plans import view_text as V
 from quillwatch.plans.rule_set import RULES
 from quillwatch.sources.events import stored
+from quillwatch.sources.shared import materialize
 from quillwatch.sources.tables import table
 
 NOW = "2024-01-31 00:00:00"
@@ -119,6 +120,15 @@ def agent_batches(spark, d) -> DataFrame:
         F.when(e % 17 == 0, e - 100).otherwise(e).alias("sequence"), (1 + e % 9).alias("n_events"))
 
 
+def normalized(spark, d) -> DataFrame:
+    """The enriched table: every raw line normalised in one pass and written out."""
+    key = (spark.sparkContext.applicationId, d, "normalized")
+    if key not in _STORES:
+        lines = sec_events(spark, d).select("event_id", "tenant_id", "source_type", "raw", "ts_received")
+        _STORES[key] = stored(normalize.normalize(lines, NOW), "enriched")
+    return _STORES[key]
+
+
 # ---- detection ---------------------------------------------------------------
 
 def detected(spark, d) -> DataFrame:
@@ -134,12 +144,24 @@ def model_scores(events: DataFrame) -> DataFrame:
 CANDIDATE_COLUMNS = ["event_id", "ts", "tenant_id", "hostname", "user_name", "src_ip", "dst_ip", "rule_matches", "ioc_hit", "anomaly_score", "risk_score", "risk_severity"]
 
 
+def find_candidates(spark, d) -> DataFrame:
+    """One pass over the events, written out: grouping reads the candidates more than once."""
+    return materialize(alerts.with_key(risk.candidates(detected(spark, d)).select(CANDIDATE_COLUMNS)), "candidates")
+
+
 def candidates(spark, d) -> DataFrame:
-    return alerts.with_key(risk.candidates(detected(spark, d)).select(CANDIDATE_COLUMNS))
+    key = (spark.sparkContext.applicationId, d, "candidates")
+    if key not in _STORES:
+        _STORES[key] = find_candidates(spark, d)
+    return _STORES[key]
 
 
 def alert_evidence(spark, d) -> DataFrame:
-    return alerts.evidence(candidates(spark, d))
+    """The alert-to-event relation, kept with the candidate table."""
+    key = (spark.sparkContext.applicationId, d, "evidence")
+    if key not in _STORES:
+        _STORES[key] = materialize(alerts.evidence(candidates(spark, d)), "evidence")
+    return _STORES[key]
 
 
 def alert_rows(spark, d) -> DataFrame:
