@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["scans", "normalization", "filtering", "detection"]
+AREAS = ["scans", "normalization", "filtering", "detection", "analysis"]
 
 
 def load_all() -> None:
