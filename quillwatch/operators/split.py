@@ -69,8 +69,8 @@ def previous(df: DataFrame, keys, ts, order, cols: dict, width: int = HOUR) -> D
     last = d.groupBy(*keys, SLICE).agg(F.max_by("_pack", F.struct(*[c(o) for o in order])).alias("_last"))
     carry = last.select(*keys, SLICE, F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_pack"))
     prev = F.lag("_pack").over(Window.partitionBy(*keys, SLICE).orderBy("_row", *order))
-    out = _with_carry(d, carry).withColumn("_prev", prev).filter("_row = 1")
-    return out.withColumns({n: F.col("_prev")[n] for n in cols}).drop(SLICE, "_row", "_pack", "_prev")
+    out = _with_carry(d, carry).withColumn("_lagged", prev).filter("_row = 1")
+    return out.withColumns({n: F.col("_lagged")[n] for n in cols}).drop(SLICE, "_row", "_pack", "_lagged")
 
 
 def halo(df: DataFrame, ts, lookback_us: int, width: int) -> DataFrame:

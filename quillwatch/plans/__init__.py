@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["scans", "normalization", "filtering", "detection", "analysis"]
+AREAS = ["scans", "normalization", "filtering", "detection", "analysis", "governance", "streams"]
 
 
 def load_all() -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillwatch.functions.scalars import c
 
@@ -31,7 +32,7 @@ def archive(df: DataFrame, path: str, now: str, days: int = KEEP_DAYS) -> None:
 
 def replay(spark: SparkSession, path: str, schema, hot: DataFrame | None = None, start=None, end=None) -> DataFrame:
     """Archived days again, pruned by partition, with the hot rows if given."""
-    cold = spark.read.schema(schema.add("day", "date")).parquet(path)
+    cold = spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())])).parquet(path)
     if start:
         cold = cold.filter(c("day") >= F.lit(start).cast("date"))
     if end:
