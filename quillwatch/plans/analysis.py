@@ -302,3 +302,13 @@ def _(spark, d):
     b = features.beacon_vectors(features.interarrival(v.sec_events(spark, d), keys), keys)
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return b.select(*keys, "intervals", F.size("vector").alias("width"), F.try_element_at("vector", F.lit(1)).alias("first_gap"), F.when(F.size("vector") > 0, F.round(total).cast("bigint")).alias("total"))
+
+
+@query("score_model_batch", "SELECT vec_id, round(greatest(0.0, least(1.0, list_sum(embedding::DOUBLE[]))), 3) AS score, CAST(NULL AS DOUBLE) AS score_without_model FROM embeddings")
+def _(spark, d):
+    from quillwatch.operators import models
+    from quillwatch.plans.model_fixture import weighted_sum
+    e = table(spark, d, "embeddings")
+    width = e.select(F.size("embedding")).first()[0]
+    missing = models.load_model(spark, f"{d}/no-such-model.onnx")
+    return e.select("vec_id", F.round(models.score(spark, weighted_sum([1.0] * width), "embedding"), 3).alias("score"), models.score(spark, missing, "embedding").alias("score_without_model"))

@@ -1,0 +1,32 @@
+"""A one-node model file (weighted sum of the inputs), encoded by hand for the scoring query."""
+
+import struct
+
+
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _num(field: int, n: int) -> bytes:
+    return _varint(field << 3) + _varint(n)
+
+
+def _blob(field: int, data) -> bytes:
+    data = data.encode() if isinstance(data, str) else data
+    return _varint(field << 3 | 2) + _varint(len(data)) + data
+
+
+def _value(name: str, width: int) -> bytes:
+    shape = _blob(1, _blob(2, "n")) + _blob(1, _num(1, width))
+    return _blob(1, name) + _blob(2, _blob(1, _num(1, 1) + _blob(2, shape)))
+
+
+def weighted_sum(weights) -> bytes:
+    n = len(weights)
+    node = _blob(1, "x") + _blob(1, "w") + _blob(2, "y") + _blob(4, "MatMul")
+    tensor = _num(1, n) + _num(1, 1) + _num(2, 1) + _blob(8, "w") + _blob(9, struct.pack(f"<{n}f", *weights))
+    graph = _blob(1, node) + _blob(2, "g") + _blob(5, tensor) + _blob(11, _value("x", n)) + _blob(12, _value("y", 1))
+    return _num(1, 8) + _blob(7, graph) + _blob(8, _blob(1, "") + _num(2, 13))
