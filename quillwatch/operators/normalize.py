@@ -46,10 +46,17 @@ CEF_CATEGORY = [("authentication", ["auth", "login", "logon"]), ("network", ["ne
 LEEF_CATEGORY = [("authentication", ["auth", "login"]), ("network", ["network", "traffic"]), ("file", ["file"]), ("process", ["process"])]
 JSON_CATEGORY = [("authentication", ["auth", "login", "logon"]), ("network", ["network", "traffic"]), ("file", ["file", "fs"]), ("process", ["process", "exec"]),
                  ("account", ["account", "user_mgmt"]), ("cloud", ["cloud", "aws", "azure"])]
-# Timestamp patterns tried in order after the internet formats and the epoch.
+# Timestamp patterns tried in order after the internet formats and the epoch, each with the shape of
+# text it can read (a parser is only called on text of its shape).
 NAIVE_PATTERNS = [
-    "yyyy-MM-dd HH:mm:ss.SSSSSSSSS", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd'T'HHmmss",
-    "MMM d yyyy HH:mm:ss", "d/MMM/yyyy:HH:mm:ss", "M/d/yyyy h:mm:ss a", "M/d/yyyy HH:mm:ss", "yyyy-MM-dd",
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+$", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSSSS][.SSSSSSS][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{8}T\d{6}$", "yyyyMMdd'T'HHmmss"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4} \d{2}:\d{2}:\d{2}$", "MMM d yyyy HH:mm:ss"),
+    (r"^\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}$", "d/MMM/yyyy:HH:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm:ss a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
 ]
 EPOCH_MILLIS_ABOVE = 10_000_000_000
 
@@ -88,7 +95,7 @@ def parse_timestamp(text, now) -> Column:
     mail = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "^[A-Za-z]{3}, *", ""), "(GMT|UTC|UT)$", "+0000"), " +", " ")
     rfc2822 = F.when(mail.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), _ntz(mail, "d MMM yyyy HH:mm:ss xx"))
     squeezed = F.regexp_replace(t, " +", " ")
-    named = [_ntz(squeezed, p) for p in NAIVE_PATTERNS]
+    named = [_ntz(F.when(squeezed.rlike(shape), squeezed), p) for shape, p in NAIVE_PATTERNS]
     return F.coalesce(rfc3339, rfc2822, epoch(t), *named, bsd(t, now))
 
 
@@ -178,14 +185,23 @@ def cef_header(parts="p") -> dict:
 KEY = r"(?:^|\s)([a-zA-Z][a-zA-Z0-9_]*)="
 
 
-def cef_extension(text) -> Column:
-    """key=value pairs; a value runs to the next key; the last duplicate wins."""
+def cef_pairs(text) -> tuple[Column, Column]:
+    """Keys and values of the extension; a value runs to the next key."""
     t = F.trim(F.coalesce(c(text), F.lit("")))
-    keys = F.regexp_extract_all(t, F.lit(KEY), 1)
-    cells = F.split(t, KEY)
-    values = F.slice(cells, F.lit(2), F.size(cells))
-    pairs = F.arrays_zip(keys.alias("key"), F.transform(values, lambda x: F.regexp_replace(x, r"\s+$", "")).alias("value"))
-    return last_wins(pairs)
+    # The space after a value belongs to the value, so it is cut with the key that follows it.
+    cells = F.split(F.regexp_replace(t, r"\s+$", ""), r"(?:^|\s+)[a-zA-Z][a-zA-Z0-9_]*=")
+    return F.regexp_extract_all(t, F.lit(KEY), 1), F.slice(cells, F.lit(2), F.size(cells))
+
+
+def cef_extension(text) -> Column:
+    keys, values = cef_pairs(text)
+    return pairs_map(keys, values)
+
+
+def pairs_map(keys: Column, values: Column) -> Column:
+    """A map in which the last duplicate wins. Duplicates are rare, so they are looked for first."""
+    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.when(repeated, last_wins(F.arrays_zip(keys.alias("key"), values.alias("value")))).otherwise(F.map_from_arrays(keys, values))
 
 
 def last_wins(pairs: Column) -> Column:
@@ -198,7 +214,8 @@ def cef_columns(lines: DataFrame, now: str) -> DataFrame:
     """Lines (with ``raw``) to typed columns; ``parse_error`` is set when the header is short."""
     d = lines.withColumn("_p", cef_parts("raw"))
     h = cef_header("_p")
-    d = d.withColumn("_x", cef_extension(F.try_element_at("_p", F.lit(8))))
+    keys, values = cef_pairs(F.try_element_at("_p", F.lit(8)))
+    d = d.withColumns({"_k": keys, "_w": values}).withColumn("_x", pairs_map(c("_k"), c("_w")))
     m, g = c("_x"), lambda f: first_of(c("_x"), CEF_ALIASES[f])
     host, user = ["shost", "sourceHostName"], CEF_ALIASES["user_name"]
     named = {"cef_vendor": h["vendor"], "cef_product": h["product"], "cef_name": h["name"], "cef_class_id": h["class_id"],
@@ -211,9 +228,9 @@ def cef_columns(lines: DataFrame, now: str) -> DataFrame:
         "src_ip": ipv4(g("src_ip")), "dst_ip": ipv4(g("dst_ip")), "src_port": unsigned(g("src_port"), PORT).cast("int"), "dst_port": unsigned(g("dst_port"), PORT).cast("int"),
         "protocol": F.lower(g("protocol")), "bytes_in": unsigned(g("bytes_in"), U64), "bytes_out": unsigned(g("bytes_out"), U64),
         "hostname": g("hostname"), "user_name": g("user_name"), "process_name": g("process_name"), "process_pid": unsigned(g("process_pid"), U32),
-        "file_name": g("file_name"), "event_category": cef_category(g("category")), "event_ts": parse_timestamp(g("ts"), now),
+        "file_name": g("file_name"), "event_category": cef_category(g("category")), "ts_text": g("ts"), "event_ts": parse_timestamp(g("ts"), now),
         "fields": F.map_concat(extra, fixed, surplus(m, host), surplus(m, user)),
-    }).drop("_p", "_x")
+    }).drop("_p", "_x", "_k", "_w")
 
 
 # ---- LEEF --------------------------------------------------------------------
@@ -235,19 +252,24 @@ def leef_body(version: Column, attrs: Column) -> Column:
     return F.when(version.startswith("2") & attrs.contains("|"), F.substr(attrs, F.locate("|", attrs) + 1)).otherwise(attrs)
 
 
-def leef_attributes(body: Column, delimiter: Column) -> Column:
+def leef_pairs(body: Column, delimiter: Column) -> tuple[Column, Column]:
     quoted = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
     parts = F.filter(F.split(body, quoted), lambda x: (F.locate("=", x) > 0) & (F.trim(F.split_part(x, F.lit("="), F.lit(1))) != ""))
-    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.split_part(x, F.lit("="), F.lit(1))).alias("key"),
-                                                  F.trim(F.substr(x, F.locate("=", x) + 1)).alias("value")))
-    return last_wins(pairs)
+    return (F.transform(parts, lambda x: F.trim(F.split_part(x, F.lit("="), F.lit(1)))),
+            F.transform(parts, lambda x: F.trim(F.substr(x, F.locate("=", x) + 1))))
+
+
+def leef_attributes(body: Column, delimiter: Column) -> Column:
+    return pairs_map(*leef_pairs(body, delimiter))
 
 
 def leef_columns(lines: DataFrame, now: str) -> DataFrame:
     part = lambda i: F.try_element_at("_p", F.lit(i))
     attrs = F.coalesce(part(6), F.lit(""))
     d = lines.withColumn("_p", leef_parts("raw")).withColumn("version", F.regexp_replace(part(1), "^(LEEF:)+", ""))
-    d = d.withColumn("delimiter", leef_delimiter(c("version"), attrs)).withColumn("_x", leef_attributes(leef_body(c("version"), attrs), c("delimiter")))
+    d = d.withColumn("delimiter", leef_delimiter(c("version"), attrs))
+    keys, values = leef_pairs(leef_body(c("version"), attrs), c("delimiter"))
+    d = d.withColumns({"_k": keys, "_w": values}).withColumn("_x", pairs_map(c("_k"), c("_w")))
     m, g = c("_x"), lambda f: first_of(c("_x"), LEEF_ALIASES[f])
     named = {"leef_vendor": part(2), "leef_product": part(3), "leef_event_id": part(5), "message": g("message")}
     fixed = F.map_filter(F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
@@ -258,41 +280,43 @@ def leef_columns(lines: DataFrame, now: str) -> DataFrame:
         "event_type": F.concat(sanitize(part(3)), F.lit("_leef_"), sanitize(part(5))), "severity": F.coalesce(F.when(g("severity").isNotNull(), leef_severity(g("severity"))), F.lit("info")),
         "src_ip": ipv4(g("src_ip")), "dst_ip": ipv4(g("dst_ip")), "src_port": unsigned(g("src_port"), PORT).cast("int"), "dst_port": unsigned(g("dst_port"), PORT).cast("int"),
         "protocol": F.lower(g("protocol")), "hostname": g("hostname"), "user_name": g("user_name"),
-        "event_category": leef_category(g("category")), "event_ts": parse_timestamp(g("ts"), now),
+        "event_category": leef_category(g("category")), "ts_text": g("ts"), "event_ts": parse_timestamp(g("ts"), now),
         "fields": F.map_concat(extra, fixed, surplus(m, LEEF_ALIASES["hostname"])),
-    }).drop("_p", "_x")
+    }).drop("_p", "_x", "_k", "_w")
 
 
 # ---- JSON --------------------------------------------------------------------
 
-def json_severity(v: Column) -> Column:
-    """``v`` is a variant: numbers by band, words by synonym."""
-    kind = F.schema_of_variant(v)
-    n = F.coalesce(F.when(kind.rlike("BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(v, "$", "bigint")), F.lit(0))
+def json_severity(text: Column, number: Column) -> Column:
+    """Words by synonym, whole numbers by band, anything else info."""
+    n = number.cast("bigint")
     band = F.when(n < 0, "info").when(n <= 2, "info").when(n <= 4, "low").when(n <= 6, "medium").when(n <= 8, "high").otherwise("critical")
-    return F.when(kind == "STRING", severity_words(F.lower(F.try_variant_get(v, "$", "string")), JSON_SEVERITY)).when(kind.rlike("BIGINT|DECIMAL|DOUBLE"), band).otherwise("info")
+    return F.when(text.isNotNull(), severity_words(F.lower(text), JSON_SEVERITY)).when(n.isNotNull(), band).otherwise("info")
 
 
 def json_columns(lines: DataFrame, now: str) -> DataFrame:
-    """JSON object lines to typed columns. Types matter: a number where text is expected reads as NULL."""
-    d = lines.withColumn("_v", F.try_parse_json("raw")).withColumn("_m", F.from_json("raw", "map<string,string>"))
-    key = lambda n: f"$['{n}']"
-    texts = lambda f: F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get("_v", key(n), "variant")) == "STRING", F.try_variant_get("_v", key(n), "string")) for n in JSON_ALIASES[f]])
-    nums = lambda f, lim: F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get("_v", key(n), "variant")) == "BIGINT", unsigned(F.try_variant_get("_v", key(n), "bigint").cast("string"), lim)) for n in JSON_ALIASES[f]])
+    """JSON object lines to typed columns. Types matter: a number where text is expected reads as NULL,
+    so the members are first sorted by their JSON type into one map of texts and one of whole numbers."""
+    kinds = F.transform_values(F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>"), lambda _, x: F.schema_of_variant(x))
+    d = lines.withColumns({"_kinds": kinds, "_m": F.from_json("raw", "map<string,string>")})
+    of_kind = lambda kind: F.map_filter("_m", lambda k, _: F.try_element_at("_kinds", k) == kind)
+    d = d.withColumns({"_str": of_kind("STRING"), "_int": of_kind("BIGINT")})
+    texts = lambda f: first_of(c("_str"), JSON_ALIASES[f])
+    nums = lambda f, lim: unsigned(first_of(c("_int"), JSON_ALIASES[f]), lim)
     port = lambda f: F.coalesce(nums(f, PORT), unsigned(texts(f), PORT)).cast("int")
-    sev = F.coalesce(*[F.try_variant_get("_v", key(n), "variant") for n in JSON_ALIASES["severity"]])
+    has_severity = F.arrays_overlap(F.map_keys("_m"), F.array(*[F.lit(n) for n in JSON_ALIASES["severity"]]))
     rest = F.transform_values(leftovers(c("_m"), JSON_ALIASES), lambda _, v: F.coalesce(v, F.lit("")))
     msg = F.map_filter(F.create_map(F.lit("message"), texts("message")), lambda _, v: v.isNotNull())
     return d.withColumns({
-        "parse_error": F.when(c("_v").isNull(), "not an object"),
+        "parse_error": F.when(c("_kinds").isNull(), "not an object"),
         "src_ip": ipv4(texts("src_ip")), "dst_ip": ipv4(texts("dst_ip")), "src_port": port("src_port"), "dst_port": port("dst_port"),
         "protocol": F.lower(texts("protocol")), "bytes_in": nums("bytes_in", U64), "bytes_out": nums("bytes_out", U64),
         "hostname": texts("hostname"), "user_name": texts("user_name"), "user_domain": texts("user_domain"), "process_name": texts("process_name"),
         "process_pid": nums("process_pid", U32), "process_ppid": nums("process_ppid", U32), "process_cmdline": texts("process_cmdline"), "process_path": texts("process_path"),
         "file_path": texts("file_path"), "file_name": texts("file_name"), "file_hash": texts("file_hash"), "file_size": nums("file_size", U64),
-        "event_type": texts("event_type"), "severity": F.when(sev.isNotNull(), json_severity(sev)), "event_category": json_category(texts("category")),
-        "event_ts": parse_timestamp(texts("ts"), now), "fields": F.map_concat(rest, msg),
-    }).drop("_v", "_m")
+        "event_type": texts("event_type"), "severity": F.when(has_severity, json_severity(texts("severity"), first_of(c("_int"), JSON_ALIASES["severity"]))),
+        "event_category": json_category(texts("category")), "ts_text": texts("ts"), "event_ts": parse_timestamp(texts("ts"), now), "fields": F.map_concat(rest, msg),
+    }).drop("_kinds", "_m", "_str", "_int")
 
 
 # ---- syslog --------------------------------------------------------------------
@@ -375,7 +399,7 @@ def pretriage_severity(category="event_category", auth_result="auth_result") ->
             .when(true_only(c(category).isin("authentication", "process", "account")), "low").otherwise("info"))
 
 
-SHARED = ["event_ts", "event_type", "event_category", "severity", "src_ip", "dst_ip", "src_port", "dst_port", "hostname", "user_name", "process_name", "parse_error"]
+SHARED = ["ts_text", "syslog_ts", "event_type", "event_category", "severity", "src_ip", "dst_ip", "src_port", "dst_port", "hostname", "user_name", "process_name", "parse_error"]
 
 
 def normalize(lines: DataFrame, now: str) -> DataFrame:
@@ -391,12 +415,15 @@ def normalize(lines: DataFrame, now: str) -> DataFrame:
     for name, build in dialects:
         base = d.columns
         out = build(d.withColumn("raw", F.when(c("format") == name, c("_line"))).drop(*[x for x in SHARED if x in base]))
+        if name == "collector_parsed":
+            out = out.withColumnRenamed("event_ts", "syslog_ts")
         cells = [(c(x) if x in out.columns else F.lit(None)).cast(_SHARED_TYPES.get(x, "string")).alias(x) for x in SHARED]
         d = out.select(*[x for x in base if x not in SHARED], F.struct(*cells).alias(f"_{name}"))
     picked = F.coalesce(*[F.when(c("format") == n, c(f"_{n}")) for n, _ in dialects])
     out = d.withColumn("raw", c("_line")).withColumn("_one", picked).select(*keep, "format", "_one.*")
-    return (out.withColumn("ts", F.coalesce("event_ts", "ts_received")).drop("event_ts")
+    # One timestamp parser for all dialects: the text is chosen first.
+    return (out.withColumn("ts", F.coalesce("syslog_ts", parse_timestamp("ts_text", now), "ts_received")).drop("syslog_ts", "ts_text")
             .withColumn("ingest_lag_ms", ingest_lag_ms()).withColumn("dedup_hash", fingerprint()))
 
 
-_SHARED_TYPES = {"event_ts": "timestamp_ntz", "src_port": "int", "dst_port": "int"}
+_SHARED_TYPES = {"syslog_ts": "timestamp_ntz", "src_port": "int", "dst_port": "int"}
