@@ -104,18 +104,22 @@ def ip_number_of(text: str):
     return (a << 24) | (b << 16) | (g << 8) | d
 
 
-def in_cidr(col, cidr: str) -> Column:
-    """Membership in ``a.b.c.d/n``; no prefix means equality; malformed text is false."""
+def number_in_cidr(number: Column, cidr: str) -> Column:
+    """Membership of an address number in ``a.b.c.d/n``; no prefix means equality; malformed text is false."""
     net, slash, bits = cidr.partition("/")
     base = ip_number_of(net)
     if base is None:
         return F.lit(False)
     if not slash:
-        return true_only(ip_number(col) == base)
+        return true_only(number == base)
     if not bits.isdigit() or int(bits) > 32:
         return F.lit(False)
     mask = (0xFFFFFFFF << (32 - int(bits))) & 0xFFFFFFFF
-    return true_only(ip_number(col).bitwiseAND(F.lit(mask).cast("bigint")) == (base & mask))
+    return true_only(number.bitwiseAND(F.lit(mask).cast("bigint")) == (base & mask))
+
+
+def in_cidr(col, cidr: str) -> Column:
+    return number_in_cidr(ip_number(col), cidr)
 
 
 # Address blocks never looked up in location tables.
@@ -123,8 +127,12 @@ PRIVATE_BLOCKS = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"
                   "169.254.0.0/16", "255.255.255.255", "0.0.0.0"]
 
 
+def is_private_number(number: Column) -> Column:
+    return any_of([number_in_cidr(number, b) for b in PRIVATE_BLOCKS])
+
+
 def is_private_ip(col) -> Column:
-    return any_of([in_cidr(col, b) for b in PRIVATE_BLOCKS])
+    return is_private_number(ip_number(col))
 
 
 # ---- text ----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import c, from_micros, ip_number, is_private_ip, micros, true_only
+from quillwatch.functions.scalars import c, from_micros, ip_number, is_private_number, micros
 from quillwatch.operators import split
 
 
@@ -39,8 +39,7 @@ def geo_lookup(ips: DataFrame, ip_col: str, ranges: DataFrame) -> DataFrame:
     """
     blocks = ranges.withColumn("_blk", F.explode(F.sequence(F.floor(c("ip_from") / PREFIX), F.floor(c("ip_to") / PREFIX))))
     g = blocks.select("_blk", c("ip_from").alias("_from"), c("ip_to").alias("_to"), "country", "city")
-    n = F.when(~is_private_ip(ip_col), ip_number(ip_col))
-    rows = ips.withColumn("_ip", n).withColumn("_b", F.floor(c("_ip") / PREFIX))
+    rows = ips.withColumn("_n", ip_number(ip_col)).withColumn("_ip", F.when(~is_private_number(c("_n")), c("_n"))).drop("_n").withColumn("_b", F.floor(c("_ip") / PREFIX))
     return (rows.join(g, (c("_b") == c("_blk")) & c("_ip").between(c("_from"), c("_to")), "left")
             .drop("_ip", "_b", "_blk", "_from", "_to"))
 

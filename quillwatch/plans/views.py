@@ -10,7 +10,7 @@ from quillwatch.plans import view_text as V
 from quillwatch.plans.rule_set import RULES
 from quillwatch.sources.events import stored
 from quillwatch.sources.shared import materialize
-from quillwatch.sources.tables import table
+from quillwatch.sources.tables import spread, table
 
 NOW = "2024-01-31 00:00:00"
 
@@ -32,7 +32,7 @@ def sec_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def derive_events(spark: SparkSession, d: str) -> DataFrame:
-    base = table(spark, d, "events").select(
+    base = spread(table(spark, d, "events")).select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
     user_hash = F.sha2(F.col("user_id").cast("string"), 256)
