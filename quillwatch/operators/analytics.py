@@ -67,13 +67,20 @@ def user_days(events: DataFrame) -> DataFrame:
         F.count("*").alias("events"), F.sum("bytes_out").alias("bytes"), F.array_sort(F.collect_set(login)).alias("login_hours"))
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row aggregates with different columns as one row, without a join."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.max(x).alias(x) for x in out.columns])
+
+
 def dashboard(alerts: DataFrame, events: DataFrame, agents: DataFrame, now: str) -> DataFrame:
     """Three one-row aggregates side by side; each reads only its own table."""
-    key = F.lit(1).alias("_k")
-    a = alerts.agg(F.count_if((c("status") == "open") & (c("severity") == "critical")).alias("open_p1"), F.count_if((c("status") == "open") & (c("severity") == "high")).alias("open_p2")).select("*", key)
-    e = since(events, "ts", now, 1).agg(F.count("*").alias("events_24h")).select("*", key)
-    g = agents.agg(F.count_if("agent_active").alias("agents_online"), F.count("*").alias("agents_total")).select("*", key)
-    return a.join(e, "_k").join(g, "_k").drop("_k")
+    a = alerts.agg(F.count_if((c("status") == "open") & (c("severity") == "critical")).alias("open_p1"), F.count_if((c("status") == "open") & (c("severity") == "high")).alias("open_p2"))
+    e = since(events, "ts", now, 1).agg(F.count("*").alias("events_24h"))
+    g = agents.agg(F.count_if("agent_active").alias("agents_online"), F.count("*").alias("agents_total"))
+    return side_by_side(a, e, g)
 
 
 def tenant_summary(alerts: DataFrame, events: DataFrame) -> DataFrame:

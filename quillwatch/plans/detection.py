@@ -9,6 +9,7 @@ from quillwatch.functions import mitre
 from quillwatch.functions.scalars import c, is_private_ip, micros, severity_from_score
 from quillwatch.operators import alerts, ioc, risk, rules, split
 from quillwatch.operators import filters as flt
+from quillwatch.operators.analytics import side_by_side
 from quillwatch.plans import views as v
 from quillwatch.plans.registry import query
 from quillwatch.plans.rule_set import BY_ID, RULES, SQL_PREDICATES
@@ -156,7 +157,7 @@ def _(spark, d):
     hit = rules.matching(flt.since(v.sec_events(spark, d), "2d", v.NOW), BY_ID["r01"])
     total = hit.agg(F.count("*").alias("matches")).withColumn("per_hour", F.round(c("matches") / 48.0, 6))
     sample = hit.select("event_id").orderBy("event_id").limit(5).agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("sample"))
-    return total.withColumn("_k", F.lit(1)).join(sample.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    return side_by_side(total, sample)
 
 
 @query("rule_match_stats", """SELECT rule_id, count(*) AS total, max(ts) AS last_match, count(DISTINCT CAST(ts AS DATE)) AS days,

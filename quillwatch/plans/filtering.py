@@ -103,11 +103,12 @@ def _(spark, d):
     return v.ioc_feed(spark, d).groupBy("ioc_type", "source").agg(F.count("*").alias("n"))
 
 
-@query("set_feed_diff", """WITH o AS (SELECT DISTINCT ioc_type, value_norm FROM ioc_set WHERE hash_day = 0), n AS (SELECT DISTINCT ioc_type, value_norm FROM ioc_set WHERE hash_day = 1)
- SELECT 1""".replace("hash_day = 0", "length(value_norm) % 2 = 0 OR ioc_type = 'url'").replace("hash_day = 1", "length(value_norm) % 3 = 0 OR ioc_type = 'domain'")
- .replace("SELECT 1", "SELECT *, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)"))
+OLD = "length(value_norm) % 2 = 0 OR ioc_type = 'url'"
+NEW = "length(value_norm) % 3 = 0 OR ioc_type = 'domain'"
+
+
+@query("set_feed_diff", f"""WITH o AS (SELECT ioc_type, value_norm FROM ioc_set WHERE {OLD}), n AS (SELECT ioc_type, value_norm FROM ioc_set WHERE {NEW})
+ SELECT *, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
 def _(spark, d):
     s = v.ioc_set(spark, d)
-    old = s.filter("length(value_norm) % 2 = 0 OR ioc_type = 'url'")
-    new = s.filter("length(value_norm) % 3 = 0 OR ioc_type = 'domain'")
-    return ioc.feed_diff(old, new)
+    return ioc.feed_diff(s.filter(OLD), s.filter(NEW))

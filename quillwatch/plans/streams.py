@@ -24,7 +24,7 @@ def feed(spark, d, name, df):
             df.filter((c("ts") >= F.lit(a).cast("timestamp_ntz")) & (c("ts") < F.lit(b).cast("timestamp_ntz"))).write.mode("append").parquet(path)
         _FEEDS[key] = (path, df.schema)
     path, schema = _FEEDS[key]
-    return jobs.read_folder(spark, path, schema, 2)
+    return jobs.read_folder(spark, path, schema, 8)
 
 
 def event_feed(spark, d):
