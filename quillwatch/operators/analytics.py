@@ -108,7 +108,7 @@ def report_summary(alerts: DataFrame) -> DataFrame:
 
 def rank_assets(alerts: DataFrame) -> DataFrame:
     per = alerts.groupBy("tenant_id", "hostname").agg(F.sum("risk_score").alias("risk"))
-    return per.withColumn("rank", F.dense_rank().over(Window.partitionBy("tenant_id").orderBy(c("risk").desc())))
+    return per.withColumn("rank", F.dense_rank().over(Window.partitionBy("tenant_id").orderBy(c("risk").desc())).cast("bigint"))
 
 
 def compare_periods(alerts: DataFrame) -> DataFrame:

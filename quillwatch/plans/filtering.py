@@ -94,7 +94,7 @@ def _(spark, d):
  FROM alerts_life) WHERE rn <= 10""")
 def _(spark, d):
     w = Window.partitionBy("tenant_id").orderBy(c("risk_score").desc(), "alert_id")
-    return (v.alerts_life(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 10")
+    return (v.alerts_life(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 10").withColumn("rn", c("rn").cast("bigint"))
             .select("tenant_id", "alert_id", "risk_score", "rn"))
 
 

@@ -155,7 +155,7 @@ def _(spark, d):
     return events.foreign_rows(v.sec_events(spark, d), "tenant-1").groupBy("source_type").agg(F.count("*").alias("foreign_rows"))
 
 
-@query("tenant_canary", "SELECT 0 AS leaked, count(*) FILTER (tenant_id = 'tenant-2') AS own FROM sec_events")
+@query("tenant_canary", "SELECT CAST(0 AS BIGINT) AS leaked, count(*) FILTER (tenant_id = 'tenant-2') AS own FROM sec_events")
 def _(spark, d):
     seen = filters.for_tenant(v.sec_events(spark, d), "tenant-2")
     return seen.agg(F.count_if(c("tenant_id") != "tenant-2").alias("leaked"), F.count_if(c("tenant_id") == "tenant-2").alias("own"))
@@ -199,7 +199,7 @@ def _(spark, d):
  r AS (SELECT tenant_id, rn, event_id, ts, f, CASE WHEN f THEN 1 ELSE 0 END AS n, CAST(NULL AS TIMESTAMP) AS until FROM a WHERE rn = 1
   UNION ALL SELECT tenant_id, rn, event_id, ts, f, n, CASE WHEN n >= 5 THEN ts + INTERVAL 15 MINUTE END FROM (SELECT a.tenant_id, a.rn, a.event_id, a.ts, a.f,
    CASE WHEN NOT a.f THEN 0 WHEN r.until IS NOT NULL AND a.ts >= r.until THEN 1 ELSE r.n + 1 END AS n FROM r JOIN a ON a.tenant_id = r.tenant_id AND a.rn = r.rn + 1))
- SELECT event_id, n AS failures, until AS locked_until FROM r WHERE f""")
+ SELECT event_id, CAST(n AS BIGINT) AS failures, until AS locked_until FROM r WHERE f""")
 def _(spark, d):
     e = v.sec_events(spark, d).select("event_id", "tenant_id", "ts", "event_type")
     bad = c("event_type").isin("auth_failure", "file_access", "process_create")

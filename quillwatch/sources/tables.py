@@ -14,4 +14,4 @@ def spread(df: DataFrame) -> DataFrame:
     """Use every core on an input that arrives in fewer splits than there are cores (a single small
     file); larger inputs keep the splits of their scan and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
