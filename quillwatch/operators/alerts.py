@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import c, choose, seconds, severity_from_score, severity_rank, true_only, word_map
+from quillwatch.functions.scalars import c, seconds, severity_from_score, severity_rank, true_only, word_map
 from quillwatch.operators import anchored, split
 
 WINDOW_US = 15 * split.MINUTE
@@ -65,6 +65,7 @@ def local_time(ts) -> Column:
     return F.date_format(c(ts) + seconds(5 * 3600 + 30 * 60), "HH:mm 'IST'")
 
 
+# The alert texts in both languages, with local (UTC+5:30) time.
 def narrative_en(severity, rule, host, ts, count, technique, tactic) -> Column:
     sev = F.initcap(c(severity))
     tech, tac = F.coalesce(c(technique), F.lit("")), F.coalesce(c(tactic), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import SEVERITIES, c, choose, seconds
+from quillwatch.functions.scalars import SEVERITIES, c, choose
 from quillwatch.operators.alerts import minutes_between
 
 

@@ -59,6 +59,7 @@ def category_counts(incidents: DataFrame, start: str, end: str, ts="ts", text="t
     return catalog(incidents.sparkSession).join(seen, "category", "left").fillna(0, ["incidents"])
 
 
+# Fixed value: the layout of the incident report.
 def incident_text(category, incident_id, detected_at, description, system, organisation, generator: str) -> Column:
     return F.format_string(
         "CERT-In Incident Report\n========================\nOrganisation : %s\nIncident ID  : %s\nCategory No. : %d\nCategory     : %s\n"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import SEVERITIES, all_of, c, seconds, severity_rank
+from quillwatch.functions.scalars import SEVERITIES, all_of, c, seconds
 
 # Columns a caller may test for equality.
 EQUALITY_COLUMNS = ["source_type", "event_type", "hostname", "user_name", "src_ip", "dst_ip", "process_name"]

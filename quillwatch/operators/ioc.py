@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import c, ipv4
+from quillwatch.functions.scalars import c
 
 
 def url_normal(value) -> Column:
@@ -22,8 +22,7 @@ def normal_value(kind, value) -> Column:
     k, v = c(kind), c(value)
     return (F.when(k == "url", url_normal(v))
             .when(k == "domain", F.regexp_replace(F.lower(v), r"\.+$", ""))
-            .when(k == "sha256", F.lower(v))
-            .otherwise(v))
+            .otherwise(F.lower(v)))
 
 
 def strip(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import (IPV4_PATTERN, c, category_by_words, choose, ipv4, micros, sanitize, seconds, true_only)
+from quillwatch.functions.scalars import (c, category_by_words, choose, ipv4, micros, sanitize, seconds, true_only)
 
 # Alias lists, severity words and category words of each dialect.
 AGENT_SOURCES = ["linux_ebpf", "windows_etw"]

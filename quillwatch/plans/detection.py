@@ -1,19 +1,16 @@
 """Rules, indicators, risk and alerts."""
 
-import json
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillwatch.functions import mitre
-from quillwatch.functions.scalars import c, is_private_ip, micros, severity_from_score
-from quillwatch.operators import alerts, ioc, risk, rules, split
+from quillwatch.functions.scalars import c, severity_from_score
+from quillwatch.operators import alerts, ioc, risk, rules
 from quillwatch.operators import filters as flt
 from quillwatch.operators.analytics import side_by_side
 from quillwatch.plans import views as v
 from quillwatch.plans.registry import query
 from quillwatch.plans.rule_set import BY_ID, RULES, SQL_PREDICATES
-from quillwatch.plans.view_sql import SCORES, SEV_OF
+from quillwatch.plans.view_sql import SEV_OF
 from quillwatch.sources.tables import table
 
 # ---- one query per rule feature: (detection, SQL predicate) ----------------

@@ -7,7 +7,6 @@ from quillwatch.operators import normalize as nz
 from quillwatch.plans import views as v
 from quillwatch.plans.registry import query
 from quillwatch.schema import DEFAULTS, ENUMS
-from quillwatch.sources.tables import table
 
 txt = lambda x: (c(x) if isinstance(x, str) else x).cast("string")
 SAN = "lower(replace(replace(product, ' ', '_'), '-', '_'))"

@@ -23,37 +23,34 @@ def documents(df: DataFrame, text, *keys) -> DataFrame:
     return df.select(*keys, docs.alias("idx", "doc")).withColumn("doc", F.regexp_replace("doc", r"^\s+|\s+$", "")).filter(c("doc") != "")
 
 
-def load_document(text: str):
-    try:
-        import yaml
-    except ImportError:
-        return json.loads(text)
-    return yaml.safe_load(text)
-
-
 CATALOG_SCHEMA = "title string, rule_id string, status string, level string, tags array<string>, n_falsepositives int, error string"
-_FIELDS = [f.split()[0] for f in CATALOG_SCHEMA.replace("array<string>", "x").split(", ")]
-
-
-def _entry(text: str):
-    """Fields of one rule document, or the reason it cannot be read."""
-    try:
-        doc = load_document(text)
-        if not isinstance(doc, dict):
-            raise ValueError("not a mapping")
-        texts = [doc.get(k) if isinstance(doc.get(k), str) else None for k in ("title", "id", "status", "level")]
-        return (*texts, [str(t) for t in doc.get("tags") or []], len(doc.get("falsepositives") or []), None)
-    except Exception as problem:  # a bad file is kept with its error, it never stops the load
-        return (None, None, None, None, [], 0, str(problem).splitlines()[0])
+_FIELDS = [f.split()[0] for f in CATALOG_SCHEMA.split(", ")]
 
 
 def catalog(docs: DataFrame, *keys) -> DataFrame:
     """One row per document with its fields as written; ``error`` names what could not be read."""
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keys)
+    fields = _FIELDS
+
+    # The helpers are local so that they travel with the job: executors need no copy of this package.
+    def entry(text: str):
+        """Fields of one rule document, or the reason it cannot be read."""
+        try:
+            try:
+                import yaml
+                doc = yaml.safe_load(text)
+            except ImportError:
+                doc = json.loads(text)
+            if not isinstance(doc, dict):
+                raise ValueError("not a mapping")
+            texts = [doc.get(k) if isinstance(doc.get(k), str) else None for k in ("title", "id", "status", "level")]
+            return (*texts, [str(t) for t in doc.get("tags") or []], len(doc.get("falsepositives") or []), None)
+        except Exception as problem:  # a bad file is kept with its error, it never stops the load
+            return (None, None, None, None, [], 0, str(problem).splitlines()[0])
 
     def read(batches):
         for batch in batches:
-            cells = pd.DataFrame([_entry(t) for t in batch["doc"]], columns=_FIELDS)
+            cells = pd.DataFrame([entry(t) for t in batch["doc"]], columns=fields)
             yield pd.concat([batch[list(keys)].reset_index(drop=True), cells], axis=1)
 
     return docs.select(*keys, "doc").mapInPandas(read, f"{key_schema}, {CATALOG_SCHEMA}")
