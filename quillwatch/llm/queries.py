@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwatch.llm import chat, secret_scan, warc
+from quillwatch.llm import bpe, chat, quality, secret_scan, toxicity, warc
+from quillwatch.llm.training import remainder, small_batches
 from quillwatch.sources.shared import materialize, new_folder
 from quillwatch.sources.tables import table
 
@@ -53,6 +54,40 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, root, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def vocabulary() -> str:
+    """Path of the public vocabulary file that the queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_bpe")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    words = bpe.read_vocabulary(vocabulary())
+    rows = table(spark, root, "documents").select("doc_id", bpe.encoder(words)(F.coalesce("text", F.lit(""))).alias("ids"))
+    rows = rows.select("doc_id", "ids", bpe.decoder(words)(F.col("ids")).alias("decoded"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, root, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def owner_of_source() -> tuple[Column, Column]:
     """The owner is a document's source; a repository is its source and language."""
     return F.col("source"), F.concat_ws("/", "source", "lang")
