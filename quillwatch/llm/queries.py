@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwatch.llm import bpe, chat, quality, secret_scan, toxicity, warc
+from quillwatch.llm import bpe, chat, decontam, quality, secret_scan, topk, toxicity, warc
 from quillwatch.llm.training import remainder, small_batches
 from quillwatch.sources.shared import materialize, new_folder
 from quillwatch.sources.tables import table
@@ -54,6 +54,12 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op2_decontam")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    return decontam.find(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 @query("op3_toxicity")
 def op3(spark: SparkSession, root: str) -> DataFrame:
     small_batches(spark)
@@ -102,6 +108,23 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
                         secret_scan.listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
 
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
+
+@query("op9_topk", TOPK_SQL)
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return topk.search(table(spark, root, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 WARC_SQL = """
 WITH r AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
 d AS (SELECT page_id, octet_length(encode(p)) AS n, p, sha1(p) AS h FROM r),
