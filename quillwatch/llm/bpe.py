@@ -17,6 +17,7 @@ tokenizers library by default; whole texts are encoded, whatever their length; r
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 CACHE = 500_000
 #: Fixed value: the word pattern of the vocabulary file's pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: The same for lower-cased ASCII texts.
+ASCII_WORDS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9]+")
 
 
 def byte_letters() -> list[str]:
@@ -68,9 +71,18 @@ class Vocabulary:
                 else:
                     self.inner[t] = i
         self.longest = max(len(t) for t in [*self.inner, *self.last])
+        self.inner_sizes, self.last_sizes = self._sizes(self.inner), self._sizes(self.last if self.end else self.inner)
         self.apart: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
 
+    @staticmethod
+    def _sizes(known: dict[str, int]) -> dict[str, list[int]]:
+        """Lengths of the tokens that end in the same three letters (or are shorter), longest first."""
+        sizes: dict[str, set[int]] = {}
+        for t in known:
+            sizes.setdefault(t[-3:], set()).add(len(t))
+        return {k: sorted(v, reverse=True) for k, v in sizes.items()}
+
     def _symbols(self, token: str) -> tuple[str, ...]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
             body = token[:-len(self.end)]
@@ -96,13 +108,22 @@ class Vocabulary:
             known = self.apart[key] = self.merge([*self.symbols[left], *self.symbols[right]]) == [self.tokens[left], self.tokens[right]]
         return known
 
-    def last_token(self, tail: str, depth: int, path: list[int], known: dict[str, int]) -> int:
+    def last_token(self, tail: str, depth: int, path: list[int], known: dict[str, int], sizes: dict[str, list[int]]) -> int:
         """The last token of the prefix of length depth that ends in tail. path: last tokens of its shorter prefixes."""
-        n = len(tail)
-        for size in range(min(n, depth), 0, -1):
-            token = known.get(tail[n - size:])
-            if token is not None and (size == depth or self.stay_apart(path[depth - size], token)):
-                return token
+        apart, stay_apart = self.apart, self.stay_apart
+        for end in (tail[-3:], tail[-2:], tail[-1:]) if depth > 2 else (tail[-2:], tail[-1:]) if depth == 2 else (tail,):
+            for size in sizes.get(end, ()):
+                if size > depth:
+                    continue
+                token = known.get(tail[-size:])
+                if token is None:
+                    continue
+                if size == depth:
+                    return token
+                left = path[depth - size]
+                ok = apart.get((left, token))
+                if ok or ok is None and stay_apart(left, token):
+                    return token
         raise ValueError(f"no encoding of {tail!r}")
 
     def _read(self, depth: int, path: list[int], final: int) -> bytes:
@@ -125,21 +146,24 @@ class Vocabulary:
         done: dict[str, bytes] = {}
         path = [0]
         stack: list = [(root, "", 0)]
-        longest, marked = self.longest, self.last if self.end else self.inner
+        longest, inner, sizes = self.longest, self.inner, self.inner_sizes
+        marked, marked_sizes, find = self.last if self.end else inner, self.last_sizes, self.last_token
         while stack:
             node, tail, depth = stack.pop()
             if depth:
                 del path[depth:]
-                path.append(self.last_token(tail, depth, path, self.inner))
+                path.append(find(tail, depth, path, inner, sizes))
             for c, child in node.items():
                 if c:
                     stack.append((child, (tail + c)[-longest:], depth + 1))
                 else:
                     for letter, word in child:
-                        done[word] = self._read(depth + 1, path, self.last_token((tail + letter)[-longest:], depth + 1, path, marked))
+                        done[word] = self._read(depth + 1, path, find((tail + letter)[-longest:], depth + 1, path, marked, marked_sizes))
         return done
 
     def pieces(self, text: str) -> list[str]:
+        if text.isascii():
+            return ASCII_WORDS.findall(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.words.findall(text)
 
