@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwatch.llm import bpe, chat, decontam, quality, secret_scan, topk, toxicity, warc
+from quillwatch.llm import bpe, chat, decontam, minhash, quality, secret_scan, topk, toxicity, warc
 from quillwatch.llm.training import remainder, small_batches
 from quillwatch.sources.shared import materialize, new_folder
 from quillwatch.sources.tables import table
@@ -94,6 +94,13 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op7_minhash")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    found = minhash.cluster(table(spark, root, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def owner_of_source() -> tuple[Column, Column]:
     """The owner is a document's source; a repository is its source and language."""
     return F.col("source"), F.concat_ws("/", "source", "lang")
