@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwatch.llm import bpe, chat, decontam, minhash, quality, secret_scan, topk, toxicity, warc
+from quillwatch.llm import bpe, chat, decontam, minhash, quality, secret_scan, substring, topk, toxicity, warc
 from quillwatch.llm.training import remainder, small_batches
 from quillwatch.sources.shared import materialize, new_folder
 from quillwatch.sources.tables import table
@@ -69,6 +69,12 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op4_substring")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    return substring.repeated(table(spark, root, "documents"))
+
+
 def vocabulary() -> str:
     """Path of the public vocabulary file that the queries use."""
     import public_tokenizers
