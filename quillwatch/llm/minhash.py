@@ -6,9 +6,12 @@
    0.85 and 32 coordinates, fewer than 16 agreements happen to one pair in about three million). So, with pairs ordered by how many documents share them, two such documents
    meet within the rarest COORDS - NEED + 1 pairs of both: the longest lists (NEED - 1 of a document's) are skipped and only that prefix is joined. Pairs
    held by one document alone need no posting.
-3. In each list, documents are first compared with the list's center only; what links becomes components. Then documents outside the largest component of a list
-   are compared with all of the list that is not in their component. This finds the same components as comparing all pairs: what is left out is already connected.
-4. Collisions are counted on whole signatures; pairs with NEED or more are confirmed on the full shingle sets, which are read for documents with postings left.
+3. In each list, documents are first compared with a few centers of the list only; what links becomes components. Then documents outside the largest component of a list
+   are compared with the documents of the list that are not in their own component, in blocks of `BLOCK` documents: first the `NEAREST` few of each block are confirmed, which
+   connects most of what can be, then, with the new components, all. What is left out is connected already, so the components are those of
+   comparing all pairs. A pair is looked at in the least list that both are in. Blocks return only pairs that pass the next step's first half.
+4. Collisions are counted on longer signatures (`LONG` minima of a byte; at a similarity of 0.85 fewer than `LONG_NEED` agreements happen to four pairs in a million); what passes is
+   confirmed on the full shingle sets. Both are made for documents with postings only.
 
 Defined cases: null or empty texts and texts of white space have no shingle and link with nothing; repeated rows are one class; rows of one doc_id with different texts are told apart;
 a null doc_id can be linked but names no component unless all of it is null; other columns are ignored.
@@ -21,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, StructType
 
 from quillwatch.llm.graph import components
 from quillwatch.llm.words import SPACED, mix, raw
 from quillwatch.sources.shared import materialize
 
 SHINGLE, COORDS, NEED = 5, 32, 16
-_SALTS = mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+LONG, LONG_NEED, BLOCK, CENTERS, NEAREST = 512, 399, 1024, 2, 6
+_SALTS = mix(np.arange(1, 2 * LONG + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,19 +56,18 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else words[:0]), np.array([len(s) for s in sets], np.int64)
 
 
-def signatures(sets: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The least value of COORDS hashes over each set; a row of zeros for an empty set."""
-    out = np.zeros((len(size), COORDS), np.uint32)
+def signatures(sets: np.ndarray, size: np.ndarray, coords: int = COORDS) -> np.ndarray:
+    """The least value of `coords` hashes over each set, as 32 bits; a row of zeros for an empty set."""
+    out = np.zeros((len(size), coords), np.uint32)
     some = np.flatnonzero(size)
-    if len(some):
-        at = (np.cumsum(size) - size)[some]
-        for lo in range(0, len(some), 512):  # rows at once, so that the sets stay near the processor
-            hi = min(len(some), lo + 512)
-            part = sets[at[lo]:at[hi] if hi < len(some) else len(sets)]
-            for j in range(COORDS):
-                v = (part ^ _SALTS[j]) * (_SALTS[COORDS + j] | np.uint64(1))
-                out[some[lo:hi], j] = (np.minimum.reduceat(v ^ (v >> np.uint64(32)), at[lo:hi] - at[lo]) >> np.uint64(32)).astype(np.uint32)
-    return out.view(np.int32)
+    at = (np.cumsum(size) - size)[some]
+    for lo in range(0, len(some), 256):  # rows at once, so that the sets stay near the processor
+        hi = min(len(some), lo + 256)
+        part = sets[at[lo]:at[hi] if hi < len(some) else len(sets)]
+        for j in range(coords):
+            v = (part ^ _SALTS[j]) * (_SALTS[LONG + j] | np.uint64(1))
+            out[some[lo:hi], j] = (np.minimum.reduceat(v ^ (v >> np.uint64(32)), at[lo:hi] - at[lo]) >> np.uint64(32)).astype(np.uint32)
+    return out
 
 
 def _named() -> StructType:
@@ -74,16 +77,17 @@ def _named() -> StructType:
 @arrow_udf(_named().add("sig", ArrayType(IntegerType())))
 def sketch(texts: pa.Array) -> pa.Array:
     sets, size = shingle_sets(texts)
-    sig = signatures(sets, size)
+    sig = signatures(sets, size).view(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * COORDS), pa.array(sig.ravel()))
     return pa.StructArray.from_arrays([pa.array(size), *_sums(sets, size), lists], ["n", "h1", "h2", "sig"])
 
 
-@arrow_udf(_named().add("set", ArrayType(LongType())))
+@arrow_udf(_named().add("set", ArrayType(LongType())).add("long", ArrayType(ByteType())))
 def full_set(texts: pa.Array) -> pa.Array:
     sets, size = shingle_sets(texts)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(sets.view(np.int64)))
-    return pa.StructArray.from_arrays([pa.array(size), *_sums(sets, size), lists], ["n", "h1", "h2", "set"])
+    low = mix(signatures(sets, size, LONG).astype(np.uint64)).astype(np.uint8).view(np.int8)
+    return pa.StructArray.from_arrays([pa.array(size), *_sums(sets, size), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * LONG), pa.array(low.ravel()))], ["n", "h1", "h2", "set", "long"])
 
 
 def _sums(sets: np.ndarray, size: np.ndarray) -> list[pa.Array]:
@@ -105,45 +109,82 @@ def postings(classes: DataFrame) -> DataFrame:
     return each.select("node", "n", F.explode(F.slice("pairs", F.lit(1), F.size("pairs") - (NEED - 1))).alias("p")).select("p.key", "node", "n")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with NEED collisions whose full sets are similar enough."""
-    side = lambda t, c, v: t.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"{v}{c}"))
-    agree = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = materialize(pairs.join(side(signed, "a", "sig"), "a").join(side(signed, "b", "sig"), "b").where(agree >= NEED).select("a", "b"), "collisions")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, counted: bool) -> DataFrame:
+    """Pairs (a, b) with enough collisions whose full sets are similar enough. counted: collisions have been counted."""
+    side = lambda c, v: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"{v}{c}"))
+    if not counted:
+        agree = F.aggregate(F.zip_with("longa", "longb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        pairs = materialize(pairs.join(side("a", "long"), "a").join(side("b", "long"), "b").where(agree >= LONG_NEED).select("a", "b"), "collisions")
     both = F.size(F.array_intersect("seta", "setb"))
-    return materialize(close.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b")
-                       .where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"), "links")
+    return materialize(pairs.join(side("a", "set"), "a").join(side("b", "set"), "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"), "links")
+
+
+def _compare(percent: int, nearest: int | None):
+    """Within one task's cells: pairs of an asking and another document of a cell that collide often enough; the `nearest` of each asking one, or all."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("asks", "descending")])
+        column = {c: table[c].to_numpy() for c in ("key", "i", "j", "asks", "node", "n", "part")}
+        long = table["long"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, LONG)
+        keys = table["keys"].combine_chunks()
+        new = np.ones(table.num_rows + 1, bool)
+        new[1:-1] = (column["key"][1:] != column["key"][:-1]) | (column["i"][1:] != column["i"][:-1]) | (column["j"][1:] != column["j"][:-1])
+        found = []
+        for a, b in zip(np.flatnonzero(new)[:-1].tolist(), np.flatnonzero(new)[1:].tolist(), strict=True):
+            m = a + int(column["asks"][a:b].sum())
+            n, part, others = column["n"][m:b], column["part"][m:b], long[m:b]
+            for x in range(a, m):
+                close = (np.minimum(n, column["n"][x]) * 100 >= np.maximum(n, column["n"][x]) * percent) & (part != column["part"][x])
+                some = np.flatnonzero(close)
+                agree = (others[some] == long[x]).sum(1)
+                some, agree = some[agree >= LONG_NEED], agree[agree >= LONG_NEED]
+                if nearest is not None:
+                    some = some[np.argsort(-agree, kind="stable")[:nearest]]
+                own = set(keys[x].as_py()) if len(some) else set()
+                for y in some.tolist():
+                    if nearest is not None or min(own.intersection(keys[m + y].as_py())) == column["key"][x]:
+                        found.append((min(column["node"][x], column["node"][m + y]), max(column["node"][x], column["node"][m + y])))
+        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return run
 
 
 def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b: links between class representatives that connect what is connected."""
     lists = materialize(postings(classes), "postings")
     wanted = lists.select("node").distinct()
-    signed = classes.join(wanted, "node", "left_semi").select("node", "n", "sig", "h1", "h2")
+    signed = classes.join(wanted, "node", "left_semi").select("node", "n", "h1", "h2")
     ids = sketched.join(wanted.select(F.col("node").alias("uid")), "uid", "left_semi").select("doc_id").distinct()
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.select(F.col("doc_id").alias("_id")), F.expr("doc_id <=> _id"), "left_semi")
     own = read.select(full_set("text").alias("s")).select("s.*")
-    sets = materialize(own.join(signed.select("node", "n", "h1", "h2"), ["n", "h1", "h2"]).select("node", "n", "set").dropDuplicates(["node"]), "sets")
-    sized = _sized(F.col("nx"), F.col("ny"), percent)
+    sets = materialize(own.join(signed, ["n", "h1", "h2"]).select("node", "n", "set", "long").dropDuplicates(["node"]), "sets")
+
     stars = None
-    for seed in (1, 2):
-        center = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "n")).alias("c")).select("key", F.col("c.node").alias("y"), F.col("c.n").alias("ny"))
-        part = lists.select("key", F.col("node").alias("x"), F.col("n").alias("nx")).join(center, "key").where(F.col("x") != F.col("y")).where(sized).select("x", "y")
+    for seed in range(CENTERS):
+        center = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "n")).alias("c")).select("key", F.col("c.node").alias("c"), F.col("c.n").alias("nc"))
+        part = lists.join(center, "key").where(F.col("node") != F.col("c")).where(_sized(F.col("n"), F.col("nc"), percent)).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         stars = part if stars is None else stars.unionByName(part)
-    tried = materialize(_pairs(stars), "stars")
-    found = _confirm(tried, signed, sets, percent)
-    parts = lists.join(components(found), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
-    parts = materialize(parts, "parts")
-    largest = (parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-               .where("kinds > 1").select("key", F.col("top.part").alias("top")))
-    outside = parts.join(largest, "key").where(F.col("part") != F.col("top")).select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
-    rest = (outside.join(parts.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py")), "key").where(F.col("px") != F.col("py")).where(sized))
-    more = _confirm(_pairs(rest).join(tried, ["a", "b"], "left_anti"), signed, sets, percent)
-    return found.unionByName(more)
+    tried = materialize(stars.distinct(), "stars")
+    found = _confirm(tried, sets, percent, counted=False)
+
+    keys = lists.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most COORDS - NEED + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    for nearest in (NEAREST, None):
+        parts = materialize(lists.join(components(found), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part")), "parts")
+        largest = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"))
+        open_lists = (largest.where("kinds > 1").select("key", F.col("top.part").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
+                                                        F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("asking")))
+        held = parts.join(open_lists, "key")
+        asks = held.where("part != top").select("key", "node", "n", "part", of("asking").alias("i"), every("blocks").alias("j"), F.lit(1).alias("asks"))
+        others = held.select("key", "node", "n", "part", every("asking").alias("i"), of("blocks").alias("j"), F.lit(0).alias("asks"))
+        cells = materialize(asks.unionByName(others), "cells")
+        tasks = max(1, -(-cells.count() // (4 * BLOCK)))
+        full = cells.join(keys, "node").join(sets.select("node", "long"), "node").withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)))
+        pairs = full.groupBy("task").applyInArrow(_compare(percent, nearest), "a long, b long").distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        found = found.unionByName(_confirm(pairs, sets, percent, counted=True))
+    return found
 
 
 def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
