@@ -152,7 +152,7 @@ def matcher(ids: list, texts: list[str], rate: float, min_words: int) -> Callabl
     def match(column: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]))
         return pa.array([[dict(zip(("item", "start", "end", "distance"), m, strict=True)) for m in row] for row in items.matches(column)], kind)
-    return match
+    return match.asNondeterministic()  # for the optimiser, which would evaluate it twice under an explode
 
 
 def with_matches(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words: int = 6, block_items: int = 10_000) -> DataFrame:

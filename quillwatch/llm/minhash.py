@@ -27,6 +27,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, StructType
 
 from quillwatch.llm.graph import components
+from quillwatch.llm.training import likely
 from quillwatch.llm.words import SPACED, mix, raw
 from quillwatch.sources.shared import materialize
 
@@ -90,6 +91,9 @@ def full_set(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(size), *_sums(sets, size), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * LONG), pa.array(low.ravel()))], ["n", "h1", "h2", "set", "long"])
 
 
+full_set = full_set.asNondeterministic()
+
+
 def _sums(sets: np.ndarray, size: np.ndarray) -> list[pa.Array]:
     """Two sums over each set, which name it."""
     bounds = np.concatenate([[0], np.cumsum(size)])
@@ -153,9 +157,9 @@ def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int
     lists = materialize(postings(classes), "postings")
     wanted = lists.select("node").distinct()
     signed = classes.join(wanted, "node", "left_semi").select("node", "n", "h1", "h2")
-    ids = sketched.join(wanted.select(F.col("node").alias("uid")), "uid", "left_semi").select("doc_id").distinct()
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.select(F.col("doc_id").alias("_id")), F.expr("doc_id <=> _id"), "left_semi")
-    own = read.select(full_set("text").alias("s")).select("s.*")
+    ids = materialize(sketched.join(wanted.select(F.col("node").alias("uid")), "uid", "left_semi").select("doc_id").distinct(), "wanted")
+    read = likely(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids, "doc_id").join(ids.select(F.col("doc_id").alias("_id")), F.expr("doc_id <=> _id"), "left_semi")
+    own = read.select(full_set("text").alias("s")).select("s.*")  # not deterministic for the optimiser, which would evaluate it twice
     sets = materialize(own.join(signed, ["n", "h1", "h2"]).select("node", "n", "set", "long").dropDuplicates(["node"]), "sets")
 
     stars = None

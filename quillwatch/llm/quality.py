@@ -24,7 +24,7 @@ from quillwatch.llm.training import labelled_sample
 from quillwatch.llm.words import SPACED, raw
 
 PASSAGE = 512
-GROUP = 4096
+GROUP = 1024
 CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\r\n", ".", ",;:", "!?", "|/\\", "*#$%&@^~_+=<>", "'\"`()[]{}-"]
 KINDS = len(CLASSES) + 2
 PAIRS = KINDS * KINDS

@@ -23,7 +23,7 @@ from quillwatch.llm.training import labelled_sample
 
 SIZES, BITS = (3, 4, 5), 22
 #: Characters worked on at once; the n-grams over a cut are taken with the part before it.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

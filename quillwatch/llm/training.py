@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quillwatch.sources.shared import materialize
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows per Arrow batch; texts may be long and a batch is held whole."""
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Rows per Arrow batch and per batch of the Parquet reader; texts may be long and a batch is held whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -30,3 +31,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     return materialize(rows.select("doc_id", "text", "label"), "sample")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, column: str, bits: int = 1 << 22) -> DataFrame:
+    """rows whose `column` may be among the values of wanted: all that are, and few others while wanted is small against `bits`.
+
+    A bitmap of hashes, of `bits` / 8 bytes whatever the data's size, goes to all tasks, so rows that a later join would drop need no shuffle.
+    """
+    def of(name: str) -> tuple[Column, Column]:
+        bit = F.pmod(F.xxhash64(name), F.lit(bits))
+        return F.floor(bit / 32768), bit % 32768
+
+    block, place = of(column)
+    maps = materialize(wanted.select(block.alias("_block"), place.alias("_place")).groupBy("_block").agg(F.bitmap_construct_agg("_place").alias("_map")), "bitmap")
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = rows.withColumns({"_block": block, "_place": place}).join(F.broadcast(maps), "_block")
+    return held.where((F.floor(byte / F.pow(F.lit(2), F.col("_place") % 8)) % 2) == 1).select(*rows.columns)
