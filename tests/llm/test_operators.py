@@ -357,3 +357,11 @@ def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     monkeypatch.setattr(w, "CHUNK", 16)
     for a, b in zip(whole, w.SPACED.words(*w.raw(column)), strict=True):
         assert (a == b).all()
+
+
+def test_likely_keeps_all_wanted(spark):
+    from quillwatch.llm.training import likely
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    wanted = rows.where("doc_id % 40 = 3")
+    got = {r[0] for r in likely(rows, wanted, "doc_id").collect()}
+    assert {r[0] for r in wanted.collect()} <= got and len(got) < 520
