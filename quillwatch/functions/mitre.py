@@ -18,7 +18,7 @@ def tactic_name(slug: str) -> str:
 
 
 def tactic_display(slug: Column) -> Column:
-    words = F.transform(F.split(slug, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))
+    words = F.transform(F.split(slug, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))
     named = F.lit(None).cast("string")
     for k, name in TACTIC_NAMES.items():
         named = F.coalesce(named, F.when(slug == k, name))
@@ -28,8 +28,8 @@ def tactic_display(slug: Column) -> Column:
 def parse_tag(tag) -> Column:
     """Struct (tactic, technique_id, sub_technique_id); NULL for tags outside the scheme."""
     low = F.lower(c(tag))
-    rest = F.substring(low, 8, 1000)
-    digits = F.substring(rest, 2, 1000)
+    rest = low.substr(F.lit(8), F.length(low))
+    digits = rest.substr(F.lit(2), F.length(rest))
     is_technique = rest.rlike(r"^t[0-9]")
     sub = F.when(digits.contains("."), F.substring(digits, F.locate(".", digits) + 1, F.length(digits)))
     none = F.lit(None).cast("string")

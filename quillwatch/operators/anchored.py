@@ -56,7 +56,7 @@ def _pointers(ticks: DataFrame, buckets: DataFrame, keys, width: int) -> DataFra
     seen = ticks.select(*k, "_b", c("_us").alias("pos"), c("_us").alias("open"), none.alias("src"), none.alias("src_b"))
     later = buckets.select(*k, "_b", c("next_lo").alias("pos"), c("next_lo").alias("open"), none.alias("src"), none.alias("src_b")).filter("pos IS NOT NULL")
     asks = ticks.select(*k, (c("_b") + 1).alias("_b"), (c("_us") + width).alias("pos"), none.alias("open"), c("_us").alias("src"), c("_b").alias("src_b"))
-    w = Window.partitionBy(*k, "_b").orderBy("pos").rangeBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*k, "_b").orderBy(c("pos").desc()).rangeBetween(Window.unboundedPreceding, 0)  # running, so each row is read once
     nxt = seen.unionByName(later).unionByName(asks).withColumn("x", F.min("open").over(w)).filter("src IS NOT NULL")
     lows = buckets.select(*[c(x).alias(f"_q_{x}") for x in keys], c("_b").alias("_q_b"), "lo")
     on = [c(x) == c(f"_q_{x}") for x in keys] + [c("src_b") == c("_q_b")]
