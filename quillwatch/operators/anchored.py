@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from quillwatch.functions.scalars import c, from_micros, micros
 from quillwatch.sources.shared import materialize
 
-FOLD_LIMIT = 200_000
+#: Instants of a run that are folded in one row; a list of openings is copied as it grows, so longer runs take the other way.
+FOLD_LIMIT = 20_000
 
 
 def _runs(ticks: DataFrame, keys, width: int) -> DataFrame:

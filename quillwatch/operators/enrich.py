@@ -16,9 +16,12 @@ def latest_by(df: DataFrame, keys, order) -> DataFrame:
 
 
 def with_assets(events: DataFrame, assets: DataFrame) -> DataFrame:
-    """Case-insensitive host lookup; tags appended once; a miss changes nothing."""
-    a = assets.select(F.lower("hostname").alias("_host"), c("asset_id"), c("tags").alias("_tags"), c("criticality").alias("asset_level"))
-    out = events.join(a, F.lower(events["hostname"]) == a["_host"], "left").drop("_host")
+    """Case-insensitive host lookup within the tenant; tags appended once; a miss changes nothing.
+
+    Hosts that differ in case only count once, the one of the smallest asset id."""
+    a = (assets.groupBy(c("tenant_id").alias("_tenant"), F.lower("hostname").alias("_host"))
+         .agg(F.min_by(F.struct("asset_id", c("tags").alias("_tags"), c("criticality").alias("asset_level")), "asset_id").alias("_a")).select("_tenant", "_host", "_a.*"))
+    out = events.join(a, (F.lower(events["hostname"]) == a["_host"]) & (events["tenant_id"] == a["_tenant"]), "left").drop("_host", "_tenant")
     return out.withColumn("asset_tags", F.array_union(F.coalesce("asset_tags", F.array().cast("array<string>")),
                                                       F.coalesce("_tags", F.array().cast("array<string>")))).drop("_tags")
 
@@ -45,8 +48,9 @@ def geo_lookup(ips: DataFrame, ip_col: str, ranges: DataFrame) -> DataFrame:
 
 
 def with_identity(events: DataFrame, users: DataFrame) -> DataFrame:
-    u = users.select(F.lower("login").alias("_login"), "canonical_user")
-    return events.join(u, F.lower(events["user_name"]) == u["_login"], "left").drop("_login").withColumn(
+    """Canonical user of a login within the tenant; of several the smallest."""
+    u = users.groupBy(c("tenant_id").alias("_tenant"), F.lower("login").alias("_login")).agg(F.min("canonical_user").alias("canonical_user"))
+    return events.join(u, (F.lower(events["user_name"]) == u["_login"]) & (events["tenant_id"] == u["_tenant"]), "left").drop("_login", "_tenant").withColumn(
         "canonical_user", F.coalesce("canonical_user", "user_name"))
 
 

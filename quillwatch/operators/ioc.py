@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import c
+from quillwatch.functions.scalars import c, true_only
 
 
 def url_normal(value) -> Column:
@@ -39,19 +39,30 @@ def indicator_set(feed: DataFrame) -> DataFrame:
             .groupBy("ioc_type", "value_norm").agg(F.min("source").alias("source"), F.min("severity").alias("severity")))
 
 
+def urls_of() -> Column:
+    """Addresses among the plain fields, in text order."""
+    return F.array_sort(F.map_values(F.map_filter("fields", lambda _, v: v.startswith("http://") | v.startswith("https://"))))
+
+
+def url_host(url) -> Column:
+    return F.regexp_replace(F.regexp_extract(url_normal(url), r"://([^/:]*)", 1), r"\.+$", "")
+
+
+FIXED = [("ip", "src_ip"), ("ip", "dst_ip"), ("sha256", "file_hash")]
+DOMAINS = 1000
+
+
 def candidates(events: DataFrame, with_domain: bool = False) -> DataFrame:
     """Narrow rows (event_id, pos, type, value) to look up, in order of precedence."""
     def entry(pos, kind, value):
-        return F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("ioc_type"), normal_value(F.lit(kind), value).alias("value_norm"))
-    fixed = F.array(entry(0, "ip", c("src_ip")), entry(1, "ip", c("dst_ip")), entry(2, "sha256", c("file_hash")))
-    urls = F.array_sort(F.map_values(F.map_filter("fields", lambda _, v: v.startswith("http://") | v.startswith("https://"))))
-    more = F.transform(urls, lambda u, i: F.struct((i + 3).alias("pos"), F.lit("url").alias("ioc_type"), url_normal(u).alias("value_norm")))
-    parts = [fixed, more]
+        return F.struct(pos.alias("pos"), F.lit(kind).alias("ioc_type"), value.alias("value_norm"))
+    urls = urls_of()
+    parts = [F.array(*[entry(F.lit(i), kind, normal_value(F.lit(kind), x)) for i, (kind, x) in enumerate(FIXED)]),
+             F.transform(urls, lambda u, i: entry(i + len(FIXED), "url", url_normal(u)))]
     if with_domain:
-        host = F.regexp_extract(url_normal(F.element_at(urls, 1)), r"://([^/:]*)", 1)
-        parts.append(F.when(F.size(urls) > 0, F.array(entry(1000, "domain", host))).otherwise(F.array().cast("array<struct<pos:int,ioc_type:string,value_norm:string>>")))
-    return (events.select("event_id", F.explode(F.concat(*parts)).alias("x")).select("event_id", "x.*")
-            .filter(c("value_norm").isNotNull()))
+        parts.append(F.transform(urls, lambda u, i: entry(i + DOMAINS, "domain", url_host(u))))
+    return (events.select("event_id", F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<struct<pos:int,ioc_type:string,value_norm:string>>")) for p in parts])).alias("x"))
+            .select("event_id", "x.*").filter(c("value_norm").isNotNull()))
 
 
 def hits(events: DataFrame, indicators: DataFrame, with_domain: bool = False) -> DataFrame:
@@ -67,14 +78,26 @@ def first_hits(events: DataFrame, indicators: DataFrame, with_domain: bool = Fal
 
 
 def flag(events: DataFrame, indicators: DataFrame, with_domain: bool = False) -> DataFrame:
-    """Events with ``ioc_hit`` and the winning indicator."""
-    return (events.join(first_hits(events, indicators, with_domain), "event_id", "left")
-            .withColumn("ioc_hit", c("ioc_type").isNotNull()))
+    """Events with ``ioc_hit`` and the winning indicator.
+
+    An event looks up its own columns, so the wide rows are not shuffled by event: Spark broadcasts each kind of indicator if
+    its statistics allow, else joins on the value. Only events with several addresses are looked up by narrow rows."""
+    d = events.withColumn("_urls", urls_of())
+    one, many = d.filter(~true_only(F.size("_urls") > 1)), d.filter(true_only(F.size("_urls") > 1)).drop("_urls")
+    url = F.get("_urls", F.lit(0))
+    keys = [(kind, normal_value(F.lit(kind), x)) for kind, x in FIXED] + [("url", url_normal(url))] + ([("domain", url_host(url))] if with_domain else [])
+    found = []
+    for i, (kind, key) in enumerate(keys):
+        side = indicators.filter(c("ioc_type") == kind).groupBy(c("value_norm").alias(f"_k{i}")).agg(F.min("source").alias(f"_s{i}"))
+        one = one.withColumn("_v", key).join(side, c("_v") == c(f"_k{i}"), "left").drop("_v")
+        found.append(F.when(c(f"_k{i}").isNotNull(), F.struct(F.lit(kind).alias("ioc_type"), c(f"_k{i}").alias("ioc_value"), c(f"_s{i}").alias("ioc_feed"))))
+    one = one.withColumn("_h", F.coalesce(*found)).select(*events.columns, "_h.*")
+    many = many.join(first_hits(many, indicators, with_domain), "event_id", "left").select(*events.columns, "ioc_type", "ioc_value", "ioc_feed")
+    return one.unionByName(many).withColumn("ioc_hit", c("ioc_type").isNotNull())
 
 
 def keep_hit(events: DataFrame, indicators: DataFrame, negate: bool = False) -> DataFrame:
-    ids = hits(events, indicators).select("event_id").distinct()
-    return events.join(ids, "event_id", "left_anti" if negate else "left_semi")
+    return flag(events, indicators).filter(~c("ioc_hit") if negate else c("ioc_hit")).select(*events.columns)
 
 
 def present_after(log: DataFrame, keys=("ioc_type", "value_norm"), top: int = 15) -> DataFrame:

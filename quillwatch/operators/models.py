@@ -1,53 +1,18 @@
-"""Batch scoring with an exported model."""
+"""Batch scoring with an exported linear model, in columns."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillwatch.functions.scalars import c
 
-MAX_MODEL_BYTES = 64 << 20
-
-
-def load_model(spark: SparkSession, path: str) -> bytes | None:
-    """The model file's bytes, or None when there is no such file. Files above the limit are refused,
-    since every executor gets a copy."""
-    from pyspark.errors import AnalysisException
-    try:
-        size = spark.read.format("binaryFile").load(path).select("length").first()
-    except AnalysisException:
-        return None
-    if size is None:
-        return None
-    if size[0] > MAX_MODEL_BYTES:
-        raise ValueError(f"model of {size[0]} bytes exceeds {MAX_MODEL_BYTES}")
-    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
-
-def score(spark: SparkSession, model: bytes | None, features) -> Column:
-    """First output of the model per row of an array column, clamped to 0–1; NULL without a model."""
-    if model is None:
+def score(weights: Column | list[float] | None, features) -> Column:
+    """Weighted sum of an array column, clamped to 0-1; NULL without a model or where the widths differ."""
+    if weights is None:
         return F.lit(None).cast("double")
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import onnxruntime
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = 1
-        session = onnxruntime.InferenceSession(shared.value, options, providers=["CPUExecutionProvider"])
-        name = session.get_inputs()[0].name
-        for batch in batches:
-            if len(batch) == 0:
-                yield pd.Series([], dtype="float64")
-                continue
-            x = np.stack(batch.to_numpy()).astype(np.float32)
-            y = np.asarray(session.run(None, {name: x})[0]).reshape(len(batch), -1)[:, 0]
-            yield pd.Series(np.clip(y.astype("float64"), 0.0, 1.0))
-
-    return run(c(features))
+    w = F.array(*[F.lit(float(x)) for x in weights]) if isinstance(weights, list) else weights
+    products = F.zip_with(c(features), w, lambda x, y: x.cast("double") * y)
+    total = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(c(features)) == F.size(w), F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))

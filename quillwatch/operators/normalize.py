@@ -102,8 +102,10 @@ def parse_timestamp(text, now) -> Column:
 # ---- small typed reads -----------------------------------------------------------
 
 def unsigned(text: Column, limit: int) -> Column:
-    n = F.when(text.rlike(r"^\+?[0-9]{1,18}$"), text.try_cast("bigint"))
-    return F.when(n <= limit, n)
+    """Whole number up to ``limit``, however many leading zeros it has."""
+    digits = F.regexp_extract(text, r"^\+?0*([0-9]{1,20})$", 1)
+    n = F.when(digits != "", digits.try_cast("decimal(20,0)"))
+    return F.when(n <= F.lit(limit).cast("decimal(20,0)"), n.cast("bigint"))
 
 
 PORT, U32, U64 = 65535, 4294967295, 9223372036854775807
@@ -399,31 +401,47 @@ def pretriage_severity(category="event_category", auth_result="auth_result") ->
             .when(true_only(c(category).isin("authentication", "process", "account")), "low").otherwise("info"))
 
 
-SHARED = ["ts_text", "syslog_ts", "event_type", "event_category", "severity", "src_ip", "dst_ip", "src_port", "dst_port", "hostname", "user_name", "process_name", "parse_error"]
+#: What a line can set, and the types; ``ts_text``, ``syslog_ts`` and ``parse_error`` are of the parsing itself.
+PARSED = {
+    "event_type": "string", "event_category": "string", "severity": "string", "hostname": "string", "user_name": "string", "user_domain": "string",
+    "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int", "protocol": "string", "bytes_in": "bigint", "bytes_out": "bigint",
+    "process_name": "string", "process_pid": "bigint", "process_ppid": "bigint", "process_path": "string", "process_cmdline": "string",
+    "file_path": "string", "file_name": "string", "file_hash": "string", "file_size": "bigint", "message": "string", "fields": "map<string,string>",
+}
+_OWN = {"ts_text": "string", "syslog_ts": "timestamp_ntz", "parse_error": "string"}
+KEPT_IF_SET = ["hostname", "user_name"]
 
 
 def normalize(lines: DataFrame, now: str) -> DataFrame:
     """All dialects in one scan: lines with tenant_id, source_type, raw, ts_received to events.
 
-    Each dialect sees NULL instead of the lines of the others, so its expressions fall through
-    cheaply, and its columns are packed into one struct of which the right one is kept.
+    Columns of ``PARSED`` (and ``ts``) that the lines bring along are kept where parsing gives nothing: rows of agents
+    pass through as they are. A host or user that is set already stays. Each dialect sees NULL instead of the lines of
+    the others, so its expressions fall through cheaply, and its columns are packed into one struct of which the right
+    one is kept.
     """
-    keep = list(lines.columns)
-    d = lines.withColumn("format", detect_format()).withColumn("_line", c("raw"))
+    prior = [x for x in PARSED if x in lines.columns]
+    keep = [x for x in lines.columns if x not in PARSED and x != "parse_error"]
+    given = F.struct(*[c(x).cast(PARSED[x]).alias(x) for x in prior], F.lit(None).alias("_none"))
+    d = lines.select(*keep, given.alias("_prior"), detect_format().alias("format"), c("raw").alias("_line"))
     dialects = [("cef", lambda x: cef_columns(x, now)), ("leef", lambda x: leef_columns(x, now)),
                 ("json", lambda x: json_columns(x, now)), ("collector_parsed", syslog_columns)]
     for name, build in dialects:
         base = d.columns
-        out = build(d.withColumn("raw", F.when(c("format") == name, c("_line"))).drop(*[x for x in SHARED if x in base]))
+        out = build(d.withColumn("raw", F.when(c("format") == name, c("_line"))))
         if name == "collector_parsed":
             out = out.withColumnRenamed("event_ts", "syslog_ts")
-        cells = [(c(x) if x in out.columns else F.lit(None)).cast(_SHARED_TYPES.get(x, "string")).alias(x) for x in SHARED]
-        d = out.select(*[x for x in base if x not in SHARED], F.struct(*cells).alias(f"_{name}"))
+        cells = [(c(x) if x in out.columns else F.lit(None)).cast(kind).alias(x) for x, kind in {**PARSED, **_OWN}.items()]
+        d = out.select(*base, F.struct(*cells).alias(f"_{name}"))
     picked = F.coalesce(*[F.when(c("format") == n, c(f"_{n}")) for n, _ in dialects])
-    out = d.withColumn("raw", c("_line")).withColumn("_one", picked).select(*keep, "format", "_one.*")
-    # One timestamp parser for all dialects: the text is chosen first.
-    return (out.withColumn("ts", F.coalesce("syslog_ts", parse_timestamp("ts_text", now), "ts_received")).drop("syslog_ts", "ts_text")
-            .withColumn("ingest_lag_ms", ingest_lag_ms()).withColumn("dedup_hash", fingerprint()))
+    out = d.withColumn("raw", c("_line")).withColumn("_one", picked)
 
+    def cell(x):
+        new, old = c(f"_one.{x}"), c(f"_prior.{x}") if x in prior else F.lit(None).cast(PARSED[x])
+        return (F.coalesce(F.nullif(old, F.lit("")), new) if x in KEPT_IF_SET else F.coalesce(new, old)).alias(x)
 
-_SHARED_TYPES = {"syslog_ts": "timestamp_ntz", "src_port": "int", "dst_port": "int"}
+    out = out.select(*keep, "format", *[cell(x) for x in PARSED], *[c(f"_one.{x}") for x in _OWN])
+    # One timestamp parser for all dialects: the text is chosen first.
+    known = [c("ts")] if "ts" in keep else []
+    return (out.withColumn("ts", F.coalesce("syslog_ts", parse_timestamp("ts_text", now), *known, "ts_received")).drop("syslog_ts", "ts_text")
+            .withColumn("ingest_lag_ms", ingest_lag_ms()).withColumn("dedup_hash", fingerprint()))

@@ -163,7 +163,13 @@ def condition_sql(text: str, names, prefix: str) -> str:
         return f"`{prefix}{word}`" if word in names else "false"
     if re.search(r"[^\w\s()*?]", text):
         raise RuleError(f"condition {text!r} is not a plain row condition")
-    return _CONDITION_TOKEN.sub(swap, text)
+    made = _CONDITION_TOKEN.sub(swap, text)
+    shape = re.sub(r"\s", "", re.sub(r"\bNOT\b", "!", re.sub(r"\b(AND|OR)\b", "&", re.sub(r"`[^`]*`|\bfalse\b", "x", made))))
+    while (shorter := re.sub(r"!x|\(x\)|x&x", "x", shape)) != shape:
+        shape = shorter
+    if shape != "x":  # Spark SQL would read words left over as a name for the column
+        raise RuleError(f"condition {text!r} is not one whole expression")
+    return made
 
 
 def rule_rank(rule):
@@ -190,6 +196,21 @@ def rule_column(i: int, rule) -> Column:
     return true_only(F.expr(condition_sql(str(rule["detection"]["condition"]), names, f"_r{i}_")))
 
 
+def usable(rules, columns) -> tuple[list, list[tuple[str, str]]]:
+    """Rules that can run, and (id, reason) of the others: one bad rule does not stop detection."""
+    good, bad = [], []
+    for rule in rules:
+        try:
+            for name, body in rule["detection"].items():
+                if name not in ("condition", "timeframe"):
+                    selection(body, columns)
+            rule_column(0, rule)
+            good.append(rule)
+        except (RuleError, KeyError, TypeError, AttributeError) as problem:
+            bad.append((str(rule.get("id")), str(problem).splitlines()[0]))
+    return good, bad
+
+
 def matching(df: DataFrame, rule) -> DataFrame:
     """Rows of ``df`` on which one rule fires."""
     return add_selections(df, [rule]).filter(rule_column(0, rule)).select(df.columns)
@@ -201,7 +222,7 @@ def stable(rules):
 
 def match_all(df: DataFrame, rules, stable_only: bool = True, logsource: bool = False) -> DataFrame:
     """Add ``rule_matches``: one struct per firing rule, most severe first, then by id."""
-    use = sorted(stable(rules) if stable_only else rules, key=rule_rank)
+    use = sorted(usable(stable(rules) if stable_only else rules, df.columns)[0], key=rule_rank)
     with_cols = add_selections(df, use)
     found = []
     for i, rule in enumerate(use):

@@ -23,15 +23,15 @@ def _seed_tags(e):
 
 
 @query("join_asset", """SELECT event_id, asset_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN tag_text IS NULL THEN 'db' WHEN tag_text = 'db,prod' THEN 'db,prod' ELSE 'db,' || tag_text END ELSE coalesce(tag_text, '') END AS tags
- FROM sec_events e LEFT JOIN sec_assets a ON lower(a.hostname) = lower(e.hostname)""")
+ FROM sec_events e LEFT JOIN sec_assets a ON a.tenant_id = e.tenant_id AND lower(a.hostname) = lower(e.hostname)""")
 def _(spark, d):
-    e = _seed_tags(v.sec_events(spark, d).select("event_id", "hostname"))
+    e = _seed_tags(v.sec_events(spark, d).select("event_id", "tenant_id", "hostname"))
     return enrich.with_assets(e, assets(spark, d)).select("event_id", "asset_id", F.array_join("asset_tags", ",").alias("tags"))
 
 
-@query("join_criticality", "SELECT event_id, coalesce(criticality, 'unknown') AS asset_criticality FROM sec_events e LEFT JOIN sec_assets a ON lower(a.hostname) = lower(e.hostname)")
+@query("join_criticality", "SELECT event_id, coalesce(criticality, 'unknown') AS asset_criticality FROM sec_events e LEFT JOIN sec_assets a ON a.tenant_id = e.tenant_id AND lower(a.hostname) = lower(e.hostname)")
 def _(spark, d):
-    e = _seed_tags(v.sec_events(spark, d).select("event_id", "hostname"))
+    e = _seed_tags(v.sec_events(spark, d).select("event_id", "tenant_id", "hostname"))
     return enrich.with_criticality(e, assets(spark, d)).select("event_id", "asset_criticality")
 
 
@@ -41,20 +41,20 @@ def _(spark, d):
     return enrich.geo_lookup(v.sec_events(spark, d).select("event_id", "dst_ip"), "dst_ip", v.geo_ranges(spark, d)).select("event_id", "country", "city")
 
 
-@query("join_user_identity", "SELECT event_id, coalesce(c_name, user_name) AS canonical_user FROM sec_events LEFT JOIN customer ON 'user' || c_custkey = user_name AND c_custkey % 3 <> 0")
+@query("join_user_identity", "SELECT event_id, coalesce(c_name, user_name) AS canonical_user FROM sec_events LEFT JOIN customer ON 'user' || c_custkey = user_name AND 'tenant-' || (c_custkey % 2) = tenant_id")
 def _(spark, d):
-    users = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.concat(F.lit("USER"), txt("c_custkey")).alias("login"), c("c_name").alias("canonical_user"))
-    return enrich.with_identity(v.sec_events(spark, d).select("event_id", "user_name"), users).select("event_id", "canonical_user")
+    users = table(spark, d, "customer").select(F.concat(F.lit("tenant-"), txt(c("c_custkey") % 2)).alias("tenant_id"), F.concat(F.lit("USER"), txt("c_custkey")).alias("login"), c("c_name").alias("canonical_user"))
+    return enrich.with_identity(v.sec_events(spark, d).select("event_id", "tenant_id", "user_name"), users).select("event_id", "canonical_user")
 
 
-@query("join_asset_activity", """SELECT hostname, event_id, ts FROM (SELECT e.hostname, e.event_id, e.ts, row_number() OVER (PARTITION BY e.hostname ORDER BY e.ts DESC, e.event_id DESC) AS rn
- FROM sec_events e JOIN sec_assets a ON lower(a.hostname) = lower(e.hostname)) WHERE rn <= 20""")
+@query("join_asset_activity", """SELECT tenant_id, hostname, event_id, ts FROM (SELECT e.tenant_id, e.hostname, e.event_id, e.ts, row_number() OVER (PARTITION BY e.tenant_id, e.hostname ORDER BY e.ts DESC, e.event_id DESC) AS rn
+ FROM sec_events e JOIN sec_assets a ON a.tenant_id = e.tenant_id AND lower(a.hostname) = lower(e.hostname)) WHERE rn <= 20""")
 def _(spark, d):
     from pyspark.sql import Window
-    e = v.sec_events(spark, d).select("hostname", "event_id", "ts")
-    known = assets(spark, d).select(F.lower("hostname").alias("_h"))
-    w = Window.partitionBy("hostname").orderBy(c("ts").desc(), c("event_id").desc())
-    return e.join(known, F.lower("hostname") == c("_h"), "left_semi").withColumn("rn", F.row_number().over(w)).filter("rn <= 20").drop("rn")
+    e = v.sec_events(spark, d).select("tenant_id", "hostname", "event_id", "ts")
+    known = assets(spark, d).select(c("tenant_id").alias("_t"), F.lower("hostname").alias("_h"))
+    w = Window.partitionBy("tenant_id", "hostname").orderBy(c("ts").desc(), c("event_id").desc())
+    return e.join(known, (F.lower("hostname") == c("_h")) & (c("tenant_id") == c("_t")), "left_semi").withColumn("rn", F.row_number().over(w)).filter("rn <= 20").drop("rn")
 
 
 @query("join_sequence", SEQ_SQL.format("process_create", "network_connect", "2 HOUR"))
@@ -307,8 +307,6 @@ def _(spark, d):
 @query("score_model_batch", "SELECT vec_id, round(greatest(0.0, least(1.0, list_sum(embedding::DOUBLE[]))), 3) AS score, CAST(NULL AS DOUBLE) AS score_without_model FROM embeddings")
 def _(spark, d):
     from quillwatch.operators import models
-    from quillwatch.plans.model_fixture import weighted_sum
     e = table(spark, d, "embeddings")
-    width = e.select(F.size("embedding")).first()[0]
-    missing = models.load_model(spark, f"{d}/no-such-model.onnx")
-    return e.select("vec_id", F.round(models.score(spark, weighted_sum([1.0] * width), "embedding"), 3).alias("score"), models.score(spark, missing, "embedding").alias("score_without_model"))
+    ones = F.array_repeat(F.lit(1.0), F.size("embedding"))
+    return e.select("vec_id", F.round(models.score(ones, "embedding"), 3).alias("score"), models.score(None, "embedding").alias("score_without_model"))

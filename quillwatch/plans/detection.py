@@ -339,6 +339,13 @@ def _(spark, d):
         F.count("*").alias("alerts"), F.sum("event_count").alias("events"), F.max("max_risk").alias("top_risk"))
 
 
+@query("pipeline_raw_to_alerts", f"SELECT {SEV_OF.format('max_risk')} AS severity, count(*) AS alerts, CAST(sum(event_count) AS BIGINT) AS events, max(max_risk) AS top_risk FROM norm_alert_win GROUP BY 1")
+def _(spark, d):
+    w = alerts.windows(alerts.evidence(v.raw_candidates(spark, d)))
+    return w.groupBy(severity_from_score("max_risk").alias("severity")).agg(
+        F.count("*").alias("alerts"), F.sum("event_count").alias("events"), F.max("max_risk").alias("top_risk"))
+
+
 @query("alert_list", "SELECT alert_id, tenant_id, created_at, severity FROM alerts_life WHERE tenant_id = 'tenant-1' ORDER BY created_at DESC, alert_id DESC LIMIT 1000 OFFSET 20")
 def _(spark, d):
     return flt.page(flt.for_tenant(v.alerts_life(spark, d), "tenant-1"), 5000, 20, "created_at", "alert_id", flt.MAX_ALERT_LIMIT).select("alert_id", "tenant_id", "created_at", "severity")

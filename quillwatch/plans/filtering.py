@@ -70,9 +70,9 @@ def _(spark, d):
     return flt.latest(flt.alert_status(v.alerts_life(spark, d), "open", "high"), 100, "created_at", "alert_id").select("alert_id", "created_at")
 
 
-@query("flt_asset_attrs", "SELECT hostname, asset_id FROM sec_assets WHERE os_name = 'linux' AND agent_active")
+@query("flt_asset_attrs", "SELECT tenant_id, hostname, asset_id FROM sec_assets WHERE os_name = 'linux' AND agent_active")
 def _(spark, d):
-    return flt.asset_attrs(v.sec_assets(spark, d), os_name="linux", agent_active=True).select("hostname", "asset_id")
+    return flt.asset_attrs(v.sec_assets(spark, d), os_name="linux", agent_active=True).select("tenant_id", "hostname", "asset_id")
 
 
 @query("ord_events_latest", "SELECT event_id, tenant_id, ts, event_type FROM sec_events WHERE tenant_id = 'tenant-0' ORDER BY ts DESC, event_id DESC LIMIT 100")

@@ -227,7 +227,10 @@ def _(spark, d):
     return v.sec_events(spark, d).select("event_id", nz.pretriage_severity().alias("severity"))
 
 
-@query("norm_pipeline", f"""SELECT event_id, {FMT} AS format, CASE WHEN source_type = 'linux_ebpf' OR fmt = 9 THEN NULL WHEN fmt IN (3, 4) THEN 'other' ELSE event_category END AS event_category,
- CASE WHEN source_type = 'linux_ebpf' OR fmt IN (3, 4, 9) THEN NULL ELSE src_ip END AS src_ip, CASE WHEN source_type = 'linux_ebpf' OR fmt = 9 THEN ts_received WHEN fmt = 0 THEN {MS_TS} ELSE {SEC_TS} END AS ts FROM sec_events""")
+@query("norm_pipeline", f"""SELECT event_id, CASE WHEN source_type = 'linux_ebpf' THEN 'agent' WHEN fmt IN (0, 9) THEN 'cef' WHEN fmt = 1 THEN 'leef' WHEN fmt = 2 THEN 'json' ELSE 'collector_parsed' END AS format,
+ n.event_type, n.event_category, n.hostname, n.user_name, n.src_ip, n.dst_ip, n.src_port, n.dst_port, n.protocol, n.bytes_out, n.process_name, n.process_pid, n.process_cmdline, n.file_hash,
+ CAST(n.k AS VARCHAR) AS k, n.f_url AS url, n.ts FROM norm_events n JOIN (SELECT event_id, fmt FROM sec_events) USING (event_id)""")
 def _(spark, d):
-    return v.normalized(spark, d).select("event_id", "format", "event_category", "src_ip", "ts")
+    at = lambda x: F.try_element_at("fields", F.lit(x)).alias(x)
+    return v.normalized(spark, d).select("event_id", "format", "event_type", "event_category", "hostname", "user_name", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes_out",
+                                         "process_name", "process_pid", "process_cmdline", "file_hash", at("k"), at("url"), "ts")

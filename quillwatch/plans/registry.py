@@ -6,7 +6,7 @@ import re
 
 from quillwatch.plans.view_sql import VIEWS
 
-RECURSIVE = {"win_open"}
+RECURSIVE = {"win_open", "norm_win_open"}
 QUERIES: dict = {}
 SQL: dict = {}
 

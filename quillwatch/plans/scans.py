@@ -172,8 +172,11 @@ def _(spark, d):
     return cat.select("p_partkey", "idx", F.when(ok, c("title")).alias("title"), F.when(ok, c("level")).alias("level"), (~ok).alias("failed"))
 
 
-@query("sink_evidence_export", """SELECT 'audit' AS kind, day, n, sha256(n || ':' || total) AS digest FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n,
- CAST(sum(CAST('0x' || substr(md5('{"event_id":' || event_id || ',"actor_id":"' || actor_id || '","action":"' || action || '"}'), 1, 12) AS BIGINT)) AS VARCHAR) AS total FROM audit_log GROUP BY 1)""")
+_LANES = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query("sink_evidence_export", f"""SELECT 'audit' AS kind, day, n, sha256(n || ':' || total) AS digest FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n, {_LANES} AS total
+ FROM (SELECT ts, sha256('{{"event_id":' || event_id || ',"actor_id":"' || actor_id || '","action":"' || action || '"}}') AS h FROM audit_log) GROUP BY 1)""")
 def _(spark, d):
     log = v.sec_events(spark, d).select("event_id", c("user_name").alias("actor_id"), c("event_type").alias("action"), F.to_date("ts").alias("day"))
     path = new_folder(spark, "evidence")

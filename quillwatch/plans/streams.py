@@ -1,5 +1,7 @@
 """Streaming queries: each feeds the event store in time order, runs to the end and returns what was written."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from quillwatch.functions.scalars import c, from_micros
@@ -10,17 +12,28 @@ from quillwatch.sources.shared import new_folder
 from quillwatch.streaming import jobs
 
 _FEEDS: dict = {}
-STEPS = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
 DELAY = "11 days"
 
 
+def deliveries(df):
+    """The rows in three parts by thirds of the days they span, oldest first, each with the day that ends it; the outer parts are open and rows without a time come last."""
+    day = lambda agg: F.to_date(agg("ts"))
+    lo, hi = df.select(day(F.min).alias("lo"), day(F.max).alias("hi")).first()  # two dates
+    if lo is None:
+        return [(df, None)]
+    cuts = [lo + dt.timedelta(days=((hi - lo).days + 1) * i // 3) for i in (1, 2)]
+    at = lambda x: F.lit(f"{x} 00:00:00").cast("timestamp_ntz")
+    first, second = (F.coalesce(c("ts") < at(x), F.lit(False)) for x in cuts)
+    return [(df.filter(first), cuts[0]), (df.filter(~first & second), cuts[1]), (df.filter(~second), hi + dt.timedelta(days=1))]
+
+
 def feed(spark, d, name, df):
     """A stream over a folder that received the rows in three deliveries, oldest first."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _FEEDS:
         path = new_folder(spark, f"feed-{name}")
-        for a, b in zip(STEPS, STEPS[1:]):
-            df.filter((c("ts") >= F.lit(a).cast("timestamp_ntz")) & (c("ts") < F.lit(b).cast("timestamp_ntz"))).write.mode("append").parquet(path)
+        for part, _ in deliveries(df):
+            part.write.mode("append").parquet(path)
         _FEEDS[key] = (path, df.schema)
     path, schema = _FEEDS[key]
     return jobs.read_folder(spark, path, schema, 8)
@@ -42,6 +55,16 @@ def upserted(spark, df, keys):
     return jobs.latest_of(spark, out, keys)
 
 
+def delivered(spark, name, parts, job):
+    """One run of a job with state per delivery, each a single trigger; the state survives between runs in the checkpoint."""
+    path, out, checkpoint = (new_folder(spark, f"{kind}-{name}") for kind in ("feed", "stream-out", "stream-checkpoint"))
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        df = job(jobs.read_folder(spark, path, part.schema))
+        jobs.run_available(df, out, checkpoint)
+    return spark.read.schema(df.schema).parquet(out)
+
+
 def batched(spark, df, make):
     """Run a foreachBatch job writing below one folder and read the folder back."""
     out = new_folder(spark, "stream-out")
@@ -111,51 +134,39 @@ def _(spark, d):
     return appended(spark, jobs.follow(e.filter("event_type = 'auth_failure'"), event_feed(spark, d).filter("event_type = 'auth_success'"), DELAY, "3 HOURS"))
 
 
-@query("st_late_data", "SELECT event_id, event_id % 200 = 0 AND ts >= '2024-01-21' AS late FROM sec_events")
+@query("st_late_data", """SELECT event_id, event_id % 200 = 0 AND ts >= (SELECT CAST(min(ts) AS DATE) + CAST((CAST(max(ts) AS DATE) - CAST(min(ts) AS DATE) + 1) * 2 // 3 AS INTEGER) FROM sec_events) AS late FROM sec_events""")
 def _(spark, d):
     e = v.sec_events(spark, d).select("event_id", "ts")
-    old = F.when((c("event_id") % 200 == 0) & (c("ts") >= F.lit("2024-01-21").cast("timestamp_ntz")), True).otherwise(False)
+    parts = deliveries(e)
     path, tops = new_folder(spark, "feed-late"), []
     out, late = new_folder(spark, "on-time"), new_folder(spark, "late")
-    for a, b in zip(STEPS, STEPS[1:]):
-        part = e.filter((c("ts") >= F.lit(a).cast("timestamp_ntz")) & (c("ts") < F.lit(b).cast("timestamp_ntz")))
-        part.withColumn("ts", F.when(old, F.lit("2023-12-01").cast("timestamp_ntz")).otherwise(c("ts"))).write.mode("append").parquet(path)
-        each = jobs.late_rows(f"{out}/{a}", f"{late}/{a}", 11 * 86400, lambda: tops[-1] if tops else None)
+    for i, (part, end) in enumerate(parts):
+        old = F.lit(i == 2) & (c("event_id") % 200 == 0)
+        part.withColumn("ts", F.when(old, c("ts") - F.expr("INTERVAL 60 DAYS")).otherwise(c("ts"))).write.mode("append").parquet(path)
+        each = jobs.late_rows(f"{out}/{i}", f"{late}/{i}", 11 * 86400, lambda: tops[-1] if tops else None)
         jobs.run_batches(jobs.read_folder(spark, path, e.schema), each, f"{path}-checkpoint", "append")
-        tops.append(b)
+        tops.append(str(end) if end else None)
     rd = lambda p, flag: spark.read.option("recursiveFileLookup", "true").schema(e.schema).parquet(p).select("event_id", F.lit(flag).alias("late"))
     return rd(out, False).unionByName(rd(late, True))
 
 
-@query("alert_windows_stream", """WITH o AS (SELECT tenant_id, 'r' AS rule_id, tenant_id AS entity, min(ts) AS w FROM sec_events WHERE event_type = 'auth_failure' GROUP BY 1, 2, 3 UNION ALL
-  SELECT o.tenant_id, o.rule_id, o.entity, min(e.ts) FROM o JOIN sec_events e ON e.event_type = 'auth_failure' AND e.tenant_id = o.tenant_id AND e.ts >= o.w + INTERVAL 2 HOUR GROUP BY 1, 2, 3)
- SELECT o.tenant_id, o.w AS first_seen, max(e.ts) AS last_seen, count(*) AS event_count, max(e.sev_rank) AS risk_score FROM o JOIN sec_events e ON e.event_type = 'auth_failure' AND e.tenant_id = o.tenant_id AND e.ts >= o.w AND e.ts < o.w + INTERVAL 2 HOUR
- GROUP BY 1, 2""")
+@query("alert_windows_stream", """WITH f AS (SELECT tenant_id, coalesce(hostname, src_ip) AS entity, ts, sev_rank FROM sec_events WHERE event_type = 'auth_failure'),
+ o AS (SELECT tenant_id, entity, min(ts) AS w FROM f GROUP BY 1, 2 UNION ALL
+  SELECT o.tenant_id, o.entity, min(f.ts) FROM o JOIN f ON f.tenant_id = o.tenant_id AND f.entity = o.entity AND f.ts >= o.w + INTERVAL 48 HOUR GROUP BY 1, 2)
+ SELECT o.tenant_id, o.entity, o.w AS first_seen, max(f.ts) AS last_seen, count(*) AS event_count, max(f.sev_rank) AS risk_score
+ FROM o JOIN f ON f.tenant_id = o.tenant_id AND f.entity = o.entity AND f.ts >= o.w AND f.ts < o.w + INTERVAL 48 HOUR GROUP BY 1, 2, 3""")
 def _(spark, d):
-    e = v.sec_events(spark, d).filter("event_type = 'auth_failure'").select("tenant_id", F.lit("r").alias("rule_id"), c("tenant_id").alias("entity"), "ts", c("sev_rank").alias("risk_score"))
-    end = e.groupBy("tenant_id", "rule_id", "entity").agg((F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(-1).alias("risk_score"))
-    stream = feed_with_end(spark, d, e, end.select(e.columns))
-    w = appended(spark, jobs.alert_windows(stream, "1 second", 2 * 3600 * 1_000_000)).filter("risk_score >= 0")
-    return w.select("tenant_id", from_micros("first_us").alias("first_seen"), from_micros("last_us").alias("last_seen"), "event_count", "risk_score")
-
-
-def feed_with_end(spark, d, df, end):
-    """Day-ordered deliveries and a closing marker per key that pushes the watermark past every window."""
-    path = new_folder(spark, "feed-alerts")
-    for a, b in zip(STEPS, STEPS[1:]):
-        df.filter((c("ts") >= F.lit(a).cast("timestamp_ntz")) & (c("ts") < F.lit(b).cast("timestamp_ntz"))).repartition(1).write.mode("append").parquet(path)
-    end.write.mode("append").parquet(path)
-    return jobs.read_folder(spark, path, df.schema, 1)
+    e = v.sec_events(spark, d).filter("event_type = 'auth_failure'").select("tenant_id", F.lit("r").alias("rule_id"), F.coalesce("hostname", "src_ip").alias("entity"), "ts", c("sev_rank").alias("risk_score"))
+    end = e.groupBy("tenant_id", "rule_id", "entity").agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts"), F.lit(-1).alias("risk_score"))
+    # A closing marker per key, a delivery of its own, pushes the watermark past every window.
+    w = delivered(spark, "alerts", [part for part, _ in deliveries(e)] + [end.select(e.columns)], lambda s: jobs.alert_windows(s, "1 second", 48 * 3600 * 1_000_000)).filter("risk_score >= 0")
+    return w.select("tenant_id", "entity", from_micros("first_us").alias("first_seen"), from_micros("last_us").alias("last_seen"), "event_count", "risk_score")
 
 
-@query("st_brute_force_stream", """WITH a AS (SELECT tenant_id, user_name, ts, event_type = 'auth_failure' AS f, sum(CASE WHEN event_type = 'auth_failure' THEN 0 ELSE 1 END) OVER (PARTITION BY user_name ORDER BY ts, event_id) AS seg FROM sec_events
+@query("st_brute_force_stream", """WITH a AS (SELECT event_id, tenant_id, user_name, ts, event_type = 'auth_failure' AS f, sum(CASE WHEN event_type = 'auth_failure' THEN 0 ELSE 1 END) OVER (PARTITION BY tenant_id, user_name ORDER BY ts, event_id) AS seg FROM sec_events
   WHERE event_type IN ('auth_failure', 'auth_success'))
- SELECT tenant_id, user_name, ts, CAST(n AS INT) AS failures, ts + INTERVAL 15 MINUTE AS locked_until FROM (SELECT *, row_number() OVER (PARTITION BY user_name, seg ORDER BY ts) AS n FROM a WHERE f) WHERE n >= 3""")
+ SELECT tenant_id, user_name, ts, CAST(n AS INT) AS failures, ts + INTERVAL 15 MINUTE AS locked_until FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, user_name, seg ORDER BY ts, event_id) AS n FROM a WHERE f) WHERE n >= 3""")
 def _(spark, d):
-    e = v.sec_events(spark, d).filter("event_type IN ('auth_failure', 'auth_success')").select("tenant_id", "user_name", "ts", "event_type")
-    path = new_folder(spark, "feed-auth")
-    checkpoint, out = new_folder(spark, "stream-checkpoint"), new_folder(spark, "stream-out")
-    for a, b in zip(STEPS, STEPS[1:]):  # one delivery per run: the counter survives between runs in the checkpoint
-        e.filter((c("ts") >= F.lit(a).cast("timestamp_ntz")) & (c("ts") < F.lit(b).cast("timestamp_ntz"))).write.mode("append").parquet(path)
-        jobs.run_available(jobs.lockouts(jobs.read_folder(spark, path, e.schema), 3, 900), out, checkpoint)
-    return spark.read.parquet(out).select("tenant_id", "user_name", from_micros("us").alias("ts"), "failures", from_micros("locked_until_us").alias("locked_until"))
+    e = v.sec_events(spark, d).filter("event_type IN ('auth_failure', 'auth_success')").select("event_id", "tenant_id", "user_name", "ts", "event_type")
+    locks = delivered(spark, "auth", [part for part, _ in deliveries(e)], lambda s: jobs.lockouts(s, 3, 900))
+    return locks.select("tenant_id", "user_name", from_micros("us").alias("ts"), "failures", from_micros("locked_until_us").alias("locked_until"))

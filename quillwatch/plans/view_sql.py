@@ -1,5 +1,7 @@
 """The derived views as SQL text, for the comparison statements."""
 
+import re
+
 from quillwatch.plans import view_text as V
 
 
@@ -19,7 +21,7 @@ VIEWS = {
   epoch_us(ts) // 1000 AS epoch_ms, chr(9) AS tab
 FROM ev_base""",
     "sec_events": f"SELECT * EXCLUDE (etype), etype AS event_type, {V.RAW} AS raw FROM ev_cols",
-    "sec_assets": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY seen_order) AS rn
+    "sec_assets": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, hostname ORDER BY seen_order) AS rn
   FROM (SELECT {_cols(V.ASSET_COLUMNS)} FROM supplier)) WHERE rn = 1""",
     "geo_ranges": """SELECT 3325256704 + n_nationkey * 4 AS ip_from, 3325256704 + n_nationkey * 4 + 3 AS ip_to,
   substr(n_name, 1, 2) AS country, n_name AS city FROM nation""",
@@ -44,8 +46,23 @@ FROM ev_base""",
 }
 
 # ---- detection views ---------------------------------------------------------
-from quillwatch.operators.rules import _tags, rule_rank, stable  # noqa: E402
-from quillwatch.plans.rule_set import RULES, SQL_PREDICATES  # noqa: E402
+from quillwatch.plans.rule_set import SQL_PREDICATES  # noqa: E402
+
+# The stable rules in their order: id, title, level, first tactic, first technique.
+RULE_ROWS = [
+    ("r05", "High counter", "critical", "Exfiltration", "T1041"),
+    ("r01", "Encoded shell", "high", "Execution", "T1059.001"),
+    ("r10", "List of maps", "high", "Impact", None),
+    ("r02", "Failed login to ssh", "medium", "Credential Access", "T1110"),
+    ("r04", "Outbound to watched range", "medium", "Command and Control", "T1071"),
+    ("r07", "Any of several", "medium", "Discovery", "T1083"),
+    ("r09", "Missing process", "medium", "Persistence", None),
+    ("r03", "No command line", "low", "Defense Evasion", None),
+    ("r06", "Host wildcard", "low", "Lateral Movement", None),
+    ("r11", "Grouped conditions", "low", "Collection", None),
+    ("r08", "Keyword in raw", "info", None, None),
+    ("r12", "All exact", "info", None, None),
+]
 
 SCORES = "CASE level WHEN 'critical' THEN 90 WHEN 'high' THEN 70 WHEN 'medium' THEN 50 WHEN 'low' THEN 30 ELSE 10 END"
 SEV_OF = "CASE WHEN {0} >= 80 THEN 'critical' WHEN {0} >= 60 THEN 'high' WHEN {0} >= 40 THEN 'medium' WHEN {0} >= 20 THEN 'low' ELSE 'info' END"
@@ -55,12 +72,8 @@ def _lit(x):
     return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
 
 
-_rows = []
-for _i, _r in enumerate(sorted(stable(RULES), key=rule_rank)):
-    _tac, _tech = _tags(_r)
-    _rows.append(f"SELECT event_id, {_i} AS pos, {_lit(_r['id'])} AS rule_id, {_lit(_r['title'])} AS title, {_lit(_r['level'])} AS level, "
-                 f"CAST({_lit(_tac[0] if _tac else None)} AS VARCHAR) AS tactic, CAST({_lit(_tech[0] if _tech else None)} AS VARCHAR) AS technique "
-                 f"FROM sec_events WHERE {SQL_PREDICATES[_r['id']]}")
+_rows = [f"SELECT event_id, {i} AS pos, {_lit(key)} AS rule_id, {_lit(title)} AS title, {_lit(level)} AS level, CAST({_lit(tactic)} AS VARCHAR) AS tactic, "
+         f"CAST({_lit(technique)} AS VARCHAR) AS technique FROM sec_events WHERE {SQL_PREDICATES[key]}" for i, (key, title, level, tactic, technique) in enumerate(RULE_ROWS)]
 VIEWS["rule_hits"] = "\n UNION ALL ".join(_rows)
 VIEWS["ioc_cand"] = """SELECT event_id, 0 AS pos, 'ip' AS ioc_type, src_ip AS value_norm FROM sec_events
  UNION ALL SELECT event_id, 1, 'ip', dst_ip FROM sec_events UNION ALL SELECT event_id, 2, 'sha256', lower(file_hash) FROM sec_events
@@ -82,3 +95,29 @@ VIEWS["ev_win"] = """SELECT c.*, w.opening FROM cand c JOIN win_open w ON c.tena
 VIEWS["alert_win"] = """SELECT tenant_id, rule_key AS rule_id, entity, opening AS window_start, count(*) AS event_count, min(ts) AS first_seen, max(ts) AS last_seen, max(risk_score) AS max_risk,
  arg_min(struct_pack(hostname := hostname, user_name := user_name, src_ip := src_ip, dst_ip := dst_ip, rule_name := rule_name, tactic := tactic, technique := technique,
   ioc_hit := ioc_hit, n_rules := n_rules, exfil := exfil, risk_severity := risk_severity, anomaly_score := anomaly_score), (ts, event_id)) AS f FROM ev_win GROUP BY ALL"""
+
+# ---- the same over what the raw lines carry ---------------------------------------
+_SAN = "lower(replace(replace(product, ' ', '_'), '-', '_'))"
+_AGENT = "source_type = 'linux_ebpf'"
+
+
+def _carried(column, fmts, kind="VARCHAR", value=None):
+    """A column as agents deliver it and as lines of the named formats carry it."""
+    return f"CAST(CASE WHEN {_AGENT} THEN {column} WHEN fmt IN ({fmts}) THEN {value or column} END AS {kind}) AS {column}"
+
+
+VIEWS["norm_events"] = f"""SELECT n.*, coalesce(a.criticality, 'unknown') AS asset_criticality FROM (SELECT event_id, tenant_id, source_type, ts_received, raw,
+ CASE WHEN {_AGENT} THEN ts WHEN fmt = 9 THEN ts_received WHEN fmt = 0 THEN make_timestamp(epoch_ms * 1000) ELSE date_trunc('second', ts) END AS ts,
+ CASE WHEN {_AGENT} THEN event_type WHEN fmt = 0 THEN {_SAN} || '_' || event_type || '_' || (event_id % 7) WHEN fmt = 1 THEN {_SAN} || '_leef_' || event_type
+  WHEN fmt = 2 THEN event_type WHEN fmt IN (3, 4) THEN 'syslog_message' END AS event_type,
+ CASE WHEN {_AGENT} THEN event_category WHEN fmt IN (3, 4) THEN 'other' WHEN fmt <> 9 THEN event_category END AS event_category,
+ CASE WHEN {_AGENT} OR fmt IN (0, 1, 2, 3) THEN hostname WHEN fmt = 4 THEN coalesce(hostname, '-') END AS hostname,
+ CASE WHEN {_AGENT} OR fmt IN (0, 3) THEN process_name WHEN fmt = 4 THEN coalesce(process_name, 'cron') END AS process_name,
+ CASE WHEN NOT ({_AGENT}) AND fmt IN (0, 2) THEN event_id % 5000 END AS process_pid,
+ {_carried('user_name', '0, 1, 2')}, {_carried('src_ip', '0, 1, 2')}, {_carried('dst_ip', '0, 1, 2')}, {_carried('src_port', '0, 1, 2', 'INT')}, {_carried('dst_port', '0, 1, 2', 'INT')},
+ {_carried('protocol', '0, 1, 2', value="'tcp'")}, {_carried('bytes_out', '0, 2', 'BIGINT')}, {_carried('process_cmdline', '2')}, {_carried('k', '0, 2', 'INT')},
+ CASE WHEN {_AGENT} THEN file_hash END AS file_hash, CASE WHEN {_AGENT} THEN f_url END AS f_url FROM sec_events) n
+ LEFT JOIN sec_assets a ON a.tenant_id = n.tenant_id AND lower(a.hostname) = lower(n.hostname)"""
+_CHAIN = ["rule_hits", "ioc_cand", "ioc_hit_rows", "scored", "cand", "win_open", "ev_win", "alert_win"]
+for _name in _CHAIN:
+    VIEWS[f"norm_{_name}"] = re.sub(rf"\b(?:{'|'.join(_CHAIN)}|sec_events)\b", lambda m: "norm_events" if m[0] == "sec_events" else f"norm_{m[0]}", VIEWS[_name])

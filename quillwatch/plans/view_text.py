@@ -69,6 +69,7 @@ RAW = f"""CASE fmt
  ELSE 'CEF:0|broken|line ' || {s('event_id')} END"""
 
 ASSET_COLUMNS = [
+    ("tenant_id", f"'tenant-' || {s('s_nationkey % 3')}"),
     ("hostname", f"'HOST-' || {s('s_suppkey % 30')}"),
     ("asset_id", f"'asset-' || {s('s_suppkey')}"),
     ("criticality", "CASE s_nationkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'unknown' END"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwatch.operators import alerts, ioc, normalize, risk, rules, split
+from quillwatch.operators import alerts, enrich, ioc, normalize, risk, rules, split
 from quillwatch.plans import view_text as V
 from quillwatch.plans.rule_set import RULES
 from quillwatch.sources.events import stored
@@ -54,8 +54,9 @@ def derive_events(spark: SparkSession, d: str) -> DataFrame:
 
 def sec_assets(spark, d) -> DataFrame:
     a = _derive(table(spark, d, "supplier"), V.ASSET_COLUMNS, [])
-    first = F.min_by(F.struct(*[x for x in a.columns if x != "hostname"]), "seen_order").alias("x")
-    return a.groupBy("hostname").agg(first).select("hostname", "x.*")
+    keys = ["tenant_id", "hostname"]
+    first = F.min_by(F.struct(*[x for x in a.columns if x not in keys]), "seen_order").alias("x")
+    return a.groupBy(*keys).agg(first).select(*keys, "x.*")
 
 
 def geo_ranges(spark, d) -> DataFrame:
@@ -120,11 +121,16 @@ def agent_batches(spark, d) -> DataFrame:
         F.when(e % 17 == 0, e - 100).otherwise(e).alias("sequence"), (1 + e % 9).alias("n_events"))
 
 
+AGENT_COLUMNS = ["ts", "event_type", "event_category", "severity", "hostname", "user_name", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes_out",
+                 "process_name", "process_cmdline", "file_hash", "fields"]
+
+
 def normalized(spark, d) -> DataFrame:
-    """The enriched table: every raw line normalised in one pass and written out."""
+    """The enriched table: every raw line normalised in one pass and written out. Agents deliver columns, all others only a line."""
     key = (spark.sparkContext.applicationId, d, "normalized")
     if key not in _STORES:
-        lines = sec_events(spark, d).select("event_id", "tenant_id", "source_type", "raw", "ts_received")
+        agent = F.col("source_type").isin(normalize.AGENT_SOURCES)
+        lines = sec_events(spark, d).select("event_id", "tenant_id", "source_type", "raw", "ts_received", *[F.when(agent, F.col(x)).alias(x) for x in AGENT_COLUMNS])
         _STORES[key] = stored(normalize.normalize(lines, NOW), "enriched")
     return _STORES[key]
 
@@ -149,6 +155,14 @@ def find_candidates(spark, d) -> DataFrame:
     return materialize(alerts.with_key(risk.candidates(detected(spark, d)).select(CANDIDATE_COLUMNS)), "candidates")
 
 
+def raw_candidates(spark, d) -> DataFrame:
+    """Raw lines to candidates: normalised, assets of the tenant, indicators, rules, risk. Nothing but agent columns and lines is read."""
+    e = enrich.with_criticality(normalized(spark, d).withColumn("asset_tags", F.array().cast("array<string>")), sec_assets(spark, d).withColumn("tags", F.split("tag_text", ",")))
+    e = e.withColumns({"anomaly_score": F.try_element_at("fields", F.lit("k")).try_cast("double") / 100, "ueba_score": (F.col("event_id") % 100) / F.lit(100.0)})
+    scored = risk.score_events(rules.match_all(ioc.flag(e, ioc_set(spark, d)), RULES))
+    return materialize(alerts.with_key(risk.candidates(scored).select(CANDIDATE_COLUMNS)), "candidates")
+
+
 def candidates(spark, d) -> DataFrame:
     key = (spark.sparkContext.applicationId, d, "candidates")
     if key not in _STORES:

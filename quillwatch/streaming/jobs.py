@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,15 +139,30 @@ ALERT_OUT = "tenant_id string, rule_id string, entity string, first_us bigint, l
 ALERT_STATE = "first_us bigint, last_us bigint, event_count bigint, risk_score int"
 
 
+def _in_order(frames: Iterator[pd.DataFrame], *columns) -> Iterator[tuple]:
+    """Rows of a key in one trigger, ordered over all its frames: how rows are cut into frames must not matter.
+
+    Only these number columns are held, for the rows of one trigger, which the source's rate limit bounds."""
+    held = [[] for _ in columns]
+    for frame in frames:
+        for column, parts in zip(columns, held):
+            parts.append(frame[column].to_numpy(dtype=np.int64))
+    if not held[0]:
+        return
+    cells = [np.concatenate(parts) for parts in held]
+    order = np.lexsort(cells[::-1])
+    for start in range(0, len(order), 100_000):
+        yield from zip(*[x[order[start:start + 100_000]].tolist() for x in cells])
+
+
 def _alert_fold(width_us: int):
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, open_ = [], list(state.get) if state.exists else None
-        for frame in frames:
-            for us, score in sorted(zip(frame["us"], frame["risk_score"])):
-                if open_ is not None and us >= open_[0] + width_us:
-                    done.append((*key, *open_))
-                    open_ = None
-                open_ = [int(us), int(us), 1, int(score)] if open_ is None else [open_[0], max(open_[1], int(us)), open_[2] + 1, max(open_[3], int(score))]
+        for us, score in _in_order(frames, "us", "risk_score"):
+            if open_ is not None and us >= open_[0] + width_us:
+                done.append((*key, *open_))
+                open_ = None
+            open_ = [us, us, 1, score] if open_ is None else [open_[0], max(open_[1], us), open_[2] + 1, max(open_[3], score)]
         if state.hasTimedOut and open_ is not None:
             done.append((*key, *open_))
             open_ = None
@@ -163,8 +179,8 @@ def _alert_fold(width_us: int):
 def alert_windows(cands: DataFrame, delay: str, width_us: int = alerts.WINDOW_US) -> DataFrame:
     """Anchored windows as they happen: a window leaves the state when the watermark passes its end.
 
-    The state is four numbers per key, never the events; frames arrive in Arrow batches, ordered per
-    frame, and rows of one trigger are bounded by the source's rate limit."""
+    The state is four numbers per key, never the events. Rows of one trigger are taken in order of time;
+    triggers must follow each other in time up to ``delay``, later rows are dropped by the watermark."""
     d = marked(cands, delay).withColumn("us", F.unix_micros("ts"))
     return d.groupBy("tenant_id", "rule_id", "entity").applyInPandasWithState(
         _alert_fold(width_us), ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -175,20 +191,21 @@ LOCK_OUT = "tenant_id string, user_name string, us bigint, failures int, locked_
 
 def _lock_fold(limit: int, lock_us: int):
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        for frame in frames:
-            rows = []
-            for us, failed in sorted(zip(frame["us"], frame["failed"])):
-                n = n + 1 if failed else 0
-                if failed and n >= limit:
-                    rows.append((*key, int(us), n, int(us) + lock_us))
-            if rows:
-                yield pd.DataFrame(rows, columns=["tenant_id", "user_name", "us", "failures", "locked_until_us"])
-        state.update((n,))
+        n, rows = state.get[0] if state.exists else 0, []
+        for us, _, failed in _in_order(frames, "us", "event_id", "failed"):
+            n = n + 1 if failed else 0
+            if failed and n >= limit:
+                rows.append((*key, us, n, us + lock_us))
+        if n:
+            state.update((n,))
+        else:  # a success clears the user: nothing is kept
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows, columns=["tenant_id", "user_name", "us", "failures", "locked_until_us"])
     return fold
 
 
 def lockouts(attempts: DataFrame, limit: int, lock_s: int) -> DataFrame:
-    """Lock rows per user as they happen; the state is one counter."""
-    d = attempts.select("tenant_id", "user_name", F.unix_micros(c("ts").cast("timestamp")).alias("us"), (c("event_type") == "auth_failure").alias("failed"))
+    """Lock rows per user as they happen, in order of time and event; the state is one counter, kept while it is not 0."""
+    d = attempts.select("event_id", "tenant_id", "user_name", F.unix_micros(c("ts").cast("timestamp")).alias("us"), (c("event_type") == "auth_failure").alias("failed"))
     return d.groupBy("tenant_id", "user_name").applyInPandasWithState(_lock_fold(limit, lock_s * US), LOCK_OUT, "n int", "append", GroupStateTimeout.NoTimeout)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -37,7 +38,7 @@ def rows_of(columns, rows):
 def session():
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate())
+             .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="check-sql-")).getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     return spark
 

@@ -239,3 +239,92 @@ def test_bad_rule_document_keeps_its_error(spark):
 def test_cidr_bounds(spark):
     d = spark.createDataFrame([("10.255.255.255",), ("11.0.0.0",), ("010.0.0.1",), (None,)], "ip string")
     assert [r.x for r in d.select(in_cidr("ip", "10.0.0.0/8").alias("x")).collect()] == [True, False, False, False]
+
+
+def test_wide_numbers_and_columns_of_the_line(spark):
+    r = one(nz.normalize(lines(spark, "CEF:0|A|B|1|x|y|5|src=10.0.0.1 in=9223372036854775807 out=0000000000000000000512 spid=7 proto=TCP fname=a.txt z=1"), NOW))
+    assert (r.bytes_in, r.bytes_out, r.process_pid, r.protocol, r.file_name, r.fields["z"]) == (9223372036854775807, 512, 7, "tcp", "a.txt", "1")
+    assert one(nz.normalize(lines(spark, "CEF:0|A|B|1|x|y|5|in=18446744073709551616"), NOW)).bytes_in is None
+
+
+def test_agent_rows_keep_their_columns_and_set_hosts_stay(spark):
+    base = lines(spark, "CEF:0|A|B|1|x|y|5|shost=parsed suser=bob", "anything").withColumn("source_type", F.when(F.col("event_id") == 1, "linux_ebpf").otherwise("syslog"))
+    d = base.withColumns({"hostname": F.lit("given"), "user_name": F.lit(""), "event_type": F.when(F.col("event_id") == 1, "process_create"), "process_cmdline": F.lit("run")})
+    a, b = nz.normalize(d, NOW).orderBy("event_id").collect()
+    assert (a.hostname, a.user_name, a.event_type, a.process_cmdline) == ("given", "bob", "b_x", "run")
+    assert (b.format, b.hostname, b.event_type, b.process_cmdline, b.parse_error) == ("agent", "given", "process_create", "run", None)
+
+
+@pytest.mark.parametrize("condition", ["s t", "s and", "(s", "s or or t", "s; t", "s | count() > 1"])
+def test_malformed_conditions_are_errors_and_stop_nothing(spark, condition):
+    rule = lambda key, text: {"id": key, "title": key, "status": "stable", "level": "low", "detection": {"s": {"event_type": "x"}, "t": {"event_type": "y"}, "condition": text}}
+    d = spark.createDataFrame([("x", "r", {"a": "b"})], "event_type string, raw string, fields map<string,string>")
+    both = [rule("bad", condition), {"id": "empty", "title": "e", "status": "stable"}, rule("good", "s and not t")]
+    assert [x["rule_id"] for x in one(rules.match_all(d, both)).rule_matches] == ["good"]
+    good, bad = rules.usable(both, d.columns)
+    assert [r["id"] for r in good] == ["good"] and [i for i, _ in bad] == ["bad", "empty"] and all(reason for _, reason in bad)
+
+
+def test_every_address_of_an_event_is_looked_up(spark):
+    ind = ioc.indicator_set(spark.createDataFrame([("url", "http://b.example/x", "u", None), ("domain", "C.example.", "d", None), ("ip", "9.9.9.9", "i", None)], "ioc_type string, value string, source string, severity string"))
+    rows = [(1, None, {"p": "http://a.example/", "q": "http://B.example/x"}), (2, None, {"p": "http://a.example/", "q": "https://c.example:8/z"}), (3, "9.9.9.9", {"q": "http://b.example/x"}),
+            (4, None, {}), (5, None, None), (6, None, {"q": "http://b.example/x"})]
+    d = spark.createDataFrame(rows, "event_id bigint, src_ip string, fields map<string,string>").withColumns({"dst_ip": F.lit(None).cast("string"), "file_hash": F.lit(None).cast("string")})
+    got = {r.event_id: (r.ioc_hit, r.ioc_type, r.ioc_feed) for r in ioc.flag(d, ind, with_domain=True).collect()}
+    assert got == {1: (True, "url", "u"), 2: (True, "domain", "d"), 3: (True, "ip", "i"), 4: (False, None, None), 5: (False, None, None), 6: (True, "url", "u")}
+    assert {r.event_id for r in ioc.keep_hit(d, ind).collect()} == {1, 3, 6}
+
+
+def test_assets_and_logins_of_another_tenant_do_not_match(spark):
+    e = spark.createDataFrame([(1, "a", "H1", "bob"), (2, "b", "h1", "bob"), (3, "c", "h1", None)], "event_id int, tenant_id string, hostname string, user_name string").withColumn("asset_tags", F.array().cast("array<string>"))
+    assets = spark.createDataFrame([("a", "h1", "x1", ["t"], "high"), ("a", "H1", "x2", ["u"], "low"), ("b", "h1", "x3", ["v"], "low")], "tenant_id string, hostname string, asset_id string, tags array<string>, criticality string")
+    assert [(r.event_id, r.asset_id) for r in enrich.with_assets(e, assets).orderBy("event_id").collect()] == [(1, "x1"), (2, "x3"), (3, None)]
+    users = spark.createDataFrame([("a", "BOB", "Robert")], "tenant_id string, login string, canonical_user string")
+    assert [r.canonical_user for r in enrich.with_identity(e, users).orderBy("event_id").collect()] == ["Robert", "bob", None]
+
+
+def test_archive_run_again_replaces_itself(spark):
+    from quillwatch.sources import archive
+    d = spark.createDataFrame([(i, "t", T0 + dt.timedelta(days=i)) for i in range(5)], "event_id int, tenant_id string, ts timestamp_ntz")
+    path = new_folder(spark, "cold")
+    for now in ("2024-01-12 00:00:00", "2024-01-12 00:00:00"):
+        archive.archive(d, path, now, 8)
+    assert sorted(r.event_id for r in archive.replay(spark, path, d.schema, archive.still_hot(d, "2024-01-12 00:00:00", 8)).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_linear_model_scores(spark):
+    from quillwatch.operators import models
+    d = spark.createDataFrame([([0.5, 0.25],), ([9.0, 9.0],), ([1.0],)], "x array<double>")
+    assert [r[0] for r in d.select(models.score([1.0, 1.0], "x")).collect()] == [0.75, 1.0, None]
+
+
+def test_stream_folds_do_not_depend_on_frames(spark):
+    from quillwatch.streaming import jobs
+    base = T0.replace(tzinfo=dt.timezone.utc)
+    rows = [(i, "t", "r", "h", "u", T0 + dt.timedelta(seconds=37 * i), i % 7, "auth_success" if i % 11 == 0 else "auth_failure") for i in range(400)]
+    random.Random(1).shuffle(rows)
+    d = spark.createDataFrame(rows, "event_id bigint, tenant_id string, rule_id string, entity string, user_name string, ts timestamp_ntz, risk_score int, event_type string").coalesce(1)
+    path, seen = new_folder(spark, "rows"), []
+    d.write.parquet(path)
+    end = spark.createDataFrame([(9999, "t", "r", "h", "u", T0 + dt.timedelta(days=90), -1, "auth_success")], d.schema).coalesce(1)
+    for size in ("10000", "50"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            feed, out, checkpoint, locks, other = (new_folder(spark, x) for x in ("feed", "out", "checkpoint", "locks", "checkpoint"))
+            for part in (spark.read.parquet(path), end):
+                part.write.mode("append").parquet(feed)
+                jobs.run_available(jobs.alert_windows(jobs.read_folder(spark, feed, d.schema), "1 second", 600 * 1_000_000), out, checkpoint)
+                jobs.run_available(jobs.lockouts(jobs.read_folder(spark, feed, d.schema), 3, 60), locks, other)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        seen.append([sorted(map(tuple, spark.read.parquet(x).collect())) for x in (out, locks)])
+    assert seen[0] == seen[1]
+    want, open_ = [], None
+    for i in range(400):
+        us = int(base.timestamp() + 37 * i) * 1_000_000
+        if open_ is None or us >= open_[0] + 600_000_000:
+            open_ = [us, 0]
+            want.append(open_)
+        open_[1] += 1
+    assert [(r[3], r[5]) for r in seen[0][0] if r[6] >= 0] == [tuple(x) for x in want]
+    assert len(seen[0][1]) == sum(max(0, sum(1 for i in range(k, min(k + 11, 400)) if i % 11) - 2) for k in range(0, 400, 11))

@@ -40,3 +40,10 @@ def test_all_rules_need_no_shuffle(spark, root):
 def test_top_k_is_cut_before_the_shuffle(spark, root):
     text = plan(query(spark, root, "ord_topk_group"))
     assert text.index("WindowGroupLimit") < text.index("Exchange") or text.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("name", ["score_risk", "join_ioc_semi"])
+def test_wide_events_are_not_shuffled_to_find_indicators(spark, root, name):
+    """Only events with several addresses go through narrow rows; the others meet broadcast indicators."""
+    text = plan(query(spark, root, name))
+    assert text.count("BroadcastHashJoin LeftOuter") >= 4 and "SortMergeJoin" not in text
