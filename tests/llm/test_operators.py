@@ -233,6 +233,57 @@ def test_repeated_passages(spark):
     assert substring.repeated(docs(spark, rows).limit(0)).count() == 0
 
 
+def brute_windows(texts, n=50, identity=0.8):
+    """Of every text, the words that agree within `n` words that agree word by word with n words of another text well enough."""
+    number = {}
+    rows = [np.array([number.setdefault(w, len(number)) for w in t]) for t in texts]
+    covered = [np.zeros(len(t), bool) for t in texts]
+    for p, a in enumerate(rows):
+        for q, b in enumerate(rows):
+            if p == q:
+                continue
+            same = a[:, None] == b[None, :]
+            for d in {int(j) - int(i) for i, j in zip(*np.nonzero(same), strict=True)}:
+                on = np.diagonal(same, d)
+                agree = np.concatenate([[0], np.cumsum(on)])
+                for k in np.flatnonzero(agree[n:] - agree[:-n] >= identity * n).tolist():
+                    covered[p][max(0, -d) + k:max(0, -d) + k + n] |= on[k:k + n]
+    return covered
+
+
+def edited(rng, words, share, vocab):
+    out = list(words)
+    for at in rng.permutation(len(out))[:int(share * len(out))]:
+        out[at] = str(rng.choice(vocab))
+    return out
+
+
+def assert_covers(spark, texts):
+    got = defaultdict(list)
+    for r in substring.repeated(docs(spark, [(k, " ".join(t), "s") for k, t in enumerate(texts)])).collect():
+        got[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    want = brute_windows(texts)
+    assert set(got) >= {k for k, c in enumerate(want) if c.any()}
+    for k, c in enumerate(want):
+        found = np.zeros(len(c), bool)
+        for s, e in got.get(k, []):
+            found[s:e] = True
+        assert not c.any() or (found & c).sum() >= 0.8 * c.sum(), k
+    return got, want
+
+
+def test_fuzzy_passages_equal_brute_force(spark):
+    rng = np.random.default_rng(21)
+    vocab = ["".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(20000)]
+    fresh = lambda n: rng.choice(vocab, n).tolist()
+    texts = []
+    for k in range(60):  # two documents a passage
+        passage = fresh((50, 60, 80)[k % 3])
+        texts += [fresh(30 + k) + passage + fresh(40), fresh(70) + edited(rng, passage, (0.1, 0.15, 0.2)[k // 3 % 3], vocab) + fresh(30)]
+    _, want = assert_covers(spark, texts)
+    assert sum(c.any() for c in want) == 120
+
+
 # Decontamination
 
 def edit_distance_in(pattern, text):
