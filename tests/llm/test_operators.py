@@ -284,6 +284,23 @@ def test_fuzzy_passages_equal_brute_force(spark):
     assert sum(c.any() for c in want) == 120
 
 
+def test_passages_of_frequent_seeds_equal_brute_force(spark):
+    rng = np.random.default_rng(22)
+    vocab = ["".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(20000)]
+    fresh = lambda n: rng.choice(vocab, n).tolist()
+    lines = [fresh(9) for _ in range(12)]
+    texts = [fresh(20) + lines[k % 12] + fresh(30) + lines[(k + 5) % 12] + fresh(20) for k in range(60)]
+    # Passages of frequent lines only: two documents each, in an order of their own.
+    for _ in range(12):
+        passage = sum((lines[k] for k in rng.permutation(12)[:7]), [])
+        texts += [fresh(25) + edited(rng, passage, 0.1, vocab) + fresh(25) for _ in range(2)]
+    base = fresh(60)
+    texts += [fresh(10) + edited(rng, edited(rng, base, 0.1, vocab), 0.05, vocab) + fresh(10) for _ in range(40)]
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    got, want = assert_covers(spark, texts)
+    assert sum(c.any() for c in want) >= 50 and len(got) < len(texts)
+
+
 # Decontamination
 
 def edit_distance_in(pattern, text):
