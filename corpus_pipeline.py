@@ -1,7 +1,7 @@
 """Corpus pipeline: documents in, encoded documents out. Each stage works on all that the stage before it kept.
 
 1. quality: documents that the classifier rejects go.
-2. near_dedup: of each group of near-duplicates the document of the smallest id stays.
+2. near_dedup: of each group of near-duplicates (similarity of word shingles 0.8 or more) the document of the smallest id stays.
 3. decontam: documents that hold a benchmark passage go.
 4. secrets: reported spans are replaced by a mark; every document stays.
 5. bpe: doc_id, lang, source, n_tokens, the ids of every document, and the hash of the decoded text.
@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, percent=80)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

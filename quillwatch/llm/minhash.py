@@ -2,15 +2,15 @@
 
 1. Every text becomes the set of its distinct shingles (hashes of `SHINGLE` words; fewer words are one shingle) and a signature of `COORDS` minima. Texts of
    equal sets are one class; everything below works on one representative of each class.
-2. A representative is posted under each of its (coordinate, value) pairs. Documents that are similar enough agree on `NEED` coordinates or more (at a similarity of
-   0.85 and 32 coordinates, fewer than 16 agreements happen to one pair in about three million). So, with pairs ordered by how many documents share them, two such documents
-   meet within the rarest COORDS - NEED + 1 pairs of both: the longest lists (NEED - 1 of a document's) are skipped and only that prefix is joined. Pairs
+2. A representative is posted under each of its (coordinate, value) pairs. Documents that are similar enough agree on `need` coordinates or more (at a similarity of
+   0.85 and 32 coordinates, fewer than 16 agreements happen to one pair in about three million; for other similarities the number has the same miss rate, `needed`). So, with pairs ordered by how many documents share them, two such documents
+   meet within the rarest COORDS - need + 1 pairs of both: the longest lists (need - 1 of a document's) are skipped and only that prefix is joined. Pairs
    held by one document alone need no posting.
 3. In each list, documents are first compared with a few centers of the list only; what links becomes components. Then documents outside the largest component of a list
    are compared with the documents of the list that are not in their own component, in blocks of `BLOCK` documents: first the `NEAREST` few of each block are confirmed, which
    connects most of what can be, then, with the new components, all. What is left out is connected already, so the components are those of
    comparing all pairs. A pair is looked at in the least list that both are in. Blocks return only pairs that pass the next step's first half.
-4. Collisions are counted on longer signatures (`LONG` minima of a byte; at a similarity of 0.85 fewer than `LONG_NEED` agreements happen to four pairs in a million); what passes is
+4. Collisions are counted on longer signatures (`LONG` minima of a byte; at a similarity of 0.85 fewer than 399 agreements happen to four pairs in a million, and the same goes for others); what passes is
    confirmed on the full shingle sets. Both are made for documents with postings only.
 
 Defined cases: null or empty texts and texts of white space have no shingle and link with nothing; repeated rows are one class; rows of one doc_id with different texts are told apart;
@@ -19,6 +19,8 @@ a null doc_id can be linked but names no component unless all of it is null; oth
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,12 +33,28 @@ from quillwatch.llm.training import likely
 from quillwatch.llm.words import SPACED, mix, raw
 from quillwatch.sources.shared import materialize
 
-SHINGLE, COORDS, NEED = 5, 32, 16
-LONG, LONG_NEED, BLOCK, CENTERS, NEAREST = 512, 399, 1024, 2, 6
+SHINGLE, COORDS, LONG = 5, 32, 512
+BLOCK, CENTERS, NEAREST = 1024, 2, 6
+#: Agreements that are needed of so many coordinates at 85 %; they set the miss rate.
+AT_85 = {COORDS: 16, LONG: 399}
 _SALTS = mix(np.arange(1, 2 * LONG + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _fewer(n: int, coords: int, percent: int) -> int:
+    """Chance of fewer than n agreements of `coords` at this similarity, times 100 ** coords."""
+    return sum(comb(coords, k) * percent ** k * (100 - percent) ** (coords - k) for k in range(n))
+
+
+def needed(percent: int, coords: int) -> int:
+    """Most agreements that may be asked for at this similarity without missing more pairs than `AT_85` does at 85 %."""
+    most = _fewer(AT_85[coords], coords, 85)
+    n = 1
+    while n < coords and _fewer(n + 1, coords, percent) <= most:
+        n += 1
+    return n
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows, one row after another, and their number in each row."""
     words, _, _, first = SPACED.words(*raw(column))
@@ -105,12 +123,13 @@ def _sized(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, percent: int = 85) -> DataFrame:
     """key, node, n: the prefix of every representative, rarest pairs first."""
+    need = needed(percent, COORDS)
     posted = classes.select("node", "n", F.posexplode("sig").alias("coord", "value")).select("node", "n", (F.col("coord") * F.lit(1 << 32) + F.col("value").cast("long")).alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    each = posted.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("pairs")).where(F.size("pairs") >= NEED)
-    return each.select("node", "n", F.explode(F.slice("pairs", F.lit(1), F.size("pairs") - (NEED - 1))).alias("p")).select("p.key", "node", "n")
+    each = posted.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("pairs")).where(F.size("pairs") >= need)
+    return each.select("node", "n", F.explode(F.slice("pairs", F.lit(1), F.size("pairs") - (need - 1))).alias("p")).select("p.key", "node", "n")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, counted: bool) -> DataFrame:
@@ -118,13 +137,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, counted: bool) ->
     side = lambda c, v: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"{v}{c}"))
     if not counted:
         agree = F.aggregate(F.zip_with("longa", "longb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        pairs = materialize(pairs.join(side("a", "long"), "a").join(side("b", "long"), "b").where(agree >= LONG_NEED).select("a", "b"), "collisions")
+        pairs = materialize(pairs.join(side("a", "long"), "a").join(side("b", "long"), "b").where(agree >= needed(percent, LONG)).select("a", "b"), "collisions")
     both = F.size(F.array_intersect("seta", "setb"))
     return materialize(pairs.join(side("a", "set"), "a").join(side("b", "set"), "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"), "links")
 
 
 def _compare(percent: int, nearest: int | None):
     """Within one task's cells: pairs of an asking and another document of a cell that collide often enough; the `nearest` of each asking one, or all."""
+    need = needed(percent, LONG)
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("asks", "descending")])
         column = {c: table[c].to_numpy() for c in ("key", "i", "j", "asks", "node", "n", "part")}
@@ -140,7 +161,7 @@ def _compare(percent: int, nearest: int | None):
                 close = (np.minimum(n, column["n"][x]) * 100 >= np.maximum(n, column["n"][x]) * percent) & (part != column["part"][x])
                 some = np.flatnonzero(close)
                 agree = (others[some] == long[x]).sum(1)
-                some, agree = some[agree >= LONG_NEED], agree[agree >= LONG_NEED]
+                some, agree = some[agree >= need], agree[agree >= need]
                 if nearest is not None:
                     some = some[np.argsort(-agree, kind="stable")[:nearest]]
                 own = set(keys[x].as_py()) if len(some) else set()
@@ -154,7 +175,7 @@ def _compare(percent: int, nearest: int | None):
 
 def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b: links between class representatives that connect what is connected."""
-    lists = materialize(postings(classes), "postings")
+    lists = materialize(postings(classes, percent), "postings")
     wanted = lists.select("node").distinct()
     signed = classes.join(wanted, "node", "left_semi").select("node", "n", "h1", "h2")
     ids = materialize(sketched.join(wanted.select(F.col("node").alias("uid")), "uid", "left_semi").select("doc_id").distinct(), "wanted")
@@ -170,7 +191,7 @@ def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int
     tried = materialize(stars.distinct(), "stars")
     found = _confirm(tried, sets, percent, counted=False)
 
-    keys = lists.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most COORDS - NEED + 1
+    keys = lists.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most COORDS - need + 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     for nearest in (NEAREST, None):

@@ -210,6 +210,28 @@ def test_signature_agreement_follows_similarity():
     assert abs((s[0] == s[1]).mean() - 900 / 1100) < 0.06
 
 
+def test_needed_agreements_have_one_miss_rate():
+    assert (minhash.needed(85, minhash.COORDS), minhash.needed(85, minhash.LONG)) == (16, 399)
+    for coords in (minhash.COORDS, minhash.LONG):
+        for percent in (50, 80, 90):
+            assert minhash._fewer(minhash.needed(percent, coords), coords, percent) <= minhash._fewer(minhash.AT_85[coords], coords, 85) < minhash._fewer(minhash.needed(percent, coords) + 1, coords, percent)
+
+
+def test_pipeline_drops_near_duplicates_from_80_percent(spark):
+    import corpus_pipeline
+    rng = np.random.default_rng(12)
+    rows, kept = [], []
+    for k in range(200):  # 90 shingles each, 80 of them common: 80 of 100; or 79 of 101
+        words = [f"w{v}" for v in rng.integers(0, 10**9, 94)]
+        changed = 10 if k % 4 else 11
+        other = words[:94 - changed] + [f"w{v}" for v in rng.integers(0, 10**9, changed)]
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        assert (100 * len(a & b) >= 80 * len(a | b)) == (changed == 10)
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(other), "s")]
+        kept += [2 * k] if changed == 10 else [2 * k, 2 * k + 1]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs(spark, rows), "").collect()) == kept
+
+
 # Repeated passages
 
 def test_chains_follow_order():
