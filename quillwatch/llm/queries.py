@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwatch.llm import bpe, chat, decontam, minhash, quality, secret_scan, substring, topk, toxicity, warc
+from quillwatch.llm import bpe, byte_bpe, chat, decontam, fim, merkle, minhash, quality, secret_scan, substring, topk, toxicity, warc
 from quillwatch.llm.training import remainder, small_batches
 from quillwatch.sources.shared import materialize, new_folder
 from quillwatch.sources.tables import table
@@ -155,3 +155,61 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write_archives(table(spark, root, "pages"), path)
     return warc.page_records(materialize(warc.read_archives(spark, path), "warc-records"))
+
+
+def byte_ranks() -> tuple[str, str]:
+    """The public ranks that the query uses, and their word pattern."""
+    import public_tokenizers
+    return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    ranks = byte_ranks()
+    rows = table(spark, root, "documents").select("doc_id", byte_bpe.encoder(*ranks)(F.coalesce("text", F.lit(""))).alias("ids"))
+    rows = rows.select("doc_id", "ids", byte_bpe.decoder(*ranks)(F.col("ids")).alias("decoded"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+FIM_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines FROM documents),
+c AS (
+  SELECT *, len(lines) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(lines) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(lines) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (
+  SELECT doc_id, n, form, text, coalesce(array_to_string(lines[1:least(a, b)], ''), '') AS prefix, coalesce(array_to_string(lines[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+    coalesce(array_to_string(lines[greatest(a, b) + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op12_fill_in_middle", FIM_SQL)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    made = fim.transform(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def manifest_fields(n_chars: Column) -> list[Column]:
+    return [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    changed = F.when(remainder(F.col("doc_id"), 7) == 0, merkle.leaf(*manifest_fields(F.col("n_chars") + 1)))
+    carry = F.struct("doc_id", changed.alias("changed"))
+    rows = merkle.manifest(docs, merkle.leaf(*manifest_fields(F.col("n_chars"))), F.col("lang"), F.col("doc_id"), carry)
+    back = merkle.folded(F.coalesce("carry.changed", "leaf"), F.col("path"))
+    rows = rows.select("carry.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), back.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
