@@ -42,7 +42,7 @@ STATUSES = ["stable", "test", "experimental", "deprecated", "unsupported"]
 
 _WORD = r"[A-Za-z_][A-Za-z0-9_]*"
 _CONDITION_TOKEN = re.compile(rf"\b(1|any|all)\s+of\s+([A-Za-z0-9_*?]+)|({_WORD})", re.I)
-_COUNT = re.compile(rf"^(.*)\|\s*count\(\s*({_WORD})?\s*\)(?:\s+by\s+({_WORD}))?\s*(>=|<=|>|<|=)\s*(\d+)\s*$", re.I)
+COUNT = re.compile(rf"^(.*)\|\s*count\(\s*({_WORD})?\s*\)(?:\s+by\s+({_WORD}))?\s*(>=|<=|>|<|=)\s*(\d+)\s*$", re.I)
 
 
 class RuleError(ValueError):
@@ -259,7 +259,7 @@ def timeframe_seconds(text) -> int | None:
 def count_rule(df: DataFrame, rule) -> DataFrame:
     """``sel | count([field]) [by col] > n`` within the timeframe, per tenant and tumbling window."""
     det = rule["detection"]
-    m = _COUNT.match(str(det["condition"]))
+    m = COUNT.match(str(det["condition"]))
     if not m:
         raise RuleError("not a counting condition")
     cond, fld, by, op, n = m.groups()

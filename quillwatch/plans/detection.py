@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillwatch.functions import mitre
 from quillwatch.functions.scalars import c, severity_from_score
-from quillwatch.operators import alerts, ioc, risk, rules
+from quillwatch.operators import alerts, correlate, ioc, risk, rules, split
 from quillwatch.operators import filters as flt
 from quillwatch.operators.analytics import side_by_side
 from quillwatch.plans import views as v
@@ -86,9 +86,37 @@ SEQ_SQL = """SELECT b.event_id, b.hostname, max(a.ts) AS a_ts FROM sec_events b
 
 @query("rule_near", SEQ_SQL.format("auth_failure", "auth_success", "30 MINUTE"))
 def _(spark, d):
-    from quillwatch.operators import enrich
-    e = v.sec_events(spark, d)
-    return enrich.sequence(e, ["tenant_id", "hostname"], c("event_type") == "auth_failure", c("event_type") == "auth_success", 1800).select("event_id", "hostname", "a_ts")
+    rule = {"title": "t", "id": "t", "detection": {"a": {"event_type": "auth_failure"}, "b": {"event_type": "auth_success"}, "timeframe": "30m", "condition": "a | near b by Computer"}}
+    return correlate.stepped(v.sec_events(spark, d), rule).select("event_id", "hostname", c("started").alias("a_ts"))
+
+
+_SLIDING = """SELECT e.event_id, e.ts, {1} AS n FROM sec_events e JOIN sec_events o ON o.tenant_id = e.tenant_id AND o.{0} = e.{0} AND o.ts <= e.ts AND o.ts >= e.ts - INTERVAL {2}
+ WHERE {3} AND {4} GROUP BY e.event_id, e.ts HAVING {1} > {5}"""
+
+
+@query("rule_count_sliding", _SLIDING.format("hostname", "count(*)", "6 HOUR", "e.event_type = 'auth_failure'", "o.event_type = 'auth_failure'", 2))
+def _(spark, d):
+    rule = {"title": "t", "id": "t", "detection": {"sel": {"event_type": "auth_failure"}, "timeframe": "6h", "condition": "sel | count() by Computer > 2"}}
+    return correlate.counted(v.sec_events(spark, d), rule, 12 * split.HOUR).select("event_id", "ts", "n")
+
+
+@query("rule_count_distinct", _SLIDING.format("user_name", "count(DISTINCT o.dst_ip)", "12 HOUR", "e.dst_port = 443", "o.dst_port = 443", 1))
+def _(spark, d):
+    rule = {"title": "t", "id": "t", "detection": {"sel": {"dst_port": 443}, "timeframe": "12h", "condition": "sel | count(dst_ip) by User > 1"}}
+    return correlate.counted(v.sec_events(spark, d), rule, split.DAY).select("event_id", "ts", "n")
+
+
+_THREE = {"title": "Guess, login, read", "id": "q3", "level": "high", "detection": {
+    "guess": {"event_type": "auth_failure"}, "login": {"event_type": "auth_success"}, "read": {"event_type": "file_access"}, "port": {"dst_port": 8080},
+    "timeframe": "1d", "condition": "guess then login then read and not port by User"}}
+
+
+@query("rule_sequence", """WITH g AS (SELECT * FROM sec_events WHERE event_type = 'auth_failure'), l AS (SELECT * FROM sec_events WHERE event_type = 'auth_success'),
+ r AS (SELECT * FROM sec_events WHERE event_type = 'file_access' AND NOT coalesce(dst_port = 8080, false))
+ SELECT r.event_id, r.user_name, max(g.ts) AS started FROM r JOIN l ON l.user_name = r.user_name AND l.tenant_id = r.tenant_id AND l.ts < r.ts
+  JOIN g ON g.user_name = r.user_name AND g.tenant_id = r.tenant_id AND g.ts < l.ts AND g.ts >= r.ts - INTERVAL 1 DAY GROUP BY 1, 2""")
+def _(spark, d):
+    return correlate.stepped(v.sec_events(spark, d), _THREE, 6 * split.HOUR).select("event_id", "user_name", "started")
 
 
 def _rule_rows(spark, d):
