@@ -59,7 +59,7 @@ def field(name: str, columns) -> tuple[Column, str]:
     return c(target), "int" if target in INT_COLUMNS else "str"
 
 
-def _is_int(v) -> bool:
+def is_int(v) -> bool:
     return isinstance(v, int) and not isinstance(v, bool)
 
 
@@ -76,7 +76,7 @@ def _exact(col: Column, kind: str, v) -> Column:
         return col.isNull()
     text = _text(v)
     if kind == "int":
-        if _is_int(v):
+        if is_int(v):
             return col == v
         return col == int(text) if text is not None and re.fullmatch(r"[+-]?\d+", text) else F.lit(False)
     if text is None:
@@ -110,7 +110,7 @@ def _cidr(col, kind, v):
 
 def _numeric(op):
     def build(col, kind, v):
-        if not _is_int(v):
+        if not is_int(v):
             return F.lit(False)
         n = col if kind == "int" else F.when(col.rlike(r"^[+-]?[0-9]{1,19}$"), col.try_cast("bigint"))
         return op(n, v)
@@ -176,7 +176,7 @@ def rule_rank(rule):
     return -SEVERITIES.index(rule.get("level") or "info"), str(rule.get("id"))
 
 
-def _tags(rule):
+def tags_of(rule):
     low = [t.lower()[7:] for t in rule.get("tags") or [] if t.lower().startswith("attack.")]
     technique = lambda t: len(t) > 1 and t[0] == "t" and t[1].isdigit()
     return [tactic_name(t) for t in low if not technique(t)], [t.upper() for t in low if technique(t)]
@@ -226,7 +226,7 @@ def match_all(df: DataFrame, rules, stable_only: bool = True, logsource: bool =
     with_cols = add_selections(df, use)
     found = []
     for i, rule in enumerate(use):
-        tactics, techniques = _tags(rule)
+        tactics, techniques = tags_of(rule)
         arr = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
         one = F.struct(F.lit(str(rule["id"])).alias("rule_id"), F.lit(rule["title"]).alias("rule_title"),
                        F.lit(rule.get("level") or "info").alias("severity"),

@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 
 from quillwatch.functions import mitre
 from quillwatch.functions.scalars import c, severity_from_score
-from quillwatch.operators import alerts, correlate, ioc, risk, rules, split
+from quillwatch.operators import alerts, correlate, ioc, risk, rule_index, rules, split
 from quillwatch.operators import filters as flt
 from quillwatch.operators.analytics import side_by_side
 from quillwatch.plans import views as v
 from quillwatch.plans.registry import query
 from quillwatch.plans.rule_set import BY_ID, RULES, SQL_PREDICATES
 from quillwatch.plans.view_sql import SEV_OF
+from quillwatch.sources import rule_files
+from quillwatch.sources.shared import new_folder
 from quillwatch.sources.tables import table
 
 # ---- one query per rule feature: (detection, SQL predicate) ----------------
@@ -59,6 +61,35 @@ def _(spark, d):
     return rules.match_all(v.sec_events(spark, d), RULES).filter(F.size("rule_matches") > 0).select("event_id", _ids())
 
 
+def _rule_folder(spark, d):
+    """Rule files of three kinds, one document per row of ``part``; some cannot be read."""
+    k = c("p_partkey")
+    num = lambda x: x.cast("string")
+    port = F.when(k % 3 == 0, "22").when(k % 3 == 1, "443").otherwise("8080")
+    by_user = F.concat(F.lit("  sel:\n    User: USER"), num(k % 150), F.lit("\n  port:\n    DestinationPort:\n      - "), port, F.lit("\n  condition: sel and port"))
+    by_host = F.concat(F.lit("  sel:\n    Computer: host-"), num(k % 40), F.lit("\n    CommandLine|contains: 'ID "), num(k % 10),
+                       F.lit("'\n  skip:\n    event_type:\n      - file_access\n      - auth_*\n  condition: sel and not 1 of sk*"))
+    by_text = F.concat(F.lit("  sel:\n    CommandLine|endswith: '"), num(k % 100), F.lit("'\n  num:\n    src_port|gte: 40000\n  condition: sel and not num"))
+    body = F.when(k % 97 == 5, by_text).when(k % 2 == 0, by_user).otherwise(by_host)
+    doc = F.when(k % 31 == 0, "title: [unclosed").otherwise(F.concat(F.lit("title: "), c("p_name"), F.lit("\nid: rule-"), num(k), F.lit("\nstatus: stable\ndetection:\n"), body))
+    path = new_folder(spark, "rule-files")
+    table(spark, d, "part").select((k % 20).alias("folder"), F.concat(doc, F.lit("\n---")).alias("value")).write.partitionBy("folder").text(path)
+    return path
+
+
+@query("join_rule_match_files", """SELECT event_id, string_agg(rule_id, ',' ORDER BY rule_id) AS rule_ids FROM (SELECT e.event_id, 'rule-' || p_partkey AS rule_id FROM sec_events e JOIN part ON p_partkey % 31 <> 0 AND coalesce(
+ CASE WHEN p_partkey % 97 = 5 THEN process_cmdline LIKE '%' || (p_partkey % 100) AND src_port < 40000
+  WHEN p_partkey % 2 = 0 THEN user_name = 'user' || (p_partkey % 150) AND dst_port = CASE p_partkey % 3 WHEN 0 THEN 22 WHEN 1 THEN 443 ELSE 8080 END
+  ELSE hostname = 'host-' || (p_partkey % 40) AND process_cmdline LIKE '%id ' || (p_partkey % 10) || '%' AND event_type <> 'file_access' AND event_type NOT LIKE 'auth%' END, false)) GROUP BY event_id""")
+def _(spark, d):
+    files = rule_files.rule_files(spark, _rule_folder(spark, d), "*.txt").withColumn("text", F.concat(c("content").cast("string"), F.lit("\n")))
+    docs = rule_files.documents(files, c("text"), "path").withColumn("doc", F.regexp_replace("doc", "\n?---$", "")).filter("doc <> ''")
+    good, _bad = rule_files.loaded(rule_files.catalog(docs, "path", "idx"))
+    e = v.sec_events(spark, d)
+    hit = rule_index.match_indexed(e, rule_index.Index(rules.stable(good), e.columns)).filter(F.size("rule_matches") > 0)
+    return hit.select("event_id", F.array_join(F.array_sort("rule_matches.rule_id"), ",").alias("rule_ids"))
+
+
 def _count_sql(width, by, cond, measure, test):
     return f"""SELECT tenant_id, {by}, ws AS window_start, ws + INTERVAL {width} AS window_end, n FROM (
  SELECT tenant_id, {by}, time_bucket(INTERVAL {width}, ts, TIMESTAMP '1970-01-01') AS ws, {measure} AS n FROM sec_events WHERE {cond} GROUP BY ALL) WHERE n {test}"""

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from quillwatch.functions.scalars import c, from_micros
 from quillwatch.plans import views as v
-from quillwatch.plans.registry import query
+from quillwatch.plans.registry import SQL, query
 from quillwatch.plans.rule_set import RULES
 from quillwatch.sources.shared import new_folder
-from quillwatch.streaming import jobs
+from quillwatch.streaming import jobs, ordered
 
 _FEEDS: dict = {}
 DELAY = "11 days"
+#: Seconds of a slice of waiting rows.
+SLICE = 86400
 
 
 def deliveries(df):
@@ -55,16 +57,23 @@ def upserted(spark, df, keys):
     return jobs.latest_of(spark, out, keys)
 
 
-def delivered(spark, name, parts, job):
-    """One run of a job with state per delivery, each a single trigger; the state survives between runs in the checkpoint."""
+def delivered(spark, name, parts, job, files=4):
+    """One run of a job with state and timers per delivery, each of several triggers of `files` files; the state survives between runs in the checkpoint."""
     path, out, checkpoint = (new_folder(spark, f"{kind}-{name}") for kind in ("feed", "stream-out", "stream-checkpoint"))
     for part in parts:
         part.write.mode("append").parquet(path)
-        df = job(jobs.read_folder(spark, path, part.schema))
-        jobs.run_available(df, out, checkpoint)
+        df = job(jobs.read_folder(spark, path, part.schema, files))
+        jobs.run_timed(df, out, checkpoint)
     return spark.read.schema(df.schema).parquet(out)
 
 
+def to_the_end(df, **marker):
+    """The rows in three deliveries, and as the last one a single row (other columns null) whose time pushes the watermark past every deadline."""
+    end = df.agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts"))
+    last = end.select(*[c("ts") if f.name == "ts" else F.lit(marker.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema])
+    return [part for part, _ in deliveries(df)] + [last]
+
+
 def batched(spark, df, make):
     """Run a foreachBatch job writing below one folder and read the folder back."""
     out = new_folder(spark, "stream-out")
@@ -127,46 +136,61 @@ def _(spark, d):
     return appended(spark, jobs.user_sessions(event_feed(spark, d), DELAY, "8 hours"))
 
 
-@query("st_stream_join", """SELECT a.event_id AS a_id, b.event_id AS b_id, a.hostname FROM sec_events a JOIN sec_events b ON a.hostname = b.hostname AND a.tenant_id = b.tenant_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 3 HOUR
- WHERE a.event_type = 'auth_failure' AND b.event_type = 'auth_success'""")
+@query("st_stream_join", """SELECT arg_max(a.event_id, (a.ts, a.event_id)) AS a_id, b.event_id AS b_id, b.tenant_id, b.hostname, max(a.ts) AS a_ts, b.ts AS b_ts
+ FROM sec_events b JOIN sec_events a ON a.hostname = b.hostname AND a.tenant_id = b.tenant_id AND a.ts < b.ts AND b.ts <= a.ts + INTERVAL 3 HOUR
+ WHERE a.event_type = 'auth_failure' AND b.event_type = 'auth_success' GROUP BY b.event_id, b.tenant_id, b.hostname, b.ts""")
 def _(spark, d):
-    e = event_feed(spark, d)
-    return appended(spark, jobs.follow(e.filter("event_type = 'auth_failure'"), event_feed(spark, d).filter("event_type = 'auth_success'"), DELAY, "3 HOURS"))
+    e = v.sec_events(spark, d).filter("hostname IS NOT NULL AND event_type IN ('auth_failure', 'auth_success')").select("event_id", "tenant_id", "hostname", "ts", "event_type")
+    first, second = (c("event_type") == x for x in ("auth_failure", "auth_success"))
+    parts = to_the_end(e, event_id=0, event_type="auth_failure")
+    return delivered(spark, "follow", parts, lambda s: ordered.follow(s, first, second, DELAY, 3 * 3600, SLICE))
 
 
 @query("st_late_data", """SELECT event_id, event_id % 200 = 0 AND ts >= (SELECT CAST(min(ts) AS DATE) + CAST((CAST(max(ts) AS DATE) - CAST(min(ts) AS DATE) + 1) * 2 // 3 AS INTEGER) FROM sec_events) AS late FROM sec_events""")
 def _(spark, d):
-    e = v.sec_events(spark, d).select("event_id", "ts")
-    parts = deliveries(e)
-    path, tops = new_folder(spark, "feed-late"), []
-    out, late = new_folder(spark, "on-time"), new_folder(spark, "late")
-    for i, (part, end) in enumerate(parts):
-        old = F.lit(i == 2) & (c("event_id") % 200 == 0)
-        part.withColumn("ts", F.when(old, c("ts") - F.expr("INTERVAL 60 DAYS")).otherwise(c("ts"))).write.mode("append").parquet(path)
-        each = jobs.late_rows(f"{out}/{i}", f"{late}/{i}", 11 * 86400, lambda: tops[-1] if tops else None)
-        jobs.run_batches(jobs.read_folder(spark, path, e.schema), each, f"{path}-checkpoint", "append")
-        tops.append(str(end) if end else None)
-    rd = lambda p, flag: spark.read.option("recursiveFileLookup", "true").schema(e.schema).parquet(p).select("event_id", F.lit(flag).alias("late"))
-    return rd(out, False).unionByName(rd(late, True))
-
-
-@query("alert_windows_stream", """WITH f AS (SELECT tenant_id, coalesce(hostname, src_ip) AS entity, ts, sev_rank FROM sec_events WHERE event_type = 'auth_failure'),
+    parts = [part for part, _ in deliveries(v.sec_events(spark, d).select("event_id", "ts"))]
+    # The last delivery brings some rows that are 60 days old. What is late, the stream's own watermark says.
+    old = parts[-1].withColumn("ts", F.when(c("event_id") % 200 == 0, c("ts") - F.expr("INTERVAL 60 DAYS")).otherwise(c("ts")))
+    return delivered(spark, "late", [*parts[:-1], old], lambda s: ordered.lateness(s, DELAY, 32), 1000).select("event_id", "late")
+
+
+@query("alert_windows_stream", """WITH f AS (SELECT event_id, tenant_id, coalesce(hostname, src_ip) AS entity, ts, sev_rank FROM sec_events WHERE event_type = 'auth_failure'),
  o AS (SELECT tenant_id, entity, min(ts) AS w FROM f GROUP BY 1, 2 UNION ALL
   SELECT o.tenant_id, o.entity, min(f.ts) FROM o JOIN f ON f.tenant_id = o.tenant_id AND f.entity = o.entity AND f.ts >= o.w + INTERVAL 48 HOUR GROUP BY 1, 2)
- SELECT o.tenant_id, o.entity, o.w AS first_seen, max(f.ts) AS last_seen, count(*) AS event_count, max(f.sev_rank) AS risk_score
+ SELECT o.tenant_id, o.entity, o.w AS first_seen, arg_min(f.event_id, (f.ts, f.event_id)) AS opened_by, max(f.ts) AS last_seen, count(*) AS event_count, max(f.sev_rank) AS risk_score
  FROM o JOIN f ON f.tenant_id = o.tenant_id AND f.entity = o.entity AND f.ts >= o.w AND f.ts < o.w + INTERVAL 48 HOUR GROUP BY 1, 2, 3""")
 def _(spark, d):
-    e = v.sec_events(spark, d).filter("event_type = 'auth_failure'").select("tenant_id", F.lit("r").alias("rule_id"), F.coalesce("hostname", "src_ip").alias("entity"), "ts", c("sev_rank").alias("risk_score"))
-    end = e.groupBy("tenant_id", "rule_id", "entity").agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts"), F.lit(-1).alias("risk_score"))
-    # A closing marker per key, a delivery of its own, pushes the watermark past every window.
-    w = delivered(spark, "alerts", [part for part, _ in deliveries(e)] + [end.select(e.columns)], lambda s: jobs.alert_windows(s, "1 second", 48 * 3600 * 1_000_000)).filter("risk_score >= 0")
-    return w.select("tenant_id", "entity", from_micros("first_us").alias("first_seen"), from_micros("last_us").alias("last_seen"), "event_count", "risk_score")
+    e = v.sec_events(spark, d).filter("event_type = 'auth_failure'").select("event_id", "tenant_id", F.lit("r").alias("rule_id"), F.coalesce("hostname", "src_ip").alias("entity"), "ts", c("sev_rank").alias("risk_score"))
+    w = delivered(spark, "alerts", to_the_end(e, event_id=0, risk_score=0), lambda s: ordered.alert_windows(s, DELAY, 48 * 3600 * ordered.US, SLICE))
+    return w.select("tenant_id", "entity", from_micros("first_us").alias("first_seen"), c("event_id").alias("opened_by"), from_micros("last_us").alias("last_seen"), "event_count", "risk_score")
 
 
-@query("st_brute_force_stream", """WITH a AS (SELECT event_id, tenant_id, user_name, ts, event_type = 'auth_failure' AS f, sum(CASE WHEN event_type = 'auth_failure' THEN 0 ELSE 1 END) OVER (PARTITION BY tenant_id, user_name ORDER BY ts, event_id) AS seg FROM sec_events
-  WHERE event_type IN ('auth_failure', 'auth_success'))
- SELECT tenant_id, user_name, ts, CAST(n AS INT) AS failures, ts + INTERVAL 15 MINUTE AS locked_until FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, user_name, seg ORDER BY ts, event_id) AS n FROM a WHERE f) WHERE n >= 3""")
+@query("st_brute_force_stream", """WITH a AS MATERIALIZED (SELECT event_id, tenant_id, user_name, ts, event_type = 'auth_failure' AS f, row_number() OVER (PARTITION BY tenant_id, user_name ORDER BY ts, event_id) AS rn FROM sec_events
+  WHERE event_type IN ('auth_failure', 'auth_success')),
+ r AS (SELECT tenant_id, user_name, rn, event_id, ts, f, CASE WHEN f THEN 1 ELSE 0 END AS n FROM a WHERE rn = 1
+  UNION ALL SELECT a.tenant_id, a.user_name, a.rn, a.event_id, a.ts, a.f, CASE WHEN NOT a.f THEN 0 WHEN r.n >= 3 AND a.ts >= r.ts + INTERVAL 36 HOUR THEN 1 WHEN r.n > 0 AND r.n < 3 AND a.ts >= r.ts + INTERVAL 5 DAY THEN 1 ELSE r.n + 1 END
+  FROM r JOIN a ON a.tenant_id = r.tenant_id AND a.user_name = r.user_name AND a.rn = r.rn + 1)
+ SELECT tenant_id, user_name, event_id, ts, CAST(n AS BIGINT) AS failures, CASE WHEN n >= 3 THEN ts + INTERVAL 36 HOUR END AS locked_until FROM r WHERE f""")
 def _(spark, d):
     e = v.sec_events(spark, d).filter("event_type IN ('auth_failure', 'auth_success')").select("event_id", "tenant_id", "user_name", "ts", "event_type")
-    locks = delivered(spark, "auth", [part for part, _ in deliveries(e)], lambda s: jobs.lockouts(s, 3, 900))
-    return locks.select("tenant_id", "user_name", from_micros("us").alias("ts"), "failures", from_micros("locked_until_us").alias("locked_until"))
+    locks = delivered(spark, "auth", to_the_end(e, event_id=0, event_type="auth_success"), lambda s: ordered.lockouts(s, DELAY, 3, 36 * 3600, 5 * 86400, SLICE))
+    return locks.select("tenant_id", "user_name", "event_id", from_micros("us").alias("ts"), "failures", from_micros("locked_until_us").alias("locked_until"))
+
+
+SQL["st_rate_limit_stream"] = SQL["st_rate_limit"]
+
+
+@query("st_rate_limit_stream")
+def _(spark, d):
+    b = v.agent_batches(spark, d).select("agent_id", "batch_id", "ts", "n_events")
+    took = delivered(spark, "limit", to_the_end(b, batch_id=0, n_events=0), lambda s: ordered.limit_batches(s, DELAY, "n_events", 15, 12 * 3600 * ordered.US, SLICE))
+    return took.select("agent_id", from_micros("window_us").alias("window_start"), "batch_id", "accepted")
+
+
+@query("st_agent_dark_stream", """WITH b AS (SELECT agent_id, ts, lead(ts) OVER (PARTITION BY agent_id ORDER BY ts) AS nx FROM heartbeats)
+ SELECT agent_id, 'dark' AS kind, ts + INTERVAL 4 HOUR AS at_time FROM b WHERE nx IS NULL OR nx > ts + INTERVAL 4 HOUR
+ UNION ALL SELECT agent_id, 'revived', nx FROM b WHERE nx > ts + INTERVAL 4 HOUR AND nx < ts + INTERVAL 12 HOUR
+ UNION ALL SELECT agent_id, 'gone', ts + INTERVAL 12 HOUR FROM b WHERE nx IS NULL OR nx >= ts + INTERVAL 12 HOUR""")
+def _(spark, d):
+    said = delivered(spark, "beats", to_the_end(v.heartbeats(spark, d)), lambda s: ordered.agents(s, DELAY, 4 * 3600, 12 * 3600, SLICE))
+    return said.filter("agent_id IS NOT NULL").select("agent_id", "kind", from_micros("us").alias("at_time"))

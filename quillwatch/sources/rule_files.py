@@ -23,7 +23,7 @@ def documents(df: DataFrame, text, *keys) -> DataFrame:
     return df.select(*keys, docs.alias("idx", "doc")).withColumn("doc", F.regexp_replace("doc", r"^\s+|\s+$", "")).filter(c("doc") != "")
 
 
-CATALOG_SCHEMA = "title string, rule_id string, status string, level string, tags array<string>, n_falsepositives int, error string"
+CATALOG_SCHEMA = "title string, rule_id string, status string, level string, tags array<string>, n_falsepositives int, detection string, logsource string, error string"
 _FIELDS = [f.split()[0] for f in CATALOG_SCHEMA.split(", ")]
 
 
@@ -44,9 +44,10 @@ def catalog(docs: DataFrame, *keys) -> DataFrame:
             if not isinstance(doc, dict):
                 raise ValueError("not a mapping")
             texts = [doc.get(k) if isinstance(doc.get(k), str) else None for k in ("title", "id", "status", "level")]
-            return (*texts, [str(t) for t in doc.get("tags") or []], len(doc.get("falsepositives") or []), None)
+            parts = [json.dumps(doc[k]) if isinstance(doc.get(k), dict) else None for k in ("detection", "logsource")]
+            return (*texts, [str(t) for t in doc.get("tags") or []], len(doc.get("falsepositives") or []), *parts, None)
         except Exception as problem:  # a bad file is kept with its error, it never stops the load
-            return (None, None, None, None, [], 0, str(problem).splitlines()[0])
+            return (None, None, None, None, [], 0, None, None, str(problem).splitlines()[0])
 
     def read(batches):
         for batch in batches:
@@ -67,3 +68,15 @@ def with_rule_defaults(cat: DataFrame, seed) -> DataFrame:
 def with_import_defaults(cat: DataFrame) -> DataFrame:
     """Import defaults: a name and the middle level."""
     return cat.withColumns({"title": F.coalesce("title", F.lit("Unnamed Rule")), "level": F.coalesce("level", F.lit("medium"))})
+
+
+def loaded(cat: DataFrame) -> tuple[list[dict], list[tuple[str, str]]]:
+    """Rules of a catalogue that can be tried, and (id, reason) of the others. Rules are configuration: the driver holds them, never events."""
+    good, bad = [], []
+    for r in cat.select("rule_id", "title", "status", "level", "tags", "detection", "logsource", "error").collect():
+        if r["error"] is not None or r["detection"] is None:
+            bad.append((r["rule_id"], r["error"] or "no detection"))
+        else:
+            good.append({"id": r["rule_id"], "title": r["title"], "status": r["status"], "level": r["level"], "tags": r["tags"], "detection": json.loads(r["detection"]),
+                         "logsource": json.loads(r["logsource"] or "{}")})
+    return good, bad

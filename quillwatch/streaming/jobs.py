@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillwatch.functions.scalars import c
-from quillwatch.operators import alerts, filters, ioc, normalize, risk, rules
-
-US = 1_000_000
+from quillwatch.operators import filters, ioc, normalize, risk, rules
+from quillwatch.streaming.ordered import state_store
 
 
 def read_folder(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -29,7 +25,17 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, rows_per_trigger:
 
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there and stop; offsets and state live in the checkpoint."""
-    df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    _available(df, out, checkpoint, mode).awaitTermination()
+
+
+def run_timed(df: DataFrame, out: str, checkpoint: str) -> None:
+    """The same for a job with timers."""
+    with state_store(df.sparkSession):
+        _available(df, out, checkpoint, "append").awaitTermination()
+
+
+def _available(df: DataFrame, out: str, checkpoint: str, mode: str):
+    return df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
 
 
 def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
@@ -112,100 +118,3 @@ def sliding(events: DataFrame, delay: str, key: str, width: str = "1 hour", step
 def user_sessions(events: DataFrame, delay: str, gap: str = "30 minutes") -> DataFrame:
     return (marked(events, delay).groupBy(F.session_window("ts", gap).alias("w"), "user_name").agg(F.count("*").alias("n"))
             .select(c("w.start").cast("timestamp_ntz").alias("session_start"), c("w.end").cast("timestamp_ntz").alias("session_end"), "user_name", "n"))
-
-
-def follow(first: DataFrame, second: DataFrame, delay: str, within: str) -> DataFrame:
-    """Stream-stream join: ``second`` after ``first`` on the same host within the interval."""
-    a = marked(first, delay).select(c("hostname").alias("a_host"), c("tenant_id").alias("a_tenant"), c("ts").alias("a_ts"), c("event_id").alias("a_id"))
-    b = marked(second, delay).select("hostname", "tenant_id", c("ts").alias("b_ts"), c("event_id").alias("b_id"))
-    cond = (c("a_host") == c("hostname")) & (c("a_tenant") == c("tenant_id")) & (c("b_ts") > c("a_ts")) & (c("b_ts") <= c("a_ts") + F.expr(f"INTERVAL {within}"))
-    return a.join(b, cond).select("a_id", "b_id", "hostname")
-
-
-def late_rows(out: str, late: str, delay_s: int, seen_until: Callable[[], str | None]) -> Callable[[DataFrame, int], None]:
-    """Split each micro-batch at the watermark known before it: late rows go to a side table."""
-    def each(batch: DataFrame, number: int) -> None:
-        top = seen_until()
-        limit = F.lit(top).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(delay_s).cast("decimal(18,6)")) if top else None
-        is_late = F.lit(False) if limit is None else c("ts") < limit
-        for path, cond in ((out, ~is_late), (late, is_late)):
-            batch.filter(cond).write.mode("overwrite").parquet(f"{path}/batch={number}")
-    return each
-
-
-# ---- custom state ----------------------------------------------------------------
-
-ALERT_OUT = "tenant_id string, rule_id string, entity string, first_us bigint, last_us bigint, event_count bigint, risk_score int"
-ALERT_STATE = "first_us bigint, last_us bigint, event_count bigint, risk_score int"
-
-
-def _in_order(frames: Iterator[pd.DataFrame], *columns) -> Iterator[tuple]:
-    """Rows of a key in one trigger, ordered over all its frames: how rows are cut into frames must not matter.
-
-    Only these number columns are held, for the rows of one trigger, which the source's rate limit bounds."""
-    held = [[] for _ in columns]
-    for frame in frames:
-        for column, parts in zip(columns, held):
-            parts.append(frame[column].to_numpy(dtype=np.int64))
-    if not held[0]:
-        return
-    cells = [np.concatenate(parts) for parts in held]
-    order = np.lexsort(cells[::-1])
-    for start in range(0, len(order), 100_000):
-        yield from zip(*[x[order[start:start + 100_000]].tolist() for x in cells])
-
-
-def _alert_fold(width_us: int):
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, open_ = [], list(state.get) if state.exists else None
-        for us, score in _in_order(frames, "us", "risk_score"):
-            if open_ is not None and us >= open_[0] + width_us:
-                done.append((*key, *open_))
-                open_ = None
-            open_ = [us, us, 1, score] if open_ is None else [open_[0], max(open_[1], us), open_[2] + 1, max(open_[3], score)]
-        if state.hasTimedOut and open_ is not None:
-            done.append((*key, *open_))
-            open_ = None
-        if open_ is None:
-            state.remove()
-        else:
-            state.update(tuple(open_))
-            state.setTimeoutTimestamp(max((open_[0] + width_us) // 1000, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield pd.DataFrame(done, columns=["tenant_id", "rule_id", "entity", "first_us", "last_us", "event_count", "risk_score"])
-    return fold
-
-
-def alert_windows(cands: DataFrame, delay: str, width_us: int = alerts.WINDOW_US) -> DataFrame:
-    """Anchored windows as they happen: a window leaves the state when the watermark passes its end.
-
-    The state is four numbers per key, never the events. Rows of one trigger are taken in order of time;
-    triggers must follow each other in time up to ``delay``, later rows are dropped by the watermark."""
-    d = marked(cands, delay).withColumn("us", F.unix_micros("ts"))
-    return d.groupBy("tenant_id", "rule_id", "entity").applyInPandasWithState(
-        _alert_fold(width_us), ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-LOCK_OUT = "tenant_id string, user_name string, us bigint, failures int, locked_until_us bigint"
-
-
-def _lock_fold(limit: int, lock_us: int):
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, rows = state.get[0] if state.exists else 0, []
-        for us, _, failed in _in_order(frames, "us", "event_id", "failed"):
-            n = n + 1 if failed else 0
-            if failed and n >= limit:
-                rows.append((*key, us, n, us + lock_us))
-        if n:
-            state.update((n,))
-        else:  # a success clears the user: nothing is kept
-            state.remove()
-        if rows:
-            yield pd.DataFrame(rows, columns=["tenant_id", "user_name", "us", "failures", "locked_until_us"])
-    return fold
-
-
-def lockouts(attempts: DataFrame, limit: int, lock_s: int) -> DataFrame:
-    """Lock rows per user as they happen, in order of time and event; the state is one counter, kept while it is not 0."""
-    d = attempts.select("event_id", "tenant_id", "user_name", F.unix_micros(c("ts").cast("timestamp")).alias("us"), (c("event_type") == "auth_failure").alias("failed"))
-    return d.groupBy("tenant_id", "user_name").applyInPandasWithState(_lock_fold(limit, lock_s * US), LOCK_OUT, "n int", "append", GroupStateTimeout.NoTimeout)

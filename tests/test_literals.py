@@ -296,35 +296,3 @@ def test_linear_model_scores(spark):
     from quillwatch.operators import models
     d = spark.createDataFrame([([0.5, 0.25],), ([9.0, 9.0],), ([1.0],)], "x array<double>")
     assert [r[0] for r in d.select(models.score([1.0, 1.0], "x")).collect()] == [0.75, 1.0, None]
-
-
-def test_stream_folds_do_not_depend_on_frames(spark):
-    from quillwatch.streaming import jobs
-    base = T0.replace(tzinfo=dt.timezone.utc)
-    rows = [(i, "t", "r", "h", "u", T0 + dt.timedelta(seconds=37 * i), i % 7, "auth_success" if i % 11 == 0 else "auth_failure") for i in range(400)]
-    random.Random(1).shuffle(rows)
-    d = spark.createDataFrame(rows, "event_id bigint, tenant_id string, rule_id string, entity string, user_name string, ts timestamp_ntz, risk_score int, event_type string").coalesce(1)
-    path, seen = new_folder(spark, "rows"), []
-    d.write.parquet(path)
-    end = spark.createDataFrame([(9999, "t", "r", "h", "u", T0 + dt.timedelta(days=90), -1, "auth_success")], d.schema).coalesce(1)
-    for size in ("10000", "50"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        try:
-            feed, out, checkpoint, locks, other = (new_folder(spark, x) for x in ("feed", "out", "checkpoint", "locks", "checkpoint"))
-            for part in (spark.read.parquet(path), end):
-                part.write.mode("append").parquet(feed)
-                jobs.run_available(jobs.alert_windows(jobs.read_folder(spark, feed, d.schema), "1 second", 600 * 1_000_000), out, checkpoint)
-                jobs.run_available(jobs.lockouts(jobs.read_folder(spark, feed, d.schema), 3, 60), locks, other)
-        finally:
-            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-        seen.append([sorted(map(tuple, spark.read.parquet(x).collect())) for x in (out, locks)])
-    assert seen[0] == seen[1]
-    want, open_ = [], None
-    for i in range(400):
-        us = int(base.timestamp() + 37 * i) * 1_000_000
-        if open_ is None or us >= open_[0] + 600_000_000:
-            open_ = [us, 0]
-            want.append(open_)
-        open_[1] += 1
-    assert [(r[3], r[5]) for r in seen[0][0] if r[6] >= 0] == [tuple(x) for x in want]
-    assert len(seen[0][1]) == sum(max(0, sum(1 for i in range(k, min(k + 11, 400)) if i % 11) - 2) for k in range(0, 400, 11))
