@@ -4,16 +4,17 @@ Texts and items are compared as sequences of words: lower-cased runs of letters
 passage within k edits holds at least one piece unchanged. Pieces are found in whole texts by rolling hashes of as many words; the words around hits, widened by k, are then measured with
 Myers' bit-parallel edit distance, a bit for each word of the item. Hits of an item that stand near each other are measured in one go.
 
-Items are a stated query set. They are taken in blocks of about `block_items`, whose pieces are sent to the tasks; all blocks are searched in one pass over the
-documents, without shuffle.
+Items are a stated query set. They are taken in blocks of about `block_items`, whose pieces are sent to the tasks: one pass over the documents a block, without
+shuffle, with what it found written before the next block is read, so one block is held at a time.
 
-Defined cases: null or empty texts match nothing; items of fewer than `min_words` words (or null) are not searched, as so few words show nothing; equal items are each reported;
+Defined cases: null or empty texts match nothing, and neither do items without a word; items of fewer than `min_words` words are found where they stand unchanged (k = 0); such items that hold other
+than ASCII letters, as scripts without spaces give few words, are compared by code points instead, with k = 0 below 3 * `min_words` of them; equal items are each reported;
 repeated documents are each reported; of equally near places of one item in one stretch the first is reported; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quillwatch.llm.words import LETTERS, mix, raw
+from quillwatch.llm.training import unused
+from quillwatch.llm.words import LETTERS, mix, raw, signs
+from quillwatch.sources.shared import materialize
 
 MATCH = "array<struct<item:long,start:long,end:long,distance:int>>"
 
@@ -57,19 +60,25 @@ def places(words: list[int]) -> dict[int, int]:
     return out
 
 
+def single_signs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters and digits one by one."""
+    return signs(data, offsets, LETTERS.inside)
+
+
 class Items:
-    """Pieces of a block of items, by their length in words."""
+    """Pieces of a block of items, by their length in words (what `cut` gives)."""
 
-    def __init__(self, ids: list, texts: list[str], rate: float, min_words: int):
-        hashes, _, _, first = LETTERS.words(*raw(pa.array(texts, pa.string())))
+    def __init__(self, ids: list, texts: list[str], rate: float, min_words: int, cut: Callable = LETTERS.words):
+        hashes, _, _, first = cut(*raw(pa.array(texts, pa.string())))
+        self.cut = cut
         self.ids, self.words, self.budget = ids, [], []
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for i in range(len(texts)):
             w = hashes[first[i]:first[i + 1]]
-            n, k = len(w), int(rate * len(w))
+            n, k = len(w), int(rate * len(w)) if len(w) >= min_words else 0
             self.words.append(w.tolist())
             self.budget.append(k)
-            if n < max(1, min_words):
+            if not n:
                 continue
             for j in range(k + 1):
                 a, b = j * n // (k + 1), (j + 1) * n // (k + 1)
@@ -111,7 +120,7 @@ class Items:
         out: list[list[tuple]] = [[] for _ in range(len(column))]
         if not self.pieces:
             return out
-        hashes, start, end, first = LETTERS.words(data, offsets)
+        hashes, start, end, first = self.cut(data, offsets)
         row = np.repeat(np.arange(len(column)), np.diff(first))
         hits = self.hits(hashes, row).tolist()
         k = 0
@@ -146,32 +155,44 @@ def _fold(words: np.ndarray) -> np.uint64:
 
 def matcher(ids: list, texts: list[str], rate: float, min_words: int) -> Callable[[Column], Column]:
     """Column function: lower-cased text to its matches."""
-    items = Items(ids, texts, rate, min_words)
+    few = np.diff(LETTERS.words(*raw(pa.array(texts, pa.string())))[3]) < min_words
+    unspaced = [bool(f) and not t.isascii() for f, t in zip(few, texts, strict=True)]
+    pick = lambda wanted: ([i for i, u in zip(ids, unspaced, strict=True) if u == wanted], [t for t, u in zip(texts, unspaced, strict=True) if u == wanted])
+    held = [Items(*pick(False), rate, min_words)]
+    if any(unspaced):
+        held.append(Items(*pick(True), rate, 3 * min_words, single_signs))
 
     @arrow_udf(MATCH)
     def match(column: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]))
-        return pa.array([[dict(zip(("item", "start", "end", "distance"), m, strict=True)) for m in row] for row in items.matches(column)], kind)
+        rows = [sum(found, []) for found in zip(*[x.matches(column) for x in held], strict=True)]
+        return pa.array([[dict(zip(("item", "start", "end", "distance"), m, strict=True)) for m in row] for row in rows], kind)
     return match.asNondeterministic()  # for the optimiser, which would evaluate it twice under an explode
 
 
-def with_matches(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_words: int = 6, block_items: int = 10_000) -> DataFrame:
-    """docs with `_matches`: array of (item, start, end, distance). Places are code points of the lower-cased text."""
+def matchers(items: DataFrame, rate: float = 0.2, min_words: int = 6, block_items: int = 10_000) -> Iterator[tuple[Callable[[Column], Column], bool]]:
+    """Column functions of the blocks of items, one after the other, and whether each is the last. The driver holds one block."""
     wanted = items.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     blocks = max(1, -(-wanted.count() // block_items))
-    found = []
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        found.append(matcher([r["item_id"] for r in rows], [r["text"] for r in rows], rate, min_words)(F.lower(F.coalesce("text", F.lit("")))))
-    return docs.withColumn("_matches", F.concat(*found))
+        yield matcher([r["item_id"] for r in rows], [r["text"] for r in rows], rate, min_words), b == blocks - 1
 
 
 def find(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """doc_id, item_id, start, end, distance: a row per passage of a document within the item's error budget."""
-    rows = with_matches(docs.select("doc_id", "text"), items, **options).select("doc_id", F.explode("_matches").alias("m"))
-    return rows.select("doc_id", F.col("m.item").alias("item_id"), "m.start", "m.end", "m.distance")
+    """doc_id, item_id, start, end, distance: a row per passage of a document within the item's error budget. Places are code points of the lower-cased text."""
+    text, out = F.lower(F.coalesce("text", F.lit(""))), None
+    for match, last in matchers(items, **options):
+        rows = docs.select("doc_id", F.explode(match(text)).alias("m")).select("doc_id", F.col("m.item").alias("item_id"), "m.start", "m.end", "m.distance")
+        rows = rows if last and out is None else materialize(rows, "matches")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a passage of any item."""
-    return with_matches(docs, items, **options).where(F.size("_matches") == 0).drop("_matches")
+    """docs without those that hold a passage of any item. Each block of items reads what the one before it left."""
+    name, = unused(docs, "_matches")
+    for match, last in matchers(items, **options):
+        docs = docs.withColumn(name, match(F.lower(F.coalesce("text", F.lit(""))))).where(F.size(name) == 0).drop(name)
+        docs = docs if last else materialize(docs, "uncontaminated")
+    return docs

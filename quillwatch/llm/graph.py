@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder; the driver sees a count and a checksum of the edges only.
     """
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "links")
+    if edges.isEmpty():
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     before = None
     while True:
         large = _nearest(edges).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
@@ -36,3 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root after more edges: only the roots that they tie together are gone through again."""
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    tied = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = materialize(components(tied), "moved")
+    if moved.isEmpty():
+        return roots
+    nodes = roots.unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    again = moved.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return materialize(nodes.join(again, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "components")

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, StructType
 
-from quillwatch.llm.graph import components
-from quillwatch.llm.training import likely
+from quillwatch.llm.graph import components, joined
+from quillwatch.llm.training import likely, unused
 from quillwatch.llm.words import SPACED, mix, raw
 from quillwatch.sources.shared import materialize
 
@@ -174,7 +174,7 @@ def _compare(percent: int, nearest: int | None):
 
 
 def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between class representatives that connect what is connected."""
+    """node, root: components of class representatives, from links that connect what is connected."""
     lists = materialize(postings(classes, percent), "postings")
     wanted = lists.select("node").distinct()
     signed = classes.join(wanted, "node", "left_semi").select("node", "n", "h1", "h2")
@@ -189,13 +189,13 @@ def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int
         part = lists.join(center, "key").where(F.col("node") != F.col("c")).where(_sized(F.col("n"), F.col("nc"), percent)).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         stars = part if stars is None else stars.unionByName(part)
     tried = materialize(stars.distinct(), "stars")
-    found = _confirm(tried, sets, percent, counted=False)
+    roots = components(_confirm(tried, sets, percent, counted=False))
 
     keys = lists.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most COORDS - need + 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     for nearest in (NEAREST, None):
-        parts = materialize(lists.join(components(found), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part")), "parts")
+        parts = materialize(lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part")), "parts")
         largest = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"))
         open_lists = (largest.where("kinds > 1").select("key", F.col("top.part").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
                                                         F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("asking")))
@@ -208,8 +208,8 @@ def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int
         pairs = full.groupBy("task").applyInArrow(_compare(percent, nearest), "a long, b long").distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        found = found.unionByName(_confirm(pairs, sets, percent, counted=True))
-    return found
+        roots = joined(roots, _confirm(pairs, sets, percent, counted=True))
+    return roots
 
 
 def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -219,7 +219,7 @@ def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
     sketched = materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text_key", "s.n", "s.h1", "s.h2", "s.sig"), "sketches")
     same = ["n", "h1", "h2"]
     classes = materialize(sketched.where("n > 0").groupBy(*same).agg(F.min("uid").alias("node"), F.first("sig").alias("sig")), "classes")
-    root = components(links(docs, sketched, classes, percent))
+    root = links(docs, sketched, classes, percent)
     of_class = materialize(classes.join(root, "node", "left").select(*same, F.coalesce("root", "node").alias("root")), "roots")
     placed = materialize(sketched.select("uid", "doc_id", "text_key", *same).join(of_class, same, "left").select("uid", "doc_id", "text_key", "n", F.coalesce("root", "uid").alias("root")), "placed")
     first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("k"), F.count(F.lit(1)).alias("members"))
@@ -234,14 +234,15 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id."""
     found = materialize(cluster(docs, percent).select("doc_id", "text_key", "keeper"), "clusters")
     gone = found.groupBy("doc_id", "text_key").agg(F.max("keeper").alias("keeper"), F.count(F.lit(1)).alias("rows"))
-    lost = materialize(gone.where("NOT keeper").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "dropped")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = keyed.join(lost, F.expr("doc_id <=> _id AND _text_key = _key"), "left_anti")
+    own_id, own_key, text_key = unused(docs, "_id", "_key", "_text_key")
+    named = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+    lost = materialize(named(gone.where("NOT keeper")), "dropped")
+    keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    at = F.expr(f"doc_id <=> {own_id} AND {text_key} = {own_key}")
+    left = keyed.join(lost, at, "left_anti")
     if not gone.where("keeper AND rows > 1").isEmpty():  # whole rows repeated: keep one, but all of those without a shingle
-        repeated = gone.where("keeper AND rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        at = F.expr("doc_id <=> _id AND _text_key = _key")
+        repeated = named(gone.where("keeper AND rows > 1"))
         once = left.join(repeated, at, "left_semi")
         some = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-        left = left.join(repeated, at, "left_anti").unionByName(once.where(some).dropDuplicates(["doc_id", "_text_key"])).unionByName(once.where(~F.coalesce(some, F.lit(False))))
-    return left.drop("_text_key")
-
+        left = left.join(repeated, at, "left_anti").unionByName(once.where(some).dropDuplicates(["doc_id", text_key])).unionByName(once.where(~F.coalesce(some, F.lit(False))))
+    return left.drop(text_key)

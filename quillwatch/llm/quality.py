@@ -3,7 +3,7 @@
 A document is a bag of passages of `PASSAGE` bytes that cover the whole text. A passage is described by how often each pair of character classes
 follows one another, by the share of its words that repeat the word before and the share that are new in it, and encoded by a learned layer; learned gated attention (tanh times sigmoid) weighs the passages, and the weighted mean is
 scored. Encoder, attention and scorer are fitted together from document labels only, by gradient descent on a sample of at most about `fit_docs` labelled
-documents. The driver holds that sample's passage features and no other data. Scoring reads every passage of every document inside the tasks, without shuffle.
+documents, of each at most `fit_passages` passages spread over its text. The sample is fitted in one task, whose input these two bounds limit; the driver gets the weights. Scoring reads every passage of every document inside the tasks, without shuffle.
 
 Defined cases: a null or empty text is one passage without characters; a document without a label is only scored; if no label is at hand all scores are 0.5 and predicted is 1;
 repeated rows get equal scores; other columns stay as they are.
@@ -139,21 +139,37 @@ class Attention:
         return {"E": x.T @ dpre, "e": dpre.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s * dlogit[:, None]).sum(0), "c": z.T @ error, "b": np.array([error.sum()])}
 
 
-@arrow_udf(ArrayType(FloatType()))
-def passage_features(texts: pa.Array) -> pa.Array:
-    parts = list(passages(texts)) if len(texts) else []
-    x = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, WIDTH), np.float32)
-    count = np.bincount(np.concatenate([p[1] for p in parts]), minlength=len(texts)) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count * WIDTH)]).astype(np.int32)), pa.array(x.ravel()))
+def passage_features(most: int) -> Callable[[Column], Column]:
+    """Column function: text to the features of its passages, of `most` evenly spread ones where there are more."""
+    @arrow_udf(ArrayType(FloatType()))
+    def features(texts: pa.Array) -> pa.Array:
+        parts = list(passages(texts)) if len(texts) else []
+        x = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, WIDTH), np.float32)
+        row = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+        count = np.bincount(row, minlength=len(texts))
+        at = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        keep = (count[row] <= most) | (at * most // np.maximum(1, count[row]) != (at - 1) * most // np.maximum(1, count[row]))
+        count = np.bincount(row[keep], minlength=len(texts))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count * WIDTH)]).astype(np.int32)), pa.array(x[keep].ravel()))
+    return features
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", fit_docs: int = 6000) -> Attention | None:
-    """The model fitted to at most about `fit_docs` labelled documents; None without a label."""
-    rows = labelled_sample(docs, labels, label, allowed, fit_docs).select("doc_id", "label", passage_features("text").alias("x")).toArrow().sort_by("doc_id")
-    if rows.num_rows == 0:
-        return None
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("label", "ascending")])
     bags = [np.asarray(x.values, np.float32).reshape(-1, WIDTH) for x in rows["x"].combine_chunks()]
-    return Attention().fit(bags, rows["label"].to_numpy().astype(np.float32))
+    model = Attention().fit(bags, rows["label"].to_numpy().astype(np.float32))
+    yield pa.RecordBatch.from_arrays([pa.array(list(model.p)), pa.array([v.ravel().tolist() for v in model.p.values()], pa.list_(pa.float32()))], ["name", "weight"])
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", fit_docs: int = 6000, fit_passages: int = 64) -> Attention | None:
+    """The model fitted to at most about `fit_docs` labelled documents and `fit_passages` passages of each; None without a label."""
+    sample = labelled_sample(docs, labels, label, allowed, fit_docs)
+    if sample.isEmpty():
+        return None
+    model = Attention()
+    for row in sample.select("doc_id", "label", passage_features(fit_passages)("text").alias("x")).repartition(1).mapInArrow(_fit, "name string, weight array<float>").collect():
+        model.p[row["name"]] = np.array(row["weight"], np.float32).reshape(model.p[row["name"]].shape)
+    return model
 
 
 def scorer(model: Attention | None) -> Callable[[Column], Column]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwatch.llm.training import unused
 from quillwatch.sources.shared import materialize
 
 # The base patterns.
@@ -100,6 +101,7 @@ def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]")
         F.greatest(acc["at"], s["end"]).alias("at"))
     cut = F.aggregate("b.spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
     changed = F.col("b.spans").isNotNull()
-    made = joined.withColumn("_cut", F.when(changed, cut))
-    out = {"text": F.coalesce("_cut", "a.text"), "n_chars": F.when(changed, F.length("_cut").cast("long")).otherwise(F.col("a.n_chars")) if "n_chars" in docs.columns else None}
+    name, = unused(docs, "_cut")
+    made = joined.withColumn(name, F.when(changed, cut))
+    out = {"text": F.coalesce(name, "a.text"), "n_chars": F.when(changed, F.length(name).cast("long")).otherwise(F.col("a.n_chars")) if "n_chars" in docs.columns else None}
     return made.select(*[out[c].alias(c) if out.get(c) is not None else F.col(f"a.`{c}`") for c in docs.columns])

@@ -19,6 +19,17 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until docs has no such column."""
+    held, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int) -> DataFrame:
     """text, label of at most about `limit` labelled documents among the `allowed` ids, both classes in their natural share.
 

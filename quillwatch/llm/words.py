@@ -89,6 +89,19 @@ class Cutter:
         return np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets)
 
 
+def signs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `Cutter.words`, with every code point as a word of its own; ASCII ones only if `inside` has them, A-Z as a-z."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    end = np.append(start[1:], len(data))
+    keep = inside[data[start]] if len(start) else np.zeros(0, bool)
+    start, end = start[keep], end[keep]
+    code = np.zeros(len(start), np.uint64)
+    for k in range(4):
+        at = np.minimum(start + k, max(0, len(data) - 1))
+        code = code << np.uint64(8) | np.where(start + k < end, _fold()[data[at]], 0).astype(np.uint64)
+    return mix(code + np.uint64(1)), start, end, np.searchsorted(start, offsets)
+
+
 def runs(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of the `length` words from each word on (rows are not looked at); shorter by length - 1."""
     n = len(hashes) - length + 1

@@ -455,3 +455,60 @@ def test_likely_keeps_all_wanted(spark):
     wanted = rows.where("doc_id % 40 = 3")
     got = {r[0] for r in likely(rows, wanted, "doc_id").collect()}
     assert {r[0] for r in wanted.collect()} <= got and len(got) < 520
+
+
+# Short items, clashing columns, bounded fits
+
+def test_short_and_unspaced_items_are_found(spark):
+    items = spark.createDataFrame([(1, "Alpha beta, gamma delta"), (2, "今天天气很好我们一起去公园散步吧看看美丽的花朵"), (3, "短句"), (4, "!!"), (5, None)], "item_id long, text string")
+    rows = [(1, "so alpha BETA gamma-delta it is", "s"), (2, "昨天说今天天气很好我们一块去公园散步吧看看美丽的花朵了", "s"), (3, "这是短句吗", "s"), (4, "alpha beta delta gamma", "s"), (5, None, "s"), (6, "!! 今天", "s")]
+    table = docs(spark, rows)
+    for options in ({}, {"block_items": 1}):
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find(table, items, **options).collect()} == {(1, 1, 0), (2, 2, 1), (3, 3, 0)}
+        left = decontam.clean(table.withColumn("_matches", F.lit("own")), items, **options)
+        assert sorted((r["doc_id"], r["_matches"]) for r in left.collect()) == [(4, "own"), (5, "own"), (6, "own")]
+
+
+def test_clashing_columns_pass(spark):
+    text = "one two three four five six seven password = hunter2secret "
+    table = docs(spark, [(1, text, "s"), (2, text, "s"), (3, "other words that stand here alone", "s"), (3, "other words that stand here alone", "s")])
+    names = ["_id", "_key", "_text_key", "_cut", "_matches"]
+    for name in names:
+        table = table.withColumn(name, F.lit(f"own {name}"))
+    for out in (minhash.deduplicate(table), secret_scan.redact(table, F.col("source"), F.col("lang"))):
+        assert out.columns == table.columns
+        held = out.collect()
+        assert all(r[n] == f"own {n}" for r in held for n in names) and len(held) in (2, 4)
+
+
+def test_components_join_in_steps(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))]
+    table = lambda part: spark.createDataFrame(part, "a long, b long").where("a <> b")
+    whole = {r["node"]: r["root"] for r in graph.components(table(edges)).collect()}
+    roots = graph.components(table(edges[:90]))
+    for part in (edges[90:100], edges[100:], edges[:5], []):
+        roots = graph.joined(roots, table(part))
+    assert {r["node"]: r["root"] for r in roots.collect()} == whole
+
+
+def test_quality_fit_is_bounded(spark):
+    texts = ["".join(chr(97 + (i + k) % 26) for k in range(n)) for i, n in enumerate((0, 10, quality.PASSAGE * 3, quality.PASSAGE * 500))]
+    table = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    size = {r["doc_id"]: r["n"] // quality.WIDTH for r in table.select("doc_id", F.size(quality.passage_features(7)("text")).alias("n")).collect()}
+    assert size == {0: 1, 1: 1, 2: 3, 3: 7}
+
+
+def test_quality_scores_equal_a_loop():
+    model = quality.Attention(9, 4)
+    texts = ["", "a b a b", "Some words, 12 of them! " * 90, "é" * 700]
+    want = []
+    for t in texts:
+        bag = np.concatenate([x for x, _ in quality.passages(pa.array([t]))])
+        top, low = 0.0, 0.0
+        for x in bag.astype(np.float64):
+            h = [max(0.0, sum(x[i] * model.p["E"][i, j] for i in range(len(x))) + model.p["e"][j]) for j in range(9)]
+            gate = sum(model.p["w"][g] * np.tanh(sum(h[j] * model.p["V"][j, g] for j in range(9))) / (1 + np.exp(-sum(h[j] * model.p["U"][j, g] for j in range(9)))) for g in range(4))
+            top, low = top + np.exp(gate) * sum(h[j] * model.p["c"][j] for j in range(9)), low + np.exp(gate)
+        want.append(1 / (1 + np.exp(-(top / low + model.p["b"][0]))))
+    assert np.allclose(model.score(pa.array(texts)), want, atol=1e-4)
