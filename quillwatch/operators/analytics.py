@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwatch.functions.scalars import SEVERITIES, c, choose
+from quillwatch.operators import ranks
 from quillwatch.operators.alerts import minutes_between
 
 
@@ -108,7 +109,7 @@ def report_summary(alerts: DataFrame) -> DataFrame:
 
 def rank_assets(alerts: DataFrame) -> DataFrame:
     per = alerts.groupBy("tenant_id", "hostname").agg(F.sum("risk_score").alias("risk"))
-    return per.withColumn("rank", F.dense_rank().over(Window.partitionBy("tenant_id").orderBy(c("risk").desc())).cast("bigint"))
+    return ranks.dense_ranks(per, ["tenant_id"], "risk")
 
 
 def compare_periods(alerts: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwatch.functions.scalars import c, micros
-from quillwatch.operators import split
+from quillwatch.operators import ranks, split
 from quillwatch.operators.risk import ANOMALY_FLOOR, BEACON_FLOOR, EXFIL_FLOOR
+from quillwatch.sources.shared import materialize
 
 FIVE_MINUTES = 5 * split.MINUTE
 # Shape of the beacon vector.
@@ -43,14 +44,17 @@ def baseline_30d(daily: DataFrame, key="asset") -> DataFrame:
 
 
 def outliers(daily: DataFrame, key="asset") -> DataFrame:
-    """z-score and MAD distance of each day against the key's own days."""
-    stats = daily.groupBy(key).agg(F.avg("bytes").alias("_mean"), F.stddev_samp("bytes").alias("_sd"), F.expr("percentile(bytes, 0.5)").alias("_med"))
-    d = daily.join(stats, key)
-    mad = d.groupBy(key).agg(F.expr("percentile(abs(bytes - _med), 0.5)").alias("_mad"))
-    d = d.join(mad, key)
+    """z-score and MAD distance of each day against the key's own days. Medians are exact, whatever the number of rows of a key."""
+    daily = materialize(daily, "daily")
+    alias = lambda df, name: df.select(c(key).alias(f"_{name}_key"), c("twice").alias(name))
+    middle = alias(ranks.doubled_medians(daily, [key], "bytes"), "_med2")
+    stats = daily.groupBy(key).agg(F.avg("bytes").alias("_mean"), F.stddev_samp("bytes").alias("_sd"))
+    d = daily.join(stats, key).join(middle, c(key) == c("__med2_key"))
+    spread = alias(ranks.doubled_medians(d.withColumn("_off", F.abs(2 * c("bytes") - c("_med2"))), [key], "_off"), "_mad4")
+    d = d.join(spread, c(key) == c("__mad4_key"))
     safe = lambda num, den: F.when(den > 0, F.round(num / den, 6)).otherwise(F.lit(0.0))
     return d.select(key, "day", "bytes", safe(c("bytes") - c("_mean"), F.coalesce(c("_sd"), F.lit(0.0))).alias("zscore"),
-                    safe(F.abs(c("bytes") - c("_med")), F.coalesce(c("_mad"), F.lit(0.0))).alias("mad_score"))
+                    safe(F.abs(c("bytes") - c("_med2") / 2), c("_mad4") / 4).alias("mad_score"))
 
 
 def first_seen(events: DataFrame, keys) -> DataFrame:

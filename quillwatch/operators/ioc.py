@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import c, true_only
+from quillwatch.functions.scalars import c
+from quillwatch.sources.shared import materialize
 
 
 def url_normal(value) -> Column:
@@ -49,20 +50,23 @@ def url_host(url) -> Column:
 
 
 FIXED = [("ip", "src_ip"), ("ip", "dst_ip"), ("sha256", "file_hash")]
-DOMAINS = 1000
+ENTRY = "array<struct<pos:int,ioc_type:string,value_norm:string>>"
 
 
-def candidates(events: DataFrame, with_domain: bool = False) -> DataFrame:
-    """Narrow rows (event_id, pos, type, value) to look up, in order of precedence."""
+def entries(urls: Column, with_domain: bool = False) -> Column:
+    """What an event has looked up, in order of precedence: its fixed columns, its addresses, then their hosts."""
     def entry(pos, kind, value):
         return F.struct(pos.alias("pos"), F.lit(kind).alias("ioc_type"), value.alias("value_norm"))
-    urls = urls_of()
     parts = [F.array(*[entry(F.lit(i), kind, normal_value(F.lit(kind), x)) for i, (kind, x) in enumerate(FIXED)]),
              F.transform(urls, lambda u, i: entry(i + len(FIXED), "url", url_normal(u)))]
     if with_domain:
-        parts.append(F.transform(urls, lambda u, i: entry(i + DOMAINS, "domain", url_host(u))))
-    return (events.select("event_id", F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<struct<pos:int,ioc_type:string,value_norm:string>>")) for p in parts])).alias("x"))
-            .select("event_id", "x.*").filter(c("value_norm").isNotNull()))
+        parts.append(F.transform(urls, lambda u, i: entry(i + len(FIXED) + F.size(urls), "domain", url_host(u))))
+    return F.filter(F.concat(*[F.coalesce(p, F.array().cast(ENTRY)) for p in parts]), lambda x: x["value_norm"].isNotNull())
+
+
+def candidates(events: DataFrame, with_domain: bool = False) -> DataFrame:
+    """Narrow rows (event_id, pos, type, value) to look up, in order of precedence."""
+    return events.select("event_id", F.explode(entries(urls_of(), with_domain)).alias("x")).select("event_id", "x.*")
 
 
 def hits(events: DataFrame, indicators: DataFrame, with_domain: bool = False) -> DataFrame:
@@ -77,26 +81,70 @@ def first_hits(events: DataFrame, indicators: DataFrame, with_domain: bool = Fal
         "event_id", c("h.ioc_type").alias("ioc_type"), c("h.value_norm").alias("ioc_value"), c("h.source").alias("ioc_feed"))
 
 
-def flag(events: DataFrame, indicators: DataFrame, with_domain: bool = False) -> DataFrame:
+#: Bits per indicator, bits that each sets, words of a block, and blocks at most (32 MB).
+BITS_EACH, SET_BITS, BLOCK_WORDS, MOST_BLOCKS = 20, 5, 64, 1 << 16
+
+
+class Lookup:
+    """Indicators written once, and a blocked Bloom filter over them.
+
+    An indicator belongs to one block of 4 096 bits and sets `SET_BITS` bits in it. The filter is an array of words, at most `MOST_BLOCKS` blocks, which the plan takes
+    in as a scalar subquery: tests are plain column arithmetic inside generated code. What it lets through wrongly (about one value in a thousand; more beyond
+    13 million indicators) the exact join drops, so results do not depend on it."""
+
+    def __init__(self, indicators: DataFrame):
+        spark = indicators.sparkSession
+        self.rows = materialize(indicators.select("ioc_type", "value_norm", "source", "severity"), "indicators")
+        self.blocks = min(MOST_BLOCKS, max(1, -(-self.rows.count() * BITS_EACH // (64 * BLOCK_WORDS))))
+        block, bits = self._places(c("ioc_type"), c("value_norm"))
+        place = self.rows.select(block.alias("block"), F.explode(F.array(*bits)).alias("bit"))
+        words = place.groupBy("block", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+        every = spark.range(self.blocks * BLOCK_WORDS).select(F.floor(c("id") / BLOCK_WORDS).alias("block"), (c("id") % BLOCK_WORDS).alias("word"))
+        full = every.join(words, ["block", "word"], "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")))).alias("held"))
+        one = full.agg(F.sort_array(F.collect_list(F.struct("block", c("held")["mask"].alias("masks")))).alias("held")).select(F.flatten(c("held")["masks"]).alias("words"))
+        self.words = materialize(one, "indicator-filter").select("words").scalar()
+
+    def _places(self, kind: Column, value: Column) -> tuple[Column, list[Column]]:
+        second = F.xxhash64(value, kind)
+        return F.pmod(F.xxhash64(kind, value), F.lit(self.blocks)), [F.shiftrightunsigned(second, 12 * i).bitwiseAND(F.lit(4095)) for i in range(SET_BITS)]
+
+    def maybe(self, kind: str, value: Column) -> Column:
+        """False if the value is surely no indicator; false for no value."""
+        block, bits = self._places(F.lit(kind), value)
+        out = value.isNotNull()
+        for bit in bits:
+            word = F.get(self.words, (block * BLOCK_WORDS + F.shiftright(bit, 6)).cast("int"))
+            out = out & (F.call_function("getbit", word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return out
+
+
+def flag(events: DataFrame, indicators: DataFrame | Lookup, with_domain: bool = False) -> DataFrame:
     """Events with ``ioc_hit`` and the winning indicator.
 
-    An event looks up its own columns, so the wide rows are not shuffled by event: Spark broadcasts each kind of indicator if
-    its statistics allow, else joins on the value. Only events with several addresses are looked up by narrow rows."""
-    d = events.withColumn("_urls", urls_of())
-    one, many = d.filter(~true_only(F.size("_urls") > 1)), d.filter(true_only(F.size("_urls") > 1)).drop("_urls")
+    Every event is tested against the filter by its own columns; those that fail it, nearly all without a hit, are done and are never moved. Only the rest
+    (and events with several addresses) are joined with the indicators, as rows of their own, and brought together again by event."""
+    look = indicators if isinstance(indicators, Lookup) else Lookup(indicators)
+    d = events.withColumn("_urls", F.coalesce(urls_of(), F.array().cast("array<string>")))
     url = F.get("_urls", F.lit(0))
     keys = [(kind, normal_value(F.lit(kind), x)) for kind, x in FIXED] + [("url", url_normal(url))] + ([("domain", url_host(url))] if with_domain else [])
-    found = []
-    for i, (kind, key) in enumerate(keys):
-        side = indicators.filter(c("ioc_type") == kind).groupBy(c("value_norm").alias(f"_k{i}")).agg(F.min("source").alias(f"_s{i}"))
-        one = one.withColumn("_v", key).join(side, c("_v") == c(f"_k{i}"), "left").drop("_v")
-        found.append(F.when(c(f"_k{i}").isNotNull(), F.struct(F.lit(kind).alias("ioc_type"), c(f"_k{i}").alias("ioc_value"), c(f"_s{i}").alias("ioc_feed"))))
-    one = one.withColumn("_h", F.coalesce(*found)).select(*events.columns, "_h.*")
-    many = many.join(first_hits(many, indicators, with_domain), "event_id", "left").select(*events.columns, "ioc_type", "ioc_value", "ioc_feed")
-    return one.unionByName(many).withColumn("ioc_hit", c("ioc_type").isNotNull())
-
-
-def keep_hit(events: DataFrame, indicators: DataFrame, negate: bool = False) -> DataFrame:
+    maybe = F.size("_urls") > 1
+    for kind, key in keys:
+        maybe = maybe | look.maybe(kind, key)
+    d = d.withColumn("_maybe", maybe)
+    text = lambda x: F.lit(None).cast("string").alias(x)
+    rest = d.filter("NOT _maybe").select(*events.columns, text("ioc_type"), text("ioc_value"), text("ioc_feed"))
+    row = F.struct(*[c(f"`{x}`") for x in events.columns]).alias("_event")
+    some = d.filter("_maybe").select(F.monotonically_increasing_id().alias("_row"), row, entries(c("_urls"), with_domain).alias("_looked_up"))
+    some = some.select("_row", "_event", F.explode_outer("_looked_up").alias("_x")).select("_row", "_event", "_x.*")
+    sides = look.rows.select(c("ioc_type").alias("_type"), c("value_norm").alias("_value"), "source")
+    met = some.join(sides, (c("ioc_type") == c("_type")) & (c("value_norm") == c("_value")), "left")
+    hit = F.when(c("_type").isNotNull(), F.struct("pos", c("source").alias("ioc_feed"), "ioc_type", c("value_norm").alias("ioc_value")))
+    best = met.groupBy("_row").agg(F.first("_event").alias("_event"), F.min(hit).alias("_hit"))
+    found = best.select("_event.*", "_hit.ioc_type", "_hit.ioc_value", "_hit.ioc_feed")
+    return rest.unionByName(found).withColumn("ioc_hit", c("ioc_type").isNotNull())
+
+
+def keep_hit(events: DataFrame, indicators: DataFrame | Lookup, negate: bool = False) -> DataFrame:
     return flag(events, indicators).filter(~c("ioc_hit") if negate else c("ioc_hit")).select(*events.columns)
 
 

@@ -275,13 +275,10 @@ def _(spark, d):
 
 @query("join_ioc_semi", "SELECT event_id, true AS hit FROM (SELECT DISTINCT event_id FROM ioc_hit_rows) UNION ALL SELECT event_id, false FROM sec_events WHERE event_id NOT IN (SELECT event_id FROM ioc_hit_rows)")
 def _(spark, d):
-    e, s = v.sec_events(spark, d), v.ioc_set(spark, d)
-    return (ioc.keep_hit(e, s).select("event_id", F.lit(True).alias("hit"))
-            .unionByName(ioc.keep_hit(e, s, negate=True).select("event_id", F.lit(False).alias("hit"))))
+    e = v.sec_events(spark, d).select("event_id", "src_ip", "dst_ip", "file_hash", "fields")
+    return ioc.flag(e, v.ioc_lookup(spark, d)).select("event_id", c("ioc_hit").alias("hit"))
 
 
-# ---- risk -----------------------------------------------------------------------
-
 @query("score_rule_severity", "SELECT event_id, base FROM scored")
 def _(spark, d):
     return rules.match_all(v.sec_events(spark, d), RULES).select("event_id", risk.base_score().alias("base"))

@@ -30,7 +30,7 @@ ANY_HIT = f"""({IP_HIT} OR src_ip IN (SELECT value_norm FROM ioc_set WHERE ioc_t
 
 @query("flt_ioc_only", f"SELECT event_id, tenant_id, ts, event_type FROM sec_events WHERE {ANY_HIT}")
 def _(spark, d):
-    return flt.ioc_only(ioc.flag(v.sec_events(spark, d), v.ioc_set(spark, d))).select(EV)
+    return ioc.keep_hit(v.sec_events(spark, d).select(*EV, "src_ip", "dst_ip", "file_hash", "fields"), v.ioc_lookup(spark, d)).select(EV)
 
 
 @query("flt_min_severity", "SELECT event_id, severity FROM sec_events WHERE sev_rank >= 3")

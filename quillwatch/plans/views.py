@@ -135,11 +135,19 @@ def normalized(spark, d) -> DataFrame:
     return _STORES[key]
 
 
+def ioc_lookup(spark, d) -> ioc.Lookup:
+    """The indicators and their filter, built once per session."""
+    key = (spark.sparkContext.applicationId, d, "indicators")
+    if key not in _STORES:
+        _STORES[key] = ioc.Lookup(ioc_set(spark, d))
+    return _STORES[key]
+
+
 # ---- detection ---------------------------------------------------------------
 
 def detected(spark, d) -> DataFrame:
     """Events with rule matches, indicator hits and risk."""
-    e = ioc.flag(model_scores(sec_events(spark, d)), ioc_set(spark, d))
+    e = ioc.flag(model_scores(sec_events(spark, d)), ioc_lookup(spark, d))
     return risk.score_events(rules.match_all(e, RULES))
 
 
@@ -159,7 +167,7 @@ def raw_candidates(spark, d) -> DataFrame:
     """Raw lines to candidates: normalised, assets of the tenant, indicators, rules, risk. Nothing but agent columns and lines is read."""
     e = enrich.with_criticality(normalized(spark, d).withColumn("asset_tags", F.array().cast("array<string>")), sec_assets(spark, d).withColumn("tags", F.split("tag_text", ",")))
     e = e.withColumns({"anomaly_score": F.try_element_at("fields", F.lit("k")).try_cast("double") / 100, "ueba_score": (F.col("event_id") % 100) / F.lit(100.0)})
-    scored = risk.score_events(rules.match_all(ioc.flag(e, ioc_set(spark, d)), RULES))
+    scored = risk.score_events(rules.match_all(ioc.flag(e, ioc_lookup(spark, d)), RULES))
     return materialize(alerts.with_key(risk.candidates(scored).select(CANDIDATE_COLUMNS)), "candidates")
 
 

@@ -296,3 +296,32 @@ def test_linear_model_scores(spark):
     from quillwatch.operators import models
     d = spark.createDataFrame([([0.5, 0.25],), ([9.0, 9.0],), ([1.0],)], "x array<double>")
     assert [r[0] for r in d.select(models.score([1.0, 1.0], "x")).collect()] == [0.75, 1.0, None]
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_large_indicator_lists_give_exact_hits(spark, broadcast):
+    from quillwatch.operators import ioc
+    n = 20_000
+    ind = spark.range(n).select(F.lit("ip").alias("ioc_type"), F.concat(F.lit("10.0."), F.col("id").cast("string")).alias("value_norm"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("source"), F.lit(None).cast("string").alias("severity"))
+    ind = ind.unionByName(spark.createDataFrame([("url", "http://bad/x", "u", None), ("domain", "evil", "d", None), ("ip", "10.0.7", "a", None)], ind.schema))
+    e = spark.range(6000).select(F.col("id").alias("event_id"), F.concat(F.lit("10.0."), (F.col("id") * 7).cast("string")).alias("src_ip"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("10.0."), F.col("id").cast("string"))).alias("dst_ip"),
+                                 F.lit(None).cast("string").alias("file_hash"), F.lit("own").alias("_row"),
+                                 F.when(F.col("id") == 5001, F.create_map(F.lit("a"), F.lit("http://ok/1"), F.lit("b"), F.lit("HTTP://bad/x"), F.lit("c"), F.lit("http://evil:80/q"))).alias("fields"))
+    e = e.unionByName(e.filter("event_id = 3")).drop("_row")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        look = ioc.Lookup(ind)
+        got = ioc.flag(e, look, with_domain=True)
+        assert got.columns == [*e.columns, "ioc_type", "ioc_value", "ioc_feed", "ioc_hit"]
+        rows = got.collect()
+        passed = e.filter(look.maybe("ip", F.col("src_ip"))).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 6001
+    for r in rows:
+        i = r.event_id
+        want = f"f{i * 7}" if i * 7 < n else f"f{i}" if i % 2 == 0 else None
+        want = "a" if i == 1 else "d" if i == 5001 else want
+        assert (r.ioc_feed, r.ioc_hit) == (want, want is not None), r
+    assert 0 <= passed - sum(1 for r in rows if r.event_id * 7 < n) < 40
+    assert not [r for r in ioc.flag(e, ind.limit(0)).collect() if r.ioc_hit]
