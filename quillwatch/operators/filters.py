@@ -19,12 +19,21 @@ def for_tenant(df: DataFrame, tenant: str) -> DataFrame:
 
 
 def time_range(df: DataFrame, start=None, end=None) -> DataFrame:
-    """Both ends inclusive, either may be open."""
+    """Both ends inclusive, either may be open. Where the table is stored by day, the days are chosen as folders."""
     conds = [c("ts") >= F.lit(start).cast("timestamp_ntz")] if start else []
     conds += [c("ts") <= F.lit(end).cast("timestamp_ntz")] if end else []
+    if "event_day" in df.columns:
+        conds += [c("event_day") >= F.lit(start).cast("timestamp_ntz").cast("date")] if start else []
+        conds += [c("event_day") <= F.lit(end).cast("timestamp_ntz").cast("date")] if end else []
     return df.filter(all_of(conds)) if conds else df
 
 
+def after(df: DataFrame, limit, inclusive: bool = True) -> DataFrame:
+    """Rows from a time on, which may be a constant expression; days as in ``time_range``."""
+    d = df.filter(c("ts") >= limit if inclusive else c("ts") > limit)
+    return d.filter(c("event_day") >= limit.cast("date")) if "event_day" in df.columns else d
+
+
 def equals(df: DataFrame, **wanted) -> DataFrame:
     unknown = set(wanted) - set(EQUALITY_COLUMNS)
     if unknown:
@@ -52,7 +61,7 @@ def since(df: DataFrame, text: str, now: str) -> DataFrame:
     """``30s`` / ``5m`` / ``2h`` / ``7d`` before ``now``, or an absolute time."""
     ref = F.lit(now).cast("timestamp_ntz")
     start = ref - seconds(parse_duration(text)) if re.fullmatch(r"\d+[smhd]", text) else F.lit(text).cast("timestamp").cast("timestamp_ntz")
-    return df.filter(c("ts") >= start)
+    return after(df, start)
 
 
 def where_allowed(df: DataFrame, column: str, op: str, value, allowed=tuple(EQUALITY_COLUMNS) + ("severity", "dst_port", "bytes_out")) -> DataFrame:
@@ -95,4 +104,4 @@ def page(df: DataFrame, limit: int | None, offset: int, ts="ts", tie="event_id",
 
 def newer_than(df: DataFrame, cursor: str, limit: int = 100) -> DataFrame:
     """Live tail: rows strictly newer than the cursor, oldest first."""
-    return df.filter(c("ts") > F.lit(cursor).cast("timestamp_ntz")).orderBy("ts", "event_id").limit(limit)
+    return after(df, F.lit(cursor).cast("timestamp_ntz"), inclusive=False).orderBy("ts", "event_id").limit(limit)

@@ -203,7 +203,7 @@ _RATE = "SELECT rule_id, coalesce(matches, 0) AS matches, t.total, round(coalesc
  LEFT JOIN (SELECT rule_id, count(*) AS matches FROM rule_hits JOIN sec_events USING (event_id) WHERE {_LAST_DAY} GROUP BY 1) m USING (rule_id)
  CROSS JOIN (SELECT count(*) AS total FROM sec_events WHERE {_LAST_DAY}) t)""")
 def _(spark, d):
-    e = v.sec_events(spark, d).filter(c("ts") > F.lit(v.NOW).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS"))
+    e = flt.after(v.sec_events(spark, d), F.lit(v.NOW).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS"), inclusive=False)
     return rules.match_rates(e, rules.stable(RULES))
 
 

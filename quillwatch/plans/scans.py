@@ -8,6 +8,7 @@ from quillwatch.operators import ioc
 from quillwatch.plans import views as v
 from quillwatch.plans.registry import query
 from quillwatch.sources import archive, events, intake, rule_files
+from quillwatch.sources.event_store import EventStore
 from quillwatch.sources.shared import new_folder
 from quillwatch.sources.tables import table
 
@@ -65,12 +66,25 @@ def _(spark, d):
     return flt.for_tenant(v.sec_events(spark, d), "tenant-2").select("event_id", "tenant_id", "ts", "source_type", "event_type", "hostname", "user_name", "src_ip", "dst_ip", "severity", "raw")
 
 
-@query("sink_events", "SELECT tenant_id, count(*) AS foreign_rows FROM sec_events WHERE tenant_id <> 'tenant-0' GROUP BY 1")
+COLD = ["event_id", "tenant_id", "ts", "event_type", "severity"]
+
+
+@query("sink_events", """SELECT 'stored' AS outcome, tenant_id, count(*) AS n FROM sec_events WHERE tenant_id = 'tenant-0' GROUP BY tenant_id
+ UNION ALL SELECT 'refused', 'tenant-1', count(*) FILTER (tenant_id <> 'tenant-1') FROM sec_events WHERE tenant_id <> 'tenant-0'""")
 def _(spark, d):
-    return events.foreign_rows(v.sec_events(spark, d), "tenant-0").groupBy("tenant_id").agg(F.count("*").alias("foreign_rows"))
+    e = v.sec_events(spark, d).select(COLD)
+    store = EventStore(spark, new_folder(spark, "store"), e.schema)
+    store.append(flt.for_tenant(e, "tenant-0"), "tenant-0")
+    try:
+        store.append(e.filter("tenant_id <> 'tenant-0'"), "tenant-1")
+        refused = "none"
+    except PermissionError as problem:
+        refused = str(problem)
+    stored = store.read().groupBy("tenant_id").agg(F.count("*").alias("n")).select(F.lit("stored").alias("outcome"), "tenant_id", "n")
+    said = spark.range(1).select(F.lit("refused").alias("outcome"), F.lit("tenant-1").alias("tenant_id"), F.regexp_extract(F.lit(refused), r"holds (\d+) rows", 1).try_cast("bigint").alias("n"))
+    return stored.unionByName(said)
 
 
-COLD = ["event_id", "tenant_id", "ts", "event_type", "severity"]
 
 
 def _archived(spark, d):
@@ -80,10 +94,15 @@ def _archived(spark, d):
     return e, path
 
 
-@query("sink_archive_parquet", "SELECT tenant_id, CAST(ts AS DATE) AS day, count(*) AS n FROM sec_events WHERE ts < TIMESTAMP '2024-01-31' - INTERVAL 10 DAY GROUP BY 1, 2")
+@query("sink_archive_parquet", """SELECT CASE WHEN ts < TIMESTAMP '2024-01-31' - INTERVAL 10 DAY THEN 'cold' ELSE 'hot' END AS tier, tenant_id, CAST(ts AS DATE) AS day, count(*) AS n FROM sec_events GROUP BY ALL""")
 def _(spark, d):
-    e, path = _archived(spark, d)
-    return archive.replay(spark, path, e.schema).groupBy("tenant_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    e = v.sec_events(spark, d).select(COLD)
+    store = EventStore(spark, new_folder(spark, "store"), e.schema)
+    store.append(e)
+    store.move_expired(v.NOW, 10)
+    store.move_expired(v.NOW, 10)  # a rerun finds nothing to move
+    tier = lambda x: store.read(tier=x).groupBy("tenant_id", c("event_day").alias("day")).agg(F.count("*").alias("n")).select(F.lit(x).alias("tier"), "tenant_id", "day", "n")
+    return tier("hot").unionByName(tier("cold"))
 
 
 @query("src_archive_replay", "SELECT event_id, tenant_id, ts, event_type, severity FROM sec_events WHERE ts >= '2024-01-12'")

@@ -27,7 +27,8 @@ def sec_events(spark: SparkSession, d: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORES:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        _STORES[key] = stored(derive_events(spark, d), "sec-events")
+        dated = derive_events(spark, d).withColumn("event_day", F.to_date("ts"))
+        _STORES[key] = stored(dated.repartition("tenant_id", "event_day"), "sec-events", ("tenant_id", "event_day"))
     return _STORES[key]
 
 

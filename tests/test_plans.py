@@ -28,6 +28,8 @@ def test_no_pairing_of_all_rows(spark, root, name):
 def test_tenant_and_time_reach_the_scan(spark, root):
     assert "PartitionFilters: [isnotnull(tenant_id" in plan(query(spark, root, "flt_tenant"))
     assert "GreaterThanOrEqual(ts" in plan(query(spark, root, "flt_time_range"))
+    for name in ("flt_time_range", "flt_relative_time", "rule_fp_rate", "rule_backtest", "scan_tail"):
+        assert re.search(r"PartitionFilters: \[[^\]]*event_day", plan(query(spark, root, name))), name
 
 
 def test_only_needed_columns_are_read(spark, root):
