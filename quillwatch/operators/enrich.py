@@ -26,6 +26,23 @@ def with_assets(events: DataFrame, assets: DataFrame) -> DataFrame:
                                                       F.coalesce("_tags", F.array().cast("array<string>")))).drop("_tags")
 
 
+def with_assets_by_ip(events: DataFrame, assets: DataFrame, ip="src_ip") -> DataFrame:
+    """``with_assets``, and for events whose host is not known the asset that has the event's address within the tenant."""
+    found = with_assets(events, assets)
+    a = (assets.filter("ip IS NOT NULL").groupBy(c("tenant_id").alias("_tenant"), c("ip").alias("_ip"))
+         .agg(F.min_by(F.struct(c("asset_id").alias("_id"), c("tags").alias("_tags"), c("criticality").alias("_level")), "asset_id").alias("_a")).select("_tenant", "_ip", "_a.*"))
+    out = found.withColumn("_by", F.when(c("asset_id").isNull(), c(ip))).join(a, (c("_by") == c("_ip")) & (found["tenant_id"] == c("_tenant")), "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"asset_id": F.coalesce("asset_id", "_id"), "asset_level": F.coalesce("asset_level", "_level"),
+                            "asset_tags": F.array_union(F.coalesce("asset_tags", none), F.coalesce("_tags", none))}).drop("_tenant", "_ip", "_id", "_tags", "_level", "_by")
+
+
+def with_locations(events: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Country and city of the source, country of the destination."""
+    src = geo_lookup(events, "src_ip", ranges).withColumnsRenamed({"country": "src_country", "city": "src_city"})
+    return geo_lookup(src, "dst_ip", ranges).withColumnRenamed("country", "dst_country").drop("city")
+
+
 def with_criticality(events: DataFrame, assets: DataFrame) -> DataFrame:
     return with_assets(events, assets).withColumn("asset_criticality", F.coalesce("asset_level", F.lit("unknown")))
 

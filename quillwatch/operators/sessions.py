@@ -81,13 +81,14 @@ def dark_periods(beats: DataFrame, key="agent_id", after_s: int = DARK_AFTER_S,
     return prev.filter(gap > after_s * split.SECOND).select(key, from_micros(c("_p") + after_s * split.SECOND).alias("dark_from"), c("ts").alias("revived_at"))
 
 
-def dark_now(beats: DataFrame, now: str, key="agent_id", after_s: int = DARK_AFTER_S) -> DataFrame:
-    last = beats.groupBy(key).agg(F.max("ts").alias("last_heartbeat"))
+def dark_now(beats: DataFrame, now: str, keys=("agent_id",), after_s: int = DARK_AFTER_S) -> DataFrame:
+    last = beats.groupBy(*keys).agg(F.max("ts").alias("last_heartbeat"))
     return last.withColumn("is_dark", c("last_heartbeat") < F.lit(now).cast("timestamp_ntz") - seconds(after_s))
 
 
-def registry(registrations: DataFrame, beats: DataFrame, now: str, key="hostname") -> DataFrame:
-    """One row per host with its newest registration and whether it is alive."""
-    rest = [x for x in registrations.columns if x != key]
-    latest = registrations.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("x")).select(key, "x.*")
-    return latest.join(dark_now(beats, now, key), key, "left").withColumn("active", ~F.coalesce("is_dark", F.lit(True)))
+def registry(registrations: DataFrame, beats: DataFrame, now: str, keys=("tenant_id", "hostname")) -> DataFrame:
+    """One row per host of a tenant with its newest registration and whether it is alive."""
+    keys = list(keys)
+    rest = [x for x in registrations.columns if x not in keys]
+    latest = registrations.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("x")).select(*keys, "x.*")
+    return latest.join(dark_now(beats, now, keys), keys, "left").withColumn("active", ~F.coalesce("is_dark", F.lit(True)))

@@ -41,6 +41,29 @@ def _(spark, d):
     return enrich.geo_lookup(v.sec_events(spark, d).select("event_id", "dst_ip"), "dst_ip", v.geo_ranges(spark, d)).select("event_id", "country", "city")
 
 
+_NUM = "(CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + CAST(split_part({0}, '.', 4) AS BIGINT))"
+
+
+@query("join_locations", f"""WITH a AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN dst_ip ELSE src_ip END AS s, CASE WHEN event_id % 3 = 0 THEN src_ip ELSE dst_ip END AS t FROM sec_events),
+ n AS (SELECT event_id, CASE WHEN s NOT LIKE '10.%' THEN {_NUM.format('s')} END AS s, CASE WHEN t NOT LIKE '10.%' THEN {_NUM.format('t')} END AS t FROM a)
+ SELECT event_id, x.country AS src_country, x.city AS src_city, y.country AS dst_country FROM n LEFT JOIN geo_ranges x ON n.s BETWEEN x.ip_from AND x.ip_to LEFT JOIN geo_ranges y ON n.t BETWEEN y.ip_from AND y.ip_to""")
+def _(spark, d):
+    swap = lambda a, b: F.when(c("event_id") % 3 == 0, c(b)).otherwise(c(a))
+    e = v.sec_events(spark, d).select("event_id", swap("src_ip", "dst_ip").alias("src_ip"), swap("dst_ip", "src_ip").alias("dst_ip"))
+    return enrich.with_locations(e, v.geo_ranges(spark, d)).select("event_id", "src_country", "src_city", "dst_country")
+
+
+@query("join_asset_ip", """WITH ips AS (SELECT tenant_id, src_ip AS ip, min(event_id) AS e FROM sec_events WHERE hostname IS NULL GROUP BY 1, 2),
+ own AS (SELECT e.event_id, e.tenant_id, e.src_ip, a.asset_id FROM sec_events e LEFT JOIN sec_assets a ON a.tenant_id = e.tenant_id AND lower(a.hostname) = lower(e.hostname))
+ SELECT event_id, coalesce(CAST(o.asset_id AS VARCHAR), 'ip-' || i.e) AS asset_id FROM own o LEFT JOIN ips i ON o.asset_id IS NULL AND i.tenant_id = o.tenant_id AND i.ip = o.src_ip""")
+def _(spark, d):
+    e = _seed_tags(v.sec_events(spark, d).select("event_id", "tenant_id", "hostname", "src_ip"))
+    named = assets(spark, d).select("tenant_id", "hostname", txt("asset_id").alias("asset_id"), "tags", "criticality", F.lit(None).cast("string").alias("ip"))
+    lone = e.filter("hostname IS NULL").groupBy("tenant_id", c("src_ip").alias("ip")).agg(F.min("event_id").alias("e"))
+    lone = lone.select("tenant_id", F.lit(None).cast("string").alias("hostname"), F.concat(F.lit("ip-"), txt("e")).alias("asset_id"), F.array(F.lit("seen")).alias("tags"), F.lit("low").alias("criticality"), "ip")
+    return enrich.with_assets_by_ip(e, named.unionByName(lone)).select("event_id", "asset_id")
+
+
 @query("join_user_identity", "SELECT event_id, coalesce(c_name, user_name) AS canonical_user FROM sec_events LEFT JOIN customer ON 'user' || c_custkey = user_name AND 'tenant-' || (c_custkey % 2) = tenant_id")
 def _(spark, d):
     users = table(spark, d, "customer").select(F.concat(F.lit("tenant-"), txt(c("c_custkey") % 2)).alias("tenant_id"), F.concat(F.lit("USER"), txt("c_custkey")).alias("login"), c("c_name").alias("canonical_user"))

@@ -1,5 +1,7 @@
 """Compliance, audit, tenancy and per-key state queries."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from quillwatch.functions.scalars import c
@@ -7,12 +9,24 @@ from quillwatch.operators import audit, compliance, enrich, filters, sessions, s
 from quillwatch.plans import views as v
 from quillwatch.plans.registry import query
 from quillwatch.sources import events
-from quillwatch.sources.shared import materialize
+from quillwatch.sources.event_store import EventStore
+from quillwatch.sources.shared import materialize, new_folder
 from quillwatch.sources.tables import table
 
 txt = lambda x: (c(x) if isinstance(x, str) else x).cast("string")
-_CASE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({{0}}), '{w}')" for w in words) + f" THEN {n}" for n, words in compliance.CATEGORY_WORDS) + " END"
-_CAT = "(SELECT * FROM (VALUES " + ", ".join(f"({n}, '{t}')" for n, t in compliance.CATEGORIES.items()) + ") t(category, description))"
+# Stated here once more, so that the SQL does not read the engine's own lists.
+_CASE = """CASE WHEN regexp_matches(lower({0}), 'scan|probe|recon') THEN 1 WHEN regexp_matches(lower({0}), 'ransomware|malware|virus|worm|trojan|cryptominer') THEN 5
+ WHEN regexp_matches(lower({0}), 'phish|spoof|identity') THEN 7 WHEN regexp_matches(lower({0}), 'ddos|dos|flood') THEN 8 WHEN regexp_matches(lower({0}), 'breach|exfil') THEN 11
+ WHEN regexp_matches(lower({0}), 'leak|exposure') THEN 12 WHEN regexp_matches(lower({0}), 'defac|tamper') THEN 4 WHEN regexp_matches(lower({0}), 'unauth|privilege|lateral') THEN 3
+ WHEN regexp_matches(lower({0}), 'scada|ot/|ics') THEN 9 WHEN regexp_matches(lower({0}), 'iot|embedded') THEN 13 WHEN regexp_matches(lower({0}), 'web app|application|sqli') THEN 10
+ WHEN regexp_matches(lower({0}), 'server|dns|mail') THEN 6 WHEN regexp_matches(lower({0}), 'compromi|rootkit|persist') THEN 2 END"""
+_CAT = """(SELECT * FROM (VALUES (1, 'Targeted scanning/probing of critical networks or systems'), (2, 'Compromise of critical systems/information'), (3, 'Unauthorised access to IT systems/data'),
+ (4, 'Defacement of website or intrusion into a website and related systems'),
+ (5, 'Malicious code attacks such as spreading of virus/worm/Trojan/Bots/Spyware/Ransomware/Cryptominers'),
+ (6, 'Attacks on servers such as Database, Mail and DNS and Network devices such as Routers'), (7, 'Identity Theft, Spoofing and Phishing attacks'),
+ (8, 'Denial of Service (DoS) and Distributed Denial of Service (DDoS) attacks'),
+ (9, 'Attacks on Critical infrastructure, SCADA, Operational Technology Systems and Wireless networks'), (10, 'Attacks on Applications such as E-Governance, E-Commerce etc.'),
+ (11, 'Data Breach'), (12, 'Data Leak'), (13, 'Attacks on Internet of Things (IoT) devices and associated systems, networks and infrastructure')) t(category, description))"""
 
 
 @query("comp_certin_category", f"SELECT doc_id, {_CASE.format('text')} AS category FROM documents")
@@ -28,9 +42,12 @@ def incidents(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "lang", "source", ts.alias("ts"))
 
 
-@query("comp_certin_counts", f"SELECT category, description, coalesce(n, 0) AS incidents FROM {_CAT} LEFT JOIN (SELECT {_CASE.format('text')} AS category, count(*) AS n FROM {_INC} WHERE ts >= '2024-01-01' AND ts < '2024-01-01 12:00:00' GROUP BY 1) USING (category)")
+@query("comp_certin_counts", f"SELECT category, description, coalesce(n, 0) AS incidents FROM {_CAT} LEFT JOIN (SELECT {_CASE.format('text')} AS category, count(*) AS n FROM {_INC} WHERE doc_id <= (SELECT min(doc_id) + (max(doc_id) - min(doc_id)) // 2 FROM documents) GROUP BY 1) USING (category)")
 def _(spark, d):
-    return compliance.category_counts(incidents(spark, d), "2024-01-01 00:00:00", "2024-01-01 12:00:00")
+    i = incidents(spark, d)
+    first, last = i.agg(F.min("ts"), F.max("ts")).first()  # the earlier half of the incidents' own period, its middle minute included
+    half = first + dt.timedelta(minutes=(last - first) // dt.timedelta(minutes=2) + 1)
+    return compliance.category_counts(i, str(first), str(half))
 
 
 @query("join_catalog_zero_fill", f"SELECT category, description, coalesce(n, 0) AS n FROM {_CAT} LEFT JOIN (SELECT CAST(o_custkey % 17 AS INT) AS category, count(*) AS n FROM orders GROUP BY 1) USING (category)")
@@ -122,10 +139,13 @@ def _(spark, d):
     return chain(spark, d).select("tenant_id", "chain_seq", "prev_hash", "row_hash")
 
 
-@query("audit_chain_verify", "SELECT tenant_id, chain_seq, false AS hash_ok, true AS link_ok FROM audit_log WHERE event_id % 997 = 0")
+@query("audit_chain_verify", """SELECT tenant_id, chain_seq, event_id % 997 <> 0 AS hash_ok, NOT (lag(event_id, 1, 1) OVER w % 499 = 0 AND lag(event_id, 1, 1) OVER w % 997 <> 0) AS link_ok FROM audit_log
+ WINDOW w AS (PARTITION BY tenant_id ORDER BY chain_seq) QUALIFY NOT hash_ok OR NOT link_ok""")
 def _(spark, d):
     stored = materialize(chain(spark, d), "chain")
-    tampered = stored.withColumn("action", F.when(c("event_id") % 997 == 0, F.lit("log_cleared")).otherwise(c("action")))
+    # Some rows were changed and kept their digest; others were changed and digested anew, which breaks the link of the row that follows.
+    tampered = stored.withColumn("action", F.when((c("event_id") % 997 == 0) | (c("event_id") % 499 == 0), F.lit("log_cleared")).otherwise(c("action")))
+    tampered = tampered.withColumn("row_hash", F.when((c("event_id") % 499 == 0) & (c("event_id") % 997 != 0), audit.row_digest("prev_hash")).otherwise(c("row_hash")))
     return audit.verify_chain(tampered).select("tenant_id", "chain_seq", "hash_ok", "link_ok")
 
 
@@ -155,10 +175,21 @@ def _(spark, d):
     return events.foreign_rows(v.sec_events(spark, d), "tenant-1").groupBy("source_type").agg(F.count("*").alias("foreign_rows"))
 
 
-@query("tenant_canary", "SELECT CAST(0 AS BIGINT) AS leaked, count(*) FILTER (tenant_id = 'tenant-2') AS own FROM sec_events")
+@query("tenant_canary", """SELECT 'store' AS guard, CAST(0 AS BIGINT) AS leaked, count(*) FILTER (tenant_id = 'tenant-2') AS own FROM sec_events
+ UNION ALL SELECT 'none', count(*) FILTER (event_id % 50 = 0 AND tenant_id <> 'tenant-2'), count(*) FILTER (tenant_id = 'tenant-2') FROM sec_events""")
 def _(spark, d):
-    seen = filters.for_tenant(v.sec_events(spark, d), "tenant-2")
-    return seen.agg(F.count_if(c("tenant_id") != "tenant-2").alias("leaked"), F.count_if(c("tenant_id") == "tenant-2").alias("own"))
+    """Rows planted by another tenant into a tenant's batches: the store's guard refuses each such batch, a folder without it leaks them."""
+    e = v.sec_events(spark, d).select("event_id", "tenant_id", "ts")
+    own, foreign = e.filter("tenant_id = 'tenant-2'"), e.filter("tenant_id <> 'tenant-2' AND event_id % 50 = 0")
+    guarded, bare = EventStore(spark, new_folder(spark, "guarded"), e.schema), EventStore(spark, new_folder(spark, "bare"), e.schema)
+    guarded.append(own, "tenant-2")
+    bare.append(own.unionByName(foreign))
+    try:
+        guarded.append(own.unionByName(foreign), "tenant-2")
+    except PermissionError:
+        pass
+    seen = lambda store, name: store.read().agg(F.count_if(c("tenant_id") != "tenant-2").alias("leaked"), F.count_if(c("tenant_id") == "tenant-2").alias("own")).select(F.lit(name).alias("guard"), "leaked", "own")
+    return seen(guarded, "store").unionByName(seen(bare, "none"))
 
 
 @query("tenant_offboard", "SELECT tenant_id, count(*) AS n FROM sec_events WHERE tenant_id <> 'tenant-0' GROUP BY 1")
@@ -220,8 +251,8 @@ def _(spark, d):
     return sessions.dark_periods(v.heartbeats(spark, d))
 
 
-@query("st_agent_registry", """SELECT hostname, event_id, source_type, last_heartbeat, last_heartbeat >= TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 90 SECOND AS active FROM (SELECT hostname, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(source_type, (ts, event_id)) AS source_type, max(ts) AS last_heartbeat
- FROM sec_events WHERE hostname IS NOT NULL GROUP BY 1)""")
+@query("st_agent_registry", """SELECT tenant_id, hostname, event_id, source_type, last_heartbeat, last_heartbeat >= TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 90 SECOND AS active FROM (SELECT tenant_id, hostname, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(source_type, (ts, event_id)) AS source_type, max(ts) AS last_heartbeat
+ FROM sec_events WHERE hostname IS NOT NULL GROUP BY 1, 2)""")
 def _(spark, d):
-    e = v.sec_events(spark, d).filter("hostname IS NOT NULL").select("hostname", "ts", "event_id", "source_type")
-    return sessions.registry(e, e.select("hostname", "ts"), "2024-01-30 20:00:00").select("hostname", "event_id", "source_type", "last_heartbeat", "active")
+    e = v.sec_events(spark, d).filter("hostname IS NOT NULL").select("tenant_id", "hostname", "ts", "event_id", "source_type")
+    return sessions.registry(e, e.select("tenant_id", "hostname", "ts"), "2024-01-30 20:00:00").select("tenant_id", "hostname", "event_id", "source_type", "last_heartbeat", "active")

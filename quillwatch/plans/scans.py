@@ -21,15 +21,17 @@ def _(spark, d):
     return intake.raw_lines(e).select("event_id", "raw", "reject_reason")
 
 
-@query("src_json_intake", """SELECT user_id % 3 AS auth, count(*) FILTER (event_id % 19 <> 0) AS n_accepted, count(*) FILTER (event_id % 19 = 0) AS n_rejected,
- count(DISTINCT event_id) AS fresh_ids FROM events GROUP BY 1""")
+@query("src_json_intake", """SELECT user_id % 3 AS auth, count(*) FILTER (event_id % 19 <> 0 AND event_id % 23 <> 0) AS n_accepted, count(*) FILTER (event_id % 29 <> 1 AND (event_id % 19 = 0 OR event_id % 23 = 0)) AS n_rejected,
+ count(DISTINCT event_id) FILTER (event_id % 23 <> 0) AS fresh_ids FROM events WHERE event_id % 29 <> 1 GROUP BY 1""")
 def _(spark, d):
     e = v.sec_events(spark, d)
     body = F.concat(F.lit("["), F.to_json(F.struct(F.lit("someone-else").alias("tenant_id"), F.when(c("event_id") % 19 != 0, c("event_type")).alias("event_type"), c("iso").alias("ts"), c("hostname"))), F.lit("]"))
+    # Some bodies hold no item, some are cut off.
+    body = F.when(c("event_id") % 29 == 1, "[]").when(c("event_id") % 23 == 0, F.substring(body, F.lit(1), F.length(body) - 9)).otherwise(body)
     bodies = e.select(c("event_id").alias("batch_id"), (c("user_id") % 3).alias("auth"), body.alias("body"))
     rows = intake.json_arrays(bodies, "tenant_id string, event_type string, ts string, hostname string", F.concat(F.lit("tenant-"), txt("auth")))
     return intake.acceptance(rows.withColumn("auth", F.substring("tenant_id", 8, 9).cast("bigint")), "auth").join(
-        rows.groupBy(F.substring("tenant_id", 8, 9).cast("bigint").alias("auth")).agg(F.countDistinct("event_id").alias("fresh_ids")), "auth")
+        rows.groupBy(F.substring("tenant_id", 8, 9).cast("bigint").alias("auth")).agg(F.countDistinct(F.when(c("pos").isNotNull(), c("event_id"))).alias("fresh_ids")), "auth")
 
 
 @query("src_agent_events", """SELECT event_id, date_trunc('second', ts) AS ts, event_type, event_category,
@@ -49,11 +51,11 @@ def _(spark, d):
     return intake.endpoint_events(rec, boot).select("event_id", "ts", "event_type", "event_category", "event_action", "user_id", "user_name", "process_name", "process_cmdline", "protocol", "file_name", "file_action")
 
 
-@query("src_event_batches", """SELECT agent_id, count(*) FILTER (a.k IS NOT NULL) AS n_accepted, count(*) FILTER (a.k IS NULL) AS n_rejected FROM agent_batches
- LEFT JOIN (SELECT DISTINCT s_suppkey % 40 AS k FROM supplier WHERE s_suppkey % 40 < 35) a ON a.k = agent_id GROUP BY agent_id""")
+@query("src_event_batches", """SELECT agent_id, sequence, count(*) FILTER (a.k IS NOT NULL) AS n_accepted, count(*) FILTER (a.k IS NULL) AS n_rejected FROM agent_batches
+ LEFT JOIN (SELECT DISTINCT s_suppkey % 40 AS k FROM supplier WHERE s_suppkey % 40 < 35) a ON a.k = agent_id GROUP BY agent_id, sequence""")
 def _(spark, d):
     reg = table(spark, d, "supplier").select((c("s_suppkey") % 40).alias("agent_id")).filter("agent_id < 35")
-    return intake.acceptance(intake.split_known(v.agent_batches(spark, d), reg), "agent_id")
+    return intake.acceptance(intake.split_known(v.agent_batches(spark, d), reg), "agent_id", "sequence")
 
 
 @query("sink_dead_letter", "SELECT raw, 'raw' AS source_topic, 'short header' AS reason, 3 AS retries, event_id AS original_id FROM sec_events WHERE fmt = 9 AND source_type <> 'linux_ebpf'")

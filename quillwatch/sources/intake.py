@@ -17,9 +17,11 @@ def raw_lines(lines: DataFrame, value="value") -> DataFrame:
 
 def json_arrays(bodies: DataFrame, item_schema: str, tenant, batch="batch_id", body="body") -> DataFrame:
     """JSON array bodies to rows. The tenant is the authenticated one, whatever the item says; event
-    ids are fresh and reproducible; an item without the required fields is rejected."""
-    items = F.posexplode(F.from_json(c(body), f"array<struct<{item_schema}>>"))
-    rows = bodies.select(c(batch), tenant.alias("_tenant"), items.alias("pos", "i")).select(batch, "pos", "_tenant", "i.*").drop("tenant_id")
+    ids are fresh and reproducible; an item without the required fields is rejected, and so is a body that is
+    no array, as one row without a position."""
+    items = F.posexplode_outer(F.from_json(c(body), f"array<struct<{item_schema}>>"))
+    empty = F.coalesce(F.size(F.from_json(c(body), f"array<struct<{item_schema}>>")) == 0, F.lit(False))
+    rows = bodies.filter(~empty).select(c(batch), tenant.alias("_tenant"), items.alias("pos", "i")).select(batch, "pos", "_tenant", "i.*").drop("tenant_id")
     return (rows.withColumnRenamed("_tenant", "tenant_id").withColumn("event_id", F.md5(F.concat_ws("|", c(batch).cast("string"), c("pos").cast("string"))))
             .withColumn("accepted", c("event_type").isNotNull() & c("ts").isNotNull()))
 
