@@ -29,6 +29,8 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from quillwatch.llm.letters import cut, lower
+
 CACHE = 500_000
 #: Fixed value: the word pattern of the vocabulary file's pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -164,8 +166,7 @@ class Vocabulary:
     def pieces(self, text: str) -> list[str]:
         if text.isascii():
             return ASCII_WORDS.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.words.findall(text)
+        return cut(self.words, lower(unicodedata.normalize("NFC", text)))
 
     def cut(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""

@@ -20,6 +20,19 @@ _NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "
 #: A private-use character: no letter, no number, no white space, as the libraries take the newer characters.
 STAND_IN = "\ue000"
 
+# First and last of the capitals that the libraries fold and Python's own tables do not know, and the distance to the small letter.
+CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+            (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+_CAPITALS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in CAPITALS) + "]")
+_SMALL = {c: c + by for a, b, by in CAPITALS for c in range(a, b + 1)}
+
+
+def lower(text: str) -> str:
+    """Lower case without the rule for a sigma at the end of a word, as the libraries fold."""
+    if _HIGH.search(text) and _CAPITALS.search(text):
+        text = text.translate(_SMALL)
+    return text.replace("Σ", "σ").lower()
+
 
 def cut(words: regex.Pattern, text: str) -> list[str]:
     """All matches of `words` in text, with newer letters and numbers taken for other signs."""

@@ -7,8 +7,8 @@ the worst k-th score of the query node. Equal bounds are visited, since ties are
 
 Products are sums of integers: exact in float64 below 2^53, else computed in int64.
 
-Defined cases: vectors that are null or hold null or non-finite components, and rows without id, take no part; vectors are compared with those of their length only; wholly equal
-rows count once; rows with the query's id are its own; other columns are ignored.
+Defined cases: vectors that are null or hold null or non-finite components, and rows without id, take no part; vectors are compared with those of their length only, empty
+ones too; repeated rows are candidates each, and queries each; rows with the query's id are its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def _cell(k: int):
         kind = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not data.num_rows or not queries.num_rows:
             return kind.empty_table()
-        matrix = lambda t: t["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        matrix = lambda t: t["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, t["dim"][0].as_py())
         found = Search(data["vec_id"].to_numpy(), matrix(data), queries["vec_id"].to_numpy(), matrix(queries), k)
         row, col = np.nonzero(found.best != NONE)
         return pa.table([pa.array(queries["vec_id"].to_numpy()[row]), pa.array(queries["query_key"].to_numpy()[row]), pa.array(found.of[row, col]), pa.array(found.best[row, col])], schema=kind)
@@ -112,15 +112,15 @@ def _cell(k: int):
 def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for every query. Components become floor(scale * x)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = (vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0))
+    rows = (vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
             .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("q"), "is_query")
-            .withColumn("key", F.xxhash64("vec_id", "q")).dropDuplicates(["vec_id", "q"]))
+            .withColumn("row", F.monotonically_increasing_id()))
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("m")).first()
     blocks, query_blocks = max(1, -(-counts["n"] // block)), max(1, -(-counts["m"] // query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda n: F.pmod("key", F.lit(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("vec_id", "row"), F.lit(n)).cast("int")  # noqa: E731  repeated rows are spread, too
     data = rows.select("vec_id", "q", F.size("q").alias("dim"), part(blocks).alias("block")).withColumn("query_block", every(query_blocks))
-    asked = rows.where("is_query").select("vec_id", "q", F.col("key").alias("query_key"), F.size("q").alias("dim"), part(query_blocks).alias("query_block")).withColumn("block", every(blocks))
+    asked = rows.where("is_query").select("vec_id", "q", F.col("row").alias("query_key"), F.size("q").alias("dim"), part(query_blocks).alias("query_block")).withColumn("block", every(blocks))
     keys = ["dim", "block", "query_block"]
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_cell(k), "query_id long, query_key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")

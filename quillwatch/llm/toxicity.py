@@ -111,7 +111,7 @@ class Weights:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: np.ndarray, columns: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights of presence-times-ratio features, by Adam over the whole sample. rows is sorted."""
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -126,6 +126,37 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, ratio: np.ndarray, y: np
     return w * ratio, b
 
 
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The value above which calling a row toxic has the highest F1; between two rows' values."""
+    order = np.argsort(-z, kind="stable")
+    hits, called = np.cumsum(y[order]), np.arange(1, len(z) + 1)
+    ends = np.append(z[order][1:] < z[order][:-1], True)  # equal values are called together
+    f1 = np.where(ends, 2 * hits / (called + y.sum()), -1)
+    k = int(f1.argmax())
+    below = z[order][k + 1] if k + 1 < len(z) else z[order][k] - 1
+    return float((z[order][k] + below) / 2)
+
+
+def fit_cut(rows: np.ndarray, columns: np.ndarray, ratio: np.ndarray, y: np.ndarray, smoothing: float = 1.0, folds: int = 3) -> tuple[np.ndarray, float]:
+    """Weights fitted to the whole sample, with the intercept moved so that 0.5 is the best cut for documents outside the fit.
+
+    The sample separates its own classes almost wholly, so its own scores say nothing about the cut: each fold is scored by weights and ratios of the others."""
+    weight, bias = fit_logistic(rows, columns, ratio, y)
+    fold = np.arange(len(y)) % folds
+    if any(y[fold == f].sum() in (0, (fold == f).sum()) for f in range(folds)):
+        return weight, bias
+    z = np.zeros(len(y))
+    for f in range(folds):
+        keep = fold != f
+        inside, toxic = keep[rows], y[rows] == 1
+        q = (np.bincount(columns[inside & ~toxic], minlength=len(ratio)) + smoothing) / ((1 - y[keep]).sum() + 2 * smoothing)
+        p = (np.bincount(columns[inside & toxic], minlength=len(ratio)) + smoothing) / (y[keep].sum() + 2 * smoothing)
+        number = np.cumsum(keep) - 1
+        w, b = fit_logistic(number[rows[inside]], columns[inside], np.log(p / q), y[keep])
+        z[~keep] = (np.bincount(rows[~inside], w[columns[~inside]], minlength=len(y)) + b)[~keep]
+    return weight, bias - best_cut(z, y)
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", fit_docs: int = 10_000, features: int = 8192, smoothing: float = 1.0, parts: int = 8) -> Weights | None:
     sample = labelled_sample(docs, labels, label, allowed, fit_docs)
     total = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -158,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "tox
     lists = rows["x"].combine_chunks()
     size = np.diff(lists.offsets.to_numpy())
     columns = np.searchsorted(place, lists.flatten().to_numpy())
-    weight, bias = fit_logistic(np.repeat(np.arange(len(size)), size), columns, ratio, rows["label"].to_numpy().astype(np.float64))
+    weight, bias = fit_cut(np.repeat(np.arange(len(size)), size), columns, ratio, rows["label"].to_numpy().astype(np.float64), smoothing)
     return Weights(place, weight, bias)
 
 

@@ -122,10 +122,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                .join(chunks.select("file", "block").distinct(), ["file", "block"], "right")
                .withColumn("carry", F.last("last", True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))))
     owned = owned.join(carried.select("file", "block", "carry"), ["file", "block"]).withColumn("owner", F.coalesce("owner", "carry"))
-    wanted = owned.join(torn.select("file", F.col("at").alias("owner"), F.col("end").alias("until")), ["file", "owner"]).where(F.col("at") < F.col("until")).select("file", "block", "seq", "owner", "at")
-    put = (_raw(spark, path).join(materialize(wanted, "warc-wanted"), ["file", "block", "seq"]).groupBy("file", "owner")
-           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value")))
-    joined = torn.drop("digest").join(put.withColumnRenamed("owner", "at"), ["file", "at"])
+    wanted = owned.join(torn.select("file", F.col("at").alias("owner"), F.col("end").alias("until")), ["file", "owner"]).where(F.col("at") < F.col("until")).select("file", "block", "seq", "owner", "at", "n")
+    wanted = materialize(wanted, "warc-wanted")
+    asked = wanted.groupBy("file", "owner").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"))
+    put = (_raw(spark, path).join(wanted, ["file", "block", "seq"]).where(F.octet_length("value") == F.col("n")).groupBy("file", "owner")
+           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"), F.count(F.lit(1)).alias("got"), F.sum("n").alias("got_all")))
+    # Files that Spark splits otherwise on this read than on the first must not pass for what was asked: that is an error, and the job can be run again.
+    same = F.coalesce((F.col("got") == F.col("parts")) & (F.col("got_all") == F.col("all")), F.lit(False))
+    put = asked.join(put, ["file", "owner"], "left").withColumn("value", F.when(same, F.col("value")).otherwise(F.raise_error(F.lit("archives were split differently on the second read"))))
+    joined = torn.drop("digest").join(put.select("file", F.col("owner").alias("at"), "value"), ["file", "at"])
     ended = F.expr(f"substring(cast(value as binary), cast(hlen + length + 1 as int), {len(END)})") == F.lit(END).cast("binary")
     return simple.unionByName(joined.where(ended).select(*columns, digest(F.expr("substring(cast(value as binary), cast(hlen + 1 as int), cast(length as int))")).alias("digest")))
 

@@ -401,19 +401,31 @@ def test_secrets(spark):
 def test_topk_equals_brute_force(spark, scale):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(size=(700, 8)), np.repeat(rng.normal(size=(1, 8)), 300, 0)]).astype(np.float32) * np.float32(scale)
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1001, None), (1002, [None] + [0.0] * 7), (1003, [float("nan")] * 8), (1004, [float("inf")] * 8), (None, [1.0] * 8), (1100, [1.0, 2.0]), (5, x[5].tolist())]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = defaultdict(list)
-    for r in topk.search(table, F.col("vec_id") % 100 == 0, block=256, query_block=4).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    q = np.floor(x.astype(np.float64) * 1024).astype(np.int64)
-    for k in range(0, 1000, 100):
-        s = q @ q[k]
-        want = sorted((i for i in range(1000) if i != k), key=lambda i: (-s[i], i))[:10]  # noqa: B023
-        assert got[k] == [(i, s[i]) for i in want]
+    good = [(k, v.tolist()) for k, v in enumerate(x)] + [(5, x[5].tolist())] * 2 + [(400, x[400].tolist()), (1100, [1.0, 2.0]), (1200, []), (1201, []), (1202, [])]
+    odd = [(1001, None), (1002, [None] + [0.0] * 7), (1003, [float("nan")] * 8), (1004, [float("inf")] * 8), (None, [1.0] * 8)]
+    table = spark.createDataFrame(good + odd, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.search(table, F.col("vec_id") % 100 == 0, block=256, query_block=4).select("query_id", "rank", "vec_id", "score").collect()))
+    q = [(k, np.floor(np.array(v, np.float64) * 1024).astype(np.int64)) for k, v in good]
+    want = []
+    for k, v in q:
+        if k % 100 == 0:
+            best = sorted((-int(v @ w), i) for i, w in q if i != k and len(w) == len(v))[:10]
+            want += [(k, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want) and sum(r[0] == 400 for r in got) == 20 and sum(r[0] == 1200 for r in got) == 2
     assert topk.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_bpe_all_code_points(words):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(vocabulary())
+    texts = [f"a{c}1 {c}{c}b" for k in range(0x110000) if not 0xD800 <= k < 0xE000 for c in [chr(k)]]
+    wrong = []
+    for at in range(0, len(texts), 100_000):
+        part = texts[at:at + 100_000]
+        wrong += [t for t, ids, want in zip(part, words.encode(part), library.encode_batch(part, add_special_tokens=False), strict=True) if np.frombuffer(ids, np.int32).tolist() != want.ids]
+    assert wrong == []
+
+
 # WARC
 
 def test_warc_round_trip(spark, tmp_path):
@@ -512,3 +524,23 @@ def test_quality_scores_equal_a_loop():
             top, low = top + np.exp(gate) * sum(h[j] * model.p["c"][j] for j in range(9)), low + np.exp(gate)
         want.append(1 / (1 + np.exp(-(top / low + model.p["b"][0]))))
     assert np.allclose(model.score(pa.array(texts)), want, atol=1e-4)
+
+
+def test_toxicity_cut():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        z, y = rng.integers(-5, 5, 30).astype(float), (rng.random(30) < 0.3).astype(float)
+        if not y.any():
+            continue
+        f1 = lambda t: 2 * y[z >= t].sum() / ((z >= t).sum() + y.sum())  # noqa: B023, E731
+        assert f1(toxicity.best_cut(z, y)) == max(map(f1, np.unique(z)))
+
+
+def test_toxicity_scores_equal_a_loop():
+    texts = ["", "some bad words, SOME", "é" * 300, "long text " * 4000]
+    place = np.unique(np.concatenate([toxicity.row_places([t], None) for t in texts]))[::3]
+    rng = np.random.default_rng(4)
+    model = toxicity.Weights(place, rng.normal(size=len(place)) / 50, 0.25)
+    known = dict(zip(place.tolist(), model.weight.astype(np.float32).tolist(), strict=True))
+    want = [1 / (1 + np.exp(-(0.25 + sum(known.get(p, 0.0) for p in toxicity.row_places([t], None).tolist())))) for t in texts]
+    assert np.allclose(model.score(texts), want, atol=1e-5)
