@@ -97,6 +97,31 @@ def exfil_features(daily: DataFrame, key="asset") -> DataFrame:
     return b.withColumns({"ratio": F.round(F.log10(F.greatest(c("bytes"), F.lit(1)) / c("baseline")), 6), "weekend": F.dayofweek("day").isin(1, 7).cast("int")})
 
 
+def new_country(events: DataFrame, keys, country: str, days: int = 30, name="geo_dev", width: int = split.DAY) -> DataFrame:
+    """1 where the key has earlier events with a country, and none of the last ``days`` in this event's country. Rows without a country get 0.
+
+    The last event of a key and country, and the last of the key in any country, are lags within time slices: no key is walked."""
+    known = events.filter(c(country).isNotNull())
+    same = split.previous(known, [*keys, country], "ts", ["ts", "event_id"], {"_same": micros("ts")}, width)
+    both = split.previous(same, list(keys), "ts", ["ts", "event_id"], {"_any": micros("ts")}, width)
+    stale = c("_same").isNull() | (micros("ts") - c("_same") > days * split.DAY)
+    out = both.withColumn(name, (c("_any").isNotNull() & stale).cast("int")).drop("_same", "_any")
+    return out.unionByName(events.filter(c(country).isNull()).withColumn(name, F.lit(0)))
+
+
+def destination_reputation(flows: DataFrame, keys, day, bad, half_life_days: int = 7, name="reputation") -> DataFrame:
+    """keys, day and the decayed share of bad flows of the destination on the days before: 0 unknown or clean, near 1 bad.
+
+    A decayed count is the pair (sum, time): two of them add up by bringing the older one to the newer time. Against a fixed start a count at day t weighs 2^(t / h), so
+    earlier sums are a running sum of one row per destination and day, and the factor of the asking day cancels in the share."""
+    span = half_life_days * 500  # sums stay finite: weights begin anew after 500 half-lives
+    per = flows.groupBy(*keys, c(day).alias("_day")).agg(F.sum(c(bad).cast("int")).alias("_bad"), F.count("*").alias("_all"))
+    per = per.withColumns({"_period": F.floor(F.unix_date("_day") / span), "_w": F.pow(F.lit(2.0), F.pmod(F.unix_date("_day"), F.lit(span)) / half_life_days)})
+    before = Window.partitionBy(*keys, "_period").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    bad_sum, all_sum = F.sum(c("_bad") * c("_w")).over(before), F.sum(c("_all") * c("_w")).over(before)
+    return per.select(*keys, c("_day").alias("day"), F.round(F.coalesce(bad_sum / all_sum, F.lit(0.0)), 6).alias(name))
+
+
 def exfil_score(ratio) -> Column:
     """Transparent score 0–1 from the log ratio to the baseline: 1 at ten times the usual volume."""
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c(ratio))), 6)

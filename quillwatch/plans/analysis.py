@@ -354,3 +354,22 @@ def _(spark, d):
     model = forest.nodes(spark, path) if path else None
     s = F.round(forest.score(model, "x"), 6)
     return rows.select("event_id", "held_out", "label", s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
+
+
+_LOCATED = """(SELECT event_id, tenant_id, user_name, ts, CASE WHEN event_id % 7 <> 0 THEN (['IN', 'US', 'DE'])[1 + (event_id // 5 % 40) // 19] END AS country FROM sec_events)"""
+
+
+@query("feat_ueba_geo", f"""WITH l AS {_LOCATED}, k AS (SELECT *, lag(ts) OVER (PARTITION BY tenant_id, user_name, country ORDER BY ts, event_id) AS same_ts, lag(ts) OVER (PARTITION BY tenant_id, user_name ORDER BY ts, event_id) AS any_ts FROM l WHERE country IS NOT NULL)
+ SELECT event_id, CASE WHEN any_ts IS NOT NULL AND (same_ts IS NULL OR ts - same_ts > INTERVAL 5 DAY) THEN 1 ELSE 0 END AS geo_dev FROM k UNION ALL SELECT event_id, 0 FROM l WHERE country IS NULL""")
+def _(spark, d):
+    place = F.get(F.array(F.lit("IN"), F.lit("US"), F.lit("DE")), F.floor((F.floor(c("event_id") / 5) % 40) / 19).cast("int"))
+    e = v.sec_events(spark, d).select("event_id", "tenant_id", "user_name", "ts", F.when(c("event_id") % 7 != 0, place).alias("country"))
+    return features.new_country(e, ["tenant_id", "user_name"], "country", 5).select("event_id", "geo_dev")
+
+
+@query("feat_exfil_reputation", """WITH p AS (SELECT tenant_id, dst_ip, CAST(ts AS DATE) AS day, count(*) FILTER (k > 80) AS bad, count(*) AS n FROM sec_events GROUP BY 1, 2, 3)
+ SELECT a.tenant_id, a.dst_ip, a.day, round(coalesce(sum(b.bad * pow(0.5, (a.day - b.day) / 7.0)) / sum(b.n * pow(0.5, (a.day - b.day) / 7.0)), 0), 4) AS reputation
+ FROM p a LEFT JOIN p b ON b.tenant_id = a.tenant_id AND b.dst_ip = a.dst_ip AND b.day < a.day GROUP BY 1, 2, 3""")
+def _(spark, d):
+    e = v.sec_events(spark, d).select("tenant_id", "dst_ip", F.to_date("ts").alias("on_day"), (c("k") > 80).alias("bad"))
+    return features.destination_reputation(e, ["tenant_id", "dst_ip"], "on_day", "bad").withColumn("reputation", F.round("reputation", 4))

@@ -99,11 +99,25 @@ def _(spark, d):
     return appended(spark, jobs.detect(event_feed(spark, d), RULES).select("event_id", F.array_join("rule_matches.rule_id", ",").alias("rule_ids")).filter("rule_ids <> ''"))
 
 
-@query("ioc_refresh", "SELECT event_id, risk_score, ioc_hit FROM cand")
+@query("st_detect_risk", "SELECT event_id, risk_score, ioc_hit, coalesce(rule_ids, '') AS rule_ids FROM cand")
 def _(spark, d):
-    indicators = v.ioc_set(spark, d)
-    e = v.model_scores(event_feed(spark, d))
-    return batched(spark, e, lambda out: jobs.detect_batches(out, RULES, lambda: indicators)).select("event_id", "risk_score", "ioc_hit")
+    """Indicators, rules, risk and threshold as one streaming job."""
+    indicators, e = v.ioc_lookup(spark, d), v.model_scores(event_feed(spark, d))
+    found = batched(spark, e, lambda out: jobs.detect_batches(out, RULES, lambda number: indicators))
+    return found.select("event_id", "risk_score", "ioc_hit", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+@query("ioc_refresh", """SELECT e.event_id, i.event_id IS NOT NULL AS ioc_hit FROM sec_events e LEFT JOIN (SELECT DISTINCT h.event_id FROM ioc_hit_rows h JOIN sec_events s USING (event_id)
+  WHERE s.ts >= (SELECT CAST(min(ts) AS DATE) + CAST((CAST(max(ts) AS DATE) - CAST(min(ts) AS DATE) + 1) // 3 AS INTEGER) FROM sec_events)) i USING (event_id)""")
+def _(spark, d):
+    """The list is empty while the first delivery is read and rebuilt before the second: only later events hit."""
+    e = v.sec_events(spark, d).select("event_id", "ts", "src_ip", "dst_ip", "file_hash", "fields")
+    full = v.ioc_set(spark, d)
+    path, out, checkpoint = (new_folder(spark, f"{kind}-refresh") for kind in ("feed", "stream-out", "stream-checkpoint"))
+    for n, (part, _) in enumerate(deliveries(e)):
+        part.write.mode("append").parquet(path)
+        jobs.run_batches(jobs.read_folder(spark, path, part.schema), jobs.flag_batches(out, lambda number, n=n: full if n else full.limit(0)), checkpoint, "append")
+    return spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
 @query("st_push_filtered", "SELECT event_id, severity FROM sec_events WHERE sev_rank >= 3")
@@ -111,11 +125,12 @@ def _(spark, d):
     return appended(spark, jobs.push(event_feed(spark, d), "high").select("event_id", "severity"))
 
 
-@query("st_dedup", "SELECT tenant_id, count(*) AS n FROM sec_events GROUP BY 1")
+@query("st_dedup", "SELECT event_id, tenant_id FROM sec_events")
 def _(spark, d):
+    """Some events come twice, the second time in the same or a later delivery; each comes out once."""
     e = v.sec_events(spark, d).select("event_id", "tenant_id", "hostname", "event_type", "src_ip", "dst_ip", "process_name", "raw", "ts")
     twice = feed(spark, d, "twice", e.unionByName(e.filter("event_id % 3 = 0")))
-    return appended(spark, jobs.dedup(twice, DELAY).select("event_id", "tenant_id")).groupBy("tenant_id").agg(F.count("*").alias("n"))
+    return appended(spark, jobs.dedup(twice, DELAY).select("event_id", "tenant_id"))
 
 
 @query("st_tumbling_volume", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, tenant_id, count(*) AS n FROM sec_events GROUP BY 1, 2")
@@ -126,14 +141,21 @@ def _(spark, d):
 @query("st_sliding_threshold", """SELECT window_start, tenant_id, total FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * o) AS window_start, tenant_id, CAST(sum(bytes_out) AS BIGINT) AS total
  FROM sec_events CROSS JOIN (VALUES (0), (1), (2), (3)) t(o) GROUP BY 1, 2) WHERE total >= 600000000""")
 def _(spark, d):
-    return upserted(spark, jobs.sliding(event_feed(spark, d), DELAY, "tenant_id", "24 hours", "6 hours"), ["window_start", "tenant_id"]).filter("total >= 600000000")
+    return upserted(spark, jobs.sliding(event_feed(spark, d), DELAY, "tenant_id", "24 hours", "6 hours", 600_000_000), ["window_start", "tenant_id"])
 
 
-@query("st_session", """WITH g AS (SELECT user_name, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_name ORDER BY ts) + INTERVAL 8 HOUR OR lag(ts) OVER (PARTITION BY user_name ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM sec_events),
- s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_name ORDER BY ts) AS sid FROM g), r AS (SELECT user_name, min(ts) AS session_start, max(ts) + INTERVAL 8 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_name, sid)
- SELECT * FROM r WHERE session_end <= (SELECT max(ts) FROM sec_events) - INTERVAL 11 DAY""")
+@query("st_session", """WITH g AS (SELECT tenant_id, user_name, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 8 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM sec_events WINDOW w AS (PARTITION BY tenant_id, user_name ORDER BY ts)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY tenant_id, user_name ORDER BY ts) AS sid FROM g)
+ SELECT tenant_id, user_name, min(ts) AS session_start, max(ts) + INTERVAL 8 HOUR AS session_end, count(*) AS n FROM s GROUP BY tenant_id, user_name, sid""")
 def _(spark, d):
-    return appended(spark, jobs.user_sessions(event_feed(spark, d), DELAY, "8 hours"))
+    """A last row, far later, closes every session, those of the last days included."""
+    e = v.sec_events(spark, d).select("tenant_id", "user_name", "ts")
+    path, out, checkpoint = (new_folder(spark, f"{kind}-sessions") for kind in ("feed", "stream-out", "stream-checkpoint"))
+    for part in to_the_end(e, user_name="the end"):
+        part.write.mode("append").parquet(path)
+        df = jobs.user_sessions(jobs.read_folder(spark, path, part.schema), DELAY, "8 hours")
+        jobs.run_available(df, out, checkpoint)
+    return spark.read.schema(df.schema).parquet(out).filter("user_name <> 'the end'")
 
 
 @query("st_stream_join", """SELECT arg_max(a.event_id, (a.ts, a.event_id)) AS a_id, b.event_id AS b_id, b.tenant_id, b.hostname, max(a.ts) AS a_ts, b.ts AS b_ts

@@ -79,17 +79,24 @@ def detect(events: DataFrame, rule_list) -> DataFrame:
     return rules.match_all(events, rule_list)
 
 
-def detect_batches(out: str, rule_list, indicators: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Candidates per micro-batch. ``indicators`` is called for every batch, so a rebuilt list takes
-    effect at the next one and old entries are gone."""
+def detect_batches(out: str, rule_list, indicators: Callable[[int], DataFrame | ioc.Lookup]) -> Callable[[DataFrame, int], None]:
+    """Candidates per micro-batch: indicators, rules, risk and its threshold. ``indicators`` is called for every batch with its
+    number, so a rebuilt list takes effect at the next one and old entries are gone."""
     def each(batch: DataFrame, number: int) -> None:
-        e = ioc.flag(batch, indicators())
+        e = ioc.flag(batch, indicators(number))
         risk.candidates(risk.score_events(rules.match_all(e, rule_list))).select(
             "event_id", "tenant_id", "ts", "hostname", "src_ip", "ioc_hit", "risk_score", c("rule_matches.rule_id").alias("rule_ids")
         ).write.mode("overwrite").parquet(f"{out}/batch={number}")
     return each
 
 
+def flag_batches(out: str, indicators: Callable[[int], DataFrame | ioc.Lookup]) -> Callable[[DataFrame, int], None]:
+    """Events with whether they hit the list as it is when their micro-batch is read."""
+    def each(batch: DataFrame, number: int) -> None:
+        ioc.flag(batch, indicators(number)).select("event_id", "ioc_hit").write.mode("overwrite").parquet(f"{out}/batch={number}")
+    return each
+
+
 def push(events: DataFrame, floor: str) -> DataFrame:
     return filters.min_severity(events, floor)
 
@@ -110,11 +117,12 @@ def volume(events: DataFrame, delay: str, width: str = "1 minute") -> DataFrame:
             .select(c("w.start").cast("timestamp_ntz").alias("window_start"), "tenant_id", "n"))
 
 
-def sliding(events: DataFrame, delay: str, key: str, width: str = "1 hour", step: str = "5 minutes") -> DataFrame:
-    return (marked(events, delay).groupBy(F.window("ts", width, step).alias("w"), key).agg(F.sum("bytes_out").alias("total"))
+def sliding(events: DataFrame, delay: str, key: str, width: str = "1 hour", step: str = "5 minutes", floor: int = 0) -> DataFrame:
+    """Windows whose sum has reached the floor; a window appears as soon as it does and again when its sum grows."""
+    return (marked(events, delay).groupBy(F.window("ts", width, step).alias("w"), key).agg(F.sum("bytes_out").alias("total")).filter(c("total") >= floor)
             .select(c("w.start").cast("timestamp_ntz").alias("window_start"), key, "total"))
 
 
 def user_sessions(events: DataFrame, delay: str, gap: str = "30 minutes") -> DataFrame:
-    return (marked(events, delay).groupBy(F.session_window("ts", gap).alias("w"), "user_name").agg(F.count("*").alias("n"))
-            .select(c("w.start").cast("timestamp_ntz").alias("session_start"), c("w.end").cast("timestamp_ntz").alias("session_end"), "user_name", "n"))
+    return (marked(events, delay).groupBy(F.session_window("ts", gap).alias("w"), "tenant_id", "user_name").agg(F.count("*").alias("n"))
+            .select(c("w.start").cast("timestamp_ntz").alias("session_start"), c("w.end").cast("timestamp_ntz").alias("session_end"), "tenant_id", "user_name", "n"))
