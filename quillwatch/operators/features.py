@@ -119,7 +119,7 @@ def destination_reputation(flows: DataFrame, keys, day, bad, half_life_days: int
     per = per.withColumns({"_period": F.floor(F.unix_date("_day") / span), "_w": F.pow(F.lit(2.0), F.pmod(F.unix_date("_day"), F.lit(span)) / half_life_days)})
     before = Window.partitionBy(*keys, "_period").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     bad_sum, all_sum = F.sum(c("_bad") * c("_w")).over(before), F.sum(c("_all") * c("_w")).over(before)
-    return per.select(*keys, c("_day").alias("day"), F.round(F.coalesce(bad_sum / all_sum, F.lit(0.0)), 6).alias(name))
+    return per.select(*keys, c("_day").alias("day"), F.coalesce(bad_sum / all_sum, F.lit(0.0)).alias(name))
 
 
 def exfil_score(ratio) -> Column:
