@@ -341,13 +341,11 @@ def behaviour(spark, d):
     hour = F.hour("ts")
     odd = ((hour < 6) & (c("bytes_out") > 400_000)) | ((c("event_type") == "auth_failure") & (c("dst_port") == 8080)) | ((c("k") > 90) & (c("src_port") > 30_000))
     numbers = F.array(*[x.cast("double") for x in (hour, c("bytes_out"), (c("event_type") == "auth_failure").cast("int"), c("dst_port"), c("src_port"), c("k"), F.dayofweek("ts"))])
-    held_out = F.pmod(F.crc32(txt("event_id").cast("binary")), F.lit(4)) == 0
-    return e.select("event_id", numbers.alias("x"), F.coalesce(odd, F.lit(False)).cast("int").alias("label"), held_out.alias("held_out"))
+    return e.select("event_id", numbers.alias("x"), F.coalesce(odd, F.lit(False)).cast("int").alias("label"), (c("event_id") % 4 == 0).alias("held_out"))
 
 
-@query("score_model_forest")
-def _(spark, d):
-    """Fitted on three quarters of the events, scored on all; the planted label of the rest is never seen."""
+def forest_scores(spark, d):
+    """A forest fitted on three quarters of the events and scored on all; the planted label of the rest is never seen."""
     from quillwatch.operators import forest
     rows = behaviour(spark, d)
     path = forest.fit(rows.filter("NOT held_out"), "x", "label")
@@ -356,6 +354,13 @@ def _(spark, d):
     return rows.select("event_id", "held_out", "label", s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
 
 
+@query("score_model_forest", """SELECT event_id % 4 = 0 AS held_out, CAST(coalesce((hour(ts) < 6 AND bytes_out > 400000) OR (event_type = 'auth_failure' AND dst_port = 8080) OR (k > 90 AND src_port > 30000), false) AS INT) AS label,
+ count(*) AS n, true AS mostly_right FROM sec_events GROUP BY 1, 2""")
+def _(spark, d):
+    """By part and planted label: events, and whether four in five of them are told right."""
+    return forest_scores(spark, d).groupBy("held_out", "label").agg(F.count("*").alias("n"), (F.avg((c("predicted") == c("label")).cast("int")) >= 0.8).alias("mostly_right"))
+
+
 _LOCATED = """(SELECT event_id, tenant_id, user_name, ts, CASE WHEN event_id % 7 <> 0 THEN (['IN', 'US', 'DE'])[1 + (event_id // 5 % 40) // 19] END AS country FROM sec_events)"""
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quillwatch.operators import forest
 from quillwatch.plans import analysis
-from quillwatch.plans.registry import QUERIES
 
 
 def test_scores_equal_the_fitted_model(spark, root):
@@ -23,7 +22,7 @@ def test_scores_equal_the_fitted_model(spark, root):
 
 
 def test_held_out_anomalies_are_found(spark):
-    out = QUERIES["score_model_forest"](spark, "/root/testdata/sf0.01").filter("held_out").groupBy("label", "predicted").count().collect()
+    out = analysis.forest_scores(spark, "/root/testdata/sf0.01").filter("held_out").groupBy("label", "predicted").count().collect()
     n = {(r["label"], r["predicted"]): r["count"] for r in out}
     found, missed, wrong = n.get((1, 1), 0), n.get((1, 0), 0), n.get((0, 1), 0)
     assert found / (found + missed) > 0.8 and found / (found + wrong) > 0.9, n
