@@ -151,25 +151,45 @@ def detect_format(source="source_type", raw="raw") -> Column:
 
 # ---- alias lookups -------------------------------------------------------------
 
-def first_of(m: Column, names) -> Column:
-    return F.coalesce(*[F.try_element_at(m, F.lit(n)) for n in names])
+def claimed_pairs(d: DataFrame, aliases: dict, first=(), spare=()) -> DataFrame:
+    """Adds ``_x``, the pairs ``_k``, ``_w`` as one map in which the last pair of a field stands, whichever alias it used.
+
+    Claimed pairs are keyed by ``@field``, all others by ``.key``. A field of ``first`` keeps its first pair; the later
+    ones are plain pairs, or dropped if the field is not in ``spare``.
+    """
+    owner = F.create_map(*[F.lit(x) for field, names in aliases.items() for n in names for x in (n, f"@{field}")])
+    d = d.withColumn("_c", F.transform("_k", lambda k: F.coalesce(F.try_element_at(owner, k), F.concat(F.lit("."), k))))
+
+    def settle(x, i):
+        late = F.array_position("_c", x) <= i
+        plain = F.concat(F.lit("."), F.get("_k", i))
+        return (F.when(x.isin([f"@{f}" for f in spare]) & late, plain)
+                .when(x.isin([f"@{f}" for f in first if f not in spare]) & late, F.lit("@")).otherwise(x))
+    d = d.withColumn("_c", F.transform("_c", settle))
+    return d.withColumn("_x", pairs_map(c("_c"), c("_w")))
+
+
+def claimed(field: str) -> Column:
+    return F.try_element_at("_x", F.lit(f"@{field}"))
 
 
-def leftovers(m: Column, aliases: dict, drop=()) -> Column:
-    """Entries no alias claims, plus surplus host and user aliases."""
-    known = [n for field, names in aliases.items() if field not in drop for n in names]
-    return F.map_filter(m, lambda k, _: ~k.isin(known))
+def plain_fields(header: dict) -> Column:
+    """Header entries, replaced by pairs of the same name, then message and the pairs that no field claims."""
+    keys = F.map_filter("_x", lambda k, _: k.startswith(".") & ~k.isin([f".{n}" for n in header]))
+    own = {n: F.coalesce(F.try_element_at("_x", F.lit(f".{n}")), x) for n, x in header.items()}
+    fixed = F.map_filter(F.create_map(*[x for n, v in own.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+    return F.map_concat(F.transform_keys(keys, lambda k, _: F.substr(k, F.lit(2))), fixed)
 
 
-def surplus(m: Column, names) -> Column:
-    """Aliases after the first present one: their target is already set, so they stay as plain fields."""
-    taken = F.lit(False)
-    out = F.create_map().cast("map<string,string>")
-    for n in names:
-        has = F.map_contains_key(m, n)
-        out = F.map_concat(out, F.when(taken & has, F.create_map(F.lit(n), m[n])).otherwise(F.create_map().cast("map<string,string>")))
-        taken = taken | has
-    return out
+def last_readable(texts: Column, now) -> Column:
+    """The last text that is a time. A single one needs no look, as it is parsed later anyway."""
+    return F.when(F.size(texts) == 1, F.get(texts, F.lit(0))).otherwise(
+        F.try_element_at(F.filter(texts, lambda x: parse_timestamp(x, now).isNotNull()), F.lit(-1)))
+
+
+def time_text(now) -> Column:
+    pairs = F.filter(F.arrays_zip(c("_c").alias("key"), c("_w").alias("value")), lambda x: x["key"] == "@ts")
+    return last_readable(F.transform(pairs, lambda x: x["value"]), now)
 
 
 # ---- CEF ---------------------------------------------------------------------
@@ -217,22 +237,20 @@ def cef_columns(lines: DataFrame, now: str) -> DataFrame:
     d = lines.withColumn("_p", cef_parts("raw"))
     h = cef_header("_p")
     keys, values = cef_pairs(F.try_element_at("_p", F.lit(8)))
-    d = d.withColumns({"_k": keys, "_w": values}).withColumn("_x", pairs_map(c("_k"), c("_w")))
-    m, g = c("_x"), lambda f: first_of(c("_x"), CEF_ALIASES[f])
-    host, user = ["shost", "sourceHostName"], CEF_ALIASES["user_name"]
-    named = {"cef_vendor": h["vendor"], "cef_product": h["product"], "cef_name": h["name"], "cef_class_id": h["class_id"],
-             "message": g("message"), "dst_hostname": g("dst_hostname")}
-    fixed = F.map_filter(F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
-    extra = F.map_filter(leftovers(m, CEF_ALIASES), lambda k, _: ~k.isin(list(named)))
+    known = {**CEF_ALIASES, "dst_hostname": [*CEF_ALIASES["dst_hostname"], "dst_hostname"]}
+    d = claimed_pairs(d.withColumns({"_k": keys, "_w": values}), known, ["hostname", "user_name"], ["hostname", "user_name"])
+    d, g = d.withColumn("ts_text", time_text(now)), claimed
+    header = {"cef_vendor": h["vendor"], "cef_product": h["product"], "cef_name": h["name"], "cef_class_id": h["class_id"],
+              "message": g("message"), "dst_hostname": g("dst_hostname")}
     return d.withColumns({
         "parse_error": F.when(F.size("_p") < 7, "short header").when(c("_p").isNull(), "no marker"),
         "event_type": F.concat(sanitize(h["product"]), F.lit("_"), sanitize(h["class_id"])), "severity": cef_severity(h["cef_severity"]),
         "src_ip": ipv4(g("src_ip")), "dst_ip": ipv4(g("dst_ip")), "src_port": unsigned(g("src_port"), PORT).cast("int"), "dst_port": unsigned(g("dst_port"), PORT).cast("int"),
         "protocol": F.lower(g("protocol")), "bytes_in": unsigned(g("bytes_in"), U64), "bytes_out": unsigned(g("bytes_out"), U64),
         "hostname": g("hostname"), "user_name": g("user_name"), "process_name": g("process_name"), "process_pid": unsigned(g("process_pid"), U32),
-        "file_name": g("file_name"), "event_category": cef_category(g("category")), "ts_text": g("ts"), "event_ts": parse_timestamp(g("ts"), now),
-        "fields": F.map_concat(extra, fixed, surplus(m, host), surplus(m, user)),
-    }).drop("_p", "_x", "_k", "_w")
+        "file_name": g("file_name"), "event_category": cef_category(g("category")), "event_ts": parse_timestamp("ts_text", now),
+        "fields": plain_fields(header),
+    }).drop("_p", "_x", "_k", "_w", "_c")
 
 
 # ---- LEEF --------------------------------------------------------------------
@@ -271,20 +289,18 @@ def leef_columns(lines: DataFrame, now: str) -> DataFrame:
     d = lines.withColumn("_p", leef_parts("raw")).withColumn("version", F.regexp_replace(part(1), "^(LEEF:)+", ""))
     d = d.withColumn("delimiter", leef_delimiter(c("version"), attrs))
     keys, values = leef_pairs(leef_body(c("version"), attrs), c("delimiter"))
-    d = d.withColumns({"_k": keys, "_w": values}).withColumn("_x", pairs_map(c("_k"), c("_w")))
-    m, g = c("_x"), lambda f: first_of(c("_x"), LEEF_ALIASES[f])
-    named = {"leef_vendor": part(2), "leef_product": part(3), "leef_event_id": part(5), "message": g("message")}
-    fixed = F.map_filter(F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
-    extra = F.map_filter(leftovers(m, LEEF_ALIASES), lambda k, _: ~k.isin(list(named)))
+    d = claimed_pairs(d.withColumns({"_k": keys, "_w": values}), LEEF_ALIASES, ["hostname", "user_name"], ["hostname"])
+    d, g = d.withColumn("ts_text", time_text(now)), claimed
+    header = {"leef_vendor": part(2), "leef_product": part(3), "leef_event_id": part(5), "message": g("message")}
     return d.withColumns({
         "parse_error": F.when(F.size("_p") < 5, "short header").when(c("_p").isNull(), "no marker"),
         "vendor": part(2), "product_name": part(3), "leef_event_id": part(5),
         "event_type": F.concat(sanitize(part(3)), F.lit("_leef_"), sanitize(part(5))), "severity": F.coalesce(F.when(g("severity").isNotNull(), leef_severity(g("severity"))), F.lit("info")),
         "src_ip": ipv4(g("src_ip")), "dst_ip": ipv4(g("dst_ip")), "src_port": unsigned(g("src_port"), PORT).cast("int"), "dst_port": unsigned(g("dst_port"), PORT).cast("int"),
         "protocol": F.lower(g("protocol")), "hostname": g("hostname"), "user_name": g("user_name"),
-        "event_category": leef_category(g("category")), "ts_text": g("ts"), "event_ts": parse_timestamp(g("ts"), now),
-        "fields": F.map_concat(extra, fixed, surplus(m, LEEF_ALIASES["hostname"])),
-    }).drop("_p", "_x", "_k", "_w")
+        "event_category": leef_category(g("category")), "event_ts": parse_timestamp("ts_text", now),
+        "fields": plain_fields(header),
+    }).drop("_p", "_x", "_k", "_w", "_c")
 
 
 # ---- JSON --------------------------------------------------------------------
@@ -297,28 +313,46 @@ def json_severity(text: Column, number: Column) -> Column:
 
 
 def json_columns(lines: DataFrame, now: str) -> DataFrame:
-    """JSON object lines to typed columns. Types matter: a number where text is expected reads as NULL,
-    so the members are first sorted by their JSON type into one map of texts and one of whole numbers."""
-    kinds = F.transform_values(F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>"), lambda _, x: F.schema_of_variant(x))
-    d = lines.withColumns({"_kinds": kinds, "_m": F.from_json("raw", "map<string,string>")})
-    of_kind = lambda kind: F.map_filter("_m", lambda k, _: F.try_element_at("_kinds", k) == kind)
+    """JSON object lines to typed columns, from one parse of the line.
+
+    Members count in the order of their names: the last alias of a field stands, even if its type does not fit (then the
+    field is NULL); a host and a user keep the first text, an event type and a message the last text, the time the last
+    text that is a time. Process ids are taken modulo 2^32.
+    """
+    members = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
+    d = lines.withColumn("_v", members).withColumn("_kinds", F.transform_values("_v", lambda _, x: F.schema_of_variant(x)))
+    kind = lambda k: F.try_element_at("_kinds", k)
+    text = lambda k, x: F.when(kind(k) == "STRING", F.try_variant_get(x, "$", "string")).when(kind(k) != "VOID", F.to_json(x))
+    d = d.withColumn("_m", F.transform_values("_v", lambda k, x: F.coalesce(text(k, x), F.lit(""))))
+    of_kind = lambda name: F.map_filter("_m", lambda k, _: kind(k) == name)
     d = d.withColumns({"_str": of_kind("STRING"), "_int": of_kind("BIGINT")})
-    texts = lambda f: first_of(c("_str"), JSON_ALIASES[f])
-    nums = lambda f, lim: unsigned(first_of(c("_int"), JSON_ALIASES[f]), lim)
+    at = lambda m, n: F.try_element_at(m, F.lit(n))
+    ordered = {f: sorted(names) for f, names in JSON_ALIASES.items()}
+
+    def last(m, f):
+        return choose([(F.map_contains_key("_kinds", n), at(m, n)) for n in reversed(ordered[f])], F.lit(None))
+    texts = lambda f: last("_str", f)
+    nums = lambda f, lim: unsigned(last("_int", f), lim)
+    pid = lambda f: nums(f, U64) % F.lit(U32 + 1)
     port = lambda f: F.coalesce(nums(f, PORT), unsigned(texts(f), PORT)).cast("int")
+    first_text = lambda f: F.coalesce(*[at("_str", n) for n in ordered[f]])
+    last_text = lambda f: F.coalesce(*[at("_str", n) for n in reversed(ordered[f])])
+    times = F.filter(F.array(*[at("_str", n) for n in ordered["ts"]]), lambda x: x.isNotNull())
+    d = d.withColumn("ts_text", last_readable(times, now))
     has_severity = F.arrays_overlap(F.map_keys("_m"), F.array(*[F.lit(n) for n in JSON_ALIASES["severity"]]))
-    rest = F.transform_values(leftovers(c("_m"), JSON_ALIASES), lambda _, v: F.coalesce(v, F.lit("")))
-    msg = F.map_filter(F.create_map(F.lit("message"), texts("message")), lambda _, v: v.isNotNull())
+    known = [n for names in JSON_ALIASES.values() for n in names]
+    rest = F.map_filter("_m", lambda k, _: ~k.isin(known))
+    msg = F.map_filter(F.create_map(F.lit("message"), last_text("message")), lambda _, v: v.isNotNull())
     return d.withColumns({
         "parse_error": F.when(c("_kinds").isNull(), "not an object"),
         "src_ip": ipv4(texts("src_ip")), "dst_ip": ipv4(texts("dst_ip")), "src_port": port("src_port"), "dst_port": port("dst_port"),
         "protocol": F.lower(texts("protocol")), "bytes_in": nums("bytes_in", U64), "bytes_out": nums("bytes_out", U64),
-        "hostname": texts("hostname"), "user_name": texts("user_name"), "user_domain": texts("user_domain"), "process_name": texts("process_name"),
-        "process_pid": nums("process_pid", U32), "process_ppid": nums("process_ppid", U32), "process_cmdline": texts("process_cmdline"), "process_path": texts("process_path"),
+        "hostname": first_text("hostname"), "user_name": first_text("user_name"), "user_domain": texts("user_domain"), "process_name": texts("process_name"),
+        "process_pid": pid("process_pid"), "process_ppid": pid("process_ppid"), "process_cmdline": texts("process_cmdline"), "process_path": texts("process_path"),
         "file_path": texts("file_path"), "file_name": texts("file_name"), "file_hash": texts("file_hash"), "file_size": nums("file_size", U64),
-        "event_type": texts("event_type"), "severity": F.when(has_severity, json_severity(texts("severity"), first_of(c("_int"), JSON_ALIASES["severity"]))),
-        "event_category": json_category(texts("category")), "ts_text": texts("ts"), "event_ts": parse_timestamp(texts("ts"), now), "fields": F.map_concat(rest, msg),
-    }).drop("_kinds", "_m", "_str", "_int")
+        "event_type": last_text("event_type"), "severity": F.when(has_severity, json_severity(texts("severity"), last("_int", "severity"))),
+        "event_category": json_category(texts("category")), "event_ts": parse_timestamp("ts_text", now), "fields": F.map_concat(rest, msg),
+    }).drop("_v", "_kinds", "_m", "_str", "_int")
 
 
 # ---- syslog --------------------------------------------------------------------

@@ -125,6 +125,29 @@ def _(spark, d):
     return nz.json_columns(lines(spark, d, 2), v.NOW).select("event_id", "severity")
 
 
+@query("norm_alias_order", f"""SELECT event_id, CASE fmt WHEN 0 THEN '10.9.9.9' WHEN 2 THEN src_ip END AS src_ip, CASE WHEN fmt <> 0 THEN src_port END AS src_port,
+ CASE WHEN fmt = 2 THEN 'first' ELSE user_name END AS user_name, CASE WHEN fmt = 2 THEN 3 WHEN fmt = 0 THEN event_id % 5000 END AS process_pid,
+ CASE WHEN fmt = 0 THEN {MS_TS} ELSE {SEC_TS} END AS event_ts, CASE WHEN fmt = 0 THEN 'second' END AS second_user, CASE WHEN fmt = 0 THEN 'Other' END AS vendor
+ FROM sec_events WHERE fmt IN (0, 1, 2)""")
+def _(spark, d):
+    """Lines in which a second alias of a field follows, some with values that cannot be read."""
+    e = v.sec_events(spark, d).filter(c("fmt").isin(0, 1, 2))
+    more = {0: F.concat("raw", F.lit(" sourceAddress=10.9.9.9 end=soon destinationUserName=second spt=http cef_vendor=Other")),
+            1: F.concat("raw", F.translate(F.lit("~identUsername=second~eventTime=soon~src=bad"), "~", "\t")),
+            2: F.concat(F.expr("left(raw, length(raw) - 1)"), F.lit(',"src":"10.9.9.9","actor":"first","ts":"soon","process_pid":4294967299,"process_cmdline":5}'))}
+    more[1] = F.when(c("event_id") % 2 == 0, F.translate(more[1], "\t", "^")).otherwise(more[1])
+    ask = ["event_id", "tenant_id", "source_type", "raw", "ts_received"]
+    builds = {0: nz.cef_columns, 1: nz.leef_columns, 2: nz.json_columns}
+
+    def columns(fmt):
+        out = builds[fmt](e.filter(c("fmt") == fmt).withColumn("raw", more[fmt]).select(*ask), v.NOW)
+        pid = c("process_pid") if fmt != 1 else F.lit(None).cast("bigint")
+        field = lambda n: F.try_element_at("fields", F.lit(n))
+        return out.select("event_id", "src_ip", "src_port", "user_name", pid.alias("process_pid"), "event_ts",
+                          F.coalesce(field("destinationUserName"), field("identUsername")).alias("second_user"), field("cef_vendor").alias("vendor"))
+    return columns(0).unionByName(columns(1)).unionByName(columns(2))
+
+
 SYS = "FROM sec_events WHERE fmt IN (3, 4)"
 
 

@@ -50,6 +50,21 @@ def test_json(spark):
     assert one(nz.json_columns(lines(spark, "{broken"), NOW)).parse_error
 
 
+def test_pairs_count_in_text_order(spark):
+    head = "CEF:0|A|B|1|c|n|5|"
+    rows = nz.cef_columns(lines(spark, head + "sourceAddress=10.0.0.1 src=10.0.0.2 duser=first suser=second rt=2024-01-01 end=soon start=2024-01-03 end=never",
+                                head + "src=10.0.0.1 sourceAddress=bad rt=soon end=later dhost=a dst_hostname=b cef_name=own msg=x message=y"), NOW).orderBy("event_id").collect()
+    a, b = rows
+    assert (a.src_ip, a.user_name, a.fields["suser"], a.event_ts) == ("10.0.0.2", "first", "second", dt.datetime(2024, 1, 3))
+    assert (b.src_ip, b.event_ts, b.fields["dst_hostname"], b.fields["cef_name"], b.fields["message"]) == (None, None, "b", "own", "y")
+    r = one(nz.leef_columns(lines(spark, "LEEF:1.0|A|B|1|c|\tidentUsername=first\tusrName=second\tidentSrc=h1\tsrcHost=h2\tsev=1\tseverity=9\teventTime=soon\tdevTime=2024-01-02"), NOW))
+    assert (r.user_name, r.hostname, r.fields["srcHost"], r.severity, r.event_ts) == ("first", "h1", "h2", "critical", dt.datetime(2024, 1, 2))
+    assert "usrName" not in r.fields
+    r = one(nz.json_columns(lines(spark, '{"user":"u","actor":"a","src_ip":5,"src":"10.0.0.1","ts":"soon","timestamp":"2024-01-02","pid":1,"process_pid":4294967299,"type":"t","event_type":7,"x":1.5,"y":null,"z":[1,{"b":2}]}'), NOW))
+    assert (r.user_name, r.src_ip, r.event_ts, r.process_pid, r.event_type) == ("a", None, dt.datetime(2024, 1, 2), 3, "t")
+    assert (r.fields["x"], r.fields["y"], r.fields["z"]) == ("1.5", "", '[1,{"b":2}]')
+
+
 def test_syslog(spark):
     a, b = nz.syslog_columns(lines(spark, "<34>1 2026-03-22T10:00:00Z webserver sshd 1234 - - Failed password", "<13>Mar 22 10:00:00 myhost sshd[123]: Invalid user")).orderBy("event_id").collect()
     assert (a.hostname, a.process_name, a.message, a.severity, a.event_ts) == ("webserver", "sshd", "Failed password", "critical", dt.datetime(2026, 3, 22, 10))
