@@ -88,6 +88,49 @@ def ipv4(col) -> Column:
     return F.when(is_ipv4(col), c(col))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hextets(text: Column) -> Column:
+    """Eight groups in lower case without leading zeros, NULL when malformed."""
+    groups = lambda half: F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def joined(halves):
+        sides = F.struct(groups(F.get(halves, F.lit(0))).alias("a"), groups(F.get(halves, F.lit(1))).alias("b"), F.size(halves).alias("n"))
+        return let(sides, filled)
+
+    def filled(x):
+        given = F.size(x["a"]) + F.size(x["b"])
+        fits = ((x["n"] == 1) & (given == 8)) | ((x["n"] == 2) & (given <= 7))
+        return F.when(fits, F.concat(x["a"], F.array_repeat(F.lit("0"), 8 - given), x["b"]))
+    clean = lambda all8: F.when(F.forall(all8, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")), F.transform(all8, lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", ""))))
+    return let(let(F.split(text, "::"), joined), clean)
+
+
+def _ipv6_text(groups: Column) -> Column:
+    low = lambda i: F.conv(F.get(groups, F.lit(i)), 16, 10).cast("int")
+    dotted = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[x.cast("string") for i in (6, 7) for x in (F.shiftright(low(i), 8), low(i).bitwiseAND(F.lit(255)))]))
+
+    def squeezed(flags):
+        # One letter a group: the first longest run of zeros is found as text.
+        join = lambda start, length: F.array_join(F.slice(groups, start, length), ":")
+        runs = [(F.locate("0" * run, flags) > 0, F.concat(join(F.lit(1), F.locate("0" * run, flags) - 1), F.lit("::"), join(F.locate("0" * run, flags) + run, F.lit(8)))) for run in range(8, 1, -1)]
+        return choose([(flags.startswith("00000x") & (F.get(groups, F.lit(5)) == "ffff"), dotted), *runs], F.array_join(groups, ":"))
+    return let(F.array_join(F.transform(groups, lambda g: F.when(g == "0", "0").otherwise("x")), ""), squeezed)
+
+
+def ipv6(col) -> Column:
+    """IPv6 text in canonical form (lower case, no leading zeros, the first longest run of zero groups as ``::``,
+    a mapped IPv4 address dotted), NULL when malformed."""
+    t = c(col)
+    tail = F.regexp_extract(t, r"^.*:([0-9.]*\.[0-9.]*)$", 1)
+    two = lambda number: F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(F.lit(65535))))
+    text = F.when(tail == "", t).otherwise(F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]*$", 1), let(ip_number(tail), two)))
+    return F.when(t.contains(":"), let(_hextets(text), _ipv6_text))
+
+
 def ip_number(col) -> Column:
     """IPv4 text as BIGINT, NULL when malformed."""
     part = lambda i: F.split_part(c(col), F.lit("."), F.lit(i)).cast("bigint")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import c
+from quillwatch.functions.scalars import c, ipv6
 from quillwatch.sources.shared import materialize
 
 
@@ -21,7 +21,7 @@ def url_normal(value) -> Column:
 
 def normal_value(kind, value) -> Column:
     k, v = c(kind), c(value)
-    return (F.when(k == "url", url_normal(v))
+    return (F.when(k == "ip", F.when(v.contains(":"), F.coalesce(ipv6(v), v)).otherwise(v)).when(k == "url", url_normal(v))
             .when(k == "domain", F.regexp_replace(F.lower(v), r"\.+$", ""))
             .otherwise(F.lower(v)))
 
@@ -49,7 +49,14 @@ def url_host(url) -> Column:
     return F.regexp_replace(F.regexp_extract(url_normal(url), r"://([^/:]*)", 1), r"\.+$", "")
 
 
+#: The address columns hold dotted quads, whose text is canonical.
 FIXED = [("ip", "src_ip"), ("ip", "dst_ip"), ("sha256", "file_hash")]
+
+
+def fixed_value(kind: str, name: str) -> Column:
+    return c(name) if kind == "ip" else normal_value(F.lit(kind), name)
+
+
 ENTRY = "array<struct<pos:int,ioc_type:string,value_norm:string>>"
 
 
@@ -57,7 +64,7 @@ def entries(urls: Column, with_domain: bool = False) -> Column:
     """What an event has looked up, in order of precedence: its fixed columns, its addresses, then their hosts."""
     def entry(pos, kind, value):
         return F.struct(pos.alias("pos"), F.lit(kind).alias("ioc_type"), value.alias("value_norm"))
-    parts = [F.array(*[entry(F.lit(i), kind, normal_value(F.lit(kind), x)) for i, (kind, x) in enumerate(FIXED)]),
+    parts = [F.array(*[entry(F.lit(i), kind, fixed_value(kind, x)) for i, (kind, x) in enumerate(FIXED)]),
              F.transform(urls, lambda u, i: entry(i + len(FIXED), "url", url_normal(u)))]
     if with_domain:
         parts.append(F.transform(urls, lambda u, i: entry(i + len(FIXED) + F.size(urls), "domain", url_host(u))))
@@ -126,7 +133,7 @@ def flag(events: DataFrame, indicators: DataFrame | Lookup, with_domain: bool =
     look = indicators if isinstance(indicators, Lookup) else Lookup(indicators)
     d = events.withColumn("_urls", F.coalesce(urls_of(), F.array().cast("array<string>")))
     url = F.get("_urls", F.lit(0))
-    keys = [(kind, normal_value(F.lit(kind), x)) for kind, x in FIXED] + [("url", url_normal(url))] + ([("domain", url_host(url))] if with_domain else [])
+    keys = [(kind, fixed_value(kind, x)) for kind, x in FIXED] + [("url", url_normal(url))] + ([("domain", url_host(url))] if with_domain else [])
     maybe = F.size("_urls") > 1
     for kind, key in keys:
         maybe = maybe | look.maybe(kind, key)

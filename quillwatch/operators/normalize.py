@@ -428,6 +428,11 @@ def enum_or_default(col, words, default) -> Column:
     return F.when(F.lower(c(col)).isin(words), F.lower(c(col))).otherwise(d)
 
 
+def read_enums(df: DataFrame, enums: dict) -> DataFrame:
+    """Every column that has a closed word set, read as its word in lower case or its default."""
+    return df.withColumns({n: enum_or_default(n, *words) for n, words in enums.items() if n in df.columns})
+
+
 def pretriage_severity(category="event_category", auth_result="auth_result") -> Column:
     """First severity before any rule ran (our definition): failed logins medium, other security
     relevant categories low, the rest info."""

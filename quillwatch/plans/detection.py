@@ -226,8 +226,17 @@ def _(spark, d):
 NORM_SQL = """lower(regexp_extract({0}, '^([^:]*://[^/]*)', 1)) || regexp_replace({0}, '^[^:]*://[^/]*', '')"""
 
 
+def _addresses():
+    """The same page as an address: long and short IPv6 text, IPv4, no address, a mapped IPv4 address."""
+    number, last = F.hex(1 + c("page_id") % 60000), (c("page_id") % 250).cast("string")
+    return F.array(F.concat(F.lit("2001:0DB8:0000:0:0:0:0:"), F.lpad(number, 4, "0")), F.concat(F.lit("2001:DB8:0:01::"), number, F.lit(":0000")), F.concat(F.lit("10.0.0."), last),
+                   F.concat(F.lit("Not:An:Address "), c("page_id").cast("string")), F.concat(F.lit("0:0::FFFF:10.1.2."), last))
+
+
 @query("ioc_normalize", f"""SELECT page_id, {NORM_SQL.format("u")} AS url_norm, lower(html) = lower(upper(html)) AS same, lower('SHA' || page_id) AS hash_norm,
- rtrim(lower('Host' || page_id || '.Example.ORG..'), '.') AS domain_norm, lower('no-scheme/' || page_id || '/PATH') AS bare FROM (SELECT *, regexp_replace(url, '^(https?)://([^/]*)', upper(regexp_extract(url, '^https?://[^/]*'))) AS u FROM pages)""")
+ rtrim(lower('Host' || page_id || '.Example.ORG..'), '.') AS domain_norm, lower('no-scheme/' || page_id || '/PATH') AS bare,
+ CASE page_id % 5 WHEN 0 THEN '2001:db8::' || lower(to_hex(1 + page_id % 60000)) WHEN 1 THEN '2001:db8:0:1::' || lower(to_hex(1 + page_id % 60000)) || ':0'
+ WHEN 2 THEN '10.0.0.' || (page_id % 250) WHEN 3 THEN 'Not:An:Address ' || page_id ELSE '::ffff:10.1.2.' || (page_id % 250) END AS ip_norm FROM (SELECT *, regexp_replace(url, '^(https?)://([^/]*)', upper(regexp_extract(url, '^https?://[^/]*'))) AS u FROM pages)""")
 def _(spark, d):
     p = table(spark, d, "pages")
     head = F.regexp_extract("url", r"^https?://[^/]*", 0)
@@ -235,7 +244,8 @@ def _(spark, d):
     n = lambda kind, x: ioc.normal_value(F.lit(kind), x)
     shouted = F.concat(F.upper(head), F.substring("url", F.length(head) + 1, F.length("url")))
     return p.select("page_id", n("url", shouted).alias("url_norm"), (F.lower("html") == F.lower(F.upper("html"))).alias("same"),
-                    n("sha256", t("SHA", "")).alias("hash_norm"), n("domain", t("Host", ".Example.ORG..")).alias("domain_norm"), n("url", t("no-scheme/", "/PATH")).alias("bare"))
+                    n("sha256", t("SHA", "")).alias("hash_norm"), n("domain", t("Host", ".Example.ORG..")).alias("domain_norm"), n("url", t("no-scheme/", "/PATH")).alias("bare"),
+                    n("ip", F.get(_addresses(), (c("page_id") % 5).cast("int"))).alias("ip_norm"))
 
 
 @query("ioc_namespace", """SELECT ioc_type, count(*) AS n FROM (SELECT DISTINCT ioc_type, value_norm FROM (

@@ -21,6 +21,17 @@ def _(spark, d):
     return intake.raw_lines(e).select("event_id", "raw", "reject_reason")
 
 
+@query("src_text_files", """SELECT CASE WHEN event_id % 37 = 0 THEN '' WHEN event_id % 41 = 0 THEN chr(65533) || raw ELSE raw END AS raw,
+ CASE WHEN event_id % 37 = 0 THEN 'empty' WHEN event_id % 41 = 0 THEN 'not utf-8' END AS reject_reason, count(*) AS n FROM sec_events GROUP BY 1, 2""")
+def _(spark, d):
+    """The lines as text files with CRLF ends, some empty, some with a byte that is no text; read back as a source."""
+    broken = F.concat(F.unhex(F.lit("FF")), c("raw").cast("binary")).cast("string")
+    body = F.when(c("event_id") % 37 == 0, "").when(c("event_id") % 41 == 0, broken).otherwise(c("raw"))
+    path = new_folder(spark, "lines")
+    v.sec_events(spark, d).select(F.concat(body, F.lit("\r")).alias("value")).write.mode("append").text(path)
+    return intake.text_lines(spark.read, path).groupBy("raw", "reject_reason").agg(F.count("*").alias("n"))
+
+
 @query("src_json_intake", """SELECT user_id % 3 AS auth, count(*) FILTER (event_id % 19 <> 0 AND event_id % 23 <> 0) AS n_accepted, count(*) FILTER (event_id % 29 <> 1 AND (event_id % 19 = 0 OR event_id % 23 = 0)) AS n_rejected,
  count(DISTINCT event_id) FILTER (event_id % 23 <> 0) AS fresh_ids FROM events WHERE event_id % 29 <> 1 GROUP BY 1""")
 def _(spark, d):
@@ -196,13 +207,22 @@ def _(spark, d):
 _LANES = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
 
 
-@query("sink_evidence_export", f"""SELECT 'audit' AS kind, day, n, sha256(n || ':' || total) AS digest FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n, {_LANES} AS total
- FROM (SELECT ts, sha256('{{"event_id":' || event_id || ',"actor_id":"' || actor_id || '","action":"' || action || '"}}') AS h FROM audit_log) GROUP BY 1)""")
+def _digest_sql(kind, ts, line, rows):
+    return f"""SELECT '{kind}' AS kind, day, n, sha256(n || ':' || total) AS digest FROM (SELECT CAST({ts} AS DATE) AS day, count(*) AS n, {_LANES} AS total
+ FROM (SELECT {ts}, sha256({line}) AS h FROM {rows}) GROUP BY 1)"""
+
+
+@query("sink_evidence_export", " UNION ALL ".join([
+    _digest_sql("audit", "ts", """'{"event_id":' || event_id || ',"actor_id":"' || actor_id || '","action":"' || action || '"}'""", "audit_log"),
+    _digest_sql("events", "ts", """'{"event_id":' || event_id || ',"tenant_id":"' || tenant_id || '","event_type":"' || event_type || '","src_ip":"' || src_ip || '"}'""", "sec_events"),
+    _digest_sql("alerts", "month", """'{"alert_id":' || alert_id || ',"tenant_id":"' || tenant_id || '","severity":"' || severity || '","status":"' || status || '"}'""", "(SELECT *, date_trunc('month', created_at) AS month FROM alerts_life)")]))
 def _(spark, d):
-    log = v.sec_events(spark, d).select("event_id", c("user_name").alias("actor_id"), c("event_type").alias("action"), F.to_date("ts").alias("day"))
-    path = new_folder(spark, "evidence")
-    archive.export_evidence(log, path)
-    return archive.evidence_manifest(spark.read.schema(log.schema).json(path), "audit")
+    """The package: audit rows, events by day and alerts by month as JSON lines, and the manifest read from what was written."""
+    e = v.sec_events(spark, d)
+    parts = {"audit": e.select("event_id", c("user_name").alias("actor_id"), c("event_type").alias("action"), F.to_date("ts").alias("day")),
+             "events": e.select("event_id", "tenant_id", "event_type", "src_ip", F.to_date("ts").alias("day")),
+             "alerts": v.alerts_life(spark, d).select("alert_id", "tenant_id", "severity", "status", F.trunc("created_at", "month").alias("day"))}
+    return archive.evidence_package(spark, parts, new_folder(spark, "evidence"))
 
 
 @query("scan_tail", "SELECT event_id, ts FROM sec_events WHERE ts > '2024-01-20 12:00:00' ORDER BY ts, event_id LIMIT 100")

@@ -40,7 +40,13 @@ DEFAULTS = {"collector_id": "unknown", "raw": "", "asset_criticality": "unknown"
 # Closed word sets; unknown words fall back to the default.
 ENUMS = {
     "severity": (["info", "low", "medium", "high", "critical"], "info"),
+    "source_type": (["linux_ebpf", "windows_etw", "syslog", "cloudtrail", "azure_activity_log", "gcp_audit_log", "http_intake", "ot_scada", "network_flow", "dhcp", "dns", "unknown"], "unknown"),
+    "event_category": (["authentication", "network", "file", "process", "registry", "account", "cloud", "other"], None),
     "asset_criticality": (["critical", "high", "medium", "low", "unknown"], "unknown"),
-    "auth_result": (["success", "failure", "mfa_required", "locked"], None),
+    "user_type": (["human", "service", "system"], None),
+    "auth_result": (["success", "failure", "unknown"], None),
     "direction": (["inbound", "outbound", "lateral"], None),
+    "file_action": (["read", "write", "create", "delete", "rename"], None),
+    "detection_source": (["sigma", "onnx", "ueba", "ioc", "threshold"], "sigma"),
+    "status": (["open", "acknowledged", "in_progress", "resolved", "false_positive", "suppressed"], "open"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,5 +58,14 @@ def evidence_manifest(df: DataFrame, kind: str, day="day") -> DataFrame:
 
 
 def export_evidence(df: DataFrame, path: str, day="day") -> None:
-    """JSON lines by day."""
-    df.write.mode("append").partitionBy(day).json(path)
+    """JSON lines by day, few files a day: rows are gathered by day, and a large day is split again."""
+    df.hint("rebalance", day).write.mode("append").partitionBy(day).json(path)
+
+
+def evidence_package(spark: SparkSession, parts: dict[str, DataFrame], path: str) -> DataFrame:
+    """Each kind of rows below its own folder, and one manifest over what the files hold."""
+    manifests = []
+    for kind, rows in parts.items():
+        export_evidence(rows, f"{path}/{kind}")
+        manifests.append(evidence_manifest(spark.read.schema(rows.schema).json(f"{path}/{kind}"), kind))
+    return reduce(DataFrame.unionByName, manifests)

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameReader
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from quillwatch.functions.scalars import c
 
 
 def raw_lines(lines: DataFrame, value="value") -> DataFrame:
-    """Trailing line ends trimmed; empty or undecodable lines carry a reject reason."""
-    line = F.regexp_replace(c(value), r"[\r\n]+$", "")
-    reason = F.when(c(value).isNull() | line.contains("�"), "not utf-8").when(line == "", "empty")
+    """Trailing line ends trimmed; empty or undecodable lines carry a reject reason. What cannot be decoded stands as U+FFFD."""
+    line = F.regexp_replace(F.make_valid_utf8(c(value)), r"[\r\n]+$", "")
+    reason = F.when(c(value).isNull() | ~F.is_valid_utf8(c(value)), "not utf-8").when(line == "", "empty")
     return lines.withColumn("raw", line).withColumn("reject_reason", reason)
 
 
+def text_lines(source: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """Lines of text files, read at once (``spark.read``) or as they come (``spark.readStream``)."""
+    return raw_lines(source.option("lineSep", "\n").text(path))
+
+
 def json_arrays(bodies: DataFrame, item_schema: str, tenant, batch="batch_id", body="body") -> DataFrame:
     """JSON array bodies to rows. The tenant is the authenticated one, whatever the item says; event
     ids are fresh and reproducible; an item without the required fields is rejected, and so is a body that is

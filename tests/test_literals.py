@@ -1,17 +1,18 @@
 """Literal cases: parsers, timestamps, rules, scoring, windows, lockouts, reports."""
 
 import datetime as dt
+import ipaddress
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillwatch.functions import mitre
-from quillwatch.functions.scalars import duration_text, in_cidr, severity_from_score
+from quillwatch.functions.scalars import duration_text, in_cidr, ipv6, severity_from_score
 from quillwatch.operators import alerts, anchored, audit, compliance, enrich, filters, ioc, risk, rules, sessions, split
 from quillwatch.operators import normalize as nz
 from quillwatch.sources import events as store
-from quillwatch.sources import rule_files
+from quillwatch.sources import intake, rule_files
 from quillwatch.sources.shared import new_folder
 
 NOW = "2026-03-23 00:00:00"
@@ -65,6 +66,29 @@ def test_pairs_count_in_text_order(spark):
     assert (r.fields["x"], r.fields["y"], r.fields["z"]) == ("1.5", "", '[1,{"b":2}]')
 
 
+def test_ipv6_is_canonical(spark):
+    rng = random.Random(5)
+    texts = ["::", "::1", "1::", "::ffff:10.1.2.3", "0:0:0:0:0:FFFF:0a01:0203", "64:ff9b::10.1.2.3", "1:2:3:4:5:6:7::", "1:0:0:2:0:0:0:3", "1:0:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "fe80::1:0:0:1",
+             ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8", "12345::", "g::", "::1.2.3", "::1.2.3.256", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "", "10.0.0.1"]
+    texts += [":".join(rng.choice(["0", "0", "00", "AB", "0c", "ffff"]) for _ in range(8)) for _ in range(200)]
+    texts += [":".join(rng.choice(["0", "1", "0a"]) for _ in range(rng.randint(1, 4))) + "::" + ":".join(rng.choice(["0", "2"]) for _ in range(rng.randint(0, 3))) for _ in range(100)]
+
+    def want(text):
+        try:
+            a = ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        return f"::ffff:{a.ipv4_mapped}" if a.ipv4_mapped else a.compressed
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ipv6("t").alias("n")).collect()
+    assert [(r.t, r.n) for r in got] == [(t, want(t)) for t in texts]
+
+
+def test_text_lines(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"one\r\n\xfftwo\n\n" + "drei \ufffd ü\n".encode())
+    got = {(r.raw, r.reject_reason) for r in intake.text_lines(spark.read, str(tmp_path)).collect()}
+    assert got == {("one", None), ("\ufffdtwo", "not utf-8"), ("", "empty"), ("drei \ufffd ü", None)}
+
+
 def test_syslog(spark):
     a, b = nz.syslog_columns(lines(spark, "<34>1 2026-03-22T10:00:00Z webserver sshd 1234 - - Failed password", "<13>Mar 22 10:00:00 myhost sshd[123]: Invalid user")).orderBy("event_id").collect()
     assert (a.hostname, a.process_name, a.message, a.severity, a.event_ts) == ("webserver", "sshd", "Failed password", "critical", dt.datetime(2026, 3, 22, 10))
