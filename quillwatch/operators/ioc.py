@@ -178,16 +178,16 @@ def text_feed_rows(lines: DataFrame, kind: str, source: str) -> DataFrame:
                         F.lit(None).cast("string").alias("severity")).filter((c("value") != "") & ~c("value").startswith("#"))
 
 
-def csv_feed_rows(lines: DataFrame, kind: str, source: str, column: int, header: str | None = None) -> DataFrame:
+def csv_feed_rows(lines: DataFrame, kind: str, source: str, column: int, header: str | None = None, keep=()) -> DataFrame:
     """Column ``column`` of a comma list; split limited so later commas stay in the tail; ``header``
-    is the header line to drop (files may be split over tasks, so it is recognised by content)."""
+    is the header line to drop (files may be split over tasks, so it is recognised by content). Columns of ``keep`` stay with their line."""
     t = strip(c("value"))
     cell = F.try_element_at(F.split(t, ",", column + 2), F.lit(column + 1))
     v = F.regexp_replace(strip(cell), '^"+|"+$', "")
     rows = lines.filter((t != "") & ~t.startswith("#"))
     if header is not None:
         rows = rows.filter(t != header)
-    return rows.select(F.lit(kind).alias("ioc_type"), v.alias("value"), F.lit(source).alias("source"),
+    return rows.select(*keep, F.lit(kind).alias("ioc_type"), v.alias("value"), F.lit(source).alias("source"),
                        F.lit(None).cast("string").alias("severity")).filter(c("value") != "")
 
 

@@ -140,9 +140,8 @@ def _(spark, d):
 def _(spark, d):
     p = c("page_id")
     line = F.when(p == 0, "id,date,url,tags").when(p % 20 == 3, F.concat(F.lit("# "), c("url"))).otherwise(F.concat(txt("page_id"), F.lit(',2024-01-01, "'), c("url"), F.lit('",a,b,c')))
-    lines = table(spark, d, "pages").select("page_id", "url", line.alias("value"))
-    out = ioc.csv_feed_rows(lines.select("value"), "url", "feed", 2, header="id,date,url,tags")
-    return out.join(lines.select("page_id", "url"), c("value") == c("url")).select("page_id", c("url").alias("value"))
+    lines = table(spark, d, "pages").select("page_id", line.alias("value"))
+    return ioc.csv_feed_rows(lines, "url", "feed", 2, header="id,date,url,tags", keep=["page_id"]).select("page_id", "value")
 
 
 @query("src_feed_misp", """SELECT value, severity, count(*) AS n FROM (SELECT c_name AS value, c_mktsegment AS severity FROM customer UNION ALL SELECT 'x' || c_custkey, NULL FROM customer) GROUP BY ALL""")
