@@ -10,7 +10,7 @@ from quillwatch.plans.registry import query
 from quillwatch.sources import archive, events, intake, rule_files
 from quillwatch.sources.event_store import EventStore
 from quillwatch.sources.shared import new_folder
-from quillwatch.sources.tables import table
+from quillwatch.sources.tables import spread, table
 
 txt = lambda x: (c(x) if isinstance(x, str) else x).cast("string")
 
@@ -197,7 +197,7 @@ def _(spark, d):
  FROM part CROSS JOIN (VALUES (0), (1), (2)) t(idx)""")
 def _(spark, d):
     body = F.concat(F.lit("title: "), c("p_name"), F.lit("\nlevel: high\n---\ndescription: untitled\n---\nbad: [unclosed\n---\n   \n"))
-    docs = rule_files.documents(table(spark, d, "part"), body, "p_partkey")
+    docs = rule_files.documents(spread(table(spark, d, "part").select("p_partkey", "p_name")), body, "p_partkey")
     cat = rule_files.with_import_defaults(rule_files.catalog(docs, "p_partkey", "idx"))
     ok = c("error").isNull()
     return cat.select("p_partkey", "idx", F.when(ok, c("title")).alias("title"), F.when(ok, c("level")).alias("level"), (~ok).alias("failed"))

@@ -38,7 +38,8 @@ def catalog(docs: DataFrame, *keys) -> DataFrame:
         try:
             try:
                 import yaml
-                doc = yaml.safe_load(text)
+                # The C parser, where the library has it, reads the same documents about ten times as fast.
+                doc = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
             except ImportError:
                 doc = json.loads(text)
             if not isinstance(doc, dict):

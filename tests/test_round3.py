@@ -30,3 +30,7 @@ def test_csv_feed_keeps_the_page_of_a_repeated_url(spark, root, copied):
     got = sorted(r.page_id for r in QUERIES["src_feed_csv"](spark, d).collect())
     ids = [r.page_id + n for r in pages.collect() for n in (0, 10_000)]
     assert got == sorted(x for x in ids if x % 20 != 3 and x != 0)
+
+
+def test_rules_are_read_by_several_tasks(spark, root):
+    assert QUERIES["src_rules_import"](spark, root).rdd.getNumPartitions() >= 4
