@@ -27,17 +27,25 @@ def sec_events(spark: SparkSession, d: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORES:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        dated = derive_events(spark, d).withColumn("event_day", F.to_date("ts"))
-        _STORES[key] = stored(dated.repartition("tenant_id", "event_day"), "sec-events", ("tenant_id", "event_day"))
+        _STORES[key] = stored(derive_events(spark, d, by_day=True), "sec-events", ("tenant_id", "event_day"))
     return _STORES[key]
 
 
-def derive_events(spark: SparkSession, d: str) -> DataFrame:
-    base = spread(table(spark, d, "events")).select(
-        "event_id", "ts", "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"))
+def derive_events(spark: SparkSession, d: str, by_day: bool = False) -> DataFrame:
+    """The events with their security columns. With ``by_day`` they come by tenant and day: the few source columns are moved and sorted before the wide ones are made,
+    so the writer of the store has nothing to sort. The number of partitions is given, as their size before says little about the work after."""
+    base = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    keep = ["event_id", "ts", "user_id", "k", "value"]
+    pairs = V.EVENT_COLUMNS
+    if by_day:
+        days = ["tenant_id", "event_day"]
+        base = base.withColumns({"tenant_id": F.expr(dict(pairs)["tenant_id"]), "event_day": F.to_date("ts")})
+        base = base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *days).sortWithinPartitions(*days)
+        keep, pairs = [*keep, *days], [x for x in pairs if x[0] != "tenant_id"]
+    else:
+        base = spread(base)
     user_hash = F.sha2(F.col("user_id").cast("string"), 256)
-    cols = _derive(base, V.EVENT_COLUMNS, ["event_id", "ts", "user_id", "k", "value"]).withColumns({
+    cols = _derive(base, pairs, keep).withColumns({
         "ts_received": F.expr("ts + make_dt_interval(0, 0, 0, event_id % 90)"),
         "bytes_out": F.round(F.col("value") * 100).cast("bigint") * 1000,
         "file_hash": F.when(F.col("event_id") % 2 == 0, F.upper(user_hash)).otherwise(user_hash),

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from quillwatch.plans import load_all
+from quillwatch.plans import load_all, streams, views
 from quillwatch.plans.registry import QUERIES
 
 load_all()
@@ -34,3 +34,13 @@ def test_csv_feed_keeps_the_page_of_a_repeated_url(spark, root, copied):
 
 def test_rules_are_read_by_several_tasks(spark, root):
     assert QUERIES["src_rules_import"](spark, root).rdd.getNumPartitions() >= 4
+
+
+def test_store_moves_source_columns_only(spark, root):
+    plan = views.derive_events(spark, root, by_day=True)._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan.split("RepartitionByExpression")[1]
+    assert "powershell" in plan and "powershell" not in moved
+
+
+def test_volume_feed_holds_what_the_job_reads(spark, root):
+    assert streams.event_feed(spark, root, "tenant_id", "ts").columns == ["tenant_id", "ts"]
