@@ -33,7 +33,7 @@ def feed(spark, d, name, df):
     """A stream over a folder that received the rows in three deliveries, oldest first."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _FEEDS:
-        path = new_folder(spark, f"feed-{name}")
+        path = new_folder(spark, "feed-" + name.replace("*", "all"))
         for part, _ in deliveries(df):
             part.write.mode("append").parquet(path)
         _FEEDS[key] = (path, df.schema)
@@ -41,8 +41,9 @@ def feed(spark, d, name, df):
     return jobs.read_folder(spark, path, schema, 8)
 
 
-def event_feed(spark, d):
-    return feed(spark, d, "events", v.sec_events(spark, d))
+def event_feed(spark, d, *columns):
+    """A feed of the events with the columns that the job reads."""
+    return feed(spark, d, "-".join(("events", *columns)), v.sec_events(spark, d).select(*columns))
 
 
 def appended(spark, df):
@@ -83,26 +84,26 @@ def batched(spark, df, make):
 
 @query("src_topics", "SELECT event_id, tenant_id, raw FROM sec_events")
 def _(spark, d):
-    return appended(spark, event_feed(spark, d).select("event_id", "tenant_id", "raw"))
+    return appended(spark, event_feed(spark, d, "event_id", "tenant_id", "raw", "ts").select("event_id", "tenant_id", "raw"))
 
 
 @query("st_normalize", """SELECT event_id, CASE WHEN source_type = 'linux_ebpf' THEN 'agent' WHEN fmt IN (0, 9) THEN 'cef' WHEN fmt = 1 THEN 'leef' WHEN fmt = 2 THEN 'json' ELSE 'collector_parsed' END AS format,
  CASE WHEN source_type <> 'linux_ebpf' AND fmt = 9 THEN 'short header' END AS parse_error FROM sec_events""")
 def _(spark, d):
-    lines = event_feed(spark, d).select("event_id", "tenant_id", "source_type", "raw", "ts_received")
+    lines = event_feed(spark, d, "event_id", "tenant_id", "source_type", "raw", "ts_received", "ts").drop("ts")
     dead = new_folder(spark, "dead")
     return batched(spark, lines, lambda out: jobs.normalize_batches(out, dead, v.NOW)).select("event_id", "format", "parse_error")
 
 
 @query("st_detect", "SELECT event_id, string_agg(rule_id, ',' ORDER BY pos) AS rule_ids FROM rule_hits GROUP BY event_id")
 def _(spark, d):
-    return appended(spark, jobs.detect(event_feed(spark, d), RULES).select("event_id", F.array_join("rule_matches.rule_id", ",").alias("rule_ids")).filter("rule_ids <> ''"))
+    return appended(spark, jobs.detect(event_feed(spark, d, "*"), RULES).select("event_id", F.array_join("rule_matches.rule_id", ",").alias("rule_ids")).filter("rule_ids <> ''"))
 
 
 @query("st_detect_risk", "SELECT event_id, risk_score, ioc_hit, coalesce(rule_ids, '') AS rule_ids FROM cand")
 def _(spark, d):
     """Indicators, rules, risk and threshold as one streaming job."""
-    indicators, e = v.ioc_lookup(spark, d), v.model_scores(event_feed(spark, d))
+    indicators, e = v.ioc_lookup(spark, d), v.model_scores(event_feed(spark, d, "*"))
     found = batched(spark, e, lambda out: jobs.detect_batches(out, RULES, lambda number: indicators))
     return found.select("event_id", "risk_score", "ioc_hit", F.array_join("rule_ids", ",").alias("rule_ids"))
 
@@ -122,7 +123,7 @@ def _(spark, d):
 
 @query("st_push_filtered", "SELECT event_id, severity FROM sec_events WHERE sev_rank >= 3")
 def _(spark, d):
-    return appended(spark, jobs.push(event_feed(spark, d), "high").select("event_id", "severity"))
+    return appended(spark, jobs.push(event_feed(spark, d, "event_id", "severity", "ts"), "high").select("event_id", "severity"))
 
 
 @query("st_dedup", "SELECT event_id, tenant_id FROM sec_events")
@@ -135,13 +136,13 @@ def _(spark, d):
 
 @query("st_tumbling_volume", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, tenant_id, count(*) AS n FROM sec_events GROUP BY 1, 2")
 def _(spark, d):
-    return upserted(spark, jobs.volume(event_feed(spark, d), DELAY, "1 hour"), ["window_start", "tenant_id"])
+    return upserted(spark, jobs.volume(event_feed(spark, d, "tenant_id", "ts"), DELAY, "1 hour"), ["window_start", "tenant_id"])
 
 
 @query("st_sliding_threshold", """SELECT window_start, tenant_id, total FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * o) AS window_start, tenant_id, CAST(sum(bytes_out) AS BIGINT) AS total
  FROM sec_events CROSS JOIN (VALUES (0), (1), (2), (3)) t(o) GROUP BY 1, 2) WHERE total >= 600000000""")
 def _(spark, d):
-    return upserted(spark, jobs.sliding(event_feed(spark, d), DELAY, "tenant_id", "24 hours", "6 hours", 600_000_000), ["window_start", "tenant_id"])
+    return upserted(spark, jobs.sliding(event_feed(spark, d, "tenant_id", "ts", "bytes_out"), DELAY, "tenant_id", "24 hours", "6 hours", 600_000_000), ["window_start", "tenant_id"])
 
 
 @query("st_session", """WITH g AS (SELECT tenant_id, user_name, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 8 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM sec_events WINDOW w AS (PARTITION BY tenant_id, user_name ORDER BY ts)),
