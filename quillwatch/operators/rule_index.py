@@ -5,6 +5,8 @@ such row on any event. Which rules an event is tried on says an index from (fiel
 field is filed under those values, and the event's own value of the field looks it up, one equality join per indexed field, which Spark broadcasts while the
 index is small. Rules without such a value (texts, patterns, numbers only) are tried on every event.
 
+Rules that test the same are one body, tried once however many rules have it; ids, titles and tags are the heads of a body and are joined to the events that a body hits.
+
 A rule fires on the same events as in `rules.match_all`; tests/test_rules.py compares the two on every modifier.
 """
 
@@ -22,13 +24,13 @@ from quillwatch.sources.shared import materialize
 
 #: Selections of a rule whose truth table is written out; rules with more are refused with a reason.
 MOST_SELECTIONS = 10
-#: Rules that the driver compiles at once. More are an error, not a cut.
-MOST_RULES = 100_000
+#: Different bodies that the driver compiles at once. More are an error, not a cut.
+MOST_BODIES = 100_000
 
 TEST = "struct<source:string,test:string,texts:array<string>,numbers:array<bigint>>"
 #: selections: of ways to satisfy each, of entries that all hold, of tests of which one holds.
-RULE = (f"struct<rank:string,rule_id:string,rule_title:string,severity:string,tactics:array<string>,techniques:array<string>,truth:string,"
-        f"selections:array<array<array<array<{TEST}>>>>>")
+BODY = f"struct<body:int,truth:string,selections:array<array<array<array<{TEST}>>>>>"
+HEAD = "struct<rank:string,rule_id:string,rule_title:string,severity:string,tactics:array<string>,techniques:array<string>>"
 _FLAGS = "(?iu)"
 
 
@@ -130,17 +132,20 @@ def _anchors(truth: str, selections: list) -> list[tuple[str, str]] | None:
     return best
 
 
-def compiled(rule, columns) -> tuple[dict, list[tuple[str, str]] | None]:
-    """The row of a rule and its anchors."""
-    names = [n for n in rule["detection"] if n not in ("condition", "timeframe")]
+def body_of(detection, columns) -> tuple[dict, list[tuple[str, str]] | None]:
+    """What a rule tests, and its anchors."""
+    names = [n for n in detection if n not in ("condition", "timeframe")]
     if len(names) > MOST_SELECTIONS:
         raise rules.RuleError(f"more than {MOST_SELECTIONS} selections")
-    selections = [_ways(rule["detection"][n], columns) for n in names]
-    truth = _truth(rule, names)
+    selections = [_ways(detection[n], columns) for n in names]
+    truth = _truth({"detection": detection}, names)
+    return {"truth": truth, "selections": selections}, _anchors(truth, selections)
+
+
+def head_of(rule) -> dict:
     tactics, techniques = rules.tags_of(rule)
-    row = {"rank": f"{9 + rules.rule_rank(rule)[0]}{rule['id']}", "rule_id": str(rule["id"]), "rule_title": rule["title"], "severity": rule.get("level") or "info",
-           "tactics": tactics, "techniques": techniques, "truth": truth, "selections": selections}
-    return row, _anchors(truth, selections)
+    return {"rank": f"{9 + rules.rule_rank(rule)[0]}{rule['id']}", "rule_id": str(rule["id"]), "rule_title": rule["title"], "severity": rule.get("level") or "info",
+            "tactics": tactics, "techniques": techniques}
 
 
 def _holds(values: Column, t: Column) -> Column:
@@ -180,46 +185,95 @@ def event_values(columns) -> Column:
 
 
 class Index:
-    """Compiled rules: rows by (source, literal), rows for every event, and (id, reason) of rules that cannot run."""
+    """Compiled bodies: by (source, literal), for every event, and (id, reason) of rules that cannot run. ``heads`` are (body, head) of the rules given whole."""
 
     def __init__(self, rule_list, columns):
-        if len(rule_list) > MOST_RULES:
-            raise ValueError(f"more than {MOST_RULES} rules")
+        self.columns = columns
+        self.numbers: dict[str, int] = {}
         self.filed: dict[str, dict[str, list]] = {}
         self.always: list = []
+        self.heads: list[tuple[int, dict]] = []
         self.rejected: list[tuple[str, str]] = []
         for rule in rule_list:
             try:
-                row, anchors = compiled(rule, columns)
-            except (rules.RuleError, KeyError, TypeError, AttributeError) as problem:
+                self.heads.append((self.number(rule["detection"]), head_of(rule)))
+            except FAULTS as problem:
                 self.rejected.append((str(rule.get("id")), str(problem).splitlines()[0]))
-                continue
-            if anchors is None:
-                self.always.append(row)
-            for source, literal in dict.fromkeys(anchors or []):
-                self.filed.setdefault(source, {}).setdefault(literal, []).append(row)
+
+    def number(self, detection) -> int:
+        """The body of a detection, filed if it is new."""
+        body, anchors = body_of(detection, self.columns)
+        key = json.dumps(body)
+        if key in self.numbers:
+            return self.numbers[key]
+        if len(self.numbers) == MOST_BODIES:
+            raise ValueError(f"more than {MOST_BODIES} different bodies")
+        n = self.numbers[key] = len(self.numbers)
+        if anchors is None:
+            self.always.append({"body": n, **body})
+        for source, literal in dict.fromkeys(anchors or []):
+            self.filed.setdefault(source, {}).setdefault(literal, []).append({"body": n, **body})
+        return n
+
+
+FAULTS = (rules.RuleError, KeyError, TypeError, AttributeError)
+
+
+def catalog_index(cat: DataFrame, columns) -> tuple[Index, DataFrame]:
+    """Index of a catalogue's rules and (detection, body). Only different detections pass through the driver, never the rules that have them."""
+    index, numbered = Index([], columns), []
+    for r in cat.filter("error IS NULL AND detection IS NOT NULL").groupBy("detection").agg(F.min("rule_id").alias("rule_id")).toLocalIterator():
+        try:
+            numbered.append((r["detection"], index.number(json.loads(r["detection"]))))
+        except FAULTS as problem:
+            index.rejected.append((r["rule_id"], str(problem).splitlines()[0]))
+    return index, cat.sparkSession.createDataFrame(numbered, "detection string, body int")
 
 
 def _rows(spark: SparkSession, filed: dict[str, list]) -> DataFrame:
-    """literal, found: the rules of one source, written once so that their size is known to the planner."""
+    """literal, found: the bodies of one source, written once so that their size is known to the planner."""
     made = spark.createDataFrame([(k, json.dumps(v)) for k, v in filed.items()], "_literal string, _body string")
-    return materialize(made.select("_literal", F.from_json("_body", f"array<{RULE}>").alias("_found")), "rule-index")
+    return materialize(made.select("_literal", F.from_json("_body", f"array<{BODY}>").alias("_found")), "rule-index")
 
 
-def match_indexed(events: DataFrame, index: Index) -> DataFrame:
-    """Add ``rule_matches`` as `rules.match_all` does."""
+def match_bodies(events: DataFrame, index: Index) -> DataFrame:
+    """Add ``_bodies``, the numbers of the bodies that fire."""
     spark, out = events.sparkSession, events
-    found = [F.from_json(F.lit(json.dumps(index.always)), f"array<{RULE}>")] if index.always else []
+    found = []
+    if index.always:
+        text = spark.createDataFrame([(json.dumps(index.always),)], "_body string")
+        # A scalar subquery is read once; an expression over a literal would be evaluated for every event.
+        found.append(materialize(text.select(F.from_json("_body", f"array<{BODY}>").alias("_found")), "rule-always").select("_found").scalar())
     names = []
     for n, (source, filed) in enumerate(sorted(index.filed.items())):
         name = f"_rules{n}"
         rows = _rows(spark, filed).withColumnsRenamed({"_literal": f"_literal{n}", "_found": name})
         out = out.join(rows, F.lower(c(source.partition(":")[2]).cast("string")) == c(f"_literal{n}"), "left")
-        found.append(F.coalesce(c(name), F.array().cast(f"array<{RULE}>")))
+        found.append(F.coalesce(c(name), F.array().cast(f"array<{BODY}>")))
         names += [name, f"_literal{n}"]
-    tried = F.concat(*found) if found else F.array().cast(f"array<{RULE}>")
+    tried = F.concat(*found) if found else F.array().cast(f"array<{BODY}>")
     out = out.withColumn("_tried", tried).withColumn("_values", F.when(F.size("_tried") > 0, event_values(events.columns)))
-    hit = F.array_sort(F.array_distinct(F.filter("_tried", lambda r: fires(c("_values"), r))))  # rank is the first field
-    shown = F.transform(hit, lambda r: F.struct(r["rule_id"].alias("rule_id"), r["rule_title"].alias("rule_title"), r["severity"].alias("severity"),
-                                                r["tactics"].alias("tactics"), r["techniques"].alias("techniques")))
-    return out.withColumn("rule_matches", shown).drop(*names, "_tried", "_values")
+    hit = F.array_distinct(F.transform(F.filter("_tried", lambda r: fires(c("_values"), r)), lambda r: r["body"]))
+    return out.withColumn("_bodies", hit).drop(*names, "_tried", "_values")
+
+
+def with_heads(hits: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows with ``_bodies`` that hit at least one, each with ``_heads``: the heads of its bodies, in order. ``heads``: body, head."""
+    kept = [x for x in hits.columns if x != "_bodies"]
+    by_body = heads.groupBy("body").agg(F.collect_list("head").alias("_held"))
+    some = hits.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[c(f"`{x}`") for x in kept]).alias("_event"), "_bodies").select("_row", "_event", F.explode("_bodies").alias("body"))
+    met = some.join(by_body, "body").groupBy("_row").agg(F.first("_event").alias("_event"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_held")))).alias("_heads"))
+    return met.select("_event.*", "_heads")
+
+
+def match_indexed(events: DataFrame, index: Index) -> DataFrame:
+    """Add ``rule_matches`` as `rules.match_all` does."""
+    spark = events.sparkSession
+    shown = lambda r: F.struct(r["rule_id"].alias("rule_id"), r["rule_title"].alias("rule_title"), r["severity"].alias("severity"), r["tactics"].alias("tactics"), r["techniques"].alias("techniques"))
+    made = spark.createDataFrame([(n, json.dumps(h)) for n, h in index.heads], "body int, _head string")
+    heads = materialize(made.select("body", F.from_json("_head", HEAD).alias("head")), "rule-heads")
+    # Written once, as both branches read it.
+    out = materialize(match_bodies(events, index), "rule-hits")
+    none = out.filter("size(_bodies) = 0").drop("_bodies").withColumn("_heads", F.array().cast(f"array<{HEAD}>"))
+    every = none.unionByName(with_heads(out.filter("size(_bodies) > 0"), heads))
+    return every.withColumn("rule_matches", F.transform("_heads", shown)).drop("_heads")

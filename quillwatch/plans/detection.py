@@ -12,7 +12,7 @@ from quillwatch.plans.registry import query
 from quillwatch.plans.rule_set import BY_ID, RULES, SQL_PREDICATES
 from quillwatch.plans.view_sql import SEV_OF
 from quillwatch.sources import rule_files
-from quillwatch.sources.shared import new_folder
+from quillwatch.sources.shared import materialize, new_folder
 from quillwatch.sources.tables import table
 
 # ---- one query per rule feature: (detection, SQL predicate) ----------------
@@ -84,10 +84,12 @@ def _rule_folder(spark, d):
 def _(spark, d):
     files = rule_files.rule_files(spark, _rule_folder(spark, d), "*.txt").withColumn("text", F.concat(c("content").cast("string"), F.lit("\n")))
     docs = rule_files.documents(files, c("text"), "path").withColumn("doc", F.regexp_replace("doc", "\n?---$", "")).filter("doc <> ''")
-    good, _bad = rule_files.loaded(rule_files.catalog(docs, "path", "idx"))
+    cat = materialize(rule_files.catalog(docs, "path", "idx").filter("status = 'stable'"), "catalogue")
     e = v.sec_events(spark, d)
-    hit = rule_index.match_indexed(e, rule_index.Index(rules.stable(good), e.columns)).filter(F.size("rule_matches") > 0)
-    return hit.select("event_id", F.array_join(F.array_sort("rule_matches.rule_id"), ",").alias("rule_ids"))
+    index, numbered = rule_index.catalog_index(cat, e.columns)
+    hits = materialize(rule_index.match_bodies(e, index).select("event_id", "_bodies"), "rule-hits")
+    heads = cat.join(numbered, "detection").select("body", c("rule_id").alias("head"))
+    return rule_index.with_heads(hits, heads).select("event_id", F.array_join("_heads", ",").alias("rule_ids"))
 
 
 def _count_sql(width, by, cond, measure, test):

@@ -4,11 +4,14 @@ import os
 
 import pytest
 
-from quillwatch.plans import load_all, streams, views
+from quillwatch.operators import rule_index
+from quillwatch.plans import load_all, views
 from quillwatch.plans.registry import QUERIES
 
 load_all()
 
+from quillwatch.plans import streams  # noqa: E402
+
 
 @pytest.fixture()
 def copied(root, tmp_path):
@@ -44,3 +47,12 @@ def test_store_moves_source_columns_only(spark, root):
 
 def test_volume_feed_holds_what_the_job_reads(spark, root):
     assert streams.event_feed(spark, root, "tenant_id", "ts").columns == ["tenant_id", "ts"]
+
+
+def test_rules_that_test_the_same_are_tried_once(spark, root):
+    e = views.sec_events(spark, root)
+    rule = lambda i: {"id": f"r{i}", "title": f"t{i}", "detection": {"sel": {"User": f"user{i % 3}"}, "condition": "sel"}}
+    index = rule_index.Index([rule(i) for i in range(120_000)], e.columns)
+    assert sum(len(rows) for rows in index.filed["column:user_name"].values()) == 3 and len(index.heads) == 120_000
+    few = rule_index.match_indexed(e, rule_index.Index([rule(i) for i in range(9)], e.columns)).filter("user_name = 'user1'").select("rule_matches.rule_id").distinct().collect()
+    assert [r.rule_id for r in few] == [["r1", "r4", "r7"]]
