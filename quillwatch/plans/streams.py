@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quillwatch.functions.scalars import c, from_micros
+from quillwatch.operators import ioc
 from quillwatch.plans import views as v
 from quillwatch.plans.registry import SQL, query
 from quillwatch.plans.rule_set import RULES
@@ -108,16 +109,15 @@ def _(spark, d):
     return found.select("event_id", "risk_score", "ioc_hit", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
-@query("ioc_refresh", """SELECT e.event_id, i.event_id IS NOT NULL AS ioc_hit FROM sec_events e LEFT JOIN (SELECT DISTINCT h.event_id FROM ioc_hit_rows h JOIN sec_events s USING (event_id)
-  WHERE s.ts >= (SELECT CAST(min(ts) AS DATE) + CAST((CAST(max(ts) AS DATE) - CAST(min(ts) AS DATE) + 1) // 3 AS INTEGER) FROM sec_events)) i USING (event_id)""")
+@query("ioc_refresh", "SELECT event_id, risk_score, ioc_hit FROM scored")
 def _(spark, d):
-    """The list is empty while the first delivery is read and rebuilt before the second: only later events hit."""
-    e = v.sec_events(spark, d).select("event_id", "ts", "src_ip", "dst_ip", "file_hash", "fields")
-    full = v.ioc_set(spark, d)
+    """The list is rebuilt before every delivery; each event gets its hit and its risk, candidates and others."""
+    e = v.model_scores(v.sec_events(spark, d))
     path, out, checkpoint = (new_folder(spark, f"{kind}-refresh") for kind in ("feed", "stream-out", "stream-checkpoint"))
-    for n, (part, _) in enumerate(deliveries(e)):
+    for part, _ in deliveries(e):
         part.write.mode("append").parquet(path)
-        jobs.run_batches(jobs.read_folder(spark, path, part.schema), jobs.flag_batches(out, lambda number, n=n: full if n else full.limit(0)), checkpoint, "append")
+        fresh = ioc.Lookup(v.ioc_set(spark, d))
+        jobs.run_batches(jobs.read_folder(spark, path, part.schema), jobs.score_batches(out, RULES, lambda number, fresh=fresh: fresh), checkpoint, "append")
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 

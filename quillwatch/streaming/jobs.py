@@ -90,10 +90,11 @@ def detect_batches(out: str, rule_list, indicators: Callable[[int], DataFrame |
     return each
 
 
-def flag_batches(out: str, indicators: Callable[[int], DataFrame | ioc.Lookup]) -> Callable[[DataFrame, int], None]:
-    """Events with whether they hit the list as it is when their micro-batch is read."""
+def score_batches(out: str, rule_list, indicators: Callable[[int], DataFrame | ioc.Lookup]) -> Callable[[DataFrame, int], None]:
+    """Every event with its risk and whether it hits the list as it is when its micro-batch is read."""
     def each(batch: DataFrame, number: int) -> None:
-        ioc.flag(batch, indicators(number)).select("event_id", "ioc_hit").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        scored = risk.score_events(rules.match_all(ioc.flag(batch, indicators(number)), rule_list))
+        scored.select("event_id", "risk_score", "ioc_hit").write.mode("overwrite").parquet(f"{out}/batch={number}")
     return each
 
 

@@ -7,6 +7,8 @@ import pytest
 from quillwatch.operators import rule_index
 from quillwatch.plans import load_all, views
 from quillwatch.plans.registry import QUERIES
+from quillwatch.plans.rule_set import RULES
+from quillwatch.streaming import jobs
 
 load_all()
 
@@ -56,3 +58,11 @@ def test_rules_that_test_the_same_are_tried_once(spark, root):
     assert sum(len(rows) for rows in index.filed["column:user_name"].values()) == 3 and len(index.heads) == 120_000
     few = rule_index.match_indexed(e, rule_index.Index([rule(i) for i in range(9)], e.columns)).filter("user_name = 'user1'").select("rule_matches.rule_id").distinct().collect()
     assert [r.rule_id for r in few] == [["r1", "r4", "r7"]]
+
+
+def test_every_event_gets_hit_and_risk_in_a_stream_batch(spark, root, tmp_path):
+    e = views.model_scores(views.sec_events(spark, root))
+    jobs.score_batches(str(tmp_path), RULES, lambda number: views.ioc_lookup(spark, root))(e, 0)
+    got = spark.read.parquet(f"{tmp_path}/batch=0")
+    assert got.columns == ["event_id", "risk_score", "ioc_hit"] and got.count() == e.count()
+    assert not got.filter("ioc_hit").isEmpty() and not got.filter("risk_score < 40").isEmpty()
