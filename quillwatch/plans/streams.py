@@ -159,14 +159,16 @@ def _(spark, d):
     return spark.read.schema(df.schema).parquet(out).filter("user_name <> 'the end'")
 
 
-@query("st_stream_join", """SELECT arg_max(a.event_id, (a.ts, a.event_id)) AS a_id, b.event_id AS b_id, b.tenant_id, b.hostname, max(a.ts) AS a_ts, b.ts AS b_ts
+@query("st_stream_join", """SELECT a.event_id AS a_id, b.event_id AS b_id, b.tenant_id, b.hostname, a.ts AS a_ts, b.ts AS b_ts
  FROM sec_events b JOIN sec_events a ON a.hostname = b.hostname AND a.tenant_id = b.tenant_id AND a.ts < b.ts AND b.ts <= a.ts + INTERVAL 3 HOUR
- WHERE a.event_type = 'auth_failure' AND b.event_type = 'auth_success' GROUP BY b.event_id, b.tenant_id, b.hostname, b.ts""")
+ WHERE a.event_type = 'auth_failure' AND b.event_type = 'auth_success'""")
 def _(spark, d):
+    """Every pair, as the second of its events arrives."""
     e = v.sec_events(spark, d).filter("hostname IS NOT NULL AND event_type IN ('auth_failure', 'auth_success')").select("event_id", "tenant_id", "hostname", "ts", "event_type")
-    first, second = (c("event_type") == x for x in ("auth_failure", "auth_success"))
-    parts = to_the_end(e, event_id=0, event_type="auth_failure")
-    return delivered(spark, "follow", parts, lambda s: ordered.follow(s, first, second, DELAY, 3 * 3600, SLICE))
+    side = lambda kind: feed(spark, d, "logins", e).filter(c("event_type") == kind)
+    df, out = jobs.pairs(side("auth_failure"), side("auth_success"), DELAY, "3 HOURS"), new_folder(spark, "stream-out")
+    jobs.run_timed(df, out, new_folder(spark, "stream-checkpoint"))
+    return spark.read.schema(df.schema).parquet(out)
 
 
 @query("st_late_data", """SELECT event_id, event_id % 200 = 0 AND ts >= (SELECT CAST(min(ts) AS DATE) + CAST((CAST(max(ts) AS DATE) - CAST(min(ts) AS DATE) + 1) * 2 // 3 AS INTEGER) FROM sec_events) AS late FROM sec_events""")

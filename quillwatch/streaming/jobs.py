@@ -124,6 +124,14 @@ def sliding(events: DataFrame, delay: str, key: str, width: str = "1 hour", step
             .select(c("w.start").cast("timestamp_ntz").alias("window_start"), key, "total"))
 
 
+def pairs(first: DataFrame, second: DataFrame, delay: str, within: str) -> DataFrame:
+    """Stream-stream join: every ``second`` event with every ``first`` event of its tenant and host before it, within the time."""
+    a = marked(first, delay).select(c("tenant_id").alias("_tenant"), c("hostname").alias("_host"), c("ts").alias("a_ts"), c("event_id").alias("a_id"))
+    b = marked(second, delay).select("tenant_id", "hostname", c("ts").alias("b_ts"), c("event_id").alias("b_id"))
+    met = a.join(b, (c("_tenant") == c("tenant_id")) & (c("_host") == c("hostname")) & (c("b_ts") > c("a_ts")) & (c("b_ts") <= c("a_ts") + F.expr(f"INTERVAL {within}")))
+    return met.select("a_id", "b_id", "tenant_id", "hostname", *[c(x).cast("timestamp_ntz").alias(x) for x in ("a_ts", "b_ts")])
+
+
 def user_sessions(events: DataFrame, delay: str, gap: str = "30 minutes") -> DataFrame:
     return (marked(events, delay).groupBy(F.session_window("ts", gap).alias("w"), "tenant_id", "user_name").agg(F.count("*").alias("n"))
             .select(c("w.start").cast("timestamp_ntz").alias("session_start"), c("w.end").cast("timestamp_ntz").alias("session_end"), "tenant_id", "user_name", "n"))

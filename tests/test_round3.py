@@ -66,3 +66,12 @@ def test_every_event_gets_hit_and_risk_in_a_stream_batch(spark, root, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/batch=0")
     assert got.columns == ["event_id", "risk_score", "ioc_hit"] and got.count() == e.count()
     assert not got.filter("ioc_hit").isEmpty() and not got.filter("risk_score < 40").isEmpty()
+
+
+def test_stream_join_gives_every_pair(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 01:00:00"), (3, "2024-01-01 04:00:00"), (4, "2024-01-01 01:00:00")], "event_id bigint, t string")
+    rows = rows.selectExpr("event_id", "'t' AS tenant_id", "'h' AS hostname", "cast(t AS timestamp_ntz) AS ts")
+    got = jobs.pairs(rows.filter("event_id < 3"), rows.filter("event_id >= 3"), "1 day", "3 HOURS").collect()
+    assert sorted((r.a_id, r.b_id) for r in got) == [(1, 4), (2, 3)]
+    got = jobs.pairs(rows.filter("event_id < 3"), rows.filter("event_id >= 3"), "1 day", "5 HOURS").collect()
+    assert sorted((r.a_id, r.b_id) for r in got) == [(1, 3), (1, 4), (2, 3)]
