@@ -1,19 +1,21 @@
 """Per-key state machines over streams, with rows released by the watermark in order of time.
 
-Rows of a key wait in the state store, packed by time slice, until the watermark has passed the slice; a timer per slice then hands them to a fold in order
-of time. So neither the cut of the input into triggers nor the order within one changes a result, and a task holds one slice of one key at a time, not the key's
-rows of a trigger. Folds keep a few numbers per key and name the time at which they can be forgotten, which is a timer too: idle keys leave the state.
+Rows of a bucket of keys wait in the state store, packed by time slice, until the watermark has passed the slice; a timer per slice then hands them to the fold of
+their key in order of time. So neither the cut of the input into triggers nor the order within one changes a result, and a task holds one slice of one bucket at a
+time, not its rows of a trigger. Folds keep a few numbers per key and name the time at which they can be forgotten; a bucket has a timer for the earliest: idle keys leave the state.
 
 Rows later than the watermark are dropped by the engine (`lateness` separates them instead); rows without a time are left out.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -23,6 +25,8 @@ from quillwatch.functions.scalars import c, from_micros
 US = 1_000_000
 #: Rows given out as one frame.
 FRAME = 50_000
+#: Hash buckets of keys.
+SPREAD = 512
 
 
 @contextmanager
@@ -157,7 +161,9 @@ class Latest:
 
 
 class InOrder(StatefulProcessor):
-    """The fold over a key's rows in order of all its columns; a slice is the time whose rows wait and are taken together."""
+    """The fold over the rows of a bucket of keys, key by key in order of all columns; a slice is the time whose rows wait and are taken together.
+
+    State calls cost far more than rows, so they are made per bucket and slice, not per key: rows wait as packed parts, the folds of a bucket's keys as one text."""
 
     def __init__(self, fold, key_names: list[str], slice_ms: int):
         self.fold, self.key_names, self.slice_ms = fold, key_names, slice_ms
@@ -167,64 +173,93 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.parts = handle.getMapState("parts", "slice bigint, part bigint", "body binary")
         self.sizes = handle.getMapState("sizes", "slice bigint", "parts bigint")
-        self.held = handle.getValueState("held", self.fold.state)
+        self.held = handle.getValueState("held", "body string")
+        self.packed = pa.schema([*[(f"key{i}", pa.string()) for i in range(len(self.key_names))], *[(x, pa.int64()) for x in self.fold.columns]])
+        self.done = {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            cells = np.column_stack([frame[x].to_numpy(dtype=np.int64) for x in self.fold.columns])
-            places = cells[:, 0] // (self.slice_ms * 1000)
+            batch = pa.RecordBatch.from_pandas(frame[self.packed.names], self.packed, preserve_index=False)
+            places = frame["us"].to_numpy(dtype=np.int64) // (self.slice_ms * 1000)
             for place in np.unique(places).tolist():
                 n = self.sizes.getValue((place,))[0] if self.sizes.containsKey((place,)) else 0
                 if n == 0:
                     self.handle.registerTimer((place + 1) * self.slice_ms)
-                self.parts.updateValue((place, n), (cells[places == place].tobytes(),))
+                body = pa.BufferOutputStream()
+                with pa.ipc.new_stream(body, self.packed) as stream:
+                    stream.write_batch(batch.filter(pa.array(places == place)))
+                self.parts.updateValue((place, n), (body.getvalue().to_pybytes(),))
                 self.sizes.updateValue((place,), (n + 1,))
         yield from ()
 
-    def _slices(self, ready: list[int]) -> Iterator[np.ndarray]:
+    def _slices(self, ready: list[int]) -> Iterator[tuple[list, list, list]]:
+        """Per slice: the keys, and the number of its key and the cells of every row, in order."""
         for place in ready:
             n = self.sizes.getValue((place,))[0]
-            cells = np.concatenate([np.frombuffer(bytes(self.parts.getValue((place, k))[0]), np.int64) for k in range(n)]).reshape(-1, len(self.fold.columns))
+            table = pa.concat_tables([pa.ipc.open_stream(bytes(self.parts.getValue((place, k))[0])).read_all() for k in range(n)])
             for k in range(n):
                 self.parts.removeKey((place, k))
             self.sizes.removeKey((place,))
-            yield cells[np.lexsort(cells.T[::-1])]
+            numbers: dict = {}
+            owners = zip(*[table.column(i).to_pylist() for i in range(len(self.key_names))])
+            codes = np.fromiter((numbers.setdefault(x, len(numbers)) for x in owners), np.int64, table.num_rows)
+            cells = np.column_stack([table.column(x).to_numpy() for x in self.fold.columns])
+            order = np.lexsort([*cells.T[::-1], codes])
+            yield list(numbers), codes[order].tolist(), cells[order].tolist()
 
-    def _frame(self, key, rows: list) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=self.names).astype(object).where(lambda x: x.notna(), None)
+    def _frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.names).astype(object).where(lambda x: x.notna(), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # All slices that the watermark has passed: the first timer of a trigger does the work of all.
-        grid = timerValues.getCurrentWatermarkInMs() // self.slice_ms
+        mark = timerValues.getCurrentWatermarkInMs()
+        if self.done.get(key) == mark:
+            return
+        self.done[key] = mark
+        grid = mark // self.slice_ms
         ready = sorted(place for (place,) in self.sizes.keys() if place < grid)
-        held, said = (self.held.get() if self.held.exists() else None), []
-        for cells in self._slices(ready):
-            for row in cells.tolist():
-                held, more = self.fold.step(held, row)
-                said += more
+        width, said = len(self.key_names), []
+        held = {tuple(x[:width]): tuple(x[width:]) for x in json.loads(self.held.get()[0])} if self.held.exists() else {}
+        for owners, codes, cells in self._slices(ready):
+            for code, row in zip(codes, cells):
+                owner = owners[code]
+                held[owner], more = self.fold.step(held.get(owner), row)
+                for x in more:
+                    said.append((*owner, *x))
                 if len(said) >= FRAME:
-                    yield self._frame(key, said)
+                    yield self._frame(said)
                     said = []
         end = grid * self.slice_ms * 1000
-        while held is not None and self.fold.deadline(held) <= end:
-            held, more = self.fold.idle(held)
-            said += more
-        if held is None:
-            self.held.clear()
+        live = {}
+        for owner, state in held.items():
+            while state is not None and self.fold.deadline(state) <= end:
+                state, more = self.fold.idle(state)
+                said += [(*owner, *x) for x in more]
+            if state is not None:
+                live[owner] = state
+            if len(said) >= FRAME:
+                yield self._frame(said)
+                said = []
+        if live:
+            self.held.update((json.dumps([[*owner, *state] for owner, state in live.items()]),))
+            self.handle.registerTimer(-(-min(map(self.fold.deadline, live.values())) // (self.slice_ms * 1000)) * self.slice_ms)
         else:
-            self.held.update(tuple(held))
-            self.handle.registerTimer(-(-self.fold.deadline(held) // (self.slice_ms * 1000)) * self.slice_ms)
+            self.held.clear()
         if said:
-            yield self._frame(key, said)
+            yield self._frame(said)
+
 
+def folded(rows: DataFrame, keys: list[str], fold, delay: str, slice_s: int = 3600, spread: int = SPREAD) -> DataFrame:
+    """rows: a stream with ts, the keys and the fold's other columns. One row per outcome: keys and the fold's out columns.
 
-def folded(rows: DataFrame, keys: list[str], fold, delay: str, slice_s: int = 3600) -> DataFrame:
-    """rows: a stream with ts, the keys and the fold's other columns. One row per outcome: keys and the fold's out columns."""
+    ``spread`` is the number of hash buckets of keys. Any number gives the same rows, but a checkpoint keeps the number it was started with."""
     timed = rows.filter("ts IS NOT NULL").withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", delay)
-    kept = timed.select("ts", *keys, F.unix_micros("ts").alias("us"), *[c(x).cast("bigint").alias(x) for x in fold.columns[1:]])
-    types = {f.name: f.dataType.simpleString() for f in kept.schema if f.name in keys}
-    out = ", ".join([*[f"`{k}` {types[k]}" for k in keys], fold.out])
-    return kept.groupBy(*keys).transformWithStateInPandas(InOrder(fold, keys, slice_s * 1000), out, "Append", "EventTime")
+    texts = [c(k).cast("string").alias(f"key{i}") for i, k in enumerate(keys)]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(spread)).alias("bucket")
+    kept = timed.select("ts", bucket, *texts, F.unix_micros("ts").alias("us"), *[c(x).cast("bigint").alias(x) for x in fold.columns[1:]])
+    out = ", ".join([*[f"`{k}` string" for k in keys], fold.out])
+    done = kept.groupBy("bucket").transformWithStateInPandas(InOrder(fold, keys, slice_s * 1000), out, "Append", "EventTime")
+    return done.select(*[c(k).cast(rows.schema[k].dataType).alias(k) for k in keys], *[c(x) for x in done.columns[len(keys):]])
 
 
 # ---- the jobs ---------------------------------------------------------------------------------------

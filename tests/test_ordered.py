@@ -87,3 +87,13 @@ def test_watermark_of_the_engine_tells_late_rows(spark):
         jobs.run_timed(df, out, checkpoint)
     got = {r["event_id"]: r["late"] for r in spark.read.schema(df.schema).parquet(out).collect()}
     assert got == {**{i: False for i in range(48)}, **{100 + i: 6 * i < 23 for i in range(8)}, 200: False}
+
+
+def test_state_grows_with_buckets_not_with_keys(spark):
+    schema = "event_id bigint, user_name string, ts timestamp_ntz, risk_score bigint"
+    rows = [(i, f"u{i % 400}", T0 + dt.timedelta(minutes=i % 30), 1) for i in range(1200)] + [(9999, None, T0, 1)]
+    path, out, checkpoint = (new_folder(spark, x) for x in ("rows", "out", "checkpoint"))
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    df = ordered.folded(jobs.read_folder(spark, path, schema), ["user_name"], ordered.Windows(ordered.US), "6 hours", 900, spread=4)
+    jobs.run_timed(df, out, checkpoint)
+    assert 0 < spark.read.format("statestore").load(checkpoint, stateVarName="sizes").count() <= 8  # four buckets, two slices
