@@ -196,9 +196,8 @@ def contains_any(col, words) -> Column:
 
 def category_by_words(col, rules, default) -> Column:
     """Ordered substring classification: first rule with a word inside the text."""
-    low = F.lower(c(col))
-    return choose([(contains_any(low, words), F.lit(name)) for name, words in rules],
-                  None if default is None else F.lit(default))
+    return let(F.lower(c(col)), lambda low: choose([(contains_any(low, words), F.lit(name)) for name, words in rules],
+                                                   None if default is None else F.lit(default)))
 
 
 def duration_text(secs: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.scalars import (c, category_by_words, choose, ipv4, micros, sanitize, seconds, true_only)
+from quillwatch.functions.scalars import (c, category_by_words, choose, ipv4, let, micros, sanitize, seconds, true_only)
 
 # Alias lists, severity words and category words of each dialect.
 AGENT_SOURCES = ["linux_ebpf", "windows_etw"]
@@ -69,13 +69,12 @@ def _ntz(text: Column, pattern: str) -> Column:
 
 def epoch(text: Column) -> Column:
     """Whole number: milliseconds above the threshold, else seconds; decimal: seconds."""
-    t = F.regexp_replace(text, "Z$", "")
-    n = F.when(t.rlike(r"^[+-]?[0-9]{1,18}$"), t.try_cast("bigint"))
-    ms = F.when(n > EPOCH_MILLIS_ABOVE, n).otherwise(n * 1000)
-    sec = F.when(t.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
-    us = F.coalesce(F.when(ms.between(-62135596800000, 253402300799999), ms * 1000),
-                    F.when(sec.between(-62135596800.0, 253402300799.0), F.round(sec * 1000000).cast("bigint")))
-    return F.timestamp_micros(us).cast("timestamp_ntz")
+    def read(t):
+        ms = let(F.when(t.rlike(r"^[+-]?[0-9]{1,18}$"), t.try_cast("bigint")), lambda n: F.when(n > EPOCH_MILLIS_ABOVE, n).otherwise(n * 1000))
+        sec = F.when(t.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+        return F.coalesce(let(ms, lambda x: F.when(x.between(-62135596800000, 253402300799999), x * 1000)),
+                          let(sec, lambda x: F.when(x.between(-62135596800.0, 253402300799.0), F.round(x * 1000000).cast("bigint"))))
+    return F.timestamp_micros(F.when(text.isNotNull(), let(F.regexp_replace(text, "Z$", ""), read))).cast("timestamp_ntz")
 
 
 def bsd(text: Column, now) -> Column:
@@ -93,7 +92,7 @@ def parse_timestamp(text, now) -> Column:
     t = F.trim(c(text))
     rfc3339 = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), F.regexp_replace(F.upper(t), "T", " ").try_cast("timestamp").cast("timestamp_ntz"))
     mail = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "^[A-Za-z]{3}, *", ""), "(GMT|UTC|UT)$", "+0000"), " +", " ")
-    rfc2822 = F.when(mail.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), _ntz(mail, "d MMM yyyy HH:mm:ss xx"))
+    rfc2822 = F.when(t.contains(" ") & mail.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), _ntz(mail, "d MMM yyyy HH:mm:ss xx"))
     squeezed = F.regexp_replace(t, " +", " ")
     named = [_ntz(F.when(squeezed.rlike(shape), squeezed), p) for shape, p in NAIVE_PATTERNS]
     return F.coalesce(rfc3339, rfc2822, epoch(t), *named, bsd(t, now))
@@ -102,17 +101,16 @@ def parse_timestamp(text, now) -> Column:
 # ---- small typed reads -----------------------------------------------------------
 
 def unsigned(text: Column, limit: int) -> Column:
-    """Whole number up to ``limit``, however many leading zeros it has."""
+    """Whole number up to ``limit`` (below 2^63), however many leading zeros it has."""
     digits = F.regexp_extract(text, r"^\+?0*([0-9]{1,20})$", 1)
-    n = F.when(digits != "", digits.try_cast("decimal(20,0)"))
-    return F.when(n <= F.lit(limit).cast("decimal(20,0)"), n.cast("bigint"))
+    return F.when(text.isNotNull(), let(digits.try_cast("bigint"), lambda n: F.when(n <= F.lit(limit).cast("bigint"), n)))
 
 
 PORT, U32, U64 = 65535, 4294967295, 9223372036854775807
 
 
 def severity_words(text: Column, table, default="info") -> Column:
-    return choose([(text.isin(words), F.lit(name)) for words, name in table], F.lit(default))
+    return F.when(text.isNotNull(), let(text, lambda t: choose([(t.isin(words), F.lit(name)) for words, name in table], F.lit(default)))).otherwise(default)
 
 
 def cef_severity(text) -> Column:
@@ -221,15 +219,19 @@ def cef_extension(text) -> Column:
 
 
 def pairs_map(keys: Column, values: Column) -> Column:
-    """A map in which the last duplicate wins. Duplicates are rare, so they are looked for first."""
-    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-    return F.when(repeated, last_wins(F.arrays_zip(keys.alias("key"), values.alias("value")))).otherwise(F.map_from_arrays(keys, values))
+    """A map in which the last duplicate wins. Duplicates are rare, so they are looked for first. Keys and values are computed once, not once a pair."""
+    def build(x):
+        repeated = F.size(F.array_distinct(x["k"])) < F.size(x["k"])
+        return F.when(repeated, last_wins(x["k"], x["w"])).otherwise(F.map_from_arrays(x["k"], x["w"]))
+    return let(F.struct(keys.alias("k"), values.alias("w")), build)
 
 
-def last_wins(pairs: Column) -> Column:
-    """Array of (key, value) structs to a map, later duplicates replacing earlier ones."""
-    later = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(later)
+def last_wins(keys: Column, values: Column) -> Column:
+    """Keys and values to a map, later duplicates replacing earlier ones: a pair stays if it is the first of its key from the end."""
+    def build(x):
+        last = F.filter(x["pairs"], lambda p, i: F.array_position(x["back"], p["key"]) == F.size(x["back"]) - i)
+        return F.map_from_entries(last)
+    return let(F.struct(F.arrays_zip(keys.alias("key"), values.alias("value")).alias("pairs"), F.reverse(keys).alias("back")), build)
 
 
 def cef_columns(lines: DataFrame, now: str) -> DataFrame:
@@ -320,11 +322,11 @@ def json_columns(lines: DataFrame, now: str) -> DataFrame:
     text that is a time. Process ids are taken modulo 2^32.
     """
     members = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
-    d = lines.withColumn("_v", members).withColumn("_kinds", F.transform_values("_v", lambda _, x: F.schema_of_variant(x)))
-    kind = lambda k: F.try_element_at("_kinds", k)
-    text = lambda k, x: F.when(kind(k) == "STRING", F.try_variant_get(x, "$", "string")).when(kind(k) != "VOID", F.to_json(x))
-    d = d.withColumn("_m", F.transform_values("_v", lambda k, x: F.coalesce(text(k, x), F.lit(""))))
-    of_kind = lambda name: F.map_filter("_m", lambda k, _: kind(k) == name)
+    text = lambda x: F.when(x["kind"] == "STRING", F.try_variant_get(x["x"], "$", "string")).when(x["kind"] != "VOID", F.to_json(x["x"]))
+    read = lambda x: F.struct(x["kind"].alias("kind"), F.coalesce(text(x), F.lit("")).alias("text"))
+    kinds = F.transform_values(members, lambda _, x: let(F.struct(F.schema_of_variant(x).alias("kind"), x.alias("x")), read))
+    d = lines.withColumn("_kinds", kinds)
+    of_kind = lambda name: F.transform_values(F.map_filter("_kinds", lambda _, x: x["kind"] == name), lambda _, x: x["text"])
     d = d.withColumns({"_str": of_kind("STRING"), "_int": of_kind("BIGINT")})
     at = lambda m, n: F.try_element_at(m, F.lit(n))
     ordered = {f: sorted(names) for f, names in JSON_ALIASES.items()}
@@ -339,9 +341,9 @@ def json_columns(lines: DataFrame, now: str) -> DataFrame:
     last_text = lambda f: F.coalesce(*[at("_str", n) for n in reversed(ordered[f])])
     times = F.filter(F.array(*[at("_str", n) for n in ordered["ts"]]), lambda x: x.isNotNull())
     d = d.withColumn("ts_text", last_readable(times, now))
-    has_severity = F.arrays_overlap(F.map_keys("_m"), F.array(*[F.lit(n) for n in JSON_ALIASES["severity"]]))
+    has_severity = F.arrays_overlap(F.map_keys("_kinds"), F.array(*[F.lit(n) for n in JSON_ALIASES["severity"]]))
     known = [n for names in JSON_ALIASES.values() for n in names]
-    rest = F.map_filter("_m", lambda k, _: ~k.isin(known))
+    rest = F.transform_values(F.map_filter("_kinds", lambda k, _: ~k.isin(known)), lambda _, x: x["text"])
     msg = F.map_filter(F.create_map(F.lit("message"), last_text("message")), lambda _, v: v.isNotNull())
     return d.withColumns({
         "parse_error": F.when(c("_kinds").isNull(), "not an object"),
@@ -352,7 +354,7 @@ def json_columns(lines: DataFrame, now: str) -> DataFrame:
         "file_path": texts("file_path"), "file_name": texts("file_name"), "file_hash": texts("file_hash"), "file_size": nums("file_size", U64),
         "event_type": last_text("event_type"), "severity": F.when(has_severity, json_severity(texts("severity"), last("_int", "severity"))),
         "event_category": json_category(texts("category")), "event_ts": parse_timestamp("ts_text", now), "fields": F.map_concat(rest, msg),
-    }).drop("_v", "_kinds", "_m", "_str", "_int")
+    }).drop("_kinds", "_str", "_int")
 
 
 # ---- syslog --------------------------------------------------------------------
