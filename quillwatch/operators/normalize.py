@@ -167,6 +167,11 @@ def claimed_pairs(d: DataFrame, aliases: dict, first=(), spare=()) -> DataFrame:
     return d.withColumn("_x", pairs_map(c("_c"), c("_w")))
 
 
+def with_pairs(d: DataFrame, keys: Column, values: Column) -> DataFrame:
+    """Adds ``_k`` and ``_w``; a NULL line has none, so no later step works on it."""
+    return d.withColumns({"_k": F.when(c("raw").isNotNull(), keys), "_w": F.when(c("raw").isNotNull(), values)})
+
+
 def claimed(field: str) -> Column:
     return F.try_element_at("_x", F.lit(f"@{field}"))
 
@@ -240,7 +245,7 @@ def cef_columns(lines: DataFrame, now: str) -> DataFrame:
     h = cef_header("_p")
     keys, values = cef_pairs(F.try_element_at("_p", F.lit(8)))
     known = {**CEF_ALIASES, "dst_hostname": [*CEF_ALIASES["dst_hostname"], "dst_hostname"]}
-    d = claimed_pairs(d.withColumns({"_k": keys, "_w": values}), known, ["hostname", "user_name"], ["hostname", "user_name"])
+    d = claimed_pairs(with_pairs(d, keys, values), known, ["hostname", "user_name"], ["hostname", "user_name"])
     d, g = d.withColumn("ts_text", time_text(now)), claimed
     header = {"cef_vendor": h["vendor"], "cef_product": h["product"], "cef_name": h["name"], "cef_class_id": h["class_id"],
               "message": g("message"), "dst_hostname": g("dst_hostname")}
@@ -251,7 +256,7 @@ def cef_columns(lines: DataFrame, now: str) -> DataFrame:
         "protocol": F.lower(g("protocol")), "bytes_in": unsigned(g("bytes_in"), U64), "bytes_out": unsigned(g("bytes_out"), U64),
         "hostname": g("hostname"), "user_name": g("user_name"), "process_name": g("process_name"), "process_pid": unsigned(g("process_pid"), U32),
         "file_name": g("file_name"), "event_category": cef_category(g("category")), "event_ts": parse_timestamp("ts_text", now),
-        "fields": plain_fields(header),
+        "fields": F.when(c("_x").isNull(), F.create_map().cast("map<string,string>")).otherwise(plain_fields(header)),
     }).drop("_p", "_x", "_k", "_w", "_c")
 
 
@@ -291,7 +296,7 @@ def leef_columns(lines: DataFrame, now: str) -> DataFrame:
     d = lines.withColumn("_p", leef_parts("raw")).withColumn("version", F.regexp_replace(part(1), "^(LEEF:)+", ""))
     d = d.withColumn("delimiter", leef_delimiter(c("version"), attrs))
     keys, values = leef_pairs(leef_body(c("version"), attrs), c("delimiter"))
-    d = claimed_pairs(d.withColumns({"_k": keys, "_w": values}), LEEF_ALIASES, ["hostname", "user_name"], ["hostname"])
+    d = claimed_pairs(with_pairs(d, keys, values), LEEF_ALIASES, ["hostname", "user_name"], ["hostname"])
     d, g = d.withColumn("ts_text", time_text(now)), claimed
     header = {"leef_vendor": part(2), "leef_product": part(3), "leef_event_id": part(5), "message": g("message")}
     return d.withColumns({
@@ -301,7 +306,7 @@ def leef_columns(lines: DataFrame, now: str) -> DataFrame:
         "src_ip": ipv4(g("src_ip")), "dst_ip": ipv4(g("dst_ip")), "src_port": unsigned(g("src_port"), PORT).cast("int"), "dst_port": unsigned(g("dst_port"), PORT).cast("int"),
         "protocol": F.lower(g("protocol")), "hostname": g("hostname"), "user_name": g("user_name"),
         "event_category": leef_category(g("category")), "event_ts": parse_timestamp("ts_text", now),
-        "fields": plain_fields(header),
+        "fields": F.when(c("_x").isNull(), F.create_map().cast("map<string,string>")).otherwise(plain_fields(header)),
     }).drop("_p", "_x", "_k", "_w", "_c")
 
 
@@ -458,8 +463,8 @@ def normalize(lines: DataFrame, now: str) -> DataFrame:
 
     Columns of ``PARSED`` (and ``ts``) that the lines bring along are kept where parsing gives nothing: rows of agents
     pass through as they are. A host or user that is set already stays. Each dialect sees NULL instead of the lines of
-    the others, so its expressions fall through cheaply, and its columns are packed into one struct of which the right
-    one is kept.
+    the others, so its expressions fall through cheaply, and its columns are packed into one struct that is only made for
+    its own lines.
     """
     prior = [x for x in PARSED if x in lines.columns]
     keep = [x for x in lines.columns if x not in PARSED and x != "parse_error"]
@@ -473,8 +478,8 @@ def normalize(lines: DataFrame, now: str) -> DataFrame:
         if name == "collector_parsed":
             out = out.withColumnRenamed("event_ts", "syslog_ts")
         cells = [(c(x) if x in out.columns else F.lit(None)).cast(kind).alias(x) for x, kind in {**PARSED, **_OWN}.items()]
-        d = out.select(*base, F.struct(*cells).alias(f"_{name}"))
-    picked = F.coalesce(*[F.when(c("format") == n, c(f"_{n}")) for n, _ in dialects])
+        d = out.select(*base, F.when(c("format") == name, F.struct(*cells)).alias(f"_{name}"))
+    picked = F.coalesce(*[c(f"_{n}") for n, _ in dialects])
     out = d.withColumn("raw", c("_line")).withColumn("_one", picked)
 
     def cell(x):
