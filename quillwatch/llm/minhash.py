@@ -8,7 +8,7 @@
    held by one document alone need no posting.
 3. In each list, documents are first compared with a few centers of the list only; what links becomes components. Then documents outside the largest component of a list
    are compared with the documents of the list that are not in their own component, in blocks of `BLOCK` documents: first the `NEAREST` few of each block are confirmed, which
-   connects most of what can be, then, with the new components, all. What is left out is connected already, so the components are those of
+   connects most of what can be, then, with the new components, all of the lists where some had more than these. What is left out is connected already, so the components are those of
    comparing all pairs. A pair is looked at in the least list that both are in. Blocks return only pairs that pass the next step's first half.
 4. Collisions are counted on longer signatures (`LONG` minima of a byte; at a similarity of 0.85 fewer than 399 agreements happen to four pairs in a million, and the same goes for others); what passes is
    confirmed on the full shingle sets. Both are made for documents with postings only.
@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, StructType
@@ -127,8 +127,8 @@ def postings(classes: DataFrame, percent: int = 85) -> DataFrame:
     """key, node, n: the prefix of every representative, rarest pairs first."""
     need = needed(percent, COORDS)
     posted = classes.select("node", "n", F.posexplode("sig").alias("coord", "value")).select("node", "n", (F.col("coord") * F.lit(1 << 32) + F.col("value").cast("long")).alias("key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    each = posted.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("pairs")).where(F.size("pairs") >= need)
+    shared = posted.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("held > 1")  # moved once, not counted and then joined
+    each = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("pairs")).where(F.size("pairs") >= need)
     return each.select("node", "n", F.explode(F.slice("pairs", F.lit(1), F.size("pairs") - (need - 1))).alias("p")).select("p.key", "node", "n")
 
 
@@ -138,12 +138,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, counted: bool) ->
     if not counted:
         agree = F.aggregate(F.zip_with("longa", "longb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         pairs = materialize(pairs.join(side("a", "long"), "a").join(side("b", "long"), "b").where(agree >= needed(percent, LONG)).select("a", "b"), "collisions")
+    sets = likely(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")  # only sets of these pairs are moved
     both = F.size(F.array_intersect("seta", "setb"))
     return materialize(pairs.join(side("a", "set"), "a").join(side("b", "set"), "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"), "links")
 
 
 def _compare(percent: int, nearest: int | None):
-    """Within one task's cells: pairs of an asking and another document of a cell that collide often enough; the `nearest` of each asking one, or all."""
+    """Within one task's cells: pairs of an asking and another document of a cell that collide often enough; the `nearest` of each asking one, or all. A row with a key only names a list where
+    an asking document has more than that."""
     need = needed(percent, LONG)
 
     def run(table: pa.Table) -> pa.Table:
@@ -153,7 +155,7 @@ def _compare(percent: int, nearest: int | None):
         keys = table["keys"].combine_chunks()
         new = np.ones(table.num_rows + 1, bool)
         new[1:-1] = (column["key"][1:] != column["key"][:-1]) | (column["i"][1:] != column["i"][:-1]) | (column["j"][1:] != column["j"][:-1])
-        found = []
+        found, cut = [], set()
         for a, b in zip(np.flatnonzero(new)[:-1].tolist(), np.flatnonzero(new)[1:].tolist(), strict=True):
             m = a + int(column["asks"][a:b].sum())
             n, part, others = column["n"][m:b], column["part"][m:b], long[m:b]
@@ -162,14 +164,16 @@ def _compare(percent: int, nearest: int | None):
                 some = np.flatnonzero(close)
                 agree = (others[some] == long[x]).sum(1)
                 some, agree = some[agree >= need], agree[agree >= need]
-                if nearest is not None:
+                if nearest is not None and len(some) > nearest:
+                    cut.add(int(column["key"][x]))
                     some = some[np.argsort(-agree, kind="stable")[:nearest]]
                 own = set(keys[x].as_py()) if len(some) else set()
                 for y in some.tolist():
                     if nearest is not None or min(own.intersection(keys[m + y].as_py())) == column["key"][x]:
                         found.append((min(column["node"][x], column["node"][m + y]), max(column["node"][x], column["node"][m + y])))
         pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        ends = [pa.concat_arrays([pa.array(pairs[:, side]), pa.nulls(len(cut), pa.int64())]) for side in (0, 1)]
+        return pa.table([*ends, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(sorted(cut), pa.int64())])], names=["a", "b", "key"])
     return run
 
 
@@ -181,7 +185,7 @@ def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int
     ids = materialize(sketched.join(wanted.select(F.col("node").alias("uid")), "uid", "left_semi").select("doc_id").distinct(), "wanted")
     read = likely(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids, "doc_id").join(ids.select(F.col("doc_id").alias("_id")), F.expr("doc_id <=> _id"), "left_semi")
     own = read.select(full_set("text").alias("s")).select("s.*")  # not deterministic for the optimiser, which would evaluate it twice
-    sets = materialize(own.join(signed, ["n", "h1", "h2"]).select("node", "n", "set", "long").dropDuplicates(["node"]), "sets")
+    sets = materialize(own.join(signed, ["n", "h1", "h2"]).dropDuplicates(["n", "h1", "h2"]).select("node", "n", "set", "long"), "sets")  # a class is a node; by the join's keys nothing moves twice
 
     stars = None
     for seed in range(CENTERS):
@@ -205,10 +209,14 @@ def links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, percent: int
         cells = materialize(asks.unionByName(others), "cells")
         tasks = max(1, -(-cells.count() // (4 * BLOCK)))
         full = cells.join(keys, "node").join(sets.select("node", "long"), "node").withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)))
-        pairs = full.groupBy("task").applyInArrow(_compare(percent, nearest), "a long, b long").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        compared = materialize(full.groupBy("task").applyInArrow(_compare(percent, nearest), "a long, b long, key long").distinct(), "compared")
+        pairs = materialize(compared.where("key IS NULL").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         roots = joined(roots, _confirm(pairs, sets, percent, counted=True))
+        cut = compared.where("key IS NOT NULL").select("key")
+        if cut.isEmpty():
+            break
+        lists = lists.join(cut, "key", "left_semi")
     return roots
 
 

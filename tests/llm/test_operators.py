@@ -203,6 +203,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.deduplicate(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("nearest", "rounds"), [(1000, 1), (1, 2)])
+def test_lists_are_compared_again_only_where_some_were_left_out(spark, monkeypatch, nearest, rounds):
+    table, written = docs(spark, near_rows()), []
+    want = sorted((r["uid"], r["component_id"] or -1) for r in minhash.cluster(table).collect())
+    real = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: written.append(name) or real(df, name))
+    monkeypatch.setattr(minhash, "NEAREST", nearest)
+    monkeypatch.setattr(minhash, "CENTERS", 1)
+    assert sorted((r["uid"], r["component_id"] or -1) for r in minhash.cluster(table).collect()) == want
+    assert written.count("cells") == rounds
+
+
 def test_signature_agreement_follows_similarity():
     a, b = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)), None
     b = np.unique(np.concatenate([a[:900], np.arange(100, dtype=np.uint64)]))
