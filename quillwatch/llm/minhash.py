@@ -29,7 +29,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, StructType
 
 from quillwatch.llm.graph import components, joined
-from quillwatch.llm.training import likely, unused
+from quillwatch.llm.training import likely, parted, unused
 from quillwatch.llm.words import SPACED, mix, raw
 from quillwatch.sources.shared import materialize
 
@@ -247,7 +247,8 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     lost = materialize(named(gone.where("NOT keeper")), "dropped")
     keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
     at = F.expr(f"doc_id <=> {own_id} AND {text_key} = {own_key}")
-    left = keyed.join(lost, at, "left_anti")
+    maybe, sure = parted(keyed, lost.select(F.col(own_id).alias("doc_id")), "doc_id", 1 << 25)  # texts that certainly stay are not moved
+    left = maybe.join(lost, at, "left_anti").unionByName(sure)
     if not gone.where("keeper AND rows > 1").isEmpty():  # whole rows repeated: keep one, but all of those without a shingle
         repeated = named(gone.where("keeper AND rows > 1"))
         once = left.join(repeated, at, "left_semi")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.llm.training import unused
+from quillwatch.llm.training import parted, unused
 from quillwatch.sources.shared import materialize
 
 # The base patterns.
@@ -93,9 +93,10 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]") -> DataFrame:
     """docs with every reported span replaced; overlapping spans become one mark. n_chars, if present, is counted anew where a text changed."""
-    spans = find(docs, owner, repo).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
+    spans = materialize(find(docs, owner, repo).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]), "secret-spans")
+    some, none = parted(docs, spans.select("doc_id"), "doc_id", 1 << 25)  # texts without a span are not moved
     text = F.coalesce("a.text", F.lit(""))
-    joined = docs.alias("a").join(spans.alias("b"), F.expr("a.doc_id <=> b.doc_id") & (F.xxhash64(text) == F.col("b.text_key")), "left")
+    joined = some.alias("a").join(spans.alias("b"), F.expr("a.doc_id <=> b.doc_id") & (F.xxhash64(text) == F.col("b.text_key")), "left")
     step = lambda acc, s: F.struct(
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
         F.greatest(acc["at"], s["end"]).alias("at"))
@@ -104,4 +105,4 @@ def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]")
     name, = unused(docs, "_cut")
     made = joined.withColumn(name, F.when(changed, cut))
     out = {"text": F.coalesce(name, "a.text"), "n_chars": F.when(changed, F.length(name).cast("long")).otherwise(F.col("a.n_chars")) if "n_chars" in docs.columns else None}
-    return made.select(*[out[c].alias(c) if out.get(c) is not None else F.col(f"a.`{c}`") for c in docs.columns])
+    return made.select(*[out[c].alias(c) if out.get(c) is not None else F.col(f"a.`{c}`") for c in docs.columns]).unionByName(none)

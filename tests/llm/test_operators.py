@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillwatch.llm import bpe, chat, decontam, graph, minhash, quality, secret_scan, substring, topk, toxicity, warc
+from quillwatch.llm import bpe, chat, decontam, graph, minhash, quality, secret_scan, substring, topk, toxicity, training, warc
 from quillwatch.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -215,6 +215,16 @@ def test_lists_are_compared_again_only_where_some_were_left_out(spark, monkeypat
     assert written.count("cells") == rounds
 
 
+def test_rows_that_are_certainly_not_wanted_are_told_apart(spark):
+    """Both parts are all rows, a null id included; what is wanted is never in the second, odd column names stay."""
+    rows = spark.range(2000).select(F.when(F.col("id") != 5, F.col("id")).alias("doc_id"), F.lit("x").alias("_block"), F.lit("y").alias("a.b"))
+    wanted = spark.createDataFrame([(7,), (None,), (1999,)], "doc_id long")
+    some, none = training.parted(rows, wanted, "doc_id")
+    in_some, in_none = ([r["doc_id"] for r in part.collect()] for part in (some, none))
+    assert {7, None, 1999} <= set(in_some) and len(in_some) < 20 and some.columns == none.columns == rows.columns
+    assert sorted(in_some + in_none, key=str) == sorted([None if k == 5 else k for k in range(2000)], key=str)
+
+
 def test_signature_agreement_follows_similarity():
     a, b = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)), None
     b = np.unique(np.concatenate([a[:900], np.arange(100, dtype=np.uint64)]))
