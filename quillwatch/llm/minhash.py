@@ -242,13 +242,14 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id."""
     found = materialize(cluster(docs, percent).select("doc_id", "text_key", "keeper"), "clusters")
     gone = found.groupBy("doc_id", "text_key").agg(F.max("keeper").alias("keeper"), F.count(F.lit(1)).alias("rows"))
-    own_id, own_key, text_key = unused(docs, "_id", "_key", "_text_key")
+    own_id, own_key, text_key, gone_row = unused(docs, "_id", "_key", "_text_key", "_gone")
     named = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
     lost = materialize(named(gone.where("NOT keeper")), "dropped")
     keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
     at = F.expr(f"doc_id <=> {own_id} AND {text_key} = {own_key}")
     maybe, sure = parted(keyed, lost.select(F.col(own_id).alias("doc_id")), "doc_id", 1 << 25)  # texts that certainly stay are not moved
-    left = maybe.join(lost, at, "left_anti").unionByName(sure)
+    held = maybe.join(lost.withColumn(gone_row, F.lit(True)), at, "left").where(F.col(gone_row).isNull())  # an anti join would be pushed below the bitmap
+    left = held.select(*[F.col(f"`{c}`") for c in keyed.columns]).unionByName(sure)
     if not gone.where("keeper AND rows > 1").isEmpty():  # whole rows repeated: keep one, but all of those without a shingle
         repeated = named(gone.where("keeper AND rows > 1"))
         once = left.join(repeated, at, "left_semi")

@@ -225,6 +225,12 @@ def test_rows_that_are_certainly_not_wanted_are_told_apart(spark):
     assert sorted(in_some + in_none, key=str) == sorted([None if k == 5 else k for k in range(2000)], key=str)
 
 
+def test_no_anti_join_is_pushed_below_the_bitmap(spark):
+    kept = minhash.deduplicate(docs(spark, [(1, "one two three four five six", "s"), (2, "One two three four five six", "s"), (3, "others", "s")]))
+    assert "LeftAnti" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_signature_agreement_follows_similarity():
     a, b = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)), None
     b = np.unique(np.concatenate([a[:900], np.arange(100, dtype=np.uint64)]))
