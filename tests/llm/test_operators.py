@@ -351,6 +351,30 @@ def test_passages_of_frequent_seeds_equal_brute_force(spark):
     assert sum(c.any() for c in want) >= 50 and len(got) < len(texts)
 
 
+def test_seeds_move_as_packed_marks_and_passages_do_not_depend_on_chunks(spark, monkeypatch):
+    marks = np.unique(np.random.default_rng(3).integers(0, 1 << 32, 50_000, dtype=np.uint64)).astype(np.uint32)
+    assert (substring._unpack(substring._pack(marks), len(marks)) == marks).all() and len(substring._pack(marks)) < 3.5 * len(marks)
+    rng = np.random.default_rng(23)
+    vocab = ["".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(3000)]
+    fresh = lambda n: rng.choice(vocab, n).tolist()
+    passages = [fresh(60) for _ in range(5)]
+    rows = docs(spark, [(k, " ".join(fresh(30 + k) + passages[k % 5] + fresh(20)), "s") for k in range(25)] + [(25, " ".join(fresh(90)), "s"), (26, None, "s")])
+    whole = sorted(map(tuple, substring.repeated(rows).collect()))
+    assert {r[0] for r in whole} == set(range(25)) and all(s <= 30 + k and e >= 90 + k for k, s, e in whole)
+    monkeypatch.setattr(substring, "CHUNK", 300)
+    monkeypatch.setattr(substring, "MARKS", 500)
+    assert sorted(map(tuple, substring.repeated(rows).collect())) == whole
+
+
+def test_matches_of_two_places_are_made_once(spark):
+    rows = spark.createDataFrame([(x, s, 10 * x + s) for s in range(3) for x in range(s + 2)] + [(7, 9, 1), (7, 9, 5)], "x long, seed long, px int")
+    led = substring._led(rows).collect()
+    made = [(r["x"], r["y"], r["px"], r["py"]) for r in led if r["y"] >= 0]
+    assert sorted(made) == sorted(set(made)) and all(x < y for x, y, _, _ in made)
+    assert {(x, y, p % 10) for x, y, p, _ in made} >= {(0, 1, 0), (0, 1, 1), (0, 2, 1), (1, 2, 1), (0, 3, 2), (1, 3, 2)}
+    assert sorted((r["x"], r["seed"]) for r in led if r["y"] < 0) == [(x, 2) for x in range(4)]
+
+
 # Decontamination
 
 def edit_distance_in(pattern, text):
