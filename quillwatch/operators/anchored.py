@@ -7,8 +7,9 @@ sequential by nature, so the work is arranged to keep it parallel:
 * time is cut into buckets of the window's width, so a bucket holds at most one opening;
 * a silence of at least one width restarts the chain, so runs of busy buckets are independent;
 * a run that fits one window opens once, at its first event: no per-event work at all;
-* an ordinary run is folded inside the JVM over its distinct instants;
-* a run with more than ``fold_limit`` instants (a hot key that is never silent) is resolved by pointer
+* an ordinary run is folded inside the JVM over its distinct instants; so is one of more than ``fold_limit``
+  instants, up to ``FOLD_MOST``, that lasts fewer than ``fold_limit`` widths and so opens no more windows than those;
+* a longer run (a hot key that is never silent) is resolved by pointer
   doubling: each instant points at the opening that would follow it, and pointers are composed over
   blocks of 2, 4, 8... buckets. Only instants that can start a block are kept, so level k holds about
   1/2^k of the rows, and no task ever sees the whole run.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from quillwatch.functions.scalars import c, from_micros, micros
 from quillwatch.sources.shared import materialize
 
-#: Instants of a run that are folded in one row; a list of openings is copied as it grows, so longer runs take the other way.
-FOLD_LIMIT = 20_000
+#: Openings of a run that is folded in one row: their list is copied as it grows, so longer runs take the other way. Instants of such a run, 8 bytes each.
+FOLD_LIMIT, FOLD_MOST = 20_000, 1 << 20
 
 
 def _runs(ticks: DataFrame, keys, width: int) -> DataFrame:
@@ -97,14 +98,15 @@ def anchors(df: DataFrame, keys, ts, width_us: int, fold_limit: int = FOLD_LIMIT
     ticks = materialize(df.select(*keys, micros(ts).alias("_us")).distinct(), "ticks").withColumn("_b", F.floor(c("_us") / width_us).cast("bigint"))
     buckets = materialize(_runs(ticks, keys, width_us), "buckets")
     single = c("run_hi") - c("run") < width_us
+    folds = (c("run_n") <= fold_limit) | ((c("run_n") <= FOLD_MOST) & (c("run_hi") - c("run") < fold_limit * width_us))
     out = buckets.filter(single & (c("lo") == c("run"))).select(*keys, c("run").alias("anchor"))
-    marks = buckets.select(*[c(x).alias(f"_q_{x}") for x in keys], c("_b").alias("_q_b"), "run", "b0", "run_n", single.alias("single"))
+    marks = buckets.select(*[c(x).alias(f"_q_{x}") for x in keys], c("_b").alias("_q_b"), "run", "b0", folds.alias("folds"), single.alias("single"))
     on = [c(x) == c(f"_q_{x}") for x in keys] + [c("_b") == c("_q_b")]
-    many = ticks.join(marks.filter("NOT single"), on).select(*keys, "_us", "_b", "run", "b0", "run_n")
-    out = out.unionByName(_fold(many.filter(c("run_n") <= fold_limit), keys, width_us))
-    hot = buckets.filter(~single & (c("run_n") > fold_limit))
+    many = ticks.join(marks.filter("NOT single"), on).select(*keys, "_us", "_b", "run", "b0", "folds")
+    out = out.unionByName(_fold(many.filter("folds"), keys, width_us))
+    hot = buckets.filter(~single & ~folds)
     if not hot.isEmpty():
-        out = out.unionByName(_double(many.filter(c("run_n") > fold_limit), hot, keys, width_us))
+        out = out.unionByName(_double(many.filter("NOT folds"), hot, keys, width_us))
     return out
 
 

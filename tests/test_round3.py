@@ -75,3 +75,22 @@ def test_stream_join_gives_every_pair(spark):
     assert sorted((r.a_id, r.b_id) for r in got) == [(1, 4), (2, 3)]
     got = jobs.pairs(rows.filter("event_id < 3"), rows.filter("event_id >= 3"), "1 day", "5 HOURS").collect()
     assert sorted((r.a_id, r.b_id) for r in got) == [(1, 3), (1, 4), (2, 3)]
+
+
+def test_dense_runs_of_few_openings_are_folded(spark, monkeypatch):
+    from quillwatch.operators import anchored
+    # Key 0: 400 instants within 40 widths, key 1: 400 within 160.
+    rows = spark.createDataFrame([(k, (1 + 3 * k) * 100_000 * n + n * n % 977) for k in range(2) for n in range(400)], "k long, us long").selectExpr("k", "timestamp_micros(us) AS ts")
+    run = lambda most: sorted(map(tuple, anchored.anchors(rows, ["k"], "ts", 1_000_000, most).collect()))
+    want = []
+    for k in range(2):
+        last = None
+        for t in sorted((1 + 3 * k) * 100_000 * n + n * n % 977 for n in range(400)):
+            if last is None or t >= last + 1_000_000:
+                last = t
+                want.append((k, t))
+    doubled, double = [], anchored._double
+    monkeypatch.setattr(anchored, "_double", lambda ticks, *rest: doubled.append({r["k"] for r in ticks.select("k").distinct().collect()}) or double(ticks, *rest))
+    assert run(50) == want and doubled == [{1}]
+    assert run(10) == want and doubled[1:] == [{0, 1}]
+    assert run(200) == want and len(doubled) == 2
