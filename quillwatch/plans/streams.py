@@ -167,7 +167,7 @@ def _(spark, d):
     e = v.sec_events(spark, d).filter("hostname IS NOT NULL AND event_type IN ('auth_failure', 'auth_success')").select("event_id", "tenant_id", "hostname", "ts", "event_type")
     side = lambda kind: feed(spark, d, "logins", e).filter(c("event_type") == kind)
     df, out = jobs.pairs(side("auth_failure"), side("auth_success"), DELAY, "3 HOURS"), new_folder(spark, "stream-out")
-    jobs.run_timed(df, out, new_folder(spark, "stream-checkpoint"))
+    jobs.run_joined(df, out, new_folder(spark, "stream-checkpoint"))
     return spark.read.schema(df.schema).parquet(out)
 
 

@@ -30,18 +30,20 @@ SPREAD = 512
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """Keyed state with timers needs the store that spills to disk; the session's own choice comes back after the start of the stream."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_store(spark: SparkSession, **more: str):
+    """Keyed state with timers needs the store that spills to disk; the session's own choice comes back after the start of the stream. ``more``: further settings for the start, by their names after `spark.sql.streaming.`"""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", **{f"spark.sql.streaming.{k}": v for k, v in more.items()}}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 # ---- folds: columns (all bigint, the first is the time), state, out; step, deadline, idle ------------------

@@ -77,6 +77,34 @@ def test_stream_join_gives_every_pair(spark):
     assert sorted((r.a_id, r.b_id) for r in got) == [(1, 3), (1, 4), (2, 3)]
 
 
+def test_stream_join_looks_at_its_own_time_only(spark):
+    # Two first events and a second one in every three hours, before and after 1970: pairs lie on both sides of every border of a step.
+    rows = spark.range(60).selectExpr("id AS event_id", "'t' AS tenant_id", "'h' AS hostname", "timestamp_ntz'1969-12-30 18:00:00' + make_dt_interval(0, id, 0, 0) AS ts")
+    firsts, seconds = rows.filter("event_id % 3 <> 1"), rows.filter("event_id % 3 = 1")
+    joined = jobs.pairs(firsts.unionByName(firsts), seconds, "1 day", "3 HOURS")
+    got = sorted((r.a_id, r.b_id) for r in joined.collect())
+    assert got == sorted((a, b) for b in range(1, 60, 3) for a in range(max(0, b - 3), b) if a % 3 != 1 for _ in range(2))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_a_step" in plan.split("Join Inner")[1].split("\n")[0]
+    nothing = rows.selectExpr("event_id", "tenant_id", "hostname", "CAST(NULL AS timestamp_ntz) AS ts")
+    assert jobs.pairs(nothing, seconds, "1 day", "3 HOURS").isEmpty() and jobs.pairs(firsts, nothing, "1 day", "3 HOURS").isEmpty() and jobs.pairs(firsts, seconds, "1 day", "0 HOURS").isEmpty()
+
+
+def test_joined_streams_keep_settings_and_pairs_of_several_runs(spark, tmp_path):
+    rows = spark.range(12).selectExpr("id AS event_id", "'t' AS tenant_id", "'h' AS hostname", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id, 0, 0) AS ts")
+    name = "spark.sql.streaming.join.stateFormatVersion"
+    before = spark.conf.get(name, None)
+    for k in range(3):  # the state goes from run to run
+        rows.filter(f"event_id div 4 = {k}").write.mode("append").parquet(f"{tmp_path}/in")
+        side = lambda n: jobs.read_folder(spark, f"{tmp_path}/in", rows.schema).filter(f"event_id % 2 = {n}")  # noqa: B023, E731
+        df = jobs.pairs(side(0), side(1), "1 day", "3 HOURS")
+        jobs.run_joined(df, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        assert spark.conf.get(name, None) == before
+    got = sorted((r.a_id, r.b_id) for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/out").collect())
+    assert got == sorted((a, b) for b in range(1, 12, 2) for a in (b - 3, b - 1) if a >= 0)
+    assert (tmp_path / "checkpoint" / "state" / "0" / "0").is_dir() and not (tmp_path / "checkpoint" / "state" / "0" / "0" / "left-keyToNumValues").exists()
+
+
 def test_dense_runs_of_few_openings_are_folded(spark, monkeypatch):
     from quillwatch.operators import anchored
     # Key 0: 400 instants within 40 widths, key 1: 400 within 160.
