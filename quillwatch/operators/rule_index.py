@@ -3,7 +3,8 @@
 Every rule becomes one row: its tests (field, kind of test, literals), the selections they form, and the truth table of its condition. One expression evaluates any
 such row on any event. Which rules an event is tried on says an index from (field, literal) to rules: a rule that needs an exact value in some
 field is filed under those values, and the event's own value of the field looks it up, one equality join per indexed field, which Spark broadcasts while the
-index is small. Rules without such a value (texts, patterns, numbers only) are tried on every event.
+index is small. A rule that needs a text at the start or end of some field is filed under a few letters of it, one join per field and number of letters (1, 2, 4, 8 or 16). Rules without such a value
+(texts in the middle, patterns, numbers only) are tried on every event.
 
 Rules that test the same are one body, tried once however many rules have it; ids, titles and tags are the heads of a body and are joined to the events that a body hits.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,22 +116,45 @@ def _truth(rule, names: list[str]) -> str:
     return "".join("1" if eval(code, {"v": [bool(k >> i & 1) for i in range(len(names))]}) else "0" for k in range(1 << len(names)))
 
 
+def _filed_under(t: dict, affixes: bool) -> tuple[str, str] | None:
+    """Where a test is filed: what an event must hold for the test to hold. A text that starts or ends a value is filed under as many of its letters as a power of two, 16 at most,
+    so that there are few such lengths however many texts there are."""
+    kind, _, name = t["source"].partition(":")
+    if kind == "column" and t["test"] == "equal":
+        return t["source"], t["texts"][0]
+    if not affixes or kind != "column" or t["test"] not in ("startswith", "endswith") or not t["texts"][0]:
+        return None
+    text = t["texts"][0]
+    n = min(16, 1 << len(text).bit_length() - 1)
+    return (f"starts{n}:{name}", text[:n]) if t["test"] == "startswith" else (f"ends{n}:{name}", text[-n:])
+
+
+def _event_key(source: str) -> Column:
+    """What an event is looked up by in the bodies filed under a source."""
+    kind, _, name = source.partition(":")
+    low = F.lower(c(name).cast("string"))
+    return F.left(low, F.lit(int(kind[6:]))) if kind.startswith("starts") else F.right(low, F.lit(int(kind[4:]))) if kind.startswith("ends") else low
+
+
 def _anchors(truth: str, selections: list) -> list[tuple[str, str]] | None:
-    """(source, literal) of which an event must hold one for the rule to fire; None where there is no such set."""
-    best = None
-    for i, ways in enumerate(selections):
-        if any(t == "1" and not k >> i & 1 for k, t in enumerate(truth)):
-            continue  # the rule can fire without this selection
-        need: list | None = []
-        for way in ways:
-            exact = [entry for entry in way if entry and all(t["test"] == "equal" and t["source"].startswith("column:") for t in entry)]
-            if not exact:
-                need = None
-                break
-            need += [(t["source"], t["texts"][0]) for t in min(exact, key=len)]
-        if need is not None and (best is None or len(need) < len(best)):
-            best = need
-    return best
+    """(source, literal) of which an event must hold one for the rule to fire; None where there is no such set. Exact values are taken where there are any, then texts that start or end a value."""
+    for affixes in (False, True):
+        best = None
+        for i, ways in enumerate(selections):
+            if any(t == "1" and not k >> i & 1 for k, t in enumerate(truth)):
+                continue  # the rule can fire without this selection
+            need: list | None = []
+            for way in ways:
+                filed = [places for entry in way if entry and None not in (places := [_filed_under(t, affixes) for t in entry])]
+                if not filed:
+                    need = None
+                    break
+                need += min(filed, key=len)
+            if need is not None and (best is None or len(need) < len(best)):
+                best = need
+        if best is not None:
+            return best
+    return None
 
 
 def body_of(detection, columns) -> tuple[dict, list[tuple[str, str]] | None]:
@@ -248,7 +273,7 @@ def match_bodies(events: DataFrame, index: Index) -> DataFrame:
     for n, (source, filed) in enumerate(sorted(index.filed.items())):
         name = f"_rules{n}"
         rows = _rows(spark, filed).withColumnsRenamed({"_literal": f"_literal{n}", "_found": name})
-        out = out.join(rows, F.lower(c(source.partition(":")[2]).cast("string")) == c(f"_literal{n}"), "left")
+        out = out.join(rows, _event_key(source) == c(f"_literal{n}"), "left")
         found.append(F.coalesce(c(name), F.array().cast(f"array<{BODY}>")))
         names += [name, f"_literal{n}"]
     tried = F.concat(*found) if found else F.array().cast(f"array<{BODY}>")
@@ -257,13 +282,16 @@ def match_bodies(events: DataFrame, index: Index) -> DataFrame:
     return out.withColumn("_bodies", hit).drop(*names, "_tried", "_values")
 
 
-def with_heads(hits: DataFrame, heads: DataFrame) -> DataFrame:
-    """Rows with ``_bodies`` that hit at least one, each with ``_heads``: the heads of its bodies, in order. ``heads``: body, head."""
-    kept = [x for x in hits.columns if x != "_bodies"]
+def with_heads(hits: DataFrame, heads: DataFrame, shown: Callable[[Column], Column] = lambda held: held) -> DataFrame:
+    """Rows with ``_bodies`` that hit at least one, each with ``_heads``: the heads of its bodies, in order, or what ``shown`` makes of them. ``heads``: body, head.
+
+    Heads are put together once for each set of bodies that rows have, and rows of a set get them in the last join: the heads of a row are never moved with it."""
+    rows = hits.filter(F.size("_bodies") > 0).withColumn("_bodies", F.array_sort("_bodies"))
     by_body = heads.groupBy("body").agg(F.collect_list("head").alias("_held"))
-    some = hits.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[c(f"`{x}`") for x in kept]).alias("_event"), "_bodies").select("_row", "_event", F.explode("_bodies").alias("body"))
-    met = some.join(by_body, "body").groupBy("_row").agg(F.first("_event").alias("_event"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_held")))).alias("_heads"))
-    return met.select("_event.*", "_heads")
+    sets = rows.select("_bodies").distinct().select("_bodies", F.explode("_bodies").alias("body"))
+    held = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_held"))))
+    made = sets.join(by_body, "body").groupBy("_bodies").agg(held.alias("_heads")).select("_bodies", shown(c("_heads")).alias("_heads"))
+    return rows.join(made, "_bodies").drop("_bodies")
 
 
 def match_indexed(events: DataFrame, index: Index) -> DataFrame:

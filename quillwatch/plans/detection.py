@@ -89,7 +89,7 @@ def _(spark, d):
     index, numbered = rule_index.catalog_index(cat, e.columns)
     hits = materialize(rule_index.match_bodies(e, index).select("event_id", "_bodies"), "rule-hits")
     heads = cat.join(numbered, "detection").select("body", c("rule_id").alias("head"))
-    return rule_index.with_heads(hits, heads).select("event_id", F.array_join("_heads", ",").alias("rule_ids"))
+    return rule_index.with_heads(hits, heads, lambda held: F.array_join(held, ",")).select("event_id", c("_heads").alias("rule_ids"))
 
 
 def _count_sql(width, by, cond, measure, test):

@@ -3,8 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillwatch.operators import rule_index
+from quillwatch.operators import rule_index, rules
 from quillwatch.plans import load_all, views
 from quillwatch.plans.registry import QUERIES
 from quillwatch.plans.rule_set import RULES
@@ -77,6 +78,33 @@ def test_stream_join_gives_every_pair(spark):
     assert sorted((r.a_id, r.b_id) for r in got) == [(1, 3), (1, 4), (2, 3)]
 
 
+def test_heads_are_put_together_once_for_a_set_of_bodies(spark):
+    heads = spark.createDataFrame([(b, f"h{b}{k}") for b in range(3) for k in range(3 - b)] + [(1, "h00")], "body int, head string")
+    hits = spark.createDataFrame([(1, [0, 2]), (1, [0, 2]), (2, [2, 0]), (3, []), (4, [9]), (5, [9, 1, 0]), (None, [1])], "event_id long, _bodies array<int>")
+    got = rule_index.with_heads(hits, heads)
+    both = ["h00", "h01", "h02", "h20"]
+    assert got.columns == ["event_id", "_heads"]
+    assert sorted(((r.event_id or 0), r._heads) for r in got.collect()) == [(0, ["h00", "h10", "h11"]), (1, both), (1, both), (2, both), (5, ["h00", "h01", "h02", "h10", "h11"])]
+    assert [x.event_id for x in rule_index.with_heads(hits, heads, F.size).filter("_heads = 4").collect()].count(1) == 2
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1:]
+    assert below and not any("event_id" in x.split("]")[0] for x in below)
+
+
+def test_starts_and_ends_of_values_are_looked_up(spark, root):
+    e = views.sec_events(spark, root)
+    texts = ["7", "ID 9", "E", "", "powershell.exe -enc 14", "proc3", "PROC", "--id 990", "ü", "x" * 40]
+    rule = lambda name, selection, condition="sel": {"id": name, "title": name, "detection": {"sel": selection, "num": {"src_port|gte": 1500}, "condition": condition}}
+    every = [rule(f"{way}{i}", {f"CommandLine|{way}": text}, condition) for i, text in enumerate(texts) for way in ("startswith", "endswith") for condition in ("sel and not num",)]
+    every += [rule("list", {"CommandLine|endswith": texts[:3]}), rule("both", {"CommandLine|endswith": "1", "CommandLine|startswith": "p"}), rule("exact", {"CommandLine|endswith": "1", "User": "user3"}), rule("not", {"CommandLine|endswith": "1"}, "num and not sel"),
+              rule("some", [{"CommandLine|endswith": "12"}, {"User": "user5"}]), rule("free", {"k|endswith": "1"})]
+    index = rule_index.Index(every, e.columns)
+    assert {x for x in index.filed if x.startswith(("starts", "ends"))} >= {"ends1:process_cmdline", "ends4:process_cmdline", "starts16:process_cmdline", "starts4:process_cmdline"}
+    assert sorted(h["rule_id"] for n, h in index.heads if n in {b["body"] for b in index.always}) == ["endswith3", "free", "not", "startswith3"]
+    got = {r.event_id: r.ids for r in rule_index.match_indexed(e, index).selectExpr("event_id", "rule_matches.rule_id AS ids").collect()}
+    want = {r.event_id: r.ids for r in rules.match_all(e, every, stable_only=False).selectExpr("event_id", "rule_matches.rule_id AS ids").collect()}
+    assert got == want and {"endswith0", "endswith1", "startswith5", "list", "both", "some"} <= {x for ids in want.values() for x in ids}
+
+
 def test_stream_join_looks_at_its_own_time_only(spark):
     # Two first events and a second one in every three hours, before and after 1970: pairs lie on both sides of every border of a step.
     rows = spark.range(60).selectExpr("id AS event_id", "'t' AS tenant_id", "'h' AS hostname", "timestamp_ntz'1969-12-30 18:00:00' + make_dt_interval(0, id, 0, 0) AS ts")
