@@ -366,6 +366,19 @@ def test_seeds_move_as_packed_marks_and_passages_do_not_depend_on_chunks(spark,
     assert sorted(map(tuple, substring.repeated(rows).collect())) == whole
 
 
+def test_shared_seeds_equal_plain_sets(monkeypatch):
+    rng = np.random.default_rng(24)
+    draw = lambda n, values: [rng.integers(0, values, rng.integers(0, 40)).astype(np.uint64) for _ in range(n)]
+    for ask, other in ((draw(30, 60), draw(20, 60)), (draw(25, 2000), draw(30, 2000)), (draw(3, 9), draw(1, 9)), (draw(3, 9), []), ([], draw(2, 9)), (draw(4, 50), [v + np.uint64(100) for v in draw(4, 50)])):
+        want = np.array([[len(set(p.tolist()) & set(q.tolist())) for q in other] for p in ask]).reshape(len(ask), len(other))
+        for wide in (0, 50, 1 << 20):
+            monkeypatch.setattr(substring, "WIDE", wide)
+            for least in (1, 4, 7):
+                got = substring._shared(ask, other, least)
+                got = np.zeros(want.shape, int) if got is None else got
+                assert (np.where(got >= least, got, 0) == np.where(want >= least, want, 0)).all() and (got <= want).all()
+
+
 def test_matches_of_two_places_are_made_once(spark):
     rows = spark.createDataFrame([(x, s, 10 * x + s) for s in range(3) for x in range(s + 2)] + [(7, 9, 1), (7, 9, 5)], "x long, seed long, px int")
     led = substring._led(rows).collect()
